@@ -235,7 +235,7 @@ def _link(rows: DataFrame, groups: DataFrame, texts: DataFrame, n: int, percent:
         live = materialize(rest, "live")
         discard(joined)
     discard(sets, groups)
-    return rows.select("doc_id", "node", "n"), found if found is not None else rows.select("node", F.col("node").alias("component")).limit(0)
+    return rows.select("doc_id", "key", "node", "n"), found if found is not None else rows.select("node", F.col("node").alias("component")).limit(0)
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
