@@ -153,14 +153,16 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def shingle_hashes(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_hashes(data: np.ndarray, offsets: np.ndarray, n: int, weigh=None) -> tuple[np.ndarray, ...]:
     """(row, hash) of the distinct n-word shingles of each row, sorted by both.
 
+    weigh: a function of word hashes; the sum over each shingle's words then comes third.
+
     A row with fewer than n words but at least one has its whole word sequence as its only shingle.
     """
     start, end, row = words_of(data, offsets)
     if not len(start):
-        return np.zeros(0, np.int64), np.zeros(0, _U)
+        return (np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, np.int64))[: 2 if weigh is None else 3]
     word = span_hashes(prefix_hashes(data), start, end)
     counts = np.bincount(row, minlength=len(offsets) - 1)
     begin = np.concatenate(([0], np.cumsum(counts)))
@@ -169,19 +171,22 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.nd
     acc = np.full(len(full), n, _U)
     for k in range(n):
         acc = mix(acc * _U(_BASE) + word[full + k])
-    rows, hashes = [row[full]], [acc]
+    weight = weigh(word) if weigh else np.zeros(len(word), np.int64)
+    total = np.concatenate(([0], np.cumsum(weight)))
+    rows, hashes, sums = [row[full]], [acc], [total[full + n] - total[full]]
     for r in np.flatnonzero((counts > 0) & (counts < n)):
         one = np.full(1, counts[r], _U)
         for k in range(counts[r]):
             one = mix(one * _U(_BASE) + word[begin[r] + k : begin[r] + k + 1])
         rows.append(np.full(1, r))
         hashes.append(one)
-    rows, hashes = np.concatenate(rows), np.concatenate(hashes)
+        sums.append(total[begin[r] + counts[r]] - total[begin[r] : begin[r] + 1])
+    rows, hashes, sums = np.concatenate(rows), np.concatenate(hashes), np.concatenate(sums)
     order = np.lexsort((hashes, rows))
     rows, hashes = rows[order], hashes[order]
     keep = np.ones(len(rows), bool)
     keep[1:] = (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1])
-    return rows[keep], hashes[keep]
+    return (rows[keep], hashes[keep]) if weigh is None else (rows[keep], hashes[keep], sums[order][keep])
 
 
 def lists(values: np.ndarray, rows: np.ndarray, n: int, kind: pa.DataType) -> pa.Array:

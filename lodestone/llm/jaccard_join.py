@@ -1,10 +1,11 @@
 """Operator 8: n-gram Jaccard self-join with rare-first prefix filtering.
 
 1. A text's set is its distinct word shingles as 64-bit hashes. Texts with equal sets are one node
-   (a 128-bit digest of the set), so exact copies cost one node however many there are.
-2. One global order sorts shingles rare first. Document frequencies are counted over all texts in
-   a fixed number of hash cells (a one-row count sketch of bounded size: cells only ever share
-   their counts, and any fixed order keeps the filter exact; a good one makes it fast).
+   (found by a 128-bit digest of the set), so exact copies cost one node however many there are.
+2. One global order sorts shingles rare first. A shingle's rarity is estimated from its words': word
+   occurrences are counted over all texts in a fixed number of hash cells (a one-row count sketch
+   of bounded size), and the logarithms of its words' counts are added up. Any fixed order keeps the
+   filter exact; a good one makes it fast.
 3. Two sets that reach the threshold share a shingle among their first n - ceil(t n) + 1: only these
    prefixes are shuffled. Pairs that share a prefix shingle pass the length filter, the
    positional filter (what can still match after the shared place), are verified once, there first
@@ -28,15 +29,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import discard, lists, lower_ascii, materialize, mix, pieces, shingle_hashes, small_batches, table
+from .common import discard, lists, lower_ascii, materialize, mix, pieces, prefix_hashes, shingle_hashes, small_batches, span_hashes, table, text_buffers, words_of
 from .components import components
 
-#: Cells of the document-frequency sketch: bounded, whatever the input (2**16 counts).
-CELL_BITS = 16
+#: Cells of the word-count sketch: bounded, whatever the input (2**18 counts, 2 MB).
+CELL_BITS = 18
 #: Pivot rounds before the remaining groups are joined.
 ROUNDS = 4
 _U = np.uint64
@@ -52,46 +53,42 @@ def required(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
-def _cells(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << CELL_BITS, np.int64)
-        for _, data, offsets in pieces(batches, "text"):
-            _, hashes = shingle_hashes(lower_ascii(data), offsets, n)
-            counts += np.bincount((hashes >> _U(64 - CELL_BITS)).astype(np.int64), minlength=len(counts))
-        block = 1 << 10
-        for at in range(0, len(counts), block):
-            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([counts[at : at + block].tolist()], pa.list_(pa.int64()))], names=["block", "counts"])
-
-    return run
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(1 << CELL_BITS, np.int64)
+    for _, data, offsets in pieces(batches, "text"):
+        start, end, _ = words_of(data, offsets)
+        words = span_hashes(prefix_hashes(lower_ascii(data)), start, end)
+        counts += np.bincount((words >> _U(64 - CELL_BITS)).astype(np.int64), minlength=len(counts))
+    used = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["cell", "c"])
 
 
-def frequencies(docs: DataFrame, n: int) -> np.ndarray:
-    """Document frequencies by cell, over all rows; summed on the executors, fixed size on the driver."""
-    parts = docs.select("text").mapInArrow(_cells(n), "block long, counts array<long>")
-    sums = parts.select("block", F.posexplode("counts").alias("k", "c")).where("c > 0").groupBy("block", "k").agg(F.sum("c").alias("c"))
-    sums = sums.select((F.col("block") + F.col("k")).alias("cell"), "c")
-    out = np.zeros(1 << CELL_BITS, np.int64)
-    found = sums.toPandas()
-    out[found["cell"].to_numpy(np.int64)] = found["c"].to_numpy(np.int64)
-    return out
+def rarities(docs: DataFrame) -> np.ndarray:
+    """A number for each cell that grows with the logarithm of its words' occurrences in all rows."""
+    found = docs.select("text").mapInArrow(_cells, "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c")).toPandas()
+    counts = np.zeros(1 << CELL_BITS)
+    counts[found["cell"].to_numpy(np.int64)] = found["c"].to_numpy(float)
+    return np.rint(np.log2(counts + 1) * 64).astype(np.int64)
 
 
-_SETS = "doc_id long, key binary, node binary, n long, prefix array<long>"
+_SETS = "rid long, doc_id long, key binary, node binary, n long, prefix array<long>"
 
 
 def _prefixes(n: int, percent: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = shared.value
+        cells, rid = shared.value, TaskContext.get().partitionId() << 36
         for rows, data, offsets in pieces(batches, "text"):
-            row, hashes = shingle_hashes(lower_ascii(data), offsets, n)
+            row, hashes, rarity = shingle_hashes(lower_ascii(data), offsets, n, lambda w: cells[(w >> _U(64 - CELL_BITS)).astype(np.int64)])
             size = np.bincount(row, minlength=rows.num_rows)
             nodes = node_digests(row, hashes, size)
-            order = np.lexsort((hashes, ranks[(hashes >> _U(64 - CELL_BITS)).astype(np.int64)], row))
+            order = np.lexsort((hashes, rarity, row))
             row, hashes = row[order], hashes[order]
             begin = np.concatenate(([0], np.cumsum(size)))
             place = np.arange(len(row)) - begin[row]
             take = place < (size - needed(size, percent) + 1)[row]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("key"), nodes, pa.array(size), lists(hashes[take].view(np.int64), row[take], rows.num_rows, pa.int64())], names=["doc_id", "key", "node", "n", "prefix"])
+            prefix = lists(hashes[take].view(np.int64), row[take], rows.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(rid + np.arange(rows.num_rows)), rows.column("doc_id"), rows.column("key"), nodes, pa.array(size), prefix], names=["rid", "doc_id", "key", "node", "n", "prefix"])
+            rid += rows.num_rows
 
     return run
 
@@ -107,22 +104,6 @@ def node_digests(row: np.ndarray, hashes: np.ndarray, size: np.ndarray) -> pa.Ar
     return pa.array([raw[16 * i : 16 * i + 16] if s else None for i, s in enumerate(size)], pa.binary())
 
 
-def _whole_sets(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for rows, data, offsets in pieces(batches, "text"):
-            row, hashes = shingle_hashes(lower_ascii(data), offsets, n)
-            fresh = []  # a repeated row stands beside its like after the join
-            for node in rows.column("node").to_pylist():
-                fresh.append(node != last)
-                last = node
-            ends = np.searchsorted(row, np.arange(rows.num_rows + 1))
-            raw = hashes.tobytes()
-            yield pa.RecordBatch.from_arrays([rows.column("node"), pa.array([raw[8 * a : 8 * b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], names=["node", "shingles"]).filter(pa.array(fresh, pa.bool_()))
-
-    return run
-
-
 def overlap_at_least(a: np.ndarray, b: np.ndarray, need: int, depth: int = 2) -> bool:
     """Whether two ascending arrays share at least `need` values.
 
@@ -144,39 +125,44 @@ def overlap_at_least(a: np.ndarray, b: np.ndarray, need: int, depth: int = 2) ->
     return len(b) > 0 and int(np.count_nonzero(b[at] == a)) >= need
 
 
-def _verify(percent: int):
+def _verify(n: int, percent: int):
+    """Keeps the pairs (u, v) whose texts x and y reach the threshold."""
+
+    def sets(column: pa.Array) -> list[np.ndarray]:
+        data, offsets = text_buffers(column)
+        row, hashes = shingle_hashes(lower_ascii(data), offsets, n)
+        return np.split(hashes, np.searchsorted(row, np.arange(1, len(column))))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for left in (range(at, min(at + 512, batch.num_rows)) for at in range(0, batch.num_rows, 512)):
-                part = batch.slice(left.start, len(left))
-                good, held, last = [], None, None
-                for u, x, y in zip(part.column("u"), part.column("x"), part.column("y"), strict=True):
-                    if u != last:
-                        held, last = np.frombuffer(x.as_buffer(), _U), u
-                    b = np.frombuffer(y.as_buffer(), _U)
-                    good.append(overlap_at_least(held, b, int(required(len(held), len(b), percent))))
-                yield pa.RecordBatch.from_arrays([part.column("u"), part.column("v")], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
+        for rows, _, _ in pieces(batches, "y"):
+            u = rows.column("u").to_numpy()
+            fresh = np.ones(len(u), bool)  # rows of one u stand together
+            fresh[1:] = u[1:] != u[:-1]
+            left, right, of = sets(rows.column("x").filter(pa.array(fresh))), sets(rows.column("y")), np.cumsum(fresh) - 1
+            good = [overlap_at_least(left[of[i]], b, int(required(len(left[of[i]]), len(b), percent))) for i, b in enumerate(right)]
+            yield pa.RecordBatch.from_arrays([rows.column("u"), rows.column("v")], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
 
 def similar_components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, node, n) of each row of docs (doc_id, text), and (node, component) of linked nodes."""
+    """(doc_id, key, node, n) of each row of docs (doc_id, text), and (node, component) of linked nodes.
+
+    key is the text's MD5. A node is the number of one row with the set, null for empty sets.
+    """
     spark = docs.sparkSession
     small_batches(spark)
-    counts = frequencies(docs, n)
-    shared = spark.sparkContext.broadcast(counts)
+    shared = spark.sparkContext.broadcast(rarities(docs))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.unhex(F.md5("text")))
     rows = materialize(keyed.mapInArrow(_prefixes(n, percent, shared), _SETS), "prefixes")
-    nodes = rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    groups = nodes.select("node", "n", F.posexplode("prefix").alias("at", "token"))
-    counted = groups.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
-    groups = materialize(groups.join(counted, "token"), "groups")
-    # one row's text for each node that shares a prefix shingle with another
-    one = rows.where("n > 0").join(groups.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("key", "doc_id")).alias("o"))
-    one = one.select("node", F.col("o.key").alias("k"), F.col("o.doc_id").alias("d"))
-    texts = keyed.join(one, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("node", "text")
-    return _link(rows, groups, texts, n, percent)
+    first = rows.where("n > 0").groupBy(F.col("node").alias("digest")).agg(F.min(F.struct("rid", "key", "doc_id")).alias("one"))
+    first = materialize(first.select("digest", "one.rid", F.col("one.key").alias("k"), F.col("one.doc_id").alias("d")), "nodes")
+    tokens = rows.select("rid", "n", F.posexplode("prefix").alias("at", "token"))
+    again = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
+    groups = tokens.join(again, "token").join(first.select("rid"), "rid").withColumnRenamed("rid", "node")
+    found = _link(materialize(groups, "groups"), keyed, first, n, percent)
+    named = rows.select("doc_id", "key", F.col("node").alias("digest"), "n").join(first.select("digest", F.col("rid").alias("node")), "digest", "left").drop("digest")
+    return named, found
 
 
 def _pairs(joined: DataFrame, percent: int) -> DataFrame:
@@ -190,52 +176,54 @@ def _pairs(joined: DataFrame, percent: int) -> DataFrame:
     return ok.select(F.least("node", "pnode").alias("u"), F.greatest("node", "pnode").alias("v")).distinct()
 
 
-def _link(rows: DataFrame, groups: DataFrame, texts: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    sets = materialize(texts.mapInArrow(_whole_sets(n), "node binary, shingles binary"), "sets")
-    edges: DataFrame | None = None
-    found: DataFrame | None = None
+def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Drops copies of repeated rows, which a join by key has brought into one task."""
+    seen: set[int] = set()
+    for batch in batches:
+        fresh = []
+        for node in batch.column("node").to_pylist():
+            fresh.append(node not in seen)
+            seen.add(node)
+        yield batch.filter(pa.array(fresh, pa.bool_()))
+
+
+def _link(groups: DataFrame, keyed: DataFrame, first: DataFrame, n: int, percent: int) -> DataFrame:
+    """(node, component) of nodes that link. groups: token, node, n, at."""
+    texts = found = None
     live = groups
     for turn in range(ROUNDS + 1):
         labelled = live.withColumn("comp", F.col("node")) if found is None else live.join(found.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        mixed = labelled.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "at", "comp")).alias("p")).where("a <> b")
-        if turn < ROUNDS:
-            joined = labelled.join(mixed.select("token", F.col("p.node").alias("pnode"), F.col("p.n").alias("pn"), F.col("p.at").alias("pat"), F.col("p.comp").alias("pcomp")), "token")
-            joined = materialize(joined, "turn")
-            if joined.isEmpty():
-                discard(joined)
-                break
-            pairs = _pairs(joined.where("comp <> pcomp"), percent)
-            rest = joined.where("node <> pnode").select("token", "node", "n", "at")
-        else:
-            joined = materialize(labelled.join(mixed.select("token"), "token"), "turn")
-            other = joined.select("token", F.col("node").alias("pnode"), F.col("n").alias("pn"), F.col("at").alias("pat"), F.col("comp").alias("pcomp"))
-            pairs = _pairs(joined.join(other, "token").where("node < pnode AND comp <> pcomp"), percent)
-            rest = None
-        lefts = sets.select(F.col("node").alias("u"), F.col("shingles").alias("x"))
-        rights = sets.select(F.col("node").alias("v"), F.col("shingles").alias("y"))
-        links = pairs.join(rights, "v").join(lefts, "u").select("u", "v", "x", "y").mapInArrow(_verify(percent), "u binary, v binary")
-        links = materialize(links, "links")
-        if links.isEmpty():
-            discard(links)
-            if rest is None:
-                break
-            live, old = materialize(rest, "live"), live
-            discard(joined, old if old is not groups else None)
-            continue
-        more = links if edges is None else links.unionByName(edges)
-        old_found, old_edges = found, edges
-        found = materialize(components(more), "components")
-        edges = materialize(found.select(F.col("node").alias("u"), F.col("component").alias("v")), "edges")
-        discard(old_found, old_edges, links)
-        if live is not groups:
-            discard(live)
-        if rest is None:
+        pivot = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "at", "comp")).alias("p")
+        mixed = labelled.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), pivot).where("a <> b")
+        last = turn == ROUNDS
+        chosen = mixed.select("token", F.col("p.node").alias("pnode"), F.col("p.n").alias("pn"), F.col("p.at").alias("pat"), F.col("p.comp").alias("pcomp"))
+        joined = materialize(labelled.join(chosen, "token"), "turn")
+        discard(live)
+        if joined.isEmpty():
             discard(joined)
             break
-        live = materialize(rest, "live")
+        if texts is None:  # one row's text for each node that shares a prefix shingle with another
+            one = first.join(joined.select(F.col("node").alias("rid")).distinct(), "rid", "left_semi")
+            texts = keyed.join(one, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d"))).select(F.col("rid").alias("node"), "text")
+            texts = materialize(texts.mapInArrow(_first_of_each, "node long, text string"), "texts")
+        if last:
+            other = joined.select("token", F.col("node").alias("pnode"), F.col("n").alias("pn"), F.col("at").alias("pat"), F.col("comp").alias("pcomp"))
+            pairs = _pairs(joined.select("token", "node", "n", "at", "comp").join(other, "token").where("node < pnode AND comp <> pcomp"), percent)
+        else:
+            pairs = _pairs(joined.where("comp <> pcomp"), percent)
+        lefts = texts.select(F.col("node").alias("u"), F.col("text").alias("x"))
+        rights = texts.select(F.col("node").alias("v"), F.col("text").alias("y"))
+        links = materialize(pairs.join(rights, "v").join(lefts, "u").select("u", "v", "x", "y").mapInArrow(_verify(n, percent), "u long, v long"), "links")
+        if not links.isEmpty():
+            old_found = found
+            found = materialize(components(links if found is None else links.unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v")))), "components")
+            discard(old_found)
+        discard(links)
+        if not last:
+            live = materialize(joined.where("node <> pnode").select("token", "node", "n", "at"), "live")
         discard(joined)
-    discard(sets, groups)
-    return rows.select("doc_id", "key", "node", "n"), found if found is not None else rows.select("node", F.col("node").alias("component")).limit(0)
+    discard(texts)
+    return found if found is not None else first.select(F.col("rid").alias("node"), F.col("rid").alias("component")).limit(0)
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
