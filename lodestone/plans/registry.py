@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import report_queries, search_queries
+
+QUERIES = {**search_queries.QUERIES, **report_queries.Q}
+ORACLE_SQL = {**search_queries.ORACLE_SQL, **report_queries.SQL}
