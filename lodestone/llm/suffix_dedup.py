@@ -7,8 +7,11 @@ Suffixes are told apart only through their first `width` bytes, most significant
   some 80 times fewer suffixes are sorted. Groups of one drop out here.
 * Digit 2 is the whole stretch of all windows that chose this suffix. Where two suffixes agree in
   it, all of these windows repeat.
-* Digit 3, only for suffixes that agree in digit 1 but not in digit 2, is each single window
-  through its full `width`. One suffix stands for all that agree in digit 2.
+* Suffixes that agree in digit 1 but not in digit 2 go on, one for all that agree in digit 2. Their
+  windows are cut into blocks of BLOCK; the next digit is what all windows of a block share, the
+  one after it the block's whole stretch, as before.
+* Only where a block agrees in the first of these but not in the second is each single window
+  compared through its full `width`: that is at the ends of repeated passages.
 
 Equal groups after the last digit are exactly the strings of `width` bytes that start more than
 once. Digits are compared by 64-bit hashes; texts are identified by their 128-bit MD5.
@@ -32,9 +35,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, materialize, pieces, prefix_hashes, small_batches, span_hashes, table, text_buffers
+from .common import discard, materialize, mix, pieces, prefix_hashes, small_batches, span_hashes, table, text_buffers
 
 DIGIT = 40
+#: Windows of a block in the second pair of digits.
+BLOCK = 16
 #: Longer texts are read in overlapping segments of this many bytes.
 SEGMENT = 4 << 20
 _U = np.uint64
@@ -116,33 +121,76 @@ def _arrow(schema: T.StructType) -> pa.Schema:
     return pa.schema([(f.name, kinds[type(f.dataType)]) for f in schema.fields])
 
 
-_WINDOWS = T.StructType([T.StructField("window", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("at", T.LongType())])
+_WINDOWS = T.StructType([T.StructField("window", T.LongType()), T.StructField("place", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("at", T.LongType())])
 
 
-def _windows(width: int):
-    """Hashes of the single windows of the suffixes in `todo`."""
+def _todo(rows: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """(row, at, before, after) of every suffix to go on with, 20,000 at a time."""
+    todo = rows.column("todo")
+    ends = np.asarray(todo.offsets)
+    flat = todo.flatten()
+    return np.repeat(np.arange(rows.num_rows), np.diff(ends)), *(np.asarray(flat.field(c)).astype(np.int64) for c in ("at", "before", "after"))
+
+
+def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, place within it) of counts.sum() items."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _blocks(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in pieces(batches, "text", SEGMENT):
+            prefix = prefix_hashes(data)
+            row, at, before, after = _todo(rows)
+            for cut in range(0, len(row), 50_000):
+                r, a, b, f = (x[cut : cut + 50_000] for x in (row, at, before, after))
+                own, k = _spread(b // BLOCK - f // BLOCK + 1)
+                block, base = f[own] // BLOCK + k, a[own] + offsets[r[own]]
+                low, high = np.maximum(f[own], block * BLOCK), np.minimum(b[own], block * BLOCK + BLOCK - 1)
+                shared = span_hashes(prefix, base - block * BLOCK, base - block * BLOCK - BLOCK + 1 + width)
+                stretch = span_hashes(prefix, base - high, base - low + width) * _U(31) + high.astype(_U)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array((shared * _U(31) + block.astype(_U)).view(np.int64)), pa.array(stretch.view(np.int64)), rows.column("key").take(pa.array(r[own])),
+                    pa.array(a[own]), pa.array(high.astype(np.int32)), pa.array(low.astype(np.int32)),
+                ], schema=_arrow(_ANCHORS))
+
+    return run
+
 
+def _windows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in pieces(batches, "text", SEGMENT):
             prefix = prefix_hashes(data)
-            todo = rows.column("todo")
-            todo = todo.combine_chunks() if isinstance(todo, pa.ChunkedArray) else todo
-            ends = np.asarray(todo.offsets)
-            ends = ends - ends[0]
-            flat = todo.flatten()
-            low, high = np.asarray(flat.field("low")), np.asarray(flat.field("high"))
-            owner = np.repeat(np.arange(rows.num_rows), np.diff(ends))
-            counts = high - low + 1
-            for cut in range(0, len(counts), 20_000):
-                c = counts[cut : cut + 20_000]
-                who = np.repeat(owner[cut : cut + 20_000], c)
-                starts = np.repeat(low[cut : cut + 20_000] - np.concatenate(([0], np.cumsum(c)[:-1])), c) + np.arange(c.sum())
-                here = starts + offsets[who]
-                yield pa.RecordBatch.from_arrays([pa.array(span_hashes(prefix, here, here + width).view(np.int64)), rows.column("key").take(pa.array(who)), pa.array(starts)], schema=_arrow(_WINDOWS))
+            row, at, before, after = _todo(rows)
+            names = np.array([int.from_bytes(k[:8], "little") for k in rows.column("key").to_pylist()], _U)
+            for cut in range(0, len(row), 20_000):
+                r, a, b, f = (x[cut : cut + 20_000] for x in (row, at, before, after))
+                own, k = _spread(b - f + 1)
+                start = a[own] - b[own] + k
+                here = start + offsets[r[own]]
+                place = mix(names[r[own]] ^ mix(start.astype(_U)))
+                yield pa.RecordBatch.from_arrays([pa.array(span_hashes(prefix, here, here + width).view(np.int64)), pa.array(place.view(np.int64)), rows.column("key").take(pa.array(r[own])), pa.array(start)], schema=_arrow(_WINDOWS))
 
     return run
 
 
+def _refine(suffixes: DataFrame, width: int, tag: str) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(key, low, high) of what repeats as a whole, and by key the suffixes to go on with.
+
+    suffixes: _ANCHORS, perhaps with copies of rows. Groups of one digit drop out unless another suffix shares it.
+    """
+    again = suffixes.groupBy("digit").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digit")
+    kept = materialize(suffixes.join(again, "digit").distinct(), tag)
+    one = F.min(F.struct("key", "at", "before", "after")).alias("one")
+    groups = materialize(kept.groupBy("digit", "stretch").agg(F.count(F.lit(1)).alias("n"), one), tag + "-groups")
+    whole = kept.join(groups.where("n > 1").select("digit", "stretch"), ["digit", "stretch"])
+    whole = whole.select("key", (F.col("at") - F.col("before")).alias("low"), (F.col("at") - F.col("after") + width).alias("high"))
+    mixed = groups.groupBy("digit").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digit")
+    todo = groups.join(mixed, "digit").select("one.*").distinct()
+    return whole, todo.groupBy("key").agg(F.collect_list(F.struct("at", "before", "after")).alias("todo")), [kept, groups]
+
+
 def repeated_spans(texts: DataFrame, width: int = 200) -> tuple[DataFrame, list[DataFrame]]:
     """(key, spans) of texts with repeated strings, and the tables to discard afterwards.
 
@@ -150,22 +198,14 @@ def repeated_spans(texts: DataFrame, width: int = 200) -> tuple[DataFrame, list[
     repeated bytes; they may overlap and are in no order.
     """
     texts = texts.where(F.octet_length("text") >= width)
-    anchors = texts.select("key", "text").mapInArrow(_anchors(width), _ANCHORS)
-    again = anchors.groupBy("digit").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digit")
-    kept = materialize(anchors.join(again, "digit").dropDuplicates(["key", "at", "digit"]), "suffixes")
-    groups = kept.groupBy("digit", "stretch").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "at", "before", "after")).alias("one"))
-    groups = materialize(groups, "groups")
-    whole = kept.join(groups.where("n > 1").select("digit", "stretch"), ["digit", "stretch"]).select("key", (F.col("at") - F.col("before")).alias("low"), (F.col("at") - F.col("after") + width).alias("high"))
-    mixed = groups.groupBy("digit").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digit")
-    todo = groups.join(mixed, "digit").select("one.key", (F.col("one.at") - F.col("one.before")).alias("low"), (F.col("one.at") - F.col("one.after")).alias("high"))
-    todo = todo.groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("todo"))
-    windows = texts.join(todo, "key").select("key", "text", "todo").mapInArrow(_windows(width), _WINDOWS)
-    windows = materialize(windows, "windows")
-    place = F.struct("key", "at")
-    twice = windows.groupBy("window").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("window")
+    first, todo, used = _refine(texts.select("key", "text").mapInArrow(_anchors(width), _ANCHORS), width, "suffixes")
+    blocks = materialize(texts.join(todo, "key").select("key", "text", "todo").mapInArrow(_blocks(width), _ANCHORS), "split")
+    second, todo, more = _refine(blocks, width, "blocks")
+    windows = materialize(texts.join(todo, "key").select("key", "text", "todo").mapInArrow(_windows(width), _WINDOWS), "windows")
+    twice = windows.groupBy("window").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("window")
     single = windows.join(twice, "window").select("key", F.col("at").alias("low"), (F.col("at") + width).alias("high"))
-    spans = whole.unionByName(single).groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-    return spans, [kept, groups, windows]
+    spans = first.unionByName(second).unionByName(single).distinct().groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    return spans, [*used, blocks, *more, windows]
 
 
 def _covered(spans, size: int) -> list[tuple[int, int]]:
