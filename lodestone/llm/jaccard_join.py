@@ -8,8 +8,10 @@
    filter exact; a good one makes it fast.
 3. Two sets that reach the threshold share a shingle among their first n - ceil(t n) + 1: only these
    prefixes are shuffled. Pairs that share a prefix shingle pass the length filter, the
-   positional filter (what can still match after the shared place), are verified once, there first
-   by the suffix filter (splits of both suffixes at one shingle bound the overlap) and then exactly.
+   positional filter (what can still match after the shared place) and the suffix filter, and are
+   verified once. The suffix filter bounds the Hamming distance of two sets from below: first by
+   parity bitmaps of BITS bits (two sets differ in at least as many shingles as their bitmaps in
+   bits), then, beside the texts, by splitting both sets at one shingle.
 4. No group is expanded into all its pairs. In each round every prefix group pairs one pivot with
    its other members; the pivot is then done with and leaves the group. Members already connected
    need no pair, and a group whose members are all connected is dropped. What is left after
@@ -38,6 +40,8 @@ from .components import components
 
 #: Cells of the word-count sketch: bounded, whatever the input (2**18 counts, 2 MB).
 CELL_BITS = 18
+#: Bits of a set's parity bitmap.
+BITS = 1024
 #: Pivot rounds before the remaining groups are joined.
 ROUNDS = 4
 _U = np.uint64
@@ -71,7 +75,7 @@ def rarities(docs: DataFrame) -> np.ndarray:
     return np.rint(np.log2(counts + 1) * 64).astype(np.int64)
 
 
-_SETS = "rid long, doc_id long, key binary, node binary, n long, prefix array<long>"
+_SETS = "rid long, doc_id long, key binary, node binary, n long, prefix array<long>, bits array<long>"
 
 
 def _prefixes(n: int, percent: int, shared):
@@ -86,8 +90,11 @@ def _prefixes(n: int, percent: int, shared):
             begin = np.concatenate(([0], np.cumsum(size)))
             place = np.arange(len(row)) - begin[row]
             take = place < (size - needed(size, percent) + 1)[row]
+            odd = np.bincount(row * BITS + (hashes & _U(BITS - 1)).astype(np.int64), minlength=rows.num_rows * BITS) & 1
+            words = np.packbits(odd.astype(np.uint8)).view("<i8")
+            bits = lists(words, np.repeat(np.arange(rows.num_rows), BITS // 64), rows.num_rows, pa.int64())
             prefix = lists(hashes[take].view(np.int64), row[take], rows.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(rid + np.arange(rows.num_rows)), rows.column("doc_id"), rows.column("key"), nodes, pa.array(size), prefix], names=["rid", "doc_id", "key", "node", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([pa.array(rid + np.arange(rows.num_rows)), rows.column("doc_id"), rows.column("key"), nodes, pa.array(size), prefix, bits], names=["rid", "doc_id", "key", "node", "n", "prefix", "bits"])
             rid += rows.num_rows
 
     return run
@@ -160,7 +167,8 @@ def similar_components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame
     tokens = rows.select("rid", "n", F.posexplode("prefix").alias("at", "token"))
     again = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
     groups = tokens.join(again, "token").join(first.select("rid"), "rid").withColumnRenamed("rid", "node")
-    found = _link(materialize(groups, "groups"), keyed, first, n, percent)
+    bitmaps = rows.select("rid", "n", "bits").join(first.select("rid"), "rid", "left_semi")
+    found = _link(materialize(groups, "groups"), keyed, first, materialize(bitmaps, "bitmaps"), n, percent)
     named = rows.select("doc_id", "key", F.col("node").alias("digest"), "n").join(first.select("digest", F.col("rid").alias("node")), "digest", "left").drop("digest")
     return named, found
 
@@ -176,6 +184,16 @@ def _pairs(joined: DataFrame, percent: int) -> DataFrame:
     return ok.select(F.least("node", "pnode").alias("u"), F.greatest("node", "pnode").alias("v")).distinct()
 
 
+def _near_bitmaps(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose bitmaps differ in no more bits than sets at the threshold differ in shingles."""
+    a = bitmaps.select(F.col("rid").alias("u"), F.col("n").alias("a"), F.col("bits").alias("x"))
+    b = bitmaps.select(F.col("rid").alias("v"), F.col("n").alias("b"), F.col("bits").alias("y"))
+    apart = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    total = F.col("a") + F.col("b")
+    need = F.ceil(F.lit(percent) * total / F.lit(100 + percent))
+    return pairs.join(b, "v").join(a, "u").where(apart <= total - 2 * need).select("u", "v")
+
+
 def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Drops copies of repeated rows, which a join by key has brought into one task."""
     seen: set[int] = set()
@@ -187,7 +205,7 @@ def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield batch.filter(pa.array(fresh, pa.bool_()))
 
 
-def _link(groups: DataFrame, keyed: DataFrame, first: DataFrame, n: int, percent: int) -> DataFrame:
+def _link(groups: DataFrame, keyed: DataFrame, first: DataFrame, bitmaps: DataFrame, n: int, percent: int) -> DataFrame:
     """(node, component) of nodes that link. groups: token, node, n, at."""
     texts = found = None
     live = groups
@@ -211,9 +229,13 @@ def _link(groups: DataFrame, keyed: DataFrame, first: DataFrame, n: int, percent
             pairs = _pairs(joined.select("token", "node", "n", "at", "comp").join(other, "token").where("node < pnode AND comp <> pcomp"), percent)
         else:
             pairs = _pairs(joined.where("comp <> pcomp"), percent)
-        lefts = texts.select(F.col("node").alias("u"), F.col("text").alias("x"))
-        rights = texts.select(F.col("node").alias("v"), F.col("text").alias("y"))
+        pairs = materialize(_near_bitmaps(pairs, bitmaps, percent), "pairs")
+        wanted = materialize(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct(), "wanted")
+        some = texts.join(wanted, "node", "left_semi")  # only texts that stand in a pair are shuffled again
+        lefts = some.select(F.col("node").alias("u"), F.col("text").alias("x"))
+        rights = some.select(F.col("node").alias("v"), F.col("text").alias("y"))
         links = materialize(pairs.join(rights, "v").join(lefts, "u").select("u", "v", "x", "y").mapInArrow(_verify(n, percent), "u long, v long"), "links")
+        discard(pairs, wanted)
         if not links.isEmpty():
             old_found = found
             found = materialize(components(links if found is None else links.unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v")))), "components")
@@ -222,7 +244,7 @@ def _link(groups: DataFrame, keyed: DataFrame, first: DataFrame, n: int, percent
         if not last:
             live = materialize(joined.where("node <> pnode").select("token", "node", "n", "at"), "live")
         discard(joined)
-    discard(texts)
+    discard(texts, bitmaps)
     return found if found is not None else first.select(F.col("rid").alias("node"), F.col("rid").alias("component")).limit(0)
 
 
