@@ -10,8 +10,9 @@
    prefixes are shuffled. Pairs that share a prefix shingle pass the length filter, the
    positional filter (what can still match after the shared place) and the suffix filter, and are
    verified once. The suffix filter bounds the Hamming distance of two sets from below: first by
-   parity bitmaps of BITS bits (two sets differ in at least as many shingles as their bitmaps in
-   bits), then, beside the texts, by splitting both sets at one shingle.
+   parity bitmaps (two sets differ in at least as many shingles as their bitmaps in bits; a bitmap
+   has BITS bits or half as many as its set has shingles, rounded up to a power of two, and the
+   longer of two is folded), then, beside the texts, by splitting both sets at one shingle.
 4. No group is expanded into all its pairs. In each round every prefix group pairs one pivot with
    its other members; the pivot is then done with and leaves the group. Members already connected
    need no pair, and a group whose members are all connected is dropped. What is left after
@@ -40,7 +41,7 @@ from .components import components
 
 #: Cells of the word-count sketch: bounded, whatever the input (2**18 counts, 2 MB).
 CELL_BITS = 18
-#: Bits of a set's parity bitmap.
+#: Least bits of a set's parity bitmap.
 BITS = 1024
 #: Pivot rounds before the remaining groups are joined.
 ROUNDS = 4
@@ -90,9 +91,10 @@ def _prefixes(n: int, percent: int, shared):
             begin = np.concatenate(([0], np.cumsum(size)))
             place = np.arange(len(row)) - begin[row]
             take = place < (size - needed(size, percent) + 1)[row]
-            odd = np.bincount(row * BITS + (hashes & _U(BITS - 1)).astype(np.int64), minlength=rows.num_rows * BITS) & 1
-            words = np.packbits(odd.astype(np.uint8)).view("<i8")
-            bits = lists(words, np.repeat(np.arange(rows.num_rows), BITS // 64), rows.num_rows, pa.int64())
+            width = np.maximum(BITS, 1 << np.ceil(np.log2(np.maximum(size, 2) / 2)).astype(np.int64))
+            at = np.cumsum(width) - width
+            odd = np.bincount(at[row] + (hashes & (width[row] - 1).astype(_U)).astype(np.int64), minlength=int(width.sum())) & 1
+            bits = lists(np.packbits(odd.astype(np.uint8)).view("<i8"), np.repeat(np.arange(rows.num_rows), width // 64), rows.num_rows, pa.int64())
             prefix = lists(hashes[take].view(np.int64), row[take], rows.num_rows, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(rid + np.arange(rows.num_rows)), rows.column("doc_id"), rows.column("key"), nodes, pa.array(size), prefix, bits], names=["rid", "doc_id", "key", "node", "n", "prefix", "bits"])
             rid += rows.num_rows
@@ -188,10 +190,17 @@ def _near_bitmaps(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFra
     """Pairs whose bitmaps differ in no more bits than sets at the threshold differ in shingles."""
     a = bitmaps.select(F.col("rid").alias("u"), F.col("n").alias("a"), F.col("bits").alias("x"))
     b = bitmaps.select(F.col("rid").alias("v"), F.col("n").alias("b"), F.col("bits").alias("y"))
-    apart = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    words = F.least(F.size("x"), F.size("y"))
+
+    def folded(c: str):
+        parts = F.sequence(F.lit(0), F.col("words") - 1)
+        fold = F.transform(parts, lambda i: F.aggregate(F.sequence(i, F.size(c) - 1, F.col("words")), F.lit(0).cast("long"), lambda s, k: s.bitwiseXOR(F.get(F.col(c), k))))
+        return F.when(F.size(c) == F.col("words"), F.col(c)).otherwise(fold)
+
+    apart = F.aggregate(F.zip_with(folded("x"), folded("y"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
     total = F.col("a") + F.col("b")
     need = F.ceil(F.lit(percent) * total / F.lit(100 + percent))
-    return pairs.join(b, "v").join(a, "u").where(apart <= total - 2 * need).select("u", "v")
+    return pairs.join(b, "v").join(a, "u").withColumn("words", words).where(apart <= total - 2 * need).select("u", "v")
 
 
 def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
