@@ -166,11 +166,13 @@ def similar_components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame
     rows = materialize(keyed.mapInArrow(_prefixes(n, percent, shared), _SETS), "prefixes")
     first = rows.where("n > 0").groupBy(F.col("node").alias("digest")).agg(F.min(F.struct("rid", "key", "doc_id")).alias("one"))
     first = materialize(first.select("digest", "one.rid", F.col("one.key").alias("k"), F.col("one.doc_id").alias("d")), "nodes")
-    tokens = rows.select("rid", "n", F.posexplode("prefix").alias("at", "token"))
+    # one row a node from here on: copies neither crowd into a token's task nor make a token look shared
+    nodes = materialize(rows.select("rid", "n", "prefix", "bits").join(first.select("rid"), "rid", "left_semi"), "distinct")
+    tokens = nodes.select(F.col("rid").alias("node"), "n", F.posexplode("prefix").alias("at", "token"))
     again = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
-    groups = tokens.join(again, "token").join(first.select("rid"), "rid").withColumnRenamed("rid", "node")
-    bitmaps = rows.select("rid", "n", "bits").join(first.select("rid"), "rid", "left_semi")
-    found = _link(materialize(groups, "groups"), keyed, first, materialize(bitmaps, "bitmaps"), n, percent)
+    groups = tokens.join(again, "token")
+    found = _link(materialize(groups, "groups"), keyed, first, nodes.select("rid", "n", "bits"), n, percent)
+    discard(nodes)
     named = rows.select("doc_id", "key", F.col("node").alias("digest"), "n").join(first.select("digest", F.col("rid").alias("node")), "digest", "left").drop("digest")
     return named, found
 
@@ -253,7 +255,7 @@ def _link(groups: DataFrame, keyed: DataFrame, first: DataFrame, bitmaps: DataFr
         if not last:
             live = materialize(joined.where("node <> pnode").select("token", "node", "n", "at"), "live")
         discard(joined)
-    discard(texts, bitmaps)
+    discard(texts)
     return found if found is not None else first.select(F.col("rid").alias("node"), F.col("rid").alias("component")).limit(0)
 
 
