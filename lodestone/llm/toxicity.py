@@ -4,9 +4,11 @@ Two models, toxic and ordinary, give a word's bytes one by one from at most ORDE
 them within the word. Each interpolates its own discounted counts with one shared backoff: Kneser-Ney
 continuation counts pooled over both classes, so an expression that is rare in one class is judged
 by what both have seen and only contexts that really differ speak. A word's log-likelihood ratio is
-the sum over its bytes; a text is scored by the ratios normalised by length - over the whole text
-and over its most telling words - through a logistic calibration. The calibration sees each fitting
-text scored by models that were fitted without it (FOLDS parts).
+the sum over its bytes; a word of more than LONG bytes (text without spaces, say) counts as several
+words of UNIT bytes, none left out, each byte with its context from the whole word. A text is scored
+by the ratios normalised by length - over the whole text and over its most telling words - through a
+logistic calibration. The calibration sees each fitting text scored by models that were fitted
+without it (FOLDS parts).
 
 Fit: labelled rows whose crc32(doc_id as text) mod 3 isn't 1, at most FIT_TOXIC toxic and
 FIT_ORDINARY ordinary ones (those with the least hash of doc_id): a documented bound. Where labels
@@ -40,6 +42,9 @@ FIT_TOXIC = 2_500
 FIT_ORDINARY = 5_000
 CUT = 0.7
 CACHE_ENTRIES = 400_000
+#: Words of more bytes aren't kept between batches; their ratio counts as that of several words of UNIT bytes.
+LONG = 64
+UNIT = 16
 _EDGES = b".,;:!?\"'()[]{}*#$%&|<>-"
 
 
@@ -47,20 +52,42 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def events(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(owner, key) of each byte event of the words, their end included; a key packs the context and the byte."""
+def events(words: list[bytes], block: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(owner, place in the word, key) of each byte event of the words, their end included, about `block` bytes at a time.
+
+    A key packs the context and the byte. A long word may go on in the next block, with its context.
+    """
     marked = [b"\x02" + w + b"\x03" for w in words]
-    data = np.frombuffer(b"".join(marked), np.uint8).astype(np.int64)
+    whole = np.frombuffer(b"".join(marked), np.uint8)
     sizes = np.fromiter(map(len, marked), np.int64, len(marked))
-    start = np.repeat(np.cumsum(sizes) - sizes, sizes)
-    place = np.arange(len(data)) - start
-    key = data.copy()
-    for k in range(1, ORDER):
-        back = np.zeros_like(data)
-        back[k:] = data[:-k]
-        key |= np.where(place >= k, back, 0) << (8 * k)
-    keep = place > 0
-    return np.repeat(np.arange(len(words)), sizes)[keep], key[keep]
+    del marked
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    for a in range(0, len(whole), block):
+        low, high = max(0, a - ORDER + 1), min(a + block, len(whole))
+        data = whole[low:high].astype(np.int64)
+        first, last = np.searchsorted(ends, low, "right"), np.searchsorted(begins, high, "left")
+        here = np.minimum(ends[first:last], high) - np.maximum(begins[first:last], low)
+        owner = np.repeat(np.arange(first, last), here)
+        place = np.arange(low, high) - begins[owner]
+        key = data.copy()
+        for k in range(1, ORDER):
+            back = np.zeros_like(data)
+            back[k:] = data[:-k]
+            key |= np.where(place >= k, back, 0) << (8 * k)
+        keep = place > 0
+        keep[: a - low] = False
+        yield owner[keep], place[keep] - 1, key[keep]
+
+
+def units(words: list[bytes]) -> np.ndarray:
+    """How many words each counts as: 1, or one for every UNIT bytes of a long one."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    return np.where(sizes > LONG, -(-sizes // UNIT), 1)
+
+
+def _plain(word: bytes) -> bytes:
+    return word.strip(_EDGES) or word
 
 
 class Model:
@@ -82,20 +109,30 @@ class Model:
         self.contexts, self.left = contexts, np.log(leave[0] / leave[1])
 
     def ratios(self, words: list[bytes]) -> np.ndarray:
+        """Of each unit of the words, in order; every byte keeps its context from the whole word."""
         if not words:
             return np.zeros(0)
-        owner, key = events(words)
-        value = np.zeros(len(key))
-        distinct, back = np.unique(key, return_inverse=True)
-        got = np.zeros(len(distinct))
-        at = np.minimum(np.searchsorted(self.contexts, distinct >> 8), len(self.contexts) - 1)
-        hit = self.contexts[at] == distinct >> 8
-        got[hit] = self.left[at[hit]]
-        at = np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1)
-        hit = self.keys[at] == distinct
-        got[hit] = self.seen[at[hit]]
-        value = got[back]
-        return np.bincount(owner, value, len(words))
+        counts = units(words)
+        ends = np.cumsum(counts)
+        begins = ends - counts
+        out = np.zeros(ends[-1])
+        for owner, place, key in events(words):
+            if not len(owner):
+                continue
+            distinct, back = np.unique(key, return_inverse=True)
+            got = np.zeros(len(distinct))
+            at = np.minimum(np.searchsorted(self.contexts, distinct >> 8), len(self.contexts) - 1)
+            hit = self.contexts[at] == distinct >> 8
+            got[hit] = self.left[at[hit]]
+            at = np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1)
+            hit = self.keys[at] == distinct
+            got[hit] = self.seen[at[hit]]
+            unit = begins[owner]
+            if counts.max() > 1:
+                unit = np.minimum(unit + place // UNIT, ends[owner] - 1)
+            part = np.bincount(unit - unit[0], got[back])
+            out[unit[0] : unit[0] + len(part)] += part
+        return out
 
 
 def _shared_backoff(keys: np.ndarray) -> np.ndarray:
@@ -131,24 +168,37 @@ class Scorer:
         self.models, self.cache = models, {}
 
     def texts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ratios of all words by model, offsets of each text's words)."""
+        """(ratios of all words by model, offsets of each text's words), a long word as its units."""
         raw, words, ends = data.tobytes().lower(), [], [0]
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
             words += raw[a:b].split()
             ends.append(len(words))
-        cache = self.cache
+        cache, long = self.cache, []
         got = list(map(cache.get, words))
         if None in got:
             fresh = list({w for w, v in zip(words, got, strict=True) if v is None})
-            plain = [w.strip(_EDGES)[:64] or w[:64] for w in fresh]
-            values = np.stack([m.ratios(plain) for m in self.models], axis=1)
+            long = [w for w in fresh if len(w) > LONG]
+            fresh = [w for w in fresh if len(w) <= LONG]
+            values = np.stack([m.ratios([_plain(w) for w in fresh]) for m in self.models], axis=1)
             if len(cache) + len(fresh) > CACHE_ENTRIES:
                 cache.clear()
             ids = values.tolist() if len(self.models) > 1 else values[:, 0].tolist()
             new = dict(zip(fresh, ids, strict=True))
             cache.update(new)
-            got = [new[w] if v is None and w in new else (cache[w] if v is None else v) for w, v in zip(words, got, strict=True)]
-        return np.array(got, float).reshape(len(words), len(self.models)), np.array(ends)
+            new.update(dict.fromkeys(long, [0.0] * len(self.models) if len(self.models) > 1 else 0.0))
+            got = [new[w] if v is None else v for w, v in zip(words, got, strict=True)]
+        out, ends = np.array(got, float).reshape(len(words), len(self.models)), np.array(ends)
+        if not long:
+            return out, ends
+        plain = [_plain(w) for w in long]
+        own = dict(zip(long, np.split(np.stack([m.ratios(plain) for m in self.models], axis=1), np.cumsum(units(plain))[:-1]), strict=True))
+        sizes = np.fromiter((len(own[w]) if w in own else 1 for w in words), np.int64, len(words))
+        starts = np.concatenate(([0], np.cumsum(sizes)))
+        out = np.repeat(out, sizes, axis=0)
+        for w, a, b in zip(words, starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            if w in own:
+                out[a:b] = own[w]
+        return out, starts[ends]
 
 
 def features(ratios: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -185,19 +235,26 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded by the two limits
 
 
+def _count_rows(words: list[bytes], times: np.ndarray, toxic: int, fold: int) -> Iterator[pa.RecordBatch]:
+    for owner, _, key in events(words):
+        keys, of = np.unique(key, return_inverse=True)
+        n = np.bincount(of, times[owner], len(keys)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), toxic, np.int32)), pa.array(np.full(len(keys), fold, np.int32)), pa.array(n)], names=["key", "toxic", "fold", "n"])
+
+
 def _event_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences of each byte event by class and fold, summed up within a task."""
+    """Occurrences of each byte event by class and fold; short words are summed up within a task."""
     counts: dict[tuple[int, int], Counter] = {}
     for rows, data, offsets in pieces(batches, "text"):
-        raw = data.tobytes().lower()
+        raw, long = data.tobytes().lower(), {}
         for a, b, t, fold in zip(offsets[:-1].tolist(), offsets[1:].tolist(), rows.column("toxic").to_pylist(), rows.column("fold").to_pylist(), strict=True):
-            counts.setdefault((int(t == 1), fold), Counter()).update(w.strip(_EDGES)[:64] or w[:64] for w in raw[a:b].split())
+            words = raw[a:b].split()
+            counts.setdefault((int(t == 1), fold), Counter()).update(_plain(w) for w in words if len(w) <= LONG)
+            long.setdefault((int(t == 1), fold), []).extend(_plain(w) for w in words if len(w) > LONG)
+        for (toxic, fold), words in long.items():
+            yield from _count_rows(words, np.ones(len(words)), toxic, fold)
     for (toxic, fold), words in counts.items():
-        if words:
-            owner, key = events(list(words))
-            keys, of = np.unique(key, return_inverse=True)
-            n = np.bincount(of, np.fromiter(words.values(), float, len(words))[owner], len(keys)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), toxic, np.int32)), pa.array(np.full(len(keys), fold, np.int32)), pa.array(n)], names=["key", "toxic", "fold", "n"])
+        yield from _count_rows(list(words), np.fromiter(words.values(), float, len(words)), toxic, fold)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, tuple] | None:
