@@ -5,7 +5,8 @@ last is padded. A keyed Feistel permutation with cycle-walking gives sequence k
 bijection on 0 .. N-1 that needs no table and no shuffle of its own, so any slot can be computed,
 checked and resumed alone. Slots are cut into shards of a fixed number of rows; rows are
 range-partitioned by shard and sorted by slot, and every row has the same stride in bytes, so slot s
-is at byte (s mod rows) * stride of shard s div rows.
+is at byte (s mod rows) * stride of shard s div rows. The query writes the shards to a new folder
+in the shared one and returns (shard, rows, sha256, path) of each once its file has been read back.
 
 Offsets in the stream need no shuffle: each task counts within its part as it tokenises, the written
 parts' totals (one number for each task) are summed on the driver, and the sums are added to the
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, table
+from .common import discard, materialize, shared_dir, small_batches, table
 
 SEQUENCE = 1024
 SHARD_ROWS = 4096
@@ -196,6 +197,27 @@ def write_shards(rows: DataFrame, folder: str) -> DataFrame:
     return rows.select("shard", "ids").mapInArrow(run, "shard long, rows long, sha256 string, path string")
 
 
+def checked_shards(written: DataFrame, folder: str, length: int = SEQUENCE) -> DataFrame:
+    """write_shards()'s rows, each shard's file read back: fails where size or hash is another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), os.path.abspath(folder))
+        for batch in batches:
+            for shard, rows, sha256 in zip(*(batch.column(c).to_pylist() for c in ("shard", "rows", "sha256")), strict=True):
+                digest, size = hashlib.sha256(), 0
+                with system.open_input_stream(f"{root}/shard-{shard:08d}.bin") as f:
+                    while block := f.read(1 << 20):
+                        digest.update(block)
+                        size += len(block)
+                if size != 2 * length * rows or digest.hexdigest() != sha256:
+                    raise ValueError(f"shard {shard} in {folder} isn't what was written")
+            yield batch
+
+    return written.mapInArrow(run, written.schema)
+
+
 def read_slots(folder: str, first: int, count: int, length: int = SEQUENCE, shard_rows: int = SHARD_ROWS) -> np.ndarray:
     """Rows first .. first + count - 1 of the training order, by seeking: what a resumed run reads."""
     from pyarrow import fs
@@ -220,4 +242,7 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = load_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
     docs = table(spark, sf_dir, "documents").select("text")
     tokens = materialize(tokenise(docs, ranks, P.PATTERN, end=50256), "tokens")
-    return training_rows(tokens, pad=50256)
+    folder = f"{shared_dir(spark)}/lodestone/{uuid.uuid4().hex}/shards"
+    written = materialize(write_shards(training_rows(tokens, pad=50256), folder), "manifest")
+    discard(tokens)
+    return checked_shards(written, folder)

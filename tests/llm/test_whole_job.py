@@ -1,5 +1,6 @@
 """Whole inputs, not prefixes or bounded parts of them: cases in which a cut would show."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -34,3 +35,25 @@ def test_toxicity_reads_words_whole(spark):
     same = "-".join(["river"] * 40)
     ends = spark.createDataFrame([(1, same), (2, same + "-zugkwox"), (3, same + "-zugkwox" * 2)], "doc_id long, text string")
     assert len({r["score"] for r in tx.score_texts(ends, model).collect()}) == 3
+
+
+def test_token_shards_query_writes_files(spark):
+    import pytest
+
+    from lodestone.llm.token_shards import SEQUENCE, SHARD_ROWS, checked_shards, op10_token_shards, read_slots
+
+    found = op10_token_shards(spark, SF).orderBy("shard").collect()
+    assert [r["shard"] for r in found] == list(range(len(found))) and found
+    for r in found:
+        with open(r["path"], "rb") as f:
+            raw = f.read()
+        assert (len(raw), hashlib.sha256(raw).hexdigest()) == (2 * SEQUENCE * r["rows"], r["sha256"])
+    folder = found[0]["path"].rsplit("/", 1)[0]
+    n = sum(r["rows"] for r in found)
+    slots = read_slots(folder, 0, n)
+    assert n <= len(found) * SHARD_ROWS and slots.shape == (n, SEQUENCE)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert (slots == 50256).sum() - docs in range(SEQUENCE)  # an end mark a document, and padding
+    bad = spark.createDataFrame([(r["shard"], r["rows"], "0" * 64, r["path"]) for r in found], "shard long, rows long, sha256 string, path string")
+    with pytest.raises(Exception, match="isn't what was written"):
+        checked_shards(bad, folder).collect()
