@@ -57,3 +57,12 @@ def test_token_shards_query_writes_files(spark):
     bad = spark.createDataFrame([(r["shard"], r["rows"], "0" * 64, r["path"]) for r in found], "shard long, rows long, sha256 string, path string")
     with pytest.raises(Exception, match="isn't what was written"):
         checked_shards(bad, folder).collect()
+
+
+def test_rules_grow_at_every_threshold():
+    from lodestone.llm import quality_rules as q
+
+    x = {"a": np.random.default_rng(5).permutation(20_000) / 20_000}
+    for low in (x["a"] >= 0.99875, x["a"] < 0.00155, x["a"] >= 0.3333):
+        rule = q._grow(x, low, 4)
+        assert len(rule) == 1 and (q._covers(rule, x) == low).all()
