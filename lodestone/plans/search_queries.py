@@ -189,14 +189,21 @@ EMBEDDING_SQL = "SELECT label, count(*) AS n, min(len(embedding)) AS least, max(
 def retrieval_eval(spark, sf_dir):
     """Each benchmark item's first 60 characters as a query; hits are documents that contain them, by doc_id.
 
-    Candidates come from an equi-join on the query's first three tokens with each document's
-    token triples, so no item meets every document.
+    Candidates come from an equi-join on three of the query's inner tokens with each document's token
+    triples, or on one with its tokens where fewer are inner; the first and the last token may be parts
+    of longer ones. Only queries without an inner token meet every document.
     """
     b = read(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 60).alias("q"))
-    b = b.withColumn("t", tx.tokens(F.col("q"))).select("item_id", "q", F.concat_ws(" ", F.get("t", F.lit(1)), F.get("t", F.lit(2)), F.get("t", F.lit(3))).alias("three"))
+    b = b.withColumn("t", tx.tokens(F.col("q"))).withColumn("inner", F.size("t") - 2)
+    key = F.when(F.col("inner") >= 3, F.concat_ws(" ", F.get("t", F.lit(1)), F.get("t", F.lit(2)), F.get("t", F.lit(3)))).when(F.col("inner") >= 1, F.get("t", F.lit(1)))
+    b = b.select("item_id", "q", "inner", key.alias("key"))
     d = read(spark, sf_dir, "documents").select("doc_id", "text", tx.tokens(F.col("text")).alias("t"))
     threes = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("t") - 3), lambda i: F.concat_ws(" ", F.get("t", i), F.get("t", i + 1), F.get("t", i + 2))))
-    near = d.where(F.size("t") >= 3).select("doc_id", F.explode(threes).alias("three")).join(F.broadcast(b.select("item_id", "three")), "three").select("doc_id", "item_id").distinct()  # the benchmark is a fixed, small set
+    # the benchmark is a fixed, small set
+    near = d.where(F.size("t") >= 3).select("doc_id", F.explode(threes).alias("key")).join(F.broadcast(b.where("inner >= 3").select("item_id", "key")), "key")
+    few = d.select("doc_id", F.explode(F.array_distinct("t")).alias("key")).join(F.broadcast(b.where("inner IN (1, 2)").select("item_id", "key")), "key")
+    none = d.select("doc_id", "text").join(F.broadcast(b.where("inner < 1").select("item_id", "q")), F.col("text").contains(F.col("q")))
+    near = near.select("doc_id", "item_id").unionByName(few.select("doc_id", "item_id")).unionByName(none.select("doc_id", "item_id")).distinct()
     hits = near.join(d.select("doc_id", "text"), "doc_id").join(b.select("item_id", "q"), "item_id").where(F.col("text").contains(F.col("q")))
     ranked = hits.select("item_id", F.row_number().over(Window.partitionBy("item_id").orderBy("doc_id")).alias("r"), (F.col("doc_id") % 7 != 0).alias("relevant"))
     first = ranked.groupBy("item_id").agg(F.min(F.when(F.col("relevant"), F.col("r"))).alias("first_rank"), F.count(F.lit(1)).alias("n_results"))
