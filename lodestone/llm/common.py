@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -24,11 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and every executor share.
 
-    It is the session's spark.checkpoint.dir. Only where that is unset (tests on one machine) a
-    temporary folder is made and kept in the session.
+    It is the session's spark.checkpoint.dir. Only where that is unset and all runs on one machine
+    (a local master, in tests) a temporary folder is made and kept in the session.
     """
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("lodestone.shared.dir", None)
     if not place:
+        master = spark.conf.get("spark.master", "")
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines share; the master is {master}")
         place = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("lodestone.shared.dir", place)
     return place.rstrip("/")
@@ -55,8 +60,12 @@ def discard(*tables: DataFrame | None) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Keeps Arrow batches small: texts may be long, and a batch is held whole on both sides."""
+    """Keeps Arrow batches small: texts may be long, and a batch is held whole on both sides.
+
+    Plans are run after this returns, so the session keeps these two settings.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,14 +97,13 @@ def pieces(batches: Iterator[pa.RecordBatch], name: str, limit: int = 4 << 20) -
 
 # --- hashing -------------------------------------------------------------------------------------
 
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.int64).astype(_U) * _U(2) + _U(1)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_ODD = 0x9E3779B97F4A7C15
+#: Spans of more bytes are hashed by blake2b, one by one.
+LONG_SPAN = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser (SplitMix64's)."""
+    """A 64-bit finaliser (SplitMix64's): a bijection in which every bit depends on every bit."""
     x = x ^ (x >> _U(30))
     x = x * _U(0xBF58476D1CE4E5B9)
     x ^= x >> _U(27)
@@ -104,28 +112,60 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, (n + 1).bit_length())
-    if size not in _POWERS:
-        up, down = np.full(size, _BASE, _U), np.full(size, _INVERSE, _U)
-        up[0] = down[0] = 1
-        _POWERS.clear()
-        _POWERS[size] = np.cumprod(up, dtype=_U), np.cumprod(down, dtype=_U)
-    return _POWERS[size]
+def eights(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as one number, zeros behind the end."""
+    held = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray((len(data) + 1,), "<u8", held, strides=(1,))
 
 
-def prefix_hashes(data: np.ndarray) -> np.ndarray:
-    """P with P[0] = 0: the bytes' table values times powers of an odd base, summed modulo 2**64."""
-    up, _ = _powers(len(data))
-    out = np.zeros(len(data) + 1, _U)
-    np.cumsum(_BYTE[data] * up[: len(data)], dtype=_U, out=out[1:])
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:end], equal for equal bytes wherever they stand.
+
+    Eight bytes at a time go through mix(), which is not linear in them: unlike sums of powers
+    modulo 2**64 there is no family of texts that is known to collide.
+    """
+    size = (end - start).astype(np.int64)
+    out = mix(size.astype(_U) * _U(_ODD) + _U(1))
+    eight, at = eights(data), 0
+    live = np.flatnonzero((size > 0) & (size <= LONG_SPAN))
+    while len(live):
+        left = size[live] - at
+        part = eight[start[live] + at]
+        part &= ~_U(0) >> (_U(64) - _U(8) * np.minimum(left, 8).astype(_U))
+        out[live] = mix(out[live] ^ part)
+        live, at = live[left > 8], at + 8
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
     return out
 
 
-def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of data[start:end], equal for equal bytes wherever they stand."""
-    _, down = _powers(len(prefix))
-    return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(_U))
+class Windows:
+    """Hashes of spans of at least 32 bytes of one byte string, from its 32-byte windows; not linear either."""
+
+    STEP = 32
+
+    def __init__(self, data: np.ndarray, seed: int = 0) -> None:
+        level, width = mix(eights(data)[: max(0, len(data) - 7)] ^ mix(np.full(1, seed + 1, _U))), 8
+        while width < self.STEP:
+            level = mix(level[:-width] * _U(_ODD) + level[width:]) if len(level) > width else level[:0]
+            width *= 2
+        self.n, self.level = len(data), level
+
+    def everywhere(self, width: int) -> np.ndarray:
+        """Of the window of `width` bytes (32 to 64) at each place."""
+        m = max(0, self.n - width + 1)
+        return mix(self.level[:m] * _U(_ODD) + self.level[width - self.STEP : width - self.STEP + m])
+
+    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Of data[start:end]."""
+        out = mix((end - start).astype(_U))
+        live, at = np.arange(len(start)), 0
+        while len(live):
+            here = np.minimum(start[live] + at, end[live] - self.STEP)
+            out[live] = mix(out[live] * _U(_ODD) + self.level[here])
+            at += self.STEP
+            live = live[end[live] - start[live] > at]
+        return out
 
 
 _SPACE = np.zeros(256, bool)
@@ -163,21 +203,21 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, n: int, weigh=None) ->
     start, end, row = words_of(data, offsets)
     if not len(start):
         return (np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, np.int64))[: 2 if weigh is None else 3]
-    word = span_hashes(prefix_hashes(data), start, end)
+    word = span_hashes(data, start, end)
     counts = np.bincount(row, minlength=len(offsets) - 1)
     begin = np.concatenate(([0], np.cumsum(counts)))
     place = np.arange(len(word)) - begin[row]
     full = np.flatnonzero(place + n <= counts[row])
     acc = np.full(len(full), n, _U)
     for k in range(n):
-        acc = mix(acc * _U(_BASE) + word[full + k])
+        acc = mix(acc * _U(_ODD) + word[full + k])
     weight = weigh(word) if weigh else np.zeros(len(word), np.int64)
     total = np.concatenate(([0], np.cumsum(weight)))
     rows, hashes, sums = [row[full]], [acc], [total[full + n] - total[full]]
     for r in np.flatnonzero((counts > 0) & (counts < n)):
         one = np.full(1, counts[r], _U)
         for k in range(counts[r]):
-            one = mix(one * _U(_BASE) + word[begin[r] + k : begin[r] + k + 1])
+            one = mix(one * _U(_ODD) + word[begin[r] + k : begin[r] + k + 1])
         rows.append(np.full(1, r))
         hashes.append(one)
         sums.append(total[begin[r] + counts[r]] - total[begin[r] : begin[r] + 1])
@@ -193,27 +233,3 @@ def lists(values: np.ndarray, rows: np.ndarray, n: int, kind: pa.DataType) -> pa
     """A list column: values grouped by ascending rows."""
     ends = np.searchsorted(rows, np.arange(n + 1))
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values, kind))
-
-
-# --- distributed running sums -------------------------------------------------------------------
-
-def running_totals(df: DataFrame, group: list[str], value: str, order: list[str], buckets: int = 1024) -> DataFrame:
-    """Adds `before`: the sum of `value` over the rows that precede in `order`, within `group`.
-
-    Two levels, so that no task holds a whole group: rows are dealt into `buckets` by the first
-    order column's hash, per-bucket totals (groups x buckets rows) are summed over a window, and a
-    second window runs inside one bucket only. The order is (bucket, *order).
-    """
-    from pyspark.sql import Window
-
-    df = df.withColumn("_bucket", F.pmod(F.xxhash64(F.col(order[0])), F.lit(buckets)))
-    totals = df.groupBy(*group, "_bucket").agg(F.sum(value).alias("_total"))
-    wide = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    totals = totals.withColumn("_base", F.sum("_total").over(wide.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)))
-    totals = totals.select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("_bucket").alias("_b"), F.coalesce("_base", F.lit(0)).alias("_base"))
-    on = F.col("_bucket") == F.col("_b")
-    for g in group:
-        on = on & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
-    near = Window.partitionBy(*group, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    inside = df.withColumn("_inside", F.coalesce(F.sum(value).over(near), F.lit(0)))
-    return inside.join(totals, on).withColumn("before", F.col("_base") + F.col("_inside")).drop("_bucket", "_b", "_base", "_inside", *[f"_g_{g}" for g in group])

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _SPACE, mix, pieces, prefix_hashes, small_batches, span_hashes, table, words_of
+from .common import _SPACE, mix, pieces, small_batches, span_hashes, table, words_of
 
 FIT_ROWS = 20_000
 MIN_WORDS = 50
@@ -73,8 +73,7 @@ def text_counts(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         return total[offsets[1:]] - total[offsets[:-1]]
 
     start, end, row = words_of(data, offsets)
-    prefix = prefix_hashes(data)
-    word = span_hashes(prefix, start, end)
+    word = span_hashes(data, start, end)
     n_words = np.bincount(row, minlength=n)
     repeated = np.zeros(n, np.int64)
     if len(row) >= 3:
@@ -95,7 +94,7 @@ def text_counts(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     line_end = line_end - ((line_end > line_start) & (data[line_end - 1] == 10)) if len(line_start) else line_end
     solid = np.concatenate(([0], np.cumsum(~_SPACE[data])))
     full = solid[line_end] > solid[line_start] if len(line_start) else np.zeros(0, bool)
-    lr, lh = line_row[full], span_hashes(prefix, line_start[full], line_end[full])
+    lr, lh = line_row[full], span_hashes(data, line_start[full], line_end[full])
     _, dup = _repeats(lr, lh) if len(lr) else (None, np.zeros(0, bool))
     head = (data & 0xC0) != 0x80
     return [
@@ -110,7 +109,7 @@ def with_counts(df: DataFrame, text: str = "text") -> DataFrame:
     fields = [f for f in df.schema.fields if f.name not in COUNTS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in pieces(batches, text):
+        for rows, data, offsets in pieces(batches, text, 1 << 20):
             counts = [pa.array(c.astype(np.int64)) for c in text_counts(data, offsets)]
             yield pa.RecordBatch.from_arrays([rows.column(f.name) for f in fields] + counts, names=[f.name for f in fields] + COUNTS)
 

@@ -14,10 +14,13 @@ Suffixes are told apart only through their first `width` bytes, most significant
   compared through its full `width`: that is at the ends of repeated passages.
 
 Equal groups after the last digit are exactly the strings of `width` bytes that start more than
-once. Digits are compared by 64-bit hashes; texts are identified by their 128-bit MD5.
+once. Digits are compared by 64-bit hashes that no known family of texts makes collide; what is cut has agreed
+in two of them (digits 1 and 2, or both hashes of a single window). Texts are identified by their
+128-bit MD5.
 
-Every group is counted by a pre-aggregated groupBy and joined back, so a passage that a third of
-all texts share meets in no single task; exact copies of a text are one text throughout.
+Every group is counted by a pre-aggregated groupBy, the counts are written, and the suffixes are joined
+to them: both sides of that join are plain shuffles, so Spark splits the task of a passage that a third
+of all texts share. Exact copies of a text are one text throughout. Long texts are read in segments.
 
 Rows: null text counts as empty. A repeated row is a copy like any other, so all its windows
 repeat. Texts below `width` bytes lose nothing but still count as rows. Null or repeated doc_ids
@@ -35,13 +38,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, materialize, mix, pieces, prefix_hashes, small_batches, span_hashes, table, text_buffers
+from .common import Windows, discard, materialize, mix, pieces, small_batches, table
 
 DIGIT = 40
 #: Windows of a block in the second pair of digits.
 BLOCK = 16
-#: Longer texts are read in overlapping segments of this many bytes.
-SEGMENT = 4 << 20
+#: Bytes of text that are hashed at a time; longer texts are read in overlapping segments of this size.
+SEGMENT = 512 << 10
 _U = np.uint64
 
 _ANCHORS = T.StructType([
@@ -90,9 +93,8 @@ def _anchors(width: int):
                         seen.add(key)
             if not use.any():
                 continue
-            prefix = prefix_hashes(data)
-            at = np.arange(len(data) - DIGIT + 1)
-            digits = span_hashes(prefix, at, at + DIGIT)
+            windows = Windows(data)
+            digits = windows.everywhere(DIGIT)
             chosen = _window_minima(digits, span)
             lengths = np.diff(offsets)
             room = np.repeat(offsets[1:], lengths)[: len(chosen)] - np.arange(len(chosen))
@@ -106,7 +108,7 @@ def _anchors(width: int):
             last = np.append(first[1:], len(start)) - 1
             anchor, low, high = chosen[first], start[first], start[last]
             before, after = anchor - low, anchor - high
-            stretch = span_hashes(prefix, low, high + width) * _U(31) + before.astype(_U)
+            stretch = windows.spans(low, high + width) * _U(31) + before.astype(_U)
             row = np.searchsorted(offsets, low, "right") - 1
             yield pa.RecordBatch.from_arrays([
                 pa.array(digits[anchor].view(np.int64)), pa.array(stretch.view(np.int64)), rows.column("key").take(pa.array(row)),
@@ -121,15 +123,7 @@ def _arrow(schema: T.StructType) -> pa.Schema:
     return pa.schema([(f.name, kinds[type(f.dataType)]) for f in schema.fields])
 
 
-_WINDOWS = T.StructType([T.StructField("window", T.LongType()), T.StructField("place", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("at", T.LongType())])
-
-
-def _todo(rows: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """(row, at, before, after) of every suffix to go on with, 20,000 at a time."""
-    todo = rows.column("todo")
-    ends = np.asarray(todo.offsets)
-    flat = todo.flatten()
-    return np.repeat(np.arange(rows.num_rows), np.diff(ends)), *(np.asarray(flat.field(c)).astype(np.int64) for c in ("at", "before", "after"))
+_WINDOWS = T.StructType([T.StructField("window", T.LongType()), T.StructField("other", T.LongType()), T.StructField("place", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("at", T.LongType())])
 
 
 def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,18 +132,36 @@ def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
+def _todo(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple]:
+    """(rows, bytes, row, place in the bytes, place in the text, before, after) of the suffixes to go on with.
+
+    At most SEGMENT bytes of text at a time, with what the suffixes' windows reach on either side.
+    """
+    for rows, data, offsets in pieces(batches, "text", SEGMENT):
+        todo = rows.column("todo")
+        flat = todo.flatten()
+        row = np.repeat(np.arange(rows.num_rows), np.diff(np.asarray(todo.offsets)))
+        at, before, after = (np.asarray(flat.field(c)).astype(np.int64) for c in ("at", "before", "after"))
+        here = at + offsets[row]
+        step = SEGMENT if rows.num_rows == 1 else max(len(data), 1)
+        for low in range(0, len(data), step):
+            use = np.flatnonzero((here >= low) & (here < low + step))
+            if len(use):
+                start = max(0, low - width)
+                yield rows, data[start : low + step + 2 * width], row[use], here[use] - start, at[use], before[use], after[use]
+
+
 def _blocks(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in pieces(batches, "text", SEGMENT):
-            prefix = prefix_hashes(data)
-            row, at, before, after = _todo(rows)
+        for rows, data, row, here, at, before, after in _todo(batches, width):
+            windows = Windows(data)
             for cut in range(0, len(row), 50_000):
-                r, a, b, f = (x[cut : cut + 50_000] for x in (row, at, before, after))
+                r, h, a, b, f = (x[cut : cut + 50_000] for x in (row, here, at, before, after))
                 own, k = _spread(b // BLOCK - f // BLOCK + 1)
-                block, base = f[own] // BLOCK + k, a[own] + offsets[r[own]]
+                block, base = f[own] // BLOCK + k, h[own]
                 low, high = np.maximum(f[own], block * BLOCK), np.minimum(b[own], block * BLOCK + BLOCK - 1)
-                shared = span_hashes(prefix, base - block * BLOCK, base - block * BLOCK - BLOCK + 1 + width)
-                stretch = span_hashes(prefix, base - high, base - low + width) * _U(31) + high.astype(_U)
+                shared = windows.spans(base - block * BLOCK, base - block * BLOCK - BLOCK + 1 + width)
+                stretch = windows.spans(base - high, base - low + width) * _U(31) + high.astype(_U)
                 yield pa.RecordBatch.from_arrays([
                     pa.array((shared * _U(31) + block.astype(_U)).view(np.int64)), pa.array(stretch.view(np.int64)), rows.column("key").take(pa.array(r[own])),
                     pa.array(a[own]), pa.array(high.astype(np.int32)), pa.array(low.astype(np.int32)),
@@ -160,17 +172,16 @@ def _blocks(width: int):
 
 def _windows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in pieces(batches, "text", SEGMENT):
-            prefix = prefix_hashes(data)
-            row, at, before, after = _todo(rows)
+        for rows, data, row, here, at, before, after in _todo(batches, width):
+            one, two = Windows(data), Windows(data, seed=1)
             names = np.array([int.from_bytes(k[:8], "little") for k in rows.column("key").to_pylist()], _U)
             for cut in range(0, len(row), 20_000):
-                r, a, b, f = (x[cut : cut + 20_000] for x in (row, at, before, after))
+                r, h, a, b, f = (x[cut : cut + 20_000] for x in (row, here, at, before, after))
                 own, k = _spread(b - f + 1)
-                start = a[own] - b[own] + k
-                here = start + offsets[r[own]]
+                start, low = a[own] - b[own] + k, h[own] - b[own] + k
                 place = mix(names[r[own]] ^ mix(start.astype(_U)))
-                yield pa.RecordBatch.from_arrays([pa.array(span_hashes(prefix, here, here + width).view(np.int64)), pa.array(place.view(np.int64)), rows.column("key").take(pa.array(r[own])), pa.array(start)], schema=_arrow(_WINDOWS))
+                hashes = [pa.array(w.spans(low, low + width).view(np.int64)) for w in (one, two)]
+                yield pa.RecordBatch.from_arrays([*hashes, pa.array(place.view(np.int64)), rows.column("key").take(pa.array(r[own])), pa.array(start)], schema=_arrow(_WINDOWS))
 
     return run
 
@@ -178,34 +189,38 @@ def _windows(width: int):
 def _refine(suffixes: DataFrame, width: int, tag: str) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """(key, low, high) of what repeats as a whole, and by key the suffixes to go on with.
 
-    suffixes: _ANCHORS, perhaps with copies of rows. Groups of one digit drop out unless another suffix shares it.
+    suffixes: a written table of _ANCHORS, perhaps with copies of rows; it is discarded. Groups of one digit drop out unless another suffix shares it.
     """
-    again = suffixes.groupBy("digit").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digit")
-    kept = materialize(suffixes.join(again, "digit").distinct(), tag)
+    again = materialize(suffixes.groupBy("digit").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digit"), tag + "-digits")
+    kept = materialize(suffixes.join(again, "digit").dropDuplicates(["key", "at", "before", "after"]), tag)
+    discard(suffixes, again)
     one = F.min(F.struct("key", "at", "before", "after")).alias("one")
     groups = materialize(kept.groupBy("digit", "stretch").agg(F.count(F.lit(1)).alias("n"), one), tag + "-groups")
     whole = kept.join(groups.where("n > 1").select("digit", "stretch"), ["digit", "stretch"])
     whole = whole.select("key", (F.col("at") - F.col("before")).alias("low"), (F.col("at") - F.col("after") + width).alias("high"))
-    mixed = groups.groupBy("digit").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digit")
+    mixed = materialize(groups.groupBy("digit").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digit"), tag + "-mixed")
     todo = groups.join(mixed, "digit").select("one.*").distinct()
-    return whole, todo.groupBy("key").agg(F.collect_list(F.struct("at", "before", "after")).alias("todo")), [kept, groups]
+    todo = materialize(todo.groupBy("key").agg(F.collect_list(F.struct("at", "before", "after")).alias("todo")), tag + "-todo")
+    discard(mixed)
+    return whole, todo, [kept, groups, todo]
 
 
 def repeated_spans(texts: DataFrame, width: int = 200) -> tuple[DataFrame, list[DataFrame]]:
     """(key, spans) of texts with repeated strings, and the tables to discard afterwards.
 
-    texts: key (binary, one for each text) and text. spans: array of (low, high), each a stretch of
+    width: at least DIGIT + BLOCK. texts: key (binary, one for each text) and text. spans: array of (low, high), each a stretch of
     repeated bytes; they may overlap and are in no order.
     """
     texts = texts.where(F.octet_length("text") >= width)
-    first, todo, used = _refine(texts.select("key", "text").mapInArrow(_anchors(width), _ANCHORS), width, "suffixes")
+    first, todo, used = _refine(materialize(texts.select("key", "text").mapInArrow(_anchors(width), _ANCHORS), "all"), width, "suffixes")
     blocks = materialize(texts.join(todo, "key").select("key", "text", "todo").mapInArrow(_blocks(width), _ANCHORS), "split")
     second, todo, more = _refine(blocks, width, "blocks")
     windows = materialize(texts.join(todo, "key").select("key", "text", "todo").mapInArrow(_windows(width), _WINDOWS), "windows")
-    twice = windows.groupBy("window").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("window")
-    single = windows.join(twice, "window").select("key", F.col("at").alias("low"), (F.col("at") + width).alias("high"))
+    twice = windows.groupBy("window", "other").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("window", "other")
+    twice = materialize(twice, "twice")
+    single = windows.join(twice, ["window", "other"]).select("key", F.col("at").alias("low"), (F.col("at") + width).alias("high"))
     spans = first.unionByName(second).unionByName(single).distinct().groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-    return spans, [*used, blocks, *more, windows]
+    return spans, [*used, *more, windows, twice]
 
 
 def _covered(spans, size: int) -> list[tuple[int, int]]:
