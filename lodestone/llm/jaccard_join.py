@@ -4,26 +4,37 @@
    (found by a 128-bit digest of the set), so exact copies cost one node however many there are.
 2. One global order sorts shingles rare first. A shingle's rarity is estimated from its words': word
    occurrences are counted over all texts in a fixed number of hash cells (a one-row count sketch
-   of bounded size), and the logarithms of its words' counts are added up. Any fixed order keeps the
-   filter exact; a good one makes it fast.
-3. Two sets that reach the threshold share a shingle among their first n - ceil(t n) + 1: only these
-   prefixes are shuffled. Pairs that share a prefix shingle pass the length filter, the
-   positional filter (what can still match after the shared place) and the suffix filter, and are
-   verified once. The suffix filter bounds the Hamming distance of two sets from below: first by
-   parity bitmaps (two sets differ in at least as many shingles as their bitmaps in bits; a bitmap
-   has BITS bits or half as many as its set has shingles, rounded up to a power of two, and the
-   longer of two is folded), then, beside the texts, by splitting both sets at one shingle.
-4. No group is expanded into all its pairs. In each round every prefix group pairs one pivot with
-   its other members; the pivot is then done with and leaves the group. Members already connected
-   need no pair, and a group whose members are all connected is dropped. What is left after
-   `ROUNDS` rounds - small groups of unlike texts, mostly - is finished by an equi-join on the
-   prefix shingle of members that are still in different components. So every pair that shares a
-   prefix shingle is either verified or known to be connected: no component is split.
+   of bounded size), and the logarithms of its words' counts are added up. Shingles that more
+   than HOT prefixes then have (a common line of rare words, say) go last, by their exact count, and
+   the sets that had them in their prefix get another one. Any fixed order keeps the filter exact; a
+   good one makes it fast.
+3. Two sets that reach the threshold share a shingle among their first n - ceil(t n) + 1, and it is
+   even among the first n - ceil(2 t n / (1 + t)) + 1 of the smaller set (its index prefix): only
+   prefixes are shuffled, and a group of one shingle in which no index prefix has it is dropped.
+4. No group is expanded into all its pairs: it pairs one pivot (the member whose rarest shingle is
+   the least rare, as in an original that its copies have changed: mostly one for all their groups) with its other members. These pairs pass the length filter,
+   the positional filter (what can still match after the shared place) and the suffix filter, and
+   are verified once; verified pairs are kept and left out later. The suffix filter bounds the Hamming
+   distance of two sets from below: first by parity bitmaps (two sets differ in at least as many
+   shingles as their bitmaps in bits; a bitmap has BITS bits or half as many as its set has
+   shingles, rounded up to a power of two, and the longer of two is folded), then, beside the
+   texts, by splitting both sets at one shingle.
+5. If the other members of a group aren't all connected by then and at most SMALL of them have its
+   shingle in their index prefix, these are paired with the members: linear in the group. In a larger
+   group all go to the next level, where sets are replaced by their differences from the pivot, D(x) = x xor p. Distances stay what they were, as
+   x xor y = D(x) xor D(y), but what the members of a group have in common is gone. Two sets of n and m
+   shingles at the threshold differ in at most h = (1 - t) / (1 + t) (n + m) shingles, so their
+   differences share at least (|D(x)| + |D(y)| - h) / 2; unless both are linked with the pivot this
+   is above 0, and the same prefix filter applies to the differences, in the order of exact counts: those shingles
+   first that few members of the cluster have. A group is then a shingle within a cluster (the pivots
+   so far); clusters lose their pivot at each level, so this ends. Every pair that reaches the
+   threshold is verified or known to be connected: no component is split.
 
 Rows: null text and texts without words have the empty set, link with nothing, and are their own
 component. component_id is the least doc_id of the component; null doc_ids take part but don't
 count for the minimum (a component of nulls only has null). Repeated rows come out as often as they
-came in. An empty table gives an empty table; other columns can be carried.
+came in. Texts of any length are read whole. An empty table gives an empty table; other columns can be
+carried.
 """
 
 from __future__ import annotations
@@ -33,19 +44,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, lists, lower_ascii, materialize, mix, pieces, prefix_hashes, shingle_hashes, small_batches, span_hashes, table, text_buffers, words_of
+from .common import discard, lists, lower_ascii, materialize, mix, pieces, shingle_hashes, small_batches, span_hashes, table, text_buffers, words_of
 from .components import components
 
 #: Cells of the word-count sketch: bounded, whatever the input (2**18 counts, 2 MB).
 CELL_BITS = 18
 #: Least bits of a set's parity bitmap.
 BITS = 1024
-#: Pivot rounds before the remaining groups are joined.
-ROUNDS = 4
+#: A group with at most so many index members pairs them with its members at once.
+SMALL = 32
+#: Shingles that more prefixes have are put last in the order.
+HOT = 32
+#: Bytes of text that are turned into sets at a time.
+PIECE = 1 << 20
 _U = np.uint64
+_ROUNDING = 1e-6
 
 
 def needed(n, percent: int):
@@ -60,9 +76,9 @@ def required(a, b, percent: int):
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << CELL_BITS, np.int64)
-    for _, data, offsets in pieces(batches, "text"):
+    for _, data, offsets in pieces(batches, "text", PIECE):
         start, end, _ = words_of(data, offsets)
-        words = span_hashes(prefix_hashes(lower_ascii(data)), start, end)
+        words = span_hashes(lower_ascii(data), start, end)
         counts += np.bincount((words >> _U(64 - CELL_BITS)).astype(np.int64), minlength=len(counts))
     used = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["cell", "c"])
@@ -76,19 +92,21 @@ def rarities(docs: DataFrame) -> np.ndarray:
     return np.rint(np.log2(counts + 1) * 64).astype(np.int64)
 
 
-_SETS = "rid long, doc_id long, key binary, node binary, n long, prefix array<long>, bits array<long>"
+_SETS = "rid long, doc_id long, key binary, node binary, n long, lead long, prefix array<long>, bits array<long>"
 
 
 def _prefixes(n: int, percent: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, rid = shared.value, TaskContext.get().partitionId() << 36
-        for rows, data, offsets in pieces(batches, "text"):
+        for rows, data, offsets in pieces(batches, "text", PIECE):
             row, hashes, rarity = shingle_hashes(lower_ascii(data), offsets, n, lambda w: cells[(w >> _U(64 - CELL_BITS)).astype(np.int64)])
             size = np.bincount(row, minlength=rows.num_rows)
             nodes = node_digests(row, hashes, size)
             order = np.lexsort((hashes, rarity, row))
             row, hashes = row[order], hashes[order]
             begin = np.concatenate(([0], np.cumsum(size)))
+            lead = np.zeros(rows.num_rows, np.int64)
+            lead[size > 0] = -rarity[order][begin[:-1][size > 0]]
             place = np.arange(len(row)) - begin[row]
             take = place < (size - needed(size, percent) + 1)[row]
             width = np.maximum(BITS, 1 << np.ceil(np.log2(np.maximum(size, 2) / 2)).astype(np.int64))
@@ -96,7 +114,7 @@ def _prefixes(n: int, percent: int, shared):
             odd = np.bincount(at[row] + (hashes & (width[row] - 1).astype(_U)).astype(np.int64), minlength=int(width.sum())) & 1
             bits = lists(np.packbits(odd.astype(np.uint8)).view("<i8"), np.repeat(np.arange(rows.num_rows), width // 64), rows.num_rows, pa.int64())
             prefix = lists(hashes[take].view(np.int64), row[take], rows.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(rid + np.arange(rows.num_rows)), rows.column("doc_id"), rows.column("key"), nodes, pa.array(size), prefix, bits], names=["rid", "doc_id", "key", "node", "n", "prefix", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(rid + np.arange(rows.num_rows)), rows.column("doc_id"), rows.column("key"), nodes, pa.array(size), pa.array(lead), prefix, bits], names=["rid", "doc_id", "key", "node", "n", "lead", "prefix", "bits"])
             rid += rows.num_rows
 
     return run
@@ -134,26 +152,124 @@ def overlap_at_least(a: np.ndarray, b: np.ndarray, need: int, depth: int = 2) ->
     return len(b) > 0 and int(np.count_nonzero(b[at] == a)) >= need
 
 
+def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cuts batches of two texts x and y a row so that each has at most PIECE bytes of both, or one row."""
+    for batch in batches:
+        ends = sum(text_buffers(batch.column(c))[1] for c in ("x", "y"))
+        at = 0
+        while at < batch.num_rows:
+            end = min(max(int(np.searchsorted(ends, ends[at] + PIECE, "right")) - 1, at + 1), batch.num_rows)
+            yield batch.slice(at, end - at)
+            at = end
+
+
+def _sets(column: pa.Array, n: int) -> list[np.ndarray]:
+    """The ascending shingles of each text."""
+    data, offsets = text_buffers(column)
+    row, hashes = shingle_hashes(lower_ascii(data), offsets, n)
+    return np.split(hashes, np.searchsorted(row, np.arange(1, len(column))))
+
+
+def _runs(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(where a value differs from the one before it, the number of each row's run): rows of one key mostly stand together."""
+    values = column.to_numpy(zero_copy_only=False)
+    fresh = np.ones(len(values), bool)
+    fresh[1:] = values[1:] != values[:-1]
+    return pa.array(fresh), np.cumsum(fresh) - 1
+
+
 def _verify(n: int, percent: int):
     """Keeps the pairs (u, v) whose texts x and y reach the threshold."""
 
-    def sets(column: pa.Array) -> list[np.ndarray]:
-        data, offsets = text_buffers(column)
-        row, hashes = shingle_hashes(lower_ascii(data), offsets, n)
-        return np.split(hashes, np.searchsorted(row, np.arange(1, len(column))))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, _, _ in pieces(batches, "y"):
-            u = rows.column("u").to_numpy()
-            fresh = np.ones(len(u), bool)  # rows of one u stand together
-            fresh[1:] = u[1:] != u[:-1]
-            left, right, of = sets(rows.column("x").filter(pa.array(fresh))), sets(rows.column("y")), np.cumsum(fresh) - 1
-            good = [overlap_at_least(left[of[i]], b, int(required(len(left[of[i]]), len(b), percent))) for i, b in enumerate(right)]
+        for rows in _beside(batches):
+            fresh, of = _runs(rows.column("u"))
+            left, right = _sets(rows.column("x").filter(fresh), n), _sets(rows.column("y"), n)
+            good = [overlap_at_least(left[k], b, int(required(len(left[k]), len(b), percent))) for k, b in zip(of.tolist(), right, strict=True)]
             yield pa.RecordBatch.from_arrays([rows.column("u"), rows.column("v")], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
 
+def difference(x: np.ndarray, p: np.ndarray, percent: int) -> tuple[np.ndarray, int, int]:
+    """(what only one of x and the pivot p has, length of its prefix, length of its index prefix)."""
+    d = np.setxor1d(x, p, assume_unique=True)
+    a, b, size, t = len(x), len(p), len(d), percent / 100
+    least, shared = 1, (a + b - size) // 2
+    if 100 * shared >= percent * (a + b - shared):  # linked with p: partners to look for aren't
+        least = max(1, int(np.floor((size + (1 - t) / (1 + t) * (b - a)) / 2 - _ROUNDING)) + 1)
+    probe = max(least, int(np.ceil(size - a * (1 - t) / t - _ROUNDING)))
+    index = max(least, int(np.ceil(size - a * (1 - t) / (2 * t) - _ROUNDING)))
+    return d, max(0, size - probe + 1), max(0, size - index + 1)
+
+
+_DIFFERENCES = "token long, cluster long, node long, n long, d long, probe long, index long"
+
+
+def _differences(n: int, percent: int):
+    """Every shingle of the differences of (cluster, node, pnode), with the texts x of pnode and y of node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _beside(batches):
+            fresh, of = _runs(rows.column("pnode"))
+            pivots, members = _sets(rows.column("x").filter(fresh), n), _sets(rows.column("y"), n)
+            cluster = mix(mix(rows.column("cluster").to_numpy().view(_U)) ^ rows.column("pnode").to_numpy().view(_U))
+            found = [difference(x, pivots[k], percent) for k, x in zip(of.tolist(), members, strict=True)]
+            sizes = np.array([len(f[0]) for f in found], np.int64)
+            row = np.repeat(np.arange(len(found)), sizes)
+            tokens = mix(np.concatenate([f[0] for f in found]) ^ cluster[row])
+            own = [np.array(c, np.int64)[row] for c in ([len(x) for x in members], sizes, [f[1] for f in found], [f[2] for f in found])]
+            yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(cluster.view(np.int64)[row]), rows.column("node").take(pa.array(row)), *map(pa.array, own)], names=[f.split()[0] for f in _DIFFERENCES.split(", ")])
+
+    return run
+
+
+def _next_level(whole: DataFrame) -> DataFrame:
+    """The prefixes of differences by exact counts: what fewest members of a cluster have comes first.
+
+    A shingle of one member takes a place in its prefix but isn't carried further.
+    """
+    counts = materialize(whole.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "counts")
+    own = Window.partitionBy("cluster", "node")
+    ranked = whole.join(counts, "token").withColumn("k", F.row_number().over(own.orderBy("c", "token")) - 1).withColumn("all", F.count(F.lit(1)).over(own))
+    placed = ranked.withColumn("at", (F.col("d") - F.col("all") + F.col("k")).cast("int")).where("at < probe")
+    return placed.select("token", "cluster", "node", F.col("d").alias("lead"), "n", "d", "at", (F.col("at") < F.col("index")).alias("idx"))
+
+
+def _ordered_sets(n: int, shared):
+    """(node, token, rarity) of every shingle of the texts of nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = shared.value
+        for rows, data, offsets in pieces(batches, "text", PIECE):
+            row, hashes, rarity = shingle_hashes(lower_ascii(data), offsets, n, lambda w: cells[(w >> _U(64 - CELL_BITS)).astype(np.int64)])
+            yield pa.RecordBatch.from_arrays([rows.column("node").take(pa.array(row)), pa.array(hashes.view(np.int64)), pa.array(rarity.astype(np.int32))], names=["node", "token", "rarity"])
+
+    return run
+
+
+def _prefix_length(percent: int):
+    return F.expr(f"n - (({percent} * n + 99) div 100) + 1")
+
+
+def _index_length(percent: int):
+    return F.expr(f"n - (({2 * percent} * n + {99 + percent}) div {100 + percent}) + 1")
+
+
+def _demoted(tokens: DataFrame, nodes: DataFrame, texts_of, n: int, percent: int, shared) -> tuple[DataFrame, list[DataFrame]]:
+    """tokens (node, at, token) of prefixes in an order that puts shingles that more than HOT prefixes have last.
+
+    Only the sets with such a shingle in their prefix have another one then.
+    """
+    hot = materialize(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT), "hot")
+    other = materialize(tokens.join(hot.select("token"), "token", "left_semi").select("node").distinct(), "other")
+    sets = texts_of(other).mapInArrow(_ordered_sets(n, shared), "node long, token long, rarity int").join(hot, "token", "left")
+    order = Window.partitionBy("node").orderBy(F.coalesce("c", F.lit(0)), "rarity", "token")
+    again = sets.withColumn("at", F.row_number().over(order) - 1).join(nodes.select(F.col("rid").alias("node"), "n"), "node").where(F.col("at") < _prefix_length(percent))
+    again = materialize(again.select("node", "at", "token"), "again")
+    return tokens.join(other, "node", "left_anti").unionByName(again), [hot, other, again]
+
+
 def similar_components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, key, node, n) of each row of docs (doc_id, text), and (node, component) of linked nodes.
 
@@ -164,27 +280,50 @@ def similar_components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame
     shared = spark.sparkContext.broadcast(rarities(docs))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.unhex(F.md5("text")))
     rows = materialize(keyed.mapInArrow(_prefixes(n, percent, shared), _SETS), "prefixes")
-    first = rows.where("n > 0").groupBy(F.col("node").alias("digest")).agg(F.min(F.struct("rid", "key", "doc_id")).alias("one"))
+    full = rows.where("n > 0")  # empty sets would meet under one null digest
+    first = full.groupBy(F.col("node").alias("digest")).agg(F.min(F.struct("rid", "key", "doc_id")).alias("one"))
+    # aggregates are written before they are joined: Spark then splits a key that many rows of the other side have
     first = materialize(first.select("digest", "one.rid", F.col("one.key").alias("k"), F.col("one.doc_id").alias("d")), "nodes")
     # one row a node from here on: copies neither crowd into a token's task nor make a token look shared
-    nodes = materialize(rows.select("rid", "n", "prefix", "bits").join(first.select("rid"), "rid", "left_semi"), "distinct")
-    tokens = nodes.select(F.col("rid").alias("node"), "n", F.posexplode("prefix").alias("at", "token"))
-    again = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
-    groups = tokens.join(again, "token")
-    found = _link(materialize(groups, "groups"), keyed, first, nodes.select("rid", "n", "bits"), n, percent)
+    nodes = materialize(full.select("rid", "n", "lead", "prefix", "bits").join(first.select("rid"), "rid", "left_semi"), "distinct")
+    named = full.select("doc_id", "key", F.col("node").alias("digest"), "n").join(first.select("digest", F.col("rid").alias("node")), "digest").drop("digest")
+    named = materialize(named.unionByName(rows.where("n = 0").select("doc_id", "key", "n", F.lit(None).cast("long").alias("node"))), "rows")
+    discard(rows)
+
+    def texts_of(some: DataFrame) -> DataFrame:
+        """(node, text) of the nodes of `some` (node): one row's text for each."""
+        one = first.join(some.withColumnRenamed("node", "rid"), "rid", "left_semi")
+        found = keyed.join(one, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d"))).select(F.col("rid").alias("node"), "text")
+        return found.mapInArrow(_first_of_each, "node long, text string")
+
+    prefixes, used = _demoted(nodes.select(F.col("rid").alias("node"), F.posexplode("prefix").alias("at", "token")), nodes, texts_of, n, percent, shared)
+    tokens = _shared(prefixes, nodes, percent)
+    discard(*used)
+    found = _link(tokens, texts_of, nodes.select("rid", "n", "bits"), n, percent)
     discard(nodes)
-    named = rows.select("doc_id", "key", F.col("node").alias("digest"), "n").join(first.select("digest", F.col("rid").alias("node")), "digest", "left").drop("digest")
+    if found is None:
+        found = first.select(F.col("rid").alias("node"), F.col("rid").alias("component")).limit(0)
     return named, found
 
 
+def _shared(prefixes: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The first level's groups: shingles that two prefixes have, one of them as index prefix."""
+    counts = materialize(prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token"), "counts")
+    kept = prefixes.join(counts, "token").join(nodes.select(F.col("rid").alias("node"), "n", "lead"), "node")
+    kept = kept.select("token", F.lit(0).cast("long").alias("cluster"), "node", "lead", "n", F.col("n").alias("d"), "at", (F.col("at") < _index_length(percent)).alias("idx"))
+    whole = materialize(kept, "groups")
+    discard(counts)
+    return whole
+
+
 def _pairs(joined: DataFrame, percent: int) -> DataFrame:
-    """Distinct (u, v), u < v, that pass the length and positional filters. joined: node, n, at and pnode, pn, pat."""
+    """Distinct (u, v), u < v, that pass the length and positional filters. joined: node, n, d, at and pnode, pn, pd, pat."""
     a, b = F.col("n"), F.col("pn")
-    need = F.ceil(F.lit(percent) * (a + b) / F.lit(100 + percent))
-    left = F.least(a - F.col("at"), b - F.col("pat"))  # the shared shingle and what can follow it
+    apart = a + b - 2 * F.ceil(F.lit(percent) * (a + b) / F.lit(100 + percent))  # differences of sets at the threshold
+    left = F.least(F.col("d") - F.col("at"), F.col("pd") - F.col("pat"))  # the shared shingle and what can follow it
     length = (F.lit(100) * F.least(a, b)) >= F.lit(percent) * F.greatest(a, b)
     # `left` bounds the overlap only at the first shared place, which a pair meets in some group
-    ok = joined.where((F.col("node") != F.col("pnode")) & length).withColumn("can", left + F.least("at", "pat")).where(F.col("can") >= need)
+    ok = joined.where((F.col("node") != F.col("pnode")) & length).where(2 * (left + F.least("at", "pat")) >= F.col("d") + F.col("pd") - apart)
     return ok.select(F.least("node", "pnode").alias("u"), F.greatest("node", "pnode").alias("v")).distinct()
 
 
@@ -216,55 +355,86 @@ def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield batch.filter(pa.array(fresh, pa.bool_()))
 
 
-def _link(groups: DataFrame, keyed: DataFrame, first: DataFrame, bitmaps: DataFrame, n: int, percent: int) -> DataFrame:
-    """(node, component) of nodes that link. groups: token, node, n, at."""
-    texts = found = None
-    live = groups
-    for turn in range(ROUNDS + 1):
-        labelled = live.withColumn("comp", F.col("node")) if found is None else live.join(found.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        pivot = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "at", "comp")).alias("p")
-        mixed = labelled.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), pivot).where("a <> b")
-        last = turn == ROUNDS
-        chosen = mixed.select("token", F.col("p.node").alias("pnode"), F.col("p.n").alias("pn"), F.col("p.at").alias("pat"), F.col("p.comp").alias("pcomp"))
-        joined = materialize(labelled.join(chosen, "token"), "turn")
-        discard(live)
-        if joined.isEmpty():
-            discard(joined)
-            break
+def _labelled(rows: DataFrame, found: DataFrame | None) -> DataFrame:
+    """rows with comp, the component of their node so far."""
+    if found is None:
+        return rows.withColumn("comp", F.col("node"))
+    return rows.join(found.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+
+def _mixed(rows: DataFrame, *more) -> DataFrame:
+    """Groups with members of different components."""
+    return rows.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), *more).where("a <> b")
+
+
+def _link(live: DataFrame, texts_of, bitmaps: DataFrame, n: int, percent: int) -> DataFrame | None:
+    """(node, component) of nodes that link. live: token, cluster, node, lead, n, d, at, idx; cluster is 0, lead orders pivots."""
+    texts = found = done = more = None
+    while True:
+        pivot = F.min(F.struct("lead", F.xxhash64("node").alias("h"), "node", "n", "d", "at", "comp")).alias("p")
+        rows = _labelled(live, found)
+        chosen = _mixed(rows, F.max("idx").alias("i"), pivot).where("i")
+        chosen = materialize(chosen.select("token", *[F.col(f"p.{c}").alias(f"p{c}") for c in ("node", "n", "d", "at", "comp")]), "pivots")
+        joined = materialize(rows.join(chosen, "token").where("node <> pnode"), "level")
+        discard(live, chosen)
+        pairs = _pairs(joined.where("comp <> pcomp"), percent)
+        if more is not None:
+            pairs = pairs.unionByName(more).distinct()
+        if done is not None:
+            pairs = pairs.join(done, ["u", "v"], "left_anti")
         if texts is None:  # one row's text for each node that shares a prefix shingle with another
-            one = first.join(joined.select(F.col("node").alias("rid")).distinct(), "rid", "left_semi")
-            texts = keyed.join(one, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d"))).select(F.col("rid").alias("node"), "text")
-            texts = materialize(texts.mapInArrow(_first_of_each, "node long, text string"), "texts")
-        if last:
-            other = joined.select("token", F.col("node").alias("pnode"), F.col("n").alias("pn"), F.col("at").alias("pat"), F.col("comp").alias("pcomp"))
-            pairs = _pairs(joined.select("token", "node", "n", "at", "comp").join(other, "token").where("node < pnode AND comp <> pcomp"), percent)
-        else:
-            pairs = _pairs(joined.where("comp <> pcomp"), percent)
+            some = joined.select("node").unionByName(joined.select(F.col("pnode").alias("node"))).distinct()
+            texts = materialize(texts_of(some), "texts")
         pairs = materialize(_near_bitmaps(pairs, bitmaps, percent), "pairs")
-        wanted = materialize(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct(), "wanted")
-        some = texts.join(wanted, "node", "left_semi")  # only texts that stand in a pair are shuffled again
-        lefts = some.select(F.col("node").alias("u"), F.col("text").alias("x"))
-        rights = some.select(F.col("node").alias("v"), F.col("text").alias("y"))
-        links = materialize(pairs.join(rights, "v").join(lefts, "u").select("u", "v", "x", "y").mapInArrow(_verify(n, percent), "u long, v long"), "links")
-        discard(pairs, wanted)
+        discard(more)
+        links = materialize(_beside_texts(pairs, texts, "u", "v").mapInArrow(_verify(n, percent), "u long, v long"), "links")
         if not links.isEmpty():
-            old_found = found
+            old = found
             found = materialize(components(links if found is None else links.unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v")))), "components")
-            discard(old_found)
-        discard(links)
-        if not last:
-            live = materialize(joined.where("node <> pnode").select("token", "node", "n", "at"), "live")
+            discard(old)
+        before = done
+        done = pairs if done is None else materialize(done.unionByName(pairs), "done")
+        discard(links, *([before, pairs] if before is not None else []))
+        # what the pivots have not settled
+        rest = _labelled(joined.select("token", "cluster", "node", "n", "d", "at", "idx", "pnode"), found)
+        groups = _mixed(rest, F.count_if("idx").alias("i")).where("i > 0").select("token", (F.col("i") <= SMALL).alias("small"))
+        rest = materialize(rest.join(materialize(groups, "open"), "token"), "rest")
         discard(joined)
-    discard(texts)
-    return found if found is not None else first.select(F.col("rid").alias("node"), F.col("rid").alias("component")).limit(0)
+        more = materialize(_within(rest.where("small"), percent), "within")
+        moves = materialize(rest.where("not small").select("cluster", "node", "pnode").distinct(), "moves")
+        discard(rest)
+        if moves.isEmpty() and more.isEmpty():
+            break
+        whole = materialize(_beside_texts(moves, texts, "pnode", "node").mapInArrow(_differences(n, percent), _DIFFERENCES), "differences")
+        live = materialize(_next_level(whole), "next")
+        discard(moves, whole)
+    discard(moves, more, texts, done)
+    return found
+
+
+def _within(rest: DataFrame, percent: int) -> DataFrame:
+    """Pairs within groups of at most SMALL index members: each member meets these only."""
+    index = rest.where("idx").select("token", *[F.col(c).alias(f"p{c}") for c in ("node", "n", "d", "at", "comp")])
+    smaller = F.struct("pd", "pnode") < F.struct("d", "node")  # the index prefix is that of the smaller set
+    return _pairs(rest.drop("pnode").join(index, "token").where((F.col("comp") != F.col("pcomp")) & smaller), percent)
+
+
+def _beside_texts(pairs: DataFrame, texts: DataFrame, left: str, right: str) -> DataFrame:
+    """pairs with the text x of the node in `left` and y of that in `right`; only texts that are wanted are shuffled."""
+    wanted = pairs.select(F.col(left).alias("node")).unionByName(pairs.select(F.col(right).alias("node"))).distinct()
+    some = texts.join(wanted, "node", "left_semi")
+    lefts = some.select(F.col("node").alias(left), F.col("text").alias("x"))
+    rights = some.select(F.col("node").alias(right), F.col("text").alias("y"))
+    return pairs.join(rights, right).join(lefts, left).select(*pairs.columns, "x", "y")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text)."""
     rows, found = similar_components(docs, n, percent)
-    joined = rows.join(found, "node", "left").withColumn("comp", F.coalesce("component", "node"))
-    least = joined.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    return joined.join(least, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    joined = rows.where("n > 0").join(found, "node", "left").withColumn("comp", F.coalesce("component", "node"))
+    least = materialize(joined.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "least")
+    out = joined.join(least, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return out.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,3 +66,90 @@ def test_rules_grow_at_every_threshold():
     for low in (x["a"] >= 0.99875, x["a"] < 0.00155, x["a"] >= 0.3333):
         rule = q._grow(x, low, 4)
         assert len(rule) == 1 and (q._covers(rule, x) == low).all()
+
+
+def test_families_of_near_copies(spark):
+    """Families just above and below the threshold, nested ones, and a common passage: no link is lost."""
+    import sys
+    from pathlib import Path
+
+    sys.path.insert(0, str(Path(__file__).parent))
+    from test_llm import components, ordered
+
+    from lodestone.llm import jaccard_join as jj
+
+    rng, data = random.Random(7), []
+    for c, (n, m) in enumerate([(150, 150), (60, 60)]):
+        base = [f"b{c}_{j}" for j in range(n)]
+        family = [base]
+        for _ in range(m):
+            words = list(rng.choice(family) if rng.random() < 0.3 else base)
+            for _ in range(rng.randint(1, 8)):
+                j, kind = rng.randrange(len(words)), rng.random()
+                if kind < 0.4:
+                    words[j] = f"x{rng.randrange(40)}"
+                elif kind < 0.7:
+                    del words[j]
+                else:
+                    words.insert(j, words[j - 1])
+            family.append(words)
+            data.append((len(data) * 7 % 5003, " ".join(words)))
+    common = [f"l{j}" for j in range(40)]
+    for k in range(100):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(2, 30))]
+        data.append((6000 + k, " ".join(words[:5] + common + words[5:])))
+    data.append((7000, " ".join(f"long{i}" for i in range(30_000))))
+    data.append((7001, " ".join(f"long{i}" for i in range(200, 30_000))))
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(6)
+    verified = []
+    keep = jj._verify
+
+    def counted(n, percent):
+        inner = keep(n, percent)
+        folder = verified[0]
+
+        def run(batches):
+            import os
+            import uuid
+
+            for batch in batches:
+                with open(os.path.join(folder, uuid.uuid4().hex), "w") as f:
+                    f.writelines(f"{u} {v}\n" for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()))
+                yield from inner(iter([batch]))
+
+        return run
+
+    import os
+    import tempfile
+
+    verified.append(tempfile.mkdtemp(prefix="spark-"))
+    jj._verify = counted
+    try:
+        got = ordered(jj.near_duplicates(df, 4, 85).collect())
+    finally:
+        jj._verify = keep
+    assert got == ordered(components(data, 4, 85))
+    pairs = [line for name in os.listdir(verified[0]) for line in open(os.path.join(verified[0], name))]
+    assert pairs and len(pairs) == len(set(pairs))  # each pair is verified once
+
+
+def test_hashes_of_texts_that_sums_of_powers_confuse(spark):
+    """Complementary Thue-Morse strings collide under any polynomial modulo 2**64."""
+    from lodestone.llm import jaccard_join as jj
+    from lodestone.llm import quality_rules as q
+    from lodestone.llm.common import Windows, span_hashes
+    from lodestone.llm.suffix_dedup import remove_repeats
+
+    a, b = "a", "b"
+    while len(a) < 4096:
+        a, b = a + b, b + a
+    df = spark.createDataFrame([(1, a), (2, b), (3, a + "\n" + b)], "doc_id long, text string")
+    counts = {r["doc_id"]: r for r in q.with_counts(df).collect()}
+    assert (counts[3]["n_dup_lines"], counts[3]["n_distinct_words"]) == (0, 2)
+    assert {r["doc_id"]: r["component_id"] for r in jj.near_duplicates(df, 4, 85).collect()} == {1: 1, 2: 2, 3: 3}
+    alone = remove_repeats(spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string"), width=4096).collect()
+    assert [r["n_removed"] for r in alone] == [0, 0]
+    data = np.frombuffer((a + b).encode(), np.uint8)
+    start, end = np.array([0, 4096, 0, 1]), np.array([4096, 8192, 2048, 2049])
+    for h in (span_hashes(data, start, end), Windows(data).spans(start, end)):
+        assert len(set(h.tolist())) == 4
