@@ -47,7 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, lists, lower_ascii, materialize, mix, pieces, shingle_hashes, small_batches, span_hashes, table, text_buffers, words_of
+from .common import discard, lists, lower_ascii, materialize, mix, pieces, shingle_hashes, small_batches, span_hashes, text_buffers, texts, words_of
 from .components import components
 
 #: Cells of the word-count sketch: bounded, whatever the input (2**18 counts, 2 MB).
@@ -370,21 +370,23 @@ def _mixed(rows: DataFrame, *more) -> DataFrame:
 def _link(live: DataFrame, texts_of, bitmaps: DataFrame, n: int, percent: int) -> DataFrame | None:
     """(node, component) of nodes that link. live: token, cluster, node, lead, n, d, at, idx; cluster is 0, lead orders pivots."""
     texts = found = done = more = None
-    while True:
-        pivot = F.min(F.struct("lead", F.xxhash64("node").alias("h"), "node", "n", "d", "at", "comp")).alias("p")
-        rows = _labelled(live, found)
-        chosen = _mixed(rows, F.max("idx").alias("i"), pivot).where("i")
-        chosen = materialize(chosen.select("token", *[F.col(f"p.{c}").alias(f"p{c}") for c in ("node", "n", "d", "at", "comp")]), "pivots")
-        joined = materialize(rows.join(chosen, "token").where("node <> pnode"), "level")
-        discard(live, chosen)
-        pairs = _pairs(joined.where("comp <> pcomp"), percent)
-        if more is not None:
-            pairs = pairs.unionByName(more).distinct()
+    while live is not None or more is not None:
+        pairs, joined = more, None
+        if live is not None:
+            pivot = F.min(F.struct("lead", F.xxhash64("node").alias("h"), "node", "n", "d", "at", "comp")).alias("p")
+            rows = _labelled(live, found)
+            chosen = _mixed(rows, F.max("idx").alias("i"), pivot).where("i")
+            chosen = materialize(chosen.select("token", *[F.col(f"p.{c}").alias(f"p{c}") for c in ("node", "n", "d", "at", "comp")]), "pivots")
+            joined = materialize(rows.join(chosen, "token").where("node <> pnode"), "level")
+            discard(live, chosen)
+            pairs = _pairs(joined.where("comp <> pcomp"), percent)
+            if more is not None:
+                pairs = pairs.unionByName(more).distinct()
+            if texts is None:  # one row's text for each node that shares a prefix shingle with another
+                some = joined.select("node").unionByName(joined.select(F.col("pnode").alias("node"))).distinct()
+                texts = materialize(texts_of(some), "texts")
         if done is not None:
             pairs = pairs.join(done, ["u", "v"], "left_anti")
-        if texts is None:  # one row's text for each node that shares a prefix shingle with another
-            some = joined.select("node").unionByName(joined.select(F.col("pnode").alias("node"))).distinct()
-            texts = materialize(texts_of(some), "texts")
         pairs = materialize(_near_bitmaps(pairs, bitmaps, percent), "pairs")
         discard(more)
         links = materialize(_beside_texts(pairs, texts, "u", "v").mapInArrow(_verify(n, percent), "u long, v long"), "links")
@@ -392,23 +394,30 @@ def _link(live: DataFrame, texts_of, bitmaps: DataFrame, n: int, percent: int) -
             old = found
             found = materialize(components(links if found is None else links.unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v")))), "components")
             discard(old)
+        discard(links)
+        if joined is None:
+            discard(pairs)
+            break
         before = done
-        done = pairs if done is None else materialize(done.unionByName(pairs), "done")
-        discard(links, *([before, pairs] if before is not None else []))
+        done = pairs if before is None else materialize(before.unionByName(pairs), "done")
+        discard(*([before, pairs] if before is not None else []))
         # what the pivots have not settled
         rest = _labelled(joined.select("token", "cluster", "node", "n", "d", "at", "idx", "pnode"), found)
-        groups = _mixed(rest, F.count_if("idx").alias("i")).where("i > 0").select("token", (F.col("i") <= SMALL).alias("small"))
-        rest = materialize(rest.join(materialize(groups, "open"), "token"), "rest")
-        discard(joined)
+        groups = materialize(_mixed(rest, F.count_if("idx").alias("i")).where("i > 0").select("token", (F.col("i") <= SMALL).alias("small")), "open")
+        rest = materialize(rest.join(groups, "token"), "rest")
+        discard(joined, groups)
         more = materialize(_within(rest.where("small"), percent), "within")
         moves = materialize(rest.where("not small").select("cluster", "node", "pnode").distinct(), "moves")
         discard(rest)
-        if moves.isEmpty() and more.isEmpty():
-            break
-        whole = materialize(_beside_texts(moves, texts, "pnode", "node").mapInArrow(_differences(n, percent), _DIFFERENCES), "differences")
-        live = materialize(_next_level(whole), "next")
-        discard(moves, whole)
-    discard(moves, more, texts, done)
+        live = None
+        if not moves.isEmpty():
+            whole = materialize(_beside_texts(moves, texts, "pnode", "node").mapInArrow(_differences(n, percent), _DIFFERENCES), "differences")
+            live = materialize(_next_level(whole), "next")
+            discard(whole)
+        elif more.isEmpty():
+            more = None
+        discard(moves)
+    discard(texts, done)
     return found
 
 
@@ -438,4 +447,15 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), 4, 85)
+    return near_duplicates(texts(spark, sf_dir, "doc_id", "text"), 4, 85)
+
+
+OP8_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 3], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+r AS (SELECT a AS doc_id, b AS reach FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reach),
+c AS (SELECT doc_id, min(reach) AS low FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(c.low, d.doc_id)) AS component_id FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)"""
