@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.session import widen
+
 #: Characters that separate words: space and U+0009 to U+000D. bytes.split() splits at these exactly.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -23,6 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of the documents, in at least as many partitions as there are cores."""
+    return widen(table(spark, sf_dir, "documents").select(*columns))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and every executor share.
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Windows, discard, materialize, mix, pieces, small_batches, table
+from .common import Windows, discard, materialize, mix, pieces, small_batches, texts
 
 DIGIT = 40
 #: Windows of a block in the second pair of digits.
@@ -285,4 +285,17 @@ def remove_repeats(df: DataFrame, text: str = "text", width: int = 200, keep: li
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"), width=200, keep=["doc_id"], as_text=False)
+    return remove_repeats(texts(spark, sf_dir, "doc_id", "text"), width=200, keep=["doc_id"], as_text=False)
+
+
+OP2_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+p AS (SELECT doc_id, x, unnest(range(0, n - 199)) AS s FROM d WHERE n >= 200),
+w AS (SELECT doc_id, s, md5_number(substr(x, 2 * s + 1, 400)) AS h FROM p),
+r AS (SELECT doc_id, s FROM (SELECT doc_id, s, count(*) OVER (PARTITION BY h) AS c FROM w) WHERE c > 1),
+g AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER v + 200 THEN 0 ELSE 1 END AS new FROM r WINDOW v AS (PARTITION BY doc_id ORDER BY s)),
+k AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM g),
+b AS (SELECT doc_id, run, min(s) AS low, max(s) + 200 AS high FROM k GROUP BY 1, 2),
+t AS (SELECT doc_id, low, high, coalesce(lag(high) OVER v, 0) AS before FROM b WINDOW v AS (PARTITION BY doc_id ORDER BY low)),
+c AS (SELECT doc_id, sum(high - low)::BIGINT AS n_removed, count(*) AS n_spans, max(high) AS last, string_agg(substr(x, 2 * before + 1, 2 * (low - before)), '' ORDER BY low) AS kept FROM t JOIN d USING (doc_id) GROUP BY 1)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(CASE WHEN n_spans IS NULL THEN x ELSE kept || substr(x, 2 * last + 1) END)) AS kept_sha256 FROM d LEFT JOIN c USING (doc_id)"""
