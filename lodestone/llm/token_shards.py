@@ -20,6 +20,7 @@ sequence. Very long texts are cut like any other.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import uuid
 from collections.abc import Iterator
@@ -67,25 +68,44 @@ def feistel(index: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
 
 
 def tokenise(docs: DataFrame, ranks: dict[bytes, int], pattern: str, end: int) -> DataFrame:
-    """(part, start, n, ids): each text's ids as little-endian uint16, and its offset within the task's part."""
+    """(file, first, start, n, ids): each text's ids as little-endian uint16, and its offset within a run of rows.
+
+    docs: text and, from in_file_order(), file and row; a run is then what a task reads of one file without a gap,
+    and the stream is the files by name, row by row. Without them a task is a run.
+    """
     if end > 0xFFFF or max(ranks.values(), default=0) > 0xFFFF:
         raise ValueError("ids must fit in 16 bits")
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
 
+    stable = {"file", "row"} <= set(docs.columns)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, at = _encoder(shared), TaskContext.get().partitionId(), 0
+        encode, at = _encoder(shared), 0
+        file, first, row = "", TaskContext.get().partitionId() << 40, None
         for batch in batches:
-            starts, counts, ids = [], [], []
-            for text in batch.column("text").to_pylist():
+            files, firsts, starts, counts, ids = [], [], [], [], []
+            places = zip(batch.column("file").to_pylist(), batch.column("row").to_pylist(), strict=True) if stable else itertools.repeat((None, None))
+            for text, (f, r) in zip(batch.column("text").to_pylist(), places):
+                if stable:
+                    if row is None or f != file or r != row + 1:  # the next split of a file begins here
+                        file, first, at = f, r, 0
+                    row = r
                 found = np.array([*encode(text or ""), end], "<u2")
+                files.append(file)
+                firsts.append(first)
                 starts.append(at)
                 counts.append(len(found))
                 ids.append(found.tobytes())
                 at += len(found)
-            yield pa.RecordBatch.from_arrays([pa.array([part] * len(ids), pa.int32()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())], names=["part", "start", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(firsts, pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())], names=["file", "first", "start", "n", "ids"])
+
+    return docs.select("text", *(["file", "row"] if stable else [])).mapInArrow(run, "file string, first long, start long, n long, ids binary")
+
 
-    return docs.select("text").mapInArrow(run, "part int, start long, n long, ids binary")
+def in_file_order(docs: DataFrame) -> DataFrame:
+    """(text, file, row) of a scanned Parquet table: with these the stream doesn't depend on how Spark splits files."""
+    return docs.select("text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
 _ENCODERS: dict[str, object] = {}
@@ -106,13 +126,13 @@ def training_rows(tokens: DataFrame, key: int = KEY, length: int = SEQUENCE, sha
     tokens: a written table of tokenise()'s columns. ids is `length` little-endian uint16.
     """
     spark = tokens.sparkSession
-    totals = sorted((r["part"], int(r["s"])) for r in tokens.groupBy("part").agg(F.sum("n").alias("s")).collect())  # one row for each input task
+    totals = sorted((r["file"], r["first"], int(r["s"])) for r in tokens.groupBy("file", "first").agg(F.sum("n").alias("s")).collect())  # one row for each file split
     bases, total = [], 0
-    for part, size in totals:
-        bases.append((part, total))
+    for file, first, size in totals:
+        bases.append((file, first, total))
         total += size
     n = -(-total // length)
-    placed = tokens.join(F.broadcast(spark.createDataFrame(bases, "part int, base long")), "part")  # as many rows as input tasks
+    placed = tokens.join(F.broadcast(spark.createDataFrame(bases, "file string, first long, base long")), ["file", "first"])  # as many rows as file splits
     placed = placed.select((F.col("base") + F.col("start")).alias("at"), "ids")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +260,7 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .byte_bpe import load_ranks
 
     ranks = load_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
-    docs = table(spark, sf_dir, "documents").select("text")
+    docs = in_file_order(table(spark, sf_dir, "documents"))
     tokens = materialize(tokenise(docs, ranks, P.PATTERN, end=50256), "tokens")
     folder = f"{shared_dir(spark)}/lodestone/{uuid.uuid4().hex}/shards"
     written = materialize(write_shards(training_rows(tokens, pad=50256), folder), "manifest")
