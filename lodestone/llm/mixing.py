@@ -12,10 +12,11 @@ position in the mix, in words. Rows are then range-sorted by position.
 
 Running places within a source are two-level sums, so a source with a third of all rows is spread
 over many tasks. All arithmetic that decides what is taken is on integers and fixed hashes: reruns
-agree. What is collected is one row for each source.
+agree. What is collected is one row for each source, of at most MAX_SOURCES. A source's rows are dealt into
+buckets by a hash of id and text, the more the larger the table; only rows equal in both share one for sure.
 
 Rows: null text has size 0 and is never taken for words; a null source is a source of its own, last
-in order. Repeated rows are rows of their own. Null doc_ids are allowed. An empty table gives an
+in order. Very long texts are rows like any other. Repeated rows are rows of their own. Null doc_ids are allowed. An empty table gives an
 empty table. Input columns with added names are replaced.
 """
 
@@ -25,11 +26,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_PATTERN, table
+from .common import WORD_PATTERN, materialize, texts
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
+#: Least number of buckets of a source's rows, and rows of all sources that call for one more.
 BUCKETS = 512
+BUCKET_ROWS = 50_000
+#: Sources are planned on the driver, a row each: more are refused.
+MAX_SOURCES = 100_000
 #: Relative weight at the start and the end of training, for the first, second and third source and so on.
 SCHEDULES = ((0.5, 1.5), (1.0, 1.0), (1.5, 0.5))
 ADDED = ["size", "source_size", "target", "copies", "taken", "positions"]
@@ -52,10 +57,13 @@ def targets(sizes: list[int], weights: list[float], most: float = MAX_REPEATS) -
     return out
 
 
-def _source_plan(sized: DataFrame) -> DataFrame:
-    """One row for each source: its size, target, full passes and curriculum."""
+def _source_plan(sized: DataFrame) -> tuple[DataFrame, int]:
+    """(one row for each source: its size, target, full passes and curriculum; how many buckets)."""
     spark = sized.sparkSession
-    found = sorted((r["_src"], int(r["s"])) for r in sized.groupBy("_src").agg(F.sum("size").alias("s")).collect())
+    sums = sized.groupBy("_src").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("c")).limit(MAX_SOURCES + 1).collect()
+    if len(sums) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
+    found, buckets = sorted((r["_src"], int(r["s"])) for r in sums), max(BUCKETS, sum(r["c"] for r in sums) // BUCKET_ROWS)
     sizes = [s for _, s in found]
     goal = targets(sizes, [float(WEIGHTS[i % len(WEIGHTS)]) for i in range(len(found))])
     a_sum = b_sum = 0.0  # demand of all sources together by time t: a_sum t + b_sum t^2
@@ -67,7 +75,7 @@ def _source_plan(sized: DataFrame) -> DataFrame:
         full = int(goal[i] // size) if size else 0
         rows.append((src, size, goal[i], full, goal[i] - full * size if size else 0.0, a, b))
     schema = "_src string, source_size long, target double, _full long, _rest double, _a double, _b double"
-    return spark.createDataFrame(rows, schema).withColumn("_asum", F.lit(a_sum)).withColumn("_bsum", F.lit(b_sum))
+    return spark.createDataFrame(rows, schema).withColumn("_asum", F.lit(a_sum)).withColumn("_bsum", F.lit(b_sum)), buckets
 
 
 def mix(df: DataFrame, text: str = "text", source: str = "source", order: str = "doc_id") -> DataFrame:
@@ -85,11 +93,11 @@ def mix_sized(df: DataFrame, source: str = "source", order: str = "doc_id", tie:
     names = [c for c in df.columns if c not in ADDED]
     tie = F.lit(0) if tie is None else tie
     sized = df.withColumn("_src", F.when(F.col(source).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source))))
-    plan = _source_plan(sized.select("_src", "size"))
-    sized = sized.withColumn("_h", F.xxhash64(F.lit(6), F.col(order))).withColumn("_bucket", F.pmod("_h", F.lit(BUCKETS)))
+    plan, buckets = _source_plan(sized.select("_src", "size"))
+    sized = sized.withColumn("_h", F.xxhash64(F.lit(6), F.col(order), tie)).withColumn("_bucket", F.pmod("_h", F.lit(buckets)))
     totals = sized.groupBy("_src", "_bucket").agg(F.sum("size").alias("_total"))
     base = Window.partitionBy("_src").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # sources x BUCKETS rows with the source's plan beside them; small, but not broadcast by force
+    # sources x buckets rows with the source's plan beside them; small, but not broadcast by force
     totals = totals.withColumn("_base", F.coalesce(F.sum("_total").over(base), F.lit(0))).join(plan, "_src").drop("_total")
     inside = Window.partitionBy("_src", "_bucket").orderBy("_h", order, tie, "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = sized.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(totals, ["_src", "_bucket"])
@@ -115,8 +123,8 @@ def training_order(mixed: DataFrame) -> DataFrame:
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     # ids and sizes only travel; rows come out in the order in which the mix first meets them
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    mixed = mix_sized(sized).withColumn("position", F.get("positions", F.lit(0)))
+    docs = texts(spark, sf_dir, "doc_id", "source", "text")
+    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie")), "sizes")  # words are counted once
+    mixed = mix_sized(sized, tie=F.col("tie")).withColumn("position", F.get("positions", F.lit(0)))
     ordered = mixed.repartitionByRange(F.col("position").asc_nulls_last(), "doc_id").sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
     return ordered.select("doc_id", "size", "source_size", "target", "taken", "copies", "position")
