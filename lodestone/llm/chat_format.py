@@ -11,8 +11,10 @@ or any other that begins with `<` or `[` - can appear inside one, and unescaping
 back. The loss mask is a list of spans, in code points of the output: the escaped text of each
 assistant turn.
 
-Records: null text and role count as empty strings, a record without turns gives empty output, an
-unknown layout raises. Rows of a conversation are ordered by turn (nulls first), then role, then
+Records: null text and role count as empty strings, a record without turns (none, an empty list or null)
+gives empty output. A record of an unknown layout, or one that isn't JSON, has null output and says so in
+`problem`; the others are formatted all the same. A conversation is one record and so one row: it must fit in
+memory, like a text. Rows of a conversation are ordered by turn (nulls first), then role, then
 text; repeated rows are turns of their own; a null conv_id is a conversation of its own. An empty
 table gives only what the query adds.
 """
@@ -66,9 +68,8 @@ class Registry:
     def add(self, sample, mapping: Mapping) -> Registry:
         self.mappings[fingerprint(sample)] = mapping
         if mapping.turns:  # the same layout without any turn
-            top = json.loads(json.dumps(sample))
-            top[mapping.turns] = []
-            self.mappings.setdefault(fingerprint(top), mapping)
+            for none in ([], None):
+                self.mappings.setdefault(fingerprint({**sample, mapping.turns: none}), mapping)
         return self
 
     def turns(self, record) -> list[tuple[str, str]]:
@@ -77,7 +78,7 @@ class Registry:
             raise ValueError(f"no mapping for the layout {sorted(field_paths(record))}")
         names = dict(mapping.roles)
         if mapping.turns:
-            return [(names.get(_text(t.get(mapping.role)), _text(t.get(mapping.role))), _text(t.get(mapping.text))) for t in record[mapping.turns]]
+            return [(names.get(_text(t.get(mapping.role)), _text(t.get(mapping.role))), _text(t.get(mapping.text))) for t in record[mapping.turns] or []]
         found = [(role, _text(_at(record, path))) for role, path in mapping.fields]
         return [(r, t) for r, t in found if t]
 
@@ -143,20 +144,27 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 
 def format_records(df: DataFrame, registry: Registry, record: str = "record", keep: list[str] | None = None) -> DataFrame:
-    """df's rows with formatted and loss_spans in place of `record`, a JSON string of any registered layout."""
+    """df's rows with formatted, loss_spans and problem in place of `record`, a JSON string of any registered layout."""
     small_batches(df.sparkSession)
-    fields = [f for f in df.schema.fields if f.name not in (record, "formatted", "loss_spans") and (keep is None or f.name in keep)]
+    added = (record, "formatted", "loss_spans", "problem")
+    fields = [f for f in df.schema.fields if f.name not in added and (keep is None or f.name in keep)]
     from pyspark.sql import types as T
 
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    schema = T.StructType([*fields, T.StructField("formatted", T.StringType()), T.StructField("loss_spans", span)])
+    schema = T.StructType([*fields, T.StructField("formatted", T.StringType()), T.StructField("loss_spans", span), T.StructField("problem", T.StringType())])
+
+    def one(raw: str | None) -> tuple:
+        try:
+            return *render(registry.turns(json.loads(raw)) if raw is not None else []), None
+        except ValueError as e:  # no mapping, or not JSON
+            return None, None, str(e)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            done = [render(registry.turns(json.loads(r)) if r is not None else []) for r in batch.column(record).to_pylist()]
-            spans = pa.array([[{"start": a, "end": b} for a, b in s] for _, s in done], kind)
-            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in fields], pa.array([t for t, _ in done], pa.string()), spans], names=schema.names)
+            done = [one(r) for r in batch.column(record).to_pylist()]
+            spans = pa.array([None if s is None else [{"start": a, "end": b} for a, b in s] for _, s, _ in done], kind)
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in fields], pa.array([t for t, _, _ in done], pa.string()), spans, pa.array([p for _, _, p in done], pa.string())], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
@@ -180,11 +188,29 @@ def read_back(df: DataFrame) -> DataFrame:
 
 
 def as_records(conversations: DataFrame) -> DataFrame:
-    """(conv_id, record): flat rows (conv_id, turn, role, text) as message records in JSON."""
+    """(conv_id, record): flat rows (conv_id, turn, role, text) as JSON records.
+
+    Of four kinds, by a hash of conv_id, as data from several sources comes: messages with content, messages with text,
+    conversations of from and value, and prompts with a response where there are just these two, not empty.
+    """
     rows = conversations.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("m"))
     grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("m")).alias("m"))
-    messages = F.transform("m", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content")))
-    return grouped.select("conv_id", F.to_json(F.struct(messages.alias("messages")), {"ignoreNullFields": "false"}).alias("record"))
+
+    def turns(role: str, text: str):
+        return F.transform("m", lambda m: F.struct(m["role"].alias(role), m["text"].alias(text)))
+
+    def record(**fields):
+        return F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()]), {"ignoreNullFields": "false"})
+
+    kind = F.pmod(F.xxhash64("conv_id"), F.lit(4))
+    renamed = F.exists("m", lambda m: m["role"].isin("human", "gpt", "bot"))  # the layout of from and value has its own names for roles
+    asked = (F.size("m") == 2) & (F.get("m", F.lit(0))["role"] == "user") & (F.get("m", F.lit(1))["role"] == "assistant") & ~F.exists("m", lambda m: m["text"] == "")
+    plain = record(messages=turns("role", "content"))
+    made = (
+        F.when(kind == 1, record(messages=turns("role", "text"))).when((kind == 2) & ~renamed, record(conversations=turns("from", "value")))
+        .when((kind == 3) & asked, record(prompt=F.get("m", F.lit(0))["text"], response=F.get("m", F.lit(1))["text"])).otherwise(plain)
+    )
+    return grouped.select("conv_id", made.alias("record"))
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
