@@ -16,7 +16,8 @@ disagree, toxic wins; null labels don't count. If one class has no row, every sc
 
 Rows: null and empty texts have no words and get the calibration's score for that, capped below
 0.5. Labels, language, source and doc_id are never inputs of a score. A null doc_id is not held
-out. Repeated rows score alike; an empty table gives an empty table.
+out. Very long texts and words are read whole. Ties among labelled rows at the bound go by doc_id. Extra columns are carried,
+clashing ones replaced. Repeated rows score alike; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -31,12 +32,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, small_batches, table
+from .common import pieces, small_batches, table, texts
 
 ORDER = 6
-#: Absolute discounts of the shared continuation counts and of a class's own counts.
+#: Absolute discount of the shared continuation counts, and those tried for a class's own counts: the one under which
+#: fitting texts, each scored by models that were fitted without it, have the least log loss.
 DISCOUNT = 0.75
-CLASS_DISCOUNT = 3.0
+CLASS_DISCOUNTS = (0.75, 1.5, 3.0)
 FOLDS = 3
 FIT_TOXIC = 2_500
 FIT_ORDINARY = 5_000
@@ -93,16 +95,16 @@ def _plain(word: bytes) -> bytes:
 class Model:
     """What scoring needs: the ratio of each seen event, and of leaving each seen context."""
 
-    def __init__(self, keys: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> None:
-        """Distinct event keys with their counts in either class."""
-        shared = _shared_backoff(keys)
+    def __init__(self, keys: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, discount: float = CLASS_DISCOUNTS[0], shared: np.ndarray | None = None) -> None:
+        """Distinct event keys with their counts in either class; shared: the keys' backoff, where it is known."""
+        shared = _shared_backoff(keys) if shared is None else shared
         p, leave = [], []
         contexts, of = np.unique(keys >> 8, return_inverse=True)
         for count in (toxic, ordinary):
             total = np.bincount(of, count, len(contexts))
-            freed = np.bincount(of, np.minimum(count, CLASS_DISCOUNT), len(contexts))
+            freed = np.bincount(of, np.minimum(count, discount), len(contexts))
             rest = np.where(total > 0, freed / np.maximum(total, 1), 1.0)
-            own = np.where(total[of] > 0, np.maximum(count - CLASS_DISCOUNT, 0) / np.maximum(total[of], 1), 0.0)
+            own = np.where(total[of] > 0, np.maximum(count - discount, 0) / np.maximum(total[of], 1), 0.0)
             p.append(own + rest[of] * shared)
             leave.append(rest)
         self.keys, self.seen = keys, np.log(p[0] / p[1])
@@ -269,15 +271,34 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, tuple] | None:
     del counted
     if not by[0].any() or not by[1].any():
         return None
-    final = Model(keys, by[1].sum(0), by[0].sum(0))
-    apart = []
+    counts = []
     for f in range(FOLDS):
         rest = [g for g in range(FOLDS) if g != f]
         t, o = by[1, rest].sum(0), by[0, rest].sum(0)
-        use = (t + o) > 0
-        apart.append(Model(keys[use], t[use], o[use]) if use.any() else final)
-    shared = docs.sparkSession.sparkContext.broadcast(apart)
-    del apart, by, order
+        use = (t + o) > 0 if ((t + o) > 0).any() else np.ones(len(keys), bool)
+        counts.append((keys[use], t[use], o[use]))
+    backoffs = [_shared_backoff(k) for k, _, _ in counts]
+    best = None
+    for discount in CLASS_DISCOUNTS:
+        x, y = _apart(sample, [Model(*c, discount, b) for c, b in zip(counts, backoffs, strict=True)])
+        if not len(y) or y.min() == y.max():
+            return None
+        calibrated = _logistic(x, y)
+        loss = _log_loss(x, y, calibrated)
+        if best is None or loss < best[0]:
+            best = (loss, discount, calibrated)
+    return Model(keys, by[1].sum(0), by[0].sum(0), best[1]), best[2]
+
+
+def _log_loss(x: np.ndarray, y: np.ndarray, calibrated: tuple) -> float:
+    mean, scale, w = calibrated
+    z = np.clip((x - mean) / scale @ w[:-1] + w[-1], -30, 30)
+    return float(np.mean(np.log1p(np.exp(z)) - y * z))
+
+
+def _apart(sample: DataFrame, models: list[Model]) -> tuple[np.ndarray, np.ndarray]:
+    """Features and classes of the fitting texts, each by the model of its fold, in one order whatever the partitions."""
+    shared = sample.sparkSession.sparkContext.broadcast(models)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
@@ -287,12 +308,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, tuple] | None:
             x = np.stack([all_x[f][i] for i, f in enumerate(rows.column("fold").to_pylist())])
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("toxic"), *[pa.array(x[:, k]) for k in range(4)]], names=["doc_id", "toxic", "x0", "x1", "x2", "x3"])
 
-    found: pd.DataFrame = sample.mapInArrow(score, "doc_id long, toxic int, x0 double, x1 double, x2 double, x3 double").toArrow().to_pandas().sort_values("doc_id")
+    found: pd.DataFrame = sample.mapInArrow(score, "doc_id long, toxic int, x0 double, x1 double, x2 double, x3 double").toArrow().to_pandas().sort_values(["doc_id", "x0", "x1", "x2", "x3"])
     shared.destroy()
-    y = (found["toxic"] == 1).to_numpy(float)
-    if y.min() == y.max():
-        return None
-    return final, _logistic(found[["x0", "x1", "x2", "x3"]].to_numpy(), y)
+    return found[["x0", "x1", "x2", "x3"]].to_numpy(), (found["toxic"] == 1).to_numpy(float)
 
 
 def score_texts(docs: DataFrame, model: tuple[Model, tuple] | None) -> DataFrame:
@@ -322,5 +340,5 @@ def score_texts(docs: DataFrame, model: tuple[Model, tuple] | None) -> DataFrame
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir, "doc_id", "text")
     return score_texts(docs, fit(docs, table(spark, sf_dir, "labels")))
