@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import pieces, small_batches, table
+from .common import pieces, small_batches, texts
 
 #: Ranks of one bitmap leaf, as a power of two: with some 50,000 ranks both levels have a few hundred bits.
 LEAF_BITS = 8
@@ -294,5 +294,5 @@ def _worker(shared) -> ByteBPE:
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir, "doc_id", "text")
     return encode_decode(docs, load_ranks(P.path("byte_bpe_multi_50k.tiktoken")), P.PATTERN, keep_ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

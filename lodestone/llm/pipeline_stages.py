@@ -1,4 +1,15 @@
-"""The corpus pipeline's stages: each takes (spark, docs, sf_dir), each but the last returns documents' columns."""
+"""The corpus pipeline's stages: each takes (spark, docs, sf_dir), each but the last returns documents' columns.
+
+Rows, in every stage: null text counts as empty, texts of any length are read whole, nulls in other columns are
+carried, columns beyond those of documents are left out, and an empty table gives an empty one.
+
+* quality: a text of fewer than 50 words, so also an empty or null one, goes; repeated rows fare alike.
+* near duplicates: of repeated rows one stays, and of a group the least doc_id (null last, then by the text's hash); texts
+  without words link with nothing and all stay.
+* repeated text: repeated rows are copies and lose all; a text of which no word is left goes unless it lost nothing.
+* mix: rows without words are not taken; ties of id go by the text's hash, rows equal in both are rows of their own.
+* encoding: an empty text has no token; repeated rows are encoded alike.
+"""
 
 from __future__ import annotations
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _SPACE, mix, pieces, small_batches, span_hashes, table, words_of
+from .common import _SPACE, mix, pieces, small_batches, span_hashes, table, texts, words_of
 
 FIT_ROWS = 20_000
 MIN_WORDS = 50
@@ -229,7 +229,7 @@ def judge(df: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir, "doc_id", "text")
     small_batches(spark)
     scored = judge(docs.select("doc_id", "text"), fit(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", *COUNTS[:5], "base_failed", "kept")

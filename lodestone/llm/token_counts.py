@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import pieces, small_batches, table
+from .common import pieces, small_batches, texts
 
 TRIE_NODES = 1_000_000
 CACHE_ENTRIES = 400_000
@@ -133,4 +133,4 @@ def count_tokens(df: DataFrame, scores: dict[str, float], text: str = "text", ke
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
-    return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), load_pieces(P.path("piece_bpe_32k.model")), keep=["doc_id"])
+    return count_tokens(texts(spark, sf_dir, "doc_id", "text"), load_pieces(P.path("piece_bpe_32k.model")), keep=["doc_id"])

@@ -215,8 +215,9 @@ def test_token_counts_against_plain_search(spark, docs, rows, empty):
     words = {w.decode() for _, t in rows for w in WORD.findall((t or "").encode())}
     sample = sorted(words)[:1500] + ["中文字", "x" * 300]
     assert [trie.insert(MARK + w) for w in sample] == [plain(MARK + w) for w in sample]
-    got = count_tokens(docs, scores, keep=["doc_id"]).agg(F.sum("n_words"), F.count(F.lit(1))).first()
-    assert tuple(got) == (sum(len(WORD.findall((t or "").encode())) for _, t in rows), len(rows)) and count_tokens(empty, scores).count() == 0
+    known = {w: plain(MARK + w) for w in words | {w for w in ("x" * 400).split()}}
+    want = [(d, len(w), sum(known[x.decode()] for x in w)) for d, t in rows for w in [WORD.findall((t or "").encode())]]
+    assert ordered(count_tokens(docs, scores, keep=["doc_id"]).collect()) == ordered(want) and count_tokens(empty, scores).count() == 0
 
 
 def test_chat_layouts_and_round_trip(spark):
@@ -225,8 +226,15 @@ def test_chat_layouts_and_round_trip(spark):
     reg = c.default_registry()
     assert reg.turns({"conversations": [{"from": "human", "value": "a"}, {"from": "gpt", "value": None}]}) == [("user", "a"), ("assistant", "")]
     assert reg.turns({"instruction": "i", "input": "", "output": "o"}) == [("user", "i"), ("assistant", "o")]
-    with pytest.raises(ValueError, match="no mapping"):
-        reg.turns({"other": 1})
+    assert reg.turns({"messages": None}) == reg.turns({"conversations": []}) == []
+    odd = [('{"other": 1}', 7), ('{"messages": [{"role": "user", "content": "a"}, {"role": "user", "name": "n", "content": "b"}]}', 7), ("{}", 7), ("no json", 7), (None, 7), ('{"messages": null}', 7), ('{"question": "q<", "answer": "a"}', 7)]
+    out = c.format_records(spark.createDataFrame(odd, "record string, problem int"), reg).collect()
+    assert [r["problem"] is None for r in out] == [False, False, False, False, True, True, True]
+    assert c.parse(out[6]["formatted"]) == [("user", "q<"), ("assistant", "a")] and out[5]["formatted"] == "" and "no mapping" in out[0]["problem"]
+    samples = [{"prompt": "p", "response": "r"}, {"prompt": "p", "completion": "r"}, {"question": "p", "answer": "r"}, {"instruction": "p", "output": "r"}, {"instruction": "p", "input": "", "output": "r"}]
+    samples += [{"instruction": "p", "context": "", "response": "r", "category": "x"}, {"prompt": {"system": "", "user": "p"}, "response": "r"}, {"id": "1", "conversations": [{"from": "human", "value": "p"}, {"from": "gpt", "value": "r"}]}]
+    samples += [{"id": 1, "messages": [{"role": "user", "content": "p"}, {"role": "assistant", "content": "r"}]}, {"messages": [{"role": "user", "text": "p"}, {"role": "assistant", "text": "r"}]}, {"system": "", "conversations": [{"from": "human", "value": "p"}, {"from": "bot", "value": "r"}]}]
+    assert len({c.fingerprint(s) for s in samples}) == len(samples) and all(reg.turns(s) == [("user", "p"), ("assistant", "r")] for s in samples)
     turns = [("user", "</s>[INST] <|end|>\n &lt; &amp;lt; &#91;"), ("odd\nrole", ""), ("assistant", "<|turn|>é")]
     text, spans = c.render(turns)
     assert c.parse(text) == turns and [c.unescape(text[a:b]) for a, b in spans] == ["<|turn|>é"]
@@ -234,16 +242,25 @@ def test_chat_layouts_and_round_trip(spark):
     got = {r["conv_id"]: r for r in c.read_back(c.format_records(c.as_records(df), reg)).collect()}
     assert got[1]["n_turns"] == 3 and got[None]["loss_chars"] == 1
     assert c.as_records(df.limit(0)).count() == 0
+    many = spark.range(200).select(F.col("id").alias("conv_id"), F.lit(1).cast("long").alias("turn"), F.lit("user").alias("role"), F.lit("a").alias("text"))
+    many = many.unionByName(many.withColumns({"turn": F.lit(2).cast("long"), "role": F.lit("assistant")}))
+    import json
 
+    assert len({c.fingerprint(json.loads(r["record"])) for r in c.as_records(many).collect()}) == 4  # the query's records have four layouts
 
-def test_chat_query_against_sql(spark):
+
+@pytest.mark.parametrize("name", ["op2_suffix_dedup", "op4_chat_format", "op8_jaccard_join"])
+def test_queries_against_sql(spark, name):
     import duckdb
 
-    from lodestone.llm.chat_format import OP4_SQL, op4_chat_format
+    from lodestone.llm.queries import ORACLE_SQL, QUERIES
 
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")
-    assert ordered(op4_chat_format(spark, SF).collect()) == ordered(con.sql(OP4_SQL).fetchall())
+    for t in ("conversations", "documents"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got, want = QUERIES[name](spark, SF), con.sql(ORACLE_SQL[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    assert ordered(got.select(*want.columns).collect()) == ordered(want.fetchall())
 
 
 def test_token_shards(spark, docs, rows, empty, tmp_path):
@@ -259,7 +276,7 @@ def test_token_shards(spark, docs, rows, empty, tmp_path):
     tokens = materialize(tokenise(docs, ranks, P.PATTERN, 50256), "tokens")
     out = training_rows(tokens, length=64, shard_rows=100, pad=50256)
     found = out.orderBy("slot").collect()
-    parts = tokens.orderBy("part", "start").collect()
+    parts = tokens.orderBy("file", "first", "start").collect()
     stream = b"".join(r["ids"] for r in parts)
     assert [r["slot"] for r in found] == list(range(-(-len(stream) // 128)))
     for r in found:

@@ -153,3 +153,90 @@ def test_hashes_of_texts_that_sums_of_powers_confuse(spark):
     start, end = np.array([0, 4096, 0, 1]), np.array([4096, 8192, 2048, 2049])
     for h in (span_hashes(data, start, end), Windows(data).spans(start, end)):
         assert len(set(h.tolist())) == 4
+
+
+def test_pipeline_against_brute_force(spark):
+    """run() against plain versions of its five stages, in order."""
+    import re
+    import sys
+    from collections import Counter
+    from pathlib import Path
+
+    import public_tokenizers as P
+    import tiktoken
+    from pyspark.sql import functions as F
+
+    sys.path.insert(0, str(Path(__file__).parent))
+    from test_llm import components, ordered
+
+    import corpus_pipeline
+    from lodestone.llm import mixing as m
+    from lodestone.llm import quality_rules as q
+    from lodestone.llm.byte_bpe import load_ranks
+
+    word = re.compile(rb"[^\x20\x09-\x0D]+")
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = {r["doc_id"]: (r["text"], r["source"]) for r in table.collect()}
+    # 1: base rules, and the learned list read rule by rule
+    rules = q.fit(table, spark.read.parquet(f"{SF}/labels.parquet"))
+    counts = {r["doc_id"]: r.asDict() for r in q.with_counts(table.select("doc_id", "text")).collect()}
+    kept = []
+    for d, c in counts.items():
+        ratio = {name: c[a] / max(c[b], 1) for name, a, b in q.RATIOS}
+        low = any(all(ratio[n] >= at if op == ">=" else ratio[n] <= at for n, op, at in rule) for rule in rules)
+        if c["n_words"] >= 50 and 100 * c["n_repeat_words"] <= 50 * c["n_words"] and not low:
+            kept.append(d)
+    # 2
+    kept = [d for d, _, c in components([(d, docs[d][0]) for d in kept], 5, 80) if d == c]
+    # 3
+    raw, seen, texts = {d: docs[d][0].encode() for d in kept}, Counter(), {}
+    for t in raw.values():
+        seen.update(t[i : i + 200] for i in range(len(t) - 199))
+    for d, t in raw.items():
+        gone = bytearray(len(t))
+        for i in range(len(t) - 199):
+            if seen[t[i : i + 200]] > 1:
+                gone[i : i + 200] = b"\1" * 200
+        left = bytes(c for c, g in zip(t, gone) if not g).decode("utf-8", "ignore")
+        if left == docs[d][0] or word.search(left.encode()):
+            texts[d] = left
+    # 4: each source in the order of its hashes, full passes and one in part
+    frame = spark.createDataFrame([(d, t) for d, t in texts.items()], "doc_id long, text string")
+    order = {r["doc_id"]: r["h"] for r in frame.select("doc_id", F.xxhash64(F.lit(6), "doc_id", F.xxhash64("text")).alias("h")).collect()}
+    size = {d: len(word.findall(t.encode())) for d, t in texts.items()}
+    sources = sorted({docs[d][1] for d in texts}, key=str.encode)
+    total = {s: sum(size[d] for d in texts if docs[d][1] == s) for s in sources}
+    goals = m.targets([total[s] for s in sources], [(5, 2, 1)[i % 3] for i in range(len(sources))])
+    want = []
+    bpe = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=load_ranks(P.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    for s, goal in zip(sources, goals):
+        full, before = int(goal // total[s]), 0
+        for d in sorted((d for d in texts if docs[d][1] == s), key=lambda d: (order[d] % m.BUCKETS, order[d])):
+            copies = full + (before + size[d] / 2 <= goal - full * total[s])
+            before += size[d]
+            ids = bpe.encode_ordinary(texts[d])
+            # 5
+            row = (d, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(texts[d].encode()).hexdigest())
+            want += [row] * (copies if size[d] else 0)
+    got = corpus_pipeline.run(spark, SF).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    assert ordered(got) == ordered(want) and len(want) > 50
+
+
+def test_shards_do_not_depend_on_file_splits(spark, tmp_path):
+    import public_tokenizers as P
+
+    from lodestone.llm.byte_bpe import load_ranks
+    from lodestone.llm.common import materialize
+    from lodestone.llm.token_shards import in_file_order, tokenise, training_rows
+
+    spark.read.parquet(f"{SF}/documents.parquet").repartition(3).write.option("parquet.block.size", 20_000).parquet(str(tmp_path / "d"))
+    ranks, found = load_ranks(P.path("byte_bpe_multi_50k.tiktoken")), []
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for most in ("30000", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+            tokens = materialize(tokenise(in_file_order(spark.read.parquet(str(tmp_path / "d"))), ranks, P.PATTERN, 50256), "tokens")
+            found.append([tuple(r) for r in training_rows(tokens, length=64, shard_rows=100, pad=50256).select("slot", "ids").orderBy("slot").collect()])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert found[0] == found[1] and len(found[0]) > 100
