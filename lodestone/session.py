@@ -6,7 +6,7 @@ import os
 
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 
@@ -34,6 +34,16 @@ def get_session(app: str = "lodestone", cpus: int | None = None, shuffle_partiti
     return spark
 
 
+def widen(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores.
+
+    Only a table of fewer file splits than cores is dealt anew (one row group is one task, whatever its work); a
+    large table is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ship(spark: SparkSession) -> None:
     """Sends the package to executors that can't import it, once for each application."""
     import io
