@@ -6,7 +6,6 @@ import hashlib
 import os
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +22,8 @@ BINARY_PROBE = 8192
 def glob_regex(pattern: str) -> str:
     """A gitignore-style pattern (no negation) as a regular expression over paths with / between parts.
 
+    `*`, `**`, `?`, classes such as [a-z] and [!0-9], and escapes count.
+
     A pattern with a slash inside is anchored at the root; one that ends in / matches directories
     and so whatever lies below.
     """
@@ -40,6 +41,12 @@ def glob_regex(pattern: str) -> str:
             out, i = out + "[^/]*", i + 1
         elif body[i] == "?":
             out, i = out + "[^/]", i + 1
+        elif body[i] == "[" and (end := body.find("]", i + 2 + (body[i + 1 : i + 2] in ("!", "^")))) > 0:
+            inside = body[i + 1 : end].replace("\\", "\\\\").replace("[", "\\[").replace("&&", "&\\&")
+            negated = inside[:1] in ("!", "^")
+            out, i = out + ("[^/" if negated else "(?!/)[") + inside[negated:] + "]", end + 1
+        elif body[i] == "\\" and i + 1 < len(body):
+            out, i = out + re.escape(body[i + 1]), i + 2
         else:
             out, i = out + re.escape(body[i]), i + 1
     return ("^" if anchored else "(?:^|/)") + out + ("/" if below else "(?:/|$)")
@@ -79,20 +86,25 @@ def mime_type(path: Column) -> Column:
     return F.coalesce(F.try_element_at(known, suffix(path)), F.lit("text/plain"))
 
 
-def idempotency_key(root: Column, path: Column, size: Column, mtime_ns: Column) -> Column:
-    """SHA-256 of root, case-folded path, size and time. lower() stands for case folding: they differ
-    only for letters such as the sharp s; casefolded() is exact."""
-    return F.sha2(F.concat_ws("\0", root.cast("string"), F.lower(path), size.cast("string"), mtime_ns.cast("string")), 256)
+def _folds() -> list[tuple[str, str]]:
+    """Letters whose case folding isn't their lower case: a few hundred, by Python's Unicode tables."""
+    return [(c.lower(), c.casefold()) for c in map(chr, range(0x80, 0x1E944)) if c.lower() != c.casefold() and len(c.lower()) == 1 and c.lower().lower() == c.lower()]
 
 
 def casefolded(path: Column) -> Column:
-    """Exact case folding, in Arrow batches; made when called, so that workers can import this module."""
+    """Case folding on the JVM: lower case and, in paths beyond ASCII, the letters that fold further."""
+    out = F.lower(path)
+    one = {a: b for a, b in _folds() if len(b) == 1}
+    further = F.translate(out, "".join(one), "".join(one.values()))
+    for a, b in _folds():
+        if len(b) > 1:
+            further = F.replace(further, F.lit(a), F.lit(b))
+    return F.when(path.rlike(r"[^\x00-\x7F]"), further).otherwise(out)
 
-    @F.pandas_udf("string")
-    def fold(values: pd.Series) -> pd.Series:
-        return values.str.casefold()
 
-    return fold(path)
+def idempotency_key(root: Column, path: Column, size: Column, mtime_ns: Column) -> Column:
+    """SHA-256 of root, case-folded path, size and time, as key_of() gives it."""
+    return F.sha2(F.concat_ws("\0", root.cast("string"), casefolded(path), size.cast("string"), mtime_ns.cast("string")), 256)
 
 
 def key_of(root: str, path: str, size: int, mtime_ns: int) -> str:

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TOKEN = r"[\p{L}\p{N}]+"
+NOT_TOKEN = r"[^\p{L}\p{N}]+"
 #: Default weight of a lexeme in cover-density ranking (fixed value).
 WEIGHT = 0.1
 #: Trigram similarity above which a path matches (fixed value).
@@ -19,7 +19,7 @@ LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 
 def tokens(text: Column) -> Column:
     """Lower-cased letter and digit runs, in order."""
-    return F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"), F.lit(1))
+    return F.array_remove(F.split(F.lower(text), NOT_TOKEN, -1), "")
 
 
 def lines(text: Column) -> Column:
@@ -91,24 +91,44 @@ def matches(token_list: Column, branches: list[Branch]) -> Column:
     return out
 
 
-def cover_density(docs: DataFrame, key: str, token_column: str, terms: list[str]) -> DataFrame:
-    """(key, rank): the sum over minimal covers of all terms of WEIGHT / (1 + other words inside).
+def places(token_list: Column, terms: list[str]) -> Column:
+    """(pos, term) of each occurrence of a term."""
+    marked = F.transform(token_list, lambda t, i: F.struct(i.alias("pos"), t.alias("term")))
+    return F.filter(marked, lambda m: m["term"].isin(terms))
+
+
+def cover_ranks(rows: DataFrame, key: str, branches: list[list[str]], carry: list[str] = ()) -> DataFrame:
+    """(key, carry, rank). rows: key, carry (one value a key), pos, term; a key without places has one row with nulls.
 
-    For each occurrence the latest place of every term up to it gives the cover that ends there;
-    of covers with one beginning the shortest counts. Only places of query terms leave the scan.
+    Rank: over the branches, the sum over minimal covers of all terms of WEIGHT / (1 + other words
+    inside). For each occurrence the latest place of every term up to it gives the cover that ends there; these covers
+    begin later and later, and of those with one beginning the first, the shortest, counts. One shuffle
+    by key serves all branches.
     """
-    hits = docs.select(key, F.posexplode(token_column).alias("pos", "term")).where(F.col("term").isin(terms))
-    if len(terms) == 1:
-        return hits.groupBy(key).agg((F.count(F.lit(1)) * F.lit(WEIGHT)).alias("rank"))
-    upto = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    hits = hits.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy("pos")))
-    latest = [F.last(F.when(F.col("term") == t, F.struct("pos", "nth")), ignorenulls=True).over(upto) for t in terms]
-    seen = hits.select(key, "pos", "nth", *[c.alias(f"_t{i}") for i, c in enumerate(latest)])
-    names = [F.col(f"_t{i}") for i in range(len(terms))]
-    full = seen.where(" AND ".join(f"_t{i} IS NOT NULL" for i in range(len(terms)))).withColumn("b", F.least(*names))
-    covers = full.groupBy(key, "b").agg(F.min(F.struct("pos", "nth")).alias("e"))
-    noise = (F.col("e.pos") - F.col("b.pos") + 1) - (F.col("e.nth") - F.col("b.nth") + 1)
-    return covers.groupBy(key).agg(F.sum(F.lit(WEIGHT) / (F.lit(1) + noise)).alias("rank"))
+    order = Window.partitionBy(key).orderBy("pos")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    terms = list(dict.fromkeys(t for b in branches for t in b))
+    rows = rows.withColumn("_nth", F.row_number().over(order))
+    for i, t in enumerate(terms):
+        rows = rows.withColumn(f"_t{i}", F.last(F.when(F.col("term") == t, F.struct("pos", "_nth")), ignorenulls=True).over(upto))
+    part = F.lit(0.0)
+    for j, branch in enumerate(branches):
+        ends = [F.col(f"_t{terms.index(t)}") for t in branch]
+        full = ends[0].isNotNull()
+        for e in ends[1:]:
+            full = full & e.isNotNull()
+        rows = rows.withColumn(f"_b{j}", F.when(full, F.least(*ends) if len(ends) > 1 else ends[0]))
+        rows = rows.withColumn(f"_p{j}", F.lag(f"_b{j}").over(order))
+        begin = F.col(f"_b{j}")
+        noise = (F.col("pos") - begin["pos"]) - (F.col("_nth") - begin["_nth"])
+        part = part + F.when(begin.isNotNull() & ~begin.eqNullSafe(F.col(f"_p{j}")), F.lit(WEIGHT) / (F.lit(1) + noise)).otherwise(0.0)
+    return rows.groupBy(key).agg(*[F.first(c).alias(c) for c in carry], F.sum(part).alias("rank"))
+
+
+def cover_density(docs: DataFrame, key: str, token_column: str, terms: list[str]) -> DataFrame:
+    """(key, rank) of docs in which all terms occur. Only places of query terms leave the scan."""
+    hits = docs.select(key, F.explode(places(F.col(token_column), terms)).alias("m")).select(key, "m.pos", "m.term")
+    return cover_ranks(hits, key, [terms]).where("rank > 0")
 
 
 def trigrams(text: Column) -> Column:

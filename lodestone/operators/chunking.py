@@ -13,6 +13,7 @@ from lodestone.functions import paths as px
 from lodestone.functions import text as tx
 
 # Sizes and patterns.
+KINDS = ("markdown_section", "code_symbol", "line_window")
 WINDOW_LINES = 100
 MAX_CHARS = 6000
 OVERLAP_LINES = 8
@@ -34,7 +35,7 @@ def line_windows(docs: DataFrame, key: str, text: str = "text", size: int = WIND
     rows = docs.select(key, tx.lines(F.col(text)).alias("all")).where(F.size("all") > 0)
     rows = rows.select(key, "all", F.posexplode(F.sequence(F.lit(1), F.size("all"), F.lit(size))).alias("chunk_index", "start_line"))
     block = F.slice("all", F.col("start_line"), F.lit(size))
-    return rows.select(key, "chunk_index", F.lit("text").alias("chunk_type"), F.lit(None).cast("string").alias("heading_path"), F.lit(None).cast("string").alias("symbol_name"), "start_line", (F.col("start_line") + F.size(block) - 1).alias("end_line"), F.array_join(block, "\n").alias("content"))
+    return rows.select(key, "chunk_index", F.lit(KINDS[2]).alias("chunk_type"), F.lit(None).cast("string").alias("heading_path"), F.lit(None).cast("string").alias("symbol_name"), "start_line", (F.col("start_line") + F.size(block) - 1).alias("end_line"), F.array_join(block, "\n").alias("content"))
 
 
 def markdown_sections(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -56,7 +57,7 @@ def markdown_sections(docs: DataFrame, key: str, text: str = "text") -> DataFram
     content = F.btrim(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit(BLANKS))
     parts = parts.withColumn("content", content).where(F.col("content") != "")
     index = F.row_number().over(Window.partitionBy(key).orderBy("section")) - 1
-    return parts.select(key, index.alias("chunk_index"), F.lit("markdown").alias("chunk_type"), F.when(F.col("section") > 0, F.col("path")).alias("heading_path"), F.lit(None).cast("string").alias("symbol_name"), "start_line", "end_line", "content")
+    return parts.select(key, index.alias("chunk_index"), F.lit(KINDS[0]).alias("chunk_type"), F.when(F.col("section") > 0, F.col("path")).alias("heading_path"), F.lit(None).cast("string").alias("symbol_name"), "start_line", "end_line", "content")
 
 
 def symbol_of(line: Column) -> Column:
@@ -76,7 +77,7 @@ def code_symbols(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     nexts = F.concat(F.transform(F.slice("m", F.lit(2), F.size("m")), lambda x: x["n"]), F.array(F.size("all") + 1))
     rows = rows.select(key, "all", F.posexplode(F.arrays_zip(F.col("m"), nexts.alias("after"))).alias("chunk_index", "z"))
     start, end = F.col("z.m.n"), F.greatest(F.col("z.m.n"), F.col("z.after") - 1)
-    return rows.select(key, "chunk_index", F.lit("code").alias("chunk_type"), F.lit(None).cast("string").alias("heading_path"), F.col("z.m.s").alias("symbol_name"), start.alias("start_line"), end.alias("end_line"), F.array_join(F.slice("all", start, end - start + 1), "\n").alias("content"))
+    return rows.select(key, "chunk_index", F.lit(KINDS[1]).alias("chunk_type"), F.lit(None).cast("string").alias("heading_path"), F.col("z.m.s").alias("symbol_name"), start.alias("start_line"), end.alias("end_line"), F.array_join(F.slice("all", start, end - start + 1), "\n").alias("content"))
 
 
 def windows_of(lengths: list[int], max_chars: int = MAX_CHARS, overlap: int = OVERLAP_LINES, cascade: bool = True) -> list[tuple[int, int]]:
@@ -122,8 +123,11 @@ def split_long(chunks: DataFrame, keys: list[str], max_chars: int = MAX_CHARS, c
 
 
 def chunk_documents(docs: DataFrame, key: str, path: str = "path", text: str = "text") -> DataFrame:
-    """Each document by its suffix: Markdown sections, code symbols (both bounded) or line windows."""
-    kind = px.suffix(F.col(path))
+    """Each document by its suffix: Markdown sections, code symbols (both bounded) or line windows.
+
+    language is a code file's suffix, metadata what is known of the symbol. A null path counts as one without suffix.
+    """
+    kind = F.coalesce(px.suffix(F.col(path)), F.lit(""))
     marked = docs.select(key, F.col(text).alias("text"), kind.alias("suffix"))
     is_md, is_code = F.col("suffix").isin(px.MARKDOWN), F.col("suffix").isin([s for s in px.SUPPORTED if s not in px.NOT_CODE])
     parts = markdown_sections(marked.where(is_md), key).unionByName(code_symbols(marked.where(is_code), key))
@@ -132,11 +136,27 @@ def chunk_documents(docs: DataFrame, key: str, path: str = "path", text: str = "
     order = Window.partitionBy(key).orderBy("chunk_index", "piece")
     bounded = bounded.withColumn("chunk_index", F.row_number().over(order) - 1).select(key, *CHUNK)
     out = bounded.unionByName(line_windows(marked.where(~is_md & ~is_code), key).select(key, *CHUNK))
+    code = F.col("chunk_type") == KINDS[1]
+    out = out.join(marked.where(is_code).select(F.col(key).alias("_key"), F.ltrim("suffix", F.lit(".")).alias("language")), F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+    out = out.withColumn("metadata", F.when(code, F.create_map(F.lit("symbol_type"), F.lit("symbol"))).otherwise(F.create_map().cast("map<string,string>")))
     return out.withColumn("content_hash", F.sha2("content", 256)).withColumn("token_estimate", tx.token_estimate(F.col("content")))
 
 
 def frontmatter(text: Column) -> Column:
-    """A map of the `key: value` lines between --- lines at the start; empty without them."""
-    head = F.regexp_extract(text, r"^---\s*\n([\s\S]*?)\n---\s*(?:\n|$)", 1)
-    pairs = F.filter(F.split(head, "\n"), lambda x: x.contains(":"))
-    return F.map_from_entries(F.transform(pairs, lambda x: F.struct(F.trim(F.split(x, ":", 2)[0]), F.trim(F.split(x, ":", 2)[1]))))
+    """A map of the `key: value` lines between --- lines at the start; empty without them.
+
+    Of YAML: plain and quoted scalars, `[a, b]` lists and `- item` lists below a key; a list is kept as a JSON array.
+    """
+    head = F.regexp_extract(text, r"^---[ \t]*\r?\n([\s\S]*?)\n---[ \t]*(?:\r?\n|$)", 1)
+    joined = F.regexp_replace(head, r"\r?\n[ \t]*- +", "\x01")  # items of a block list come behind their key
+    pairs = F.filter(F.split(joined, r"\r?\n"), lambda x: x.rlike(r"^[^\s#:][^:]*:"))
+
+    def plain(x: Column) -> Column:
+        return F.regexp_replace(F.trim(x), "^(['\"])(.*)\\1$", "$2")
+
+    def value(x: Column) -> Column:
+        items = F.when(x.startswith("\x01"), F.split(F.substring(x, F.lit(2), F.length(x)), "\x01"))
+        items = F.coalesce(items, F.when(x.rlike(r"^\[.*\]$"), F.filter(F.split(F.regexp_extract(x, r"^\[(.*)\]$", 1), ","), lambda i: F.trim(i) != "")))
+        return F.when(items.isNotNull(), F.to_json(F.transform(items, plain))).otherwise(plain(x))
+
+    return F.map_from_entries(F.transform(pairs, lambda x: F.struct(F.trim(F.split(x, ":", 2)[0]), value(F.trim(F.split(x, ":", 2)[1])))))

@@ -18,14 +18,28 @@ def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFram
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
-def tree(df: DataFrame, group: str, item: str, limit: int, children: int = 250) -> DataFrame:
-    """The first `limit` items by name under their groups, with the flag that says the limit was met."""
+def tree(df: DataFrame, group: str, item: str, limit: int = 2000, children: int = 250, project: str | None = None) -> DataFrame:
+    """The first `limit` items by name under their groups, with the flag that says the limit was met.
+
+    project: only this group.
+    """
+    if not 1 <= limit <= 5000:
+        raise ValueError("limit must be between 1 and 5000")
+    if project is not None:
+        df = df.where(F.col(group) == project)
     first = df.select(group, item).orderBy(item, group).limit(limit)
     total = first.agg((F.count(F.lit(1)) == limit).alias("truncated"))
     grouped = first.groupBy(group).agg(F.slice(F.array_sort(F.collect_list(item)), 1, children).alias("items"))
     return grouped.crossJoin(total)  # one row
 
 
+def timeline(events: DataFrame, limit: int = 100) -> DataFrame:
+    """The latest events, ties by id. events: ts, event_id."""
+    if not 1 <= limit <= 500:
+        raise ValueError("limit must be between 1 and 500")
+    return events.orderBy(F.desc("ts"), F.desc("event_id")).limit(limit)
+
+
 def oldest_age_seconds(jobs: DataFrame, now: Column) -> DataFrame:
     age = (F.unix_micros(now) - F.unix_micros(F.min("created_at"))) / 1_000_000
     return jobs.where(F.col("status") == "pending").agg(F.coalesce(age, F.lit(0.0)).alias("oldest_pending_seconds"))

@@ -21,13 +21,20 @@ def bounded(name: str, value: int, low: int, high: int) -> int:
     return value
 
 
-def filtered(chunks: DataFrame, project: str | None = None, path_prefix: str | None = None) -> DataFrame:
+#: What a result says about why it was found (fixed values).
+REASONS = ("keyword/path match", "semantic similarity")
+MODES = ("keyword", "hybrid", "path", "symbol", "semantic")
+
+
+def filtered(chunks: DataFrame, project: str | None = None, path_prefix: str | None = None, source_root: str | None = None) -> DataFrame:
     """Active chunks; a predicate exists only where its argument is given, so it can be pushed down."""
     out = chunks.where(F.col("state") == "active") if "state" in chunks.columns else chunks
+    if source_root is not None:
+        out = out.where(F.col("source_root") == source_root)
     if project is not None:
         out = out.where(F.col("project") == project)
     if path_prefix is not None:
-        out = out.where(F.lower("path").like(F.lower(F.lit(tx.like_literal(path_prefix) + "%"))))
+        out = out.where(F.lower("path").like(tx.like_literal(path_prefix).lower() + "%"))
     return out
 
 
@@ -48,24 +55,22 @@ def lexical(chunks: DataFrame, query: str, limit: int) -> DataFrame:
     lowered = query.lower()
     like = tx.like_literal(lowered)
     text = F.concat_ws(" ", F.coalesce("heading", F.lit("")), F.coalesce("symbol", F.lit("")), "content") if "heading" in chunks.columns else F.col("content")
-    base = chunks.select("chunk_id", "path", "symbol", tx.tokens(text).alias("toks"))
+    terms = list(dict.fromkeys(t for b in branches for t in b.terms))
+    maybe = F.lit(False)  # a text without any term as a substring isn't cut into tokens
+    for t in terms:
+        maybe = maybe | F.lower(text).contains(t)
+    if any(not b.terms for b in branches):
+        maybe = F.lit(True)
+    base = chunks.select("chunk_id", "path", "symbol", F.when(maybe, tx.tokens(text)).alias("toks"))
     wanted = tx.trigrams(F.lit(query))
     scored = base.select(
-        "chunk_id", "toks", tx.matches(F.col("toks"), branches).alias("hit"),
+        "chunk_id", "toks", F.coalesce(tx.matches(F.col("toks"), branches), F.lit(False)).alias("hit"),
         F.lower("path").like(f"{like}%").cast("int").alias("path_match"), F.lower("path").like(f"%{like}%").alias("inside"),
         tx.similarity(tx.trigrams(F.col("path")), wanted).alias("similarity"), (F.lower(F.coalesce("symbol", F.lit(""))) == lowered).alias("named"),
     ).where(F.col("hit") | F.col("inside") | (F.col("similarity").cast("double") > tx.SIMILARITY_CUT) | F.col("named"))
-    ranks = None
-    for b in branches:
-        if b.terms:
-            one = tx.cover_density(scored.where("hit"), "chunk_id", "toks", b.terms)
-            ranks = one if ranks is None else ranks.unionByName(one)
-    hits = scored.drop("toks", "hit", "inside", "named")
-    if ranks is None:
-        hits = hits.withColumn("lexical_rank", F.lit(0.0))
-    else:
-        ranks = ranks.groupBy("chunk_id").agg(F.sum("rank").alias("lexical_rank"))
-        hits = hits.join(ranks, "chunk_id", "left").fillna(0.0, ["lexical_rank"])
+    found = F.explode_outer(F.when(F.col("hit"), tx.places(F.col("toks"), terms)))
+    rows = scored.select("chunk_id", "path_match", "similarity", found.alias("m")).select("chunk_id", "path_match", "similarity", "m.pos", "m.term")
+    hits = tx.cover_ranks(rows, "chunk_id", [b.terms for b in branches if b.terms], ["path_match", "similarity"]).withColumnRenamed("rank", "lexical_rank")
     order = [F.desc("path_match"), F.round("lexical_rank", 9).desc(), F.desc("similarity"), F.asc("chunk_id")]
     return hits.orderBy(*order).limit(limit).withColumn("lex_rank", F.row_number().over(Window.orderBy(*order)))
 
@@ -81,17 +86,21 @@ def nearest(embeddings: DataFrame, query: Column, limit: int, revision: str | No
 
 def fuse(lex: DataFrame, vec: DataFrame, top_k: int) -> DataFrame:
     """Reciprocal rank fusion of two short ranked lists; ties keep lexical hits first, in rank order."""
-    both = lex.select("chunk_id", "lex_rank").join(vec.select("chunk_id", "score", "vec_rank"), "chunk_id", "full_outer")
+    both = lex.select("chunk_id", "lex_rank", *[c for c in ("lexical_rank",) if c in lex.columns]).join(vec.select("chunk_id", "score", "vec_rank"), "chunk_id", "full_outer")
     part = lambda rank: F.coalesce(1.0 / (RRF + F.col(rank)), F.lit(0.0))
-    reasons = F.array_compact(F.array(F.when(F.col("lex_rank").isNotNull(), "lexical"), F.when(F.col("vec_rank").isNotNull(), "semantic")))
+    reasons = F.array_compact(F.array(F.when(F.col("lex_rank").isNotNull(), REASONS[0]), F.when(F.col("vec_rank").isNotNull(), REASONS[1])))
     fused = both.withColumn("fused", part("lex_rank") + part("vec_rank")).withColumn("match_reason", reasons)
     order = [F.desc("fused"), F.asc_nulls_last("lex_rank"), F.asc_nulls_last("vec_rank"), F.asc("chunk_id")]
     return fused.orderBy(*order).limit(top_k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def search(chunks: DataFrame, embeddings: DataFrame | None, query: str, vector: Column | None, mode: str = "hybrid", top_k: int = 10, minimum: float = MIN_SIMILARITY, **filters) -> DataFrame:
+def search(chunks: DataFrame, embeddings: DataFrame | None, query: str, vector: Column | None, mode: str = "hybrid", top_k: int = 10, minimum: float = MIN_SIMILARITY, revision: str | None = None, **filters) -> DataFrame:
     """One search. keyword, path and symbol run the lexical leg, semantic the vector leg, hybrid both;
-    without a query vector the vector leg is left out."""
+    without a query vector the vector leg is left out. filters: as filtered() takes them."""
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {MODES}")
+    if not -1 <= minimum <= 1:
+        raise ValueError("minimum must be between -1 and 1")
     bounded("query length", len(query), 1, 500)
     bounded("top_k", top_k, 1, 100)
     chunks = filtered(chunks, **filters)
@@ -101,14 +110,42 @@ def search(chunks: DataFrame, embeddings: DataFrame | None, query: str, vector:
     if vector is None or embeddings is None or mode not in ("semantic", "hybrid"):
         vec = lex.select("chunk_id", F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("vec_rank")).limit(0)
     else:
-        vec = nearest(embeddings.join(chunks.select("chunk_id"), "chunk_id", "left_semi"), vector, OVERFETCH * top_k, minimum=minimum)
+        vec = nearest(embeddings.join(chunks.select("chunk_id"), "chunk_id", "left_semi"), vector, OVERFETCH * top_k, revision, minimum)
     return fuse(lex, vec, top_k)
 
 
 def present(results: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Results with title, snippet and citation."""
-    kept = chunks.select("chunk_id", "path", "content", "symbol", F.coalesce(F.nullif("heading", F.lit("")), "symbol").alias("title"), "start_line", "end_line")
-    return results.join(kept, "chunk_id").select("rank", "chunk_id", "title", F.substring("content", 1, SNIPPET).alias("snippet"), "fused", "match_reason", F.format_string("%s:L%d-L%d", "path", "start_line", "end_line").alias("citation"))
+    """Results with the file's name as title, heading or symbol, snippet and provenance.
+
+    chunks: chunk_id, path, content, heading, symbol, start_line, end_line, and what there is of document_id,
+    version_id, source_root, canonical_path, content_hash and detected_at; the rest is null.
+    """
+    have = set(chunks.columns)
+    at = lambda c: F.col(c) if c in have else F.lit(None).cast("string")
+    heading = F.coalesce(F.nullif("heading", F.lit("")), F.nullif("symbol", F.lit("")))
+    provenance = F.struct(
+        at("document_id").alias("document_id"), at("version_id").alias("version_id"), "chunk_id", at("source_root").alias("source_root"), at("canonical_path").alias("canonical_path"),
+        F.col("path").alias("relative_path"), "start_line", "end_line", at("content_hash").alias("content_hash"), at("detected_at").cast("string").alias("indexed_timestamp"),
+    )
+    kept = chunks.select(
+        "chunk_id", F.substring_index("path", "/", -1).alias("title"), heading.alias("heading_or_symbol"), F.substring("content", 1, SNIPPET).alias("snippet"), provenance.alias("provenance"),
+        F.format_string("%s:L%d-L%d", "path", "start_line", "end_line").alias("citation"),
+    )
+    scores = [c for c in ("lexical_rank", "score") if c in results.columns]
+    return results.join(kept, "chunk_id").select("rank", "chunk_id", "title", "heading_or_symbol", "snippet", *scores, F.col("fused").alias("fused_rank"), "match_reason", "provenance", "citation")
+
+
+def rag_context(chunks: DataFrame, embeddings: DataFrame | None, query: str, vector: Column | None, top_k: int = 5, max_chars: int = 12_000, **filters) -> DataFrame:
+    """Snippets of a hybrid search, best first, for as long as they fit."""
+    bounded("top_k", top_k, 1, 30)
+    results = search(chunks, embeddings, query, vector, "hybrid", top_k, **filters)
+    return pack_context(results.join(chunks.select("chunk_id", "content"), "chunk_id"), max_chars)
+
+
+def query_log(results: DataFrame, query: str, mode: str, duration_ms: int) -> DataFrame:
+    """One row for the search log: the query's hash, never its words."""
+    counted = results.agg(F.count(F.lit(1)).cast("int").alias("result_count"))
+    return counted.select(F.sha2(F.lit(query), 256).alias("query_hash"), F.lit(mode).alias("mode"), "result_count", F.lit(duration_ms).alias("duration_ms"))
 
 
 def confidence(results: DataFrame) -> DataFrame:
@@ -118,8 +155,9 @@ def confidence(results: DataFrame) -> DataFrame:
 
 
 def pack_context(results: DataFrame, max_chars: int) -> DataFrame:
-    """The longest run of results from the first on whose texts fit. results: rank, content (few rows)."""
-    running = F.sum(F.char_length("content").cast("long")).over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    """The longest run of results from the first on whose snippets fit. results: rank, content (few rows)."""
+    bounded("max_chars", max_chars, 1000, 100_000)
+    running = F.sum(F.char_length(F.substring("content", 1, SNIPPET)).cast("long")).over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
     return results.withColumn("running_chars", running).where(F.col("running_chars") <= max_chars)
 
 

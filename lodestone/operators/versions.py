@@ -44,13 +44,25 @@ def metadata(parsed: Column, overlay: dict[str, Column]) -> Column:
     return F.map_concat(F.map_filter(parsed, lambda k, _: ~k.isin(list(overlay))), own)
 
 
-def restore_check(snapshot: dict[str, DataFrame], restored: dict[str, DataFrame], links: list[tuple[str, str, str, str]]) -> DataFrame:
-    """A row for each table (rows on both sides) and link (child rows without a parent)."""
+def table_sums(tables: dict[str, DataFrame]) -> DataFrame:
+    """A row for each table: rows, and a sum over all rows that doesn't depend on their order."""
     out = None
-    for name, df in snapshot.items():
-        a, b = df.agg(F.count(F.lit(1)).alias("expected")), restored[name].agg(F.count(F.lit(1)).alias("found"))
-        row = a.crossJoin(b).select(F.lit(f"rows:{name}").alias("check"), "expected", "found")  # two one-row tables
+    for name, df in tables.items():
+        total = F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")), F.lit(0)).cast("string")
+        row = df.agg(F.count(F.lit(1)).alias("rows"), total.alias("content_sum")).select(F.lit(name).alias("table"), "rows", "content_sum")
         out = row if out is None else out.unionByName(row)
+    return out
+
+
+def restore_check(manifest: DataFrame, restored: dict[str, DataFrame], links: list[tuple[str, str, str, str]]) -> DataFrame:
+    """A row for each table's rows and content against a manifest as table_sums() or a backup gives it, and for each
+    link (child rows without a parent)."""
+    named = manifest.select("table", "rows", "content_sum")
+    names = [r["table"] for r in manifest.select("table").collect()]  # one row a table
+    sums = table_sums({n: restored[n] for n in names}).select("table", F.col("rows").alias("found"), F.col("content_sum").alias("sum"))
+    both = named.join(sums, "table")
+    out = both.select(F.concat(F.lit("rows:"), "table").alias("check"), F.col("rows").alias("expected"), "found")
+    out = out.unionByName(both.select(F.concat(F.lit("content:"), "table").alias("check"), F.lit(1).cast("long").alias("expected"), (F.col("content_sum") == F.col("sum")).cast("long").alias("found")))
     for child, ckey, parent, pkey in links:
         lost = restored[child].select(ckey).join(restored[parent].select(F.col(pkey).alias(ckey)), ckey, "left_anti").agg(F.count(F.lit(1)).alias("found"))
         out = out.unionByName(lost.select(F.lit(f"link:{child}.{ckey}").alias("check"), F.lit(0).cast("long").alias("expected"), "found"))

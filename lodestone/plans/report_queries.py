@@ -42,10 +42,10 @@ _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
 @query(f"""WITH a AS ({_LINES}), b AS (SELECT doc_id, l, unnest(range(0, len(l), 40)) AS s FROM a)
-SELECT doc_id, s // 40 AS chunk_index, s + 1 AS start_line, least(s + 40, len(l)) AS end_line, sha256(array_to_string(l[s + 1 : s + 40], chr(10))) AS content_hash FROM b""")
+SELECT doc_id, 'line_window' AS chunk_type, s // 40 AS chunk_index, s + 1 AS start_line, least(s + 40, len(l)) AS end_line, sha256(array_to_string(l[s + 1 : s + 40], chr(10))) AS content_hash FROM b""")
 def line_windows(spark, sf_dir):
     out = ch.line_windows(read(spark, sf_dir, "documents"), "doc_id", size=40)
-    return out.select("doc_id", F.col("chunk_index").cast("long"), F.col("start_line").cast("long"), F.col("end_line").cast("long"), F.sha2("content", 256).alias("content_hash"))
+    return out.select("doc_id", "chunk_type", F.col("chunk_index").cast("long"), F.col("start_line").cast("long"), F.col("end_line").cast("long"), F.sha2("content", 256).alias("content_hash"))
 
 
 def markdown_of_conversations(spark, sf_dir) -> DataFrame:
@@ -62,10 +62,10 @@ s AS (SELECT *, count(level) OVER w AS section, last_value(CASE WHEN level = 1 T
  last_value(CASE WHEN level = 1 THEN n END IGNORE NULLS) OVER w AS p1, last_value(CASE WHEN level = 2 THEN n END IGNORE NULLS) OVER w AS p2 FROM h WINDOW w AS (PARTITION BY conv_id ORDER BY n ROWS UNBOUNDED PRECEDING)),
 g AS (SELECT conv_id, section, min(n) AS start_line, max(n) AS end_line, trim(string_agg(line, chr(10) ORDER BY n), {_BLANK}) AS content,
  CASE WHEN section > 0 THEN concat_ws(' / ', arg_min(t1, n), arg_min(CASE WHEN p2 > coalesce(p1, -1) THEN t2 END, n)) END AS heading_path FROM s GROUP BY 1, 2)
-SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY section) - 1 AS chunk_index, heading_path, start_line, end_line, sha256(content) AS content_hash FROM g WHERE content <> ''""")
+SELECT conv_id, 'markdown_section' AS chunk_type, row_number() OVER (PARTITION BY conv_id ORDER BY section) - 1 AS chunk_index, heading_path, start_line, end_line, sha256(content) AS content_hash FROM g WHERE content <> ''""")
 def markdown_sections(spark, sf_dir):
     out = ch.markdown_sections(markdown_of_conversations(spark, sf_dir), "conv_id")
-    return out.select("conv_id", F.col("chunk_index").cast("long"), "heading_path", F.col("start_line").cast("long"), F.col("end_line").cast("long"), F.sha2("content", 256).alias("content_hash"))
+    return out.select("conv_id", "chunk_type", F.col("chunk_index").cast("long"), "heading_path", F.col("start_line").cast("long"), F.col("end_line").cast("long"), F.sha2("content", 256).alias("content_hash"))
 
 
 _CODE = "'import sys' || chr(10) || chr(10) || 'def part_' || p_partkey || '():' || chr(10) || '    return ' || p_size || chr(10) || chr(10) || 'class Brand' || p_size || ':' || chr(10) || '    pass' || chr(10) || 'public static int size(int a) {' || chr(10) || '}' || chr(10)"
@@ -75,13 +75,13 @@ _CODE = "'import sys' || chr(10) || chr(10) || 'def part_' || p_partkey || '():'
 l AS (SELECT p_partkey, unnest(string_split(text[:-2], chr(10))) AS line, generate_subscripts(string_split(text[:-2], chr(10)), 1) AS n, len(string_split(text[:-2], chr(10))) AS total FROM t),
 m AS (SELECT *, coalesce(nullif(regexp_extract(line, '{ch.SYMBOL_1}', 1), ''), nullif(regexp_extract(line, '{ch.SYMBOL_2}', 1), '')) AS symbol FROM l),
 s AS (SELECT p_partkey, n, symbol, coalesce(lead(n) OVER (PARTITION BY p_partkey ORDER BY n) - 1, total) AS e, row_number() OVER (PARTITION BY p_partkey ORDER BY n) - 1 AS i FROM m WHERE symbol IS NOT NULL)
-SELECT s.p_partkey, s.i AS chunk_index, s.symbol AS symbol_name, s.n AS start_line, s.e AS end_line, sha256(string_agg(l.line, chr(10) ORDER BY l.n)) AS content_hash
+SELECT s.p_partkey, 'code_symbol' AS chunk_type, s.i AS chunk_index, s.symbol AS symbol_name, s.n AS start_line, s.e AS end_line, sha256(string_agg(l.line, chr(10) ORDER BY l.n)) AS content_hash
 FROM s JOIN l ON l.p_partkey = s.p_partkey AND l.n BETWEEN s.n AND s.e GROUP BY ALL""")
 def code_symbols(spark, sf_dir):
     p = read(spark, sf_dir, "part")
     text = F.format_string("import sys\n\ndef part_%d():\n    return %d\n\nclass Brand%d:\n    pass\npublic static int size(int a) {\n}\n", "p_partkey", "p_size", "p_size")
     out = ch.code_symbols(p.select("p_partkey", text.alias("text")), "p_partkey")
-    return out.select("p_partkey", F.col("chunk_index").cast("long"), "symbol_name", F.col("start_line").cast("long"), F.col("end_line").cast("long"), F.sha2("content", 256).alias("content_hash"))
+    return out.select("p_partkey", "chunk_type", F.col("chunk_index").cast("long"), "symbol_name", F.col("start_line").cast("long"), F.col("end_line").cast("long"), F.sha2("content", 256).alias("content_hash"))
 
 
 @query(f"""WITH RECURSIVE a AS ({_LINES}), b AS (SELECT doc_id, l FROM a WHERE length(text) > 2000),
@@ -178,9 +178,9 @@ def ingest_diff(spark, sf_dir):
     return vs.diff(scan, known.unionByName(gone)).groupBy("change_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT doc_id, 'en' AS parsed, 'p1' AS pipeline_version, source AS embedding_revision FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, lang AS parsed, 'p1' AS pipeline_version, source AS embedding_revision FROM documents")
 def metadata_overlay(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").where("lang = 'en'")
+    d = read(spark, sf_dir, "documents")
     parsed = F.create_map(F.lit("lang"), F.col("lang"), F.lit("pipeline_version"), F.lit("from the text"))
     m = vs.metadata(parsed, {"pipeline_version": F.lit("p1"), "embedding_revision": F.col("source")})
     return d.select("doc_id", m.alias("m")).select("doc_id", F.col("m")["lang"].alias("parsed"), F.col("m")["pipeline_version"].alias("pipeline_version"), F.col("m")["embedding_revision"].alias("embedding_revision"))
@@ -329,12 +329,16 @@ def watch_merge(spark, sf_dir):
     return cs.classify(cs.merge_changes(e, ["ts", "event_id"])).select("path", "change", "job_type")
 
 
-@query("""SELECT 'rows:orders' AS "check", (SELECT count(*) FROM orders) AS expected, (SELECT count(*) FROM orders) AS found, true AS ok
-UNION ALL SELECT 'rows:lineitem', (SELECT count(*) FROM lineitem), (SELECT count(*) FROM lineitem), true
-UNION ALL SELECT 'link:lineitem.l_orderkey', 0, (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)), (SELECT count(*) = 0 FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders))
-UNION ALL SELECT 'link:orders.o_custkey', 0, (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)), (SELECT count(*) = 0 FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer))""")
+@query("""WITH damaged AS (SELECT * FROM orders WHERE o_orderstatus <> 'P'),
+r AS (SELECT 'rows:orders' AS "check", (SELECT count(*) FROM orders) AS expected, (SELECT count(*) FROM damaged) AS found
+UNION ALL SELECT 'rows:lineitem', (SELECT count(*) FROM lineitem), (SELECT count(*) FROM lineitem)
+UNION ALL SELECT 'content:orders', 1, 0 UNION ALL SELECT 'content:lineitem', 1, 1
+UNION ALL SELECT 'link:lineitem.l_orderkey', 0, (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM damaged))
+UNION ALL SELECT 'link:orders.o_custkey', 0, (SELECT count(*) FROM damaged WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)))
+SELECT "check", expected, found, expected = found AS ok FROM r""")
 def restore_check(spark, sf_dir):
+    """A backup's manifest against a restored copy that has lost the pending orders and the links to them."""
     t = {n: read(spark, sf_dir, n) for n in ("orders", "lineitem")}
+    restored = {**t, "orders": t["orders"].where("o_orderstatus <> 'P'"), "customer": read(spark, sf_dir, "customer")}
     links = [("lineitem", "l_orderkey", "orders", "o_orderkey"), ("orders", "o_custkey", "customer", "c_custkey")]
-    return vs.restore_check(t, {**t, "customer": read(spark, sf_dir, "customer")}, links)
-
+    return vs.restore_check(vs.table_sums(t), restored, links)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as tx
 from lodestone.functions import vectors as vx
 from lodestone.operators import search as se
+from lodestone.session import widen
 
 WORDS = "that with"
 PHRASE = '"in the"'
@@ -21,7 +22,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as one-chunk files: the source is the project and the folder."""
-    d = read(spark, sf_dir, "documents")
+    d = widen(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     path = F.concat("source", F.lit("/doc"), F.col("doc_id").cast("string"), F.lit(".txt"))
     return d.select(F.col("doc_id").alias("chunk_id"), path.alias("path"), F.col("text").alias("content"), F.lit(None).cast("string").alias("symbol"), F.lit(None).cast("string").alias("heading"), F.lit("active").alias("state"), F.col("source").alias("project"))
 
@@ -80,7 +81,7 @@ LEXICAL_SQL = f"WITH {LEXICAL_CTE} SELECT doc_id, path_match, round(lexical_rank
 
 
 def phrase_search(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select("doc_id", tx.tokens(F.col("text")).alias("toks"))
+    d = widen(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", tx.tokens(F.col("text")).alias("toks"))
     hit = d.where(tx.matches(F.col("toks"), tx.parse_search(PHRASE)))
     places = F.filter(F.sequence(F.lit(1), F.size("toks")), lambda i: (F.get("toks", i - 1) == "in") & (F.get("toks", i) == "the"))
     return hit.select("doc_id", F.size(places).cast("long").alias("n_phrases"))
@@ -91,7 +92,7 @@ SELECT a.doc_id, count(*) AS n_phrases FROM p a JOIN p b ON a.doc_id = b.doc_id
 
 
 def cover_density_rank(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select("doc_id", tx.tokens(F.col("text")).alias("toks"))
+    d = widen(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", tx.tokens(F.col("text")).alias("toks"))
     has_all = F.lit(True)
     for t in TERMS:
         has_all = has_all & F.array_contains("toks", t)
@@ -103,7 +104,7 @@ COVER_SQL = f"WITH toks AS ({_TOKS}), {_cover_sql(TERMS, 'toks')} SELECT doc_id,
 
 def websearch_filter(spark, sf_dir):
     """OR branches, a phrase and a negation in one search."""
-    d = read(spark, sf_dir, "documents").select("doc_id", tx.tokens(F.col("text")).alias("toks"))
+    d = widen(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", tx.tokens(F.col("text")).alias("toks"))
     return d.where(tx.matches(F.col("toks"), tx.parse_search('"of the" -that or para con'))).select("doc_id")
 
 
@@ -146,15 +147,39 @@ def hybrid_rrf(spark, sf_dir):
     return out.select(F.col("chunk_id").alias("doc_id"), F.round("fused", 9).alias("fused"), F.array_join("match_reason", ",").alias("match_reason"), F.col("rank").cast("long").alias("rank"))
 
 
+FILTERED_SQL = f"""WITH {LEXICAL_CTE.replace("FROM documents)", "FROM documents WHERE source = 'src3' AND lower(source || '/doc' || doc_id || '.txt') LIKE 'src3/doc1%')")}
+SELECT doc_id, round(1.0::DOUBLE / (60 + lex_rank), 9) AS fused, lex_rank AS rank FROM lex WHERE lex_rank <= {K}"""
 HYBRID_CTE = f"""{LEXICAL_CTE},
 vec AS (SELECT * FROM (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS vec_rank FROM
   (SELECT vec_id AS doc_id, {_COS} AS score FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents))) WHERE vec_rank <= {3 * K} AND score >= 0.2),
 fused AS (SELECT doc_id, coalesce(1.0::DOUBLE / (60 + lex_rank), 0) + coalesce(1.0::DOUBLE / (60 + vec_rank), 0) AS fused, lex_rank, vec_rank,
-  concat_ws(',', CASE WHEN lex_rank IS NOT NULL THEN 'lexical' END, CASE WHEN vec_rank IS NOT NULL THEN 'semantic' END) AS match_reason FROM lex FULL JOIN vec USING (doc_id)),
+  concat_ws(',', CASE WHEN lex_rank IS NOT NULL THEN 'keyword/path match' END, CASE WHEN vec_rank IS NOT NULL THEN 'semantic similarity' END) AS match_reason FROM lex FULL JOIN vec USING (doc_id)),
 top AS (SELECT *, row_number() OVER (ORDER BY fused DESC, lex_rank NULLS LAST, vec_rank NULLS LAST, doc_id) AS rank FROM fused QUALIFY rank <= {K})"""
 HYBRID_SQL = f"WITH {HYBRID_CTE} SELECT doc_id, round(fused, 9) AS fused, match_reason, rank FROM top"
 
 
+def search_results(spark, sf_dir):
+    """Results as they are presented: file name, heading or symbol, snippet, provenance."""
+    c = chunks(spark, sf_dir).withColumns({"start_line": F.lit(1), "end_line": F.lit(1), "source_root": F.col("project"), "document_id": F.col("chunk_id").cast("string"), "content_hash": F.sha2("content", 256)})
+    out = se.present(_hybrid(spark, sf_dir), c)
+    p = F.col("provenance")
+    return out.select(F.col("chunk_id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), "title", "heading_or_symbol", "snippet", F.round("fused_rank", 9).alias("fused"), "citation", p["relative_path"].alias("path"), p["source_root"].alias("source_root"), p["content_hash"].alias("content_hash"))
+
+
+RESULTS_SQL = f"""WITH {HYBRID_CTE} SELECT doc_id, rank, 'doc' || doc_id || '.txt' AS title, NULL::VARCHAR AS heading_or_symbol, substring(text, 1, 800) AS snippet, round(fused, 9) AS fused,
+ source || '/doc' || doc_id || '.txt:L1-L1' AS citation, source || '/doc' || doc_id || '.txt' AS path, source AS source_root, sha256(text) AS content_hash FROM top JOIN documents USING (doc_id)"""
+
+
+def search_filtered(spark, sf_dir):
+    """A keyword search within one project and below a path."""
+    lex = se.search(chunks(spark, sf_dir), None, WORDS, None, "keyword", K, project="src3", path_prefix="SRC3/doc1")
+    return lex.select(F.col("chunk_id").alias("doc_id"), F.round("fused", 9).alias("fused"), F.col("rank").cast("long").alias("rank"))
+
+
+def search_log(spark, sf_dir):
+    return se.query_log(_hybrid(spark, sf_dir), WORDS, "hybrid", 0)
+
+
 def search_confidence(spark, sf_dir):
     return se.confidence(_hybrid(spark, sf_dir))
 
@@ -163,13 +188,13 @@ CONFIDENCE_SQL = f"WITH {HYBRID_CTE} SELECT count(*) AS n_results, CASE WHEN max
 
 
 def rag_context(spark, sf_dir):
-    c = chunks(spark, sf_dir).select("chunk_id", "content")
-    packed = se.pack_context(_hybrid(spark, sf_dir).select("chunk_id", "rank").join(c, "chunk_id"), 60_000)
+    packed = se.rag_context(chunks(spark, sf_dir), embedded(spark, sf_dir), WORDS, query_vector(spark, sf_dir), K, 5_000)
     return packed.select(F.col("chunk_id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), "running_chars", F.substring("content", 1, se.SNIPPET).alias("snippet"))
 
 
-RAG_SQL = f"""WITH {HYBRID_CTE}, r AS (SELECT doc_id, rank, text, CAST(sum(length(text)) OVER (ORDER BY rank) AS BIGINT) AS running_chars FROM top JOIN documents USING (doc_id))
-SELECT doc_id, rank, running_chars, substring(text, 1, 800) AS snippet FROM r WHERE running_chars <= 60000"""
+LOG_SQL = f"WITH {HYBRID_CTE} SELECT sha256('{WORDS}') AS query_hash, 'hybrid' AS mode, CAST(count(*) AS INTEGER) AS result_count, CAST(0 AS INTEGER) AS duration_ms FROM top"
+RAG_SQL = f"""WITH {HYBRID_CTE}, r AS (SELECT doc_id, rank, text, CAST(sum(length(substring(text, 1, 800))) OVER (ORDER BY rank) AS BIGINT) AS running_chars FROM top JOIN documents USING (doc_id))
+SELECT doc_id, rank, running_chars, substring(text, 1, 800) AS snippet FROM r WHERE running_chars <= 5000"""
 
 
 def deterministic_embedding(spark, sf_dir):
@@ -187,22 +212,21 @@ EMBEDDING_SQL = "SELECT label, count(*) AS n, min(len(embedding)) AS least, max(
 
 
 def retrieval_eval(spark, sf_dir):
-    """Each benchmark item's first 60 characters as a query; hits are documents that contain them, by doc_id.
+    """Each benchmark item as a query, whole; hits are documents that contain them, by doc_id.
 
     Candidates come from an equi-join on three of the query's inner tokens with each document's token
     triples, or on one with its tokens where fewer are inner; the first and the last token may be parts
     of longer ones. Only queries without an inner token meet every document.
     """
-    b = read(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 60).alias("q"))
+    b = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("q"))
     b = b.withColumn("t", tx.tokens(F.col("q"))).withColumn("inner", F.size("t") - 2)
     key = F.when(F.col("inner") >= 3, F.concat_ws(" ", F.get("t", F.lit(1)), F.get("t", F.lit(2)), F.get("t", F.lit(3)))).when(F.col("inner") >= 1, F.get("t", F.lit(1)))
     b = b.select("item_id", "q", "inner", key.alias("key"))
-    d = read(spark, sf_dir, "documents").select("doc_id", "text", tx.tokens(F.col("text")).alias("t"))
+    d = widen(read(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("t", tx.tokens(F.col("text")))
     threes = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("t") - 3), lambda i: F.concat_ws(" ", F.get("t", i), F.get("t", i + 1), F.get("t", i + 2))))
-    # the benchmark is a fixed, small set
-    near = d.where(F.size("t") >= 3).select("doc_id", F.explode(threes).alias("key")).join(F.broadcast(b.where("inner >= 3").select("item_id", "key")), "key")
-    few = d.select("doc_id", F.explode(F.array_distinct("t")).alias("key")).join(F.broadcast(b.where("inner IN (1, 2)").select("item_id", "key")), "key")
-    none = d.select("doc_id", "text").join(F.broadcast(b.where("inner < 1").select("item_id", "q")), F.col("text").contains(F.col("q")))
+    near = d.where(F.size("t") >= 3).select("doc_id", F.explode(threes).alias("key")).join(b.where("inner >= 3").select("item_id", "key"), "key")
+    few = d.select("doc_id", F.explode(F.array_distinct("t")).alias("key")).join(b.where("inner IN (1, 2)").select("item_id", "key"), "key")
+    none = d.select("doc_id", "text").join(b.where("inner < 1").select("item_id", "q"), F.col("text").contains(F.col("q")))
     near = near.select("doc_id", "item_id").unionByName(few.select("doc_id", "item_id")).unionByName(none.select("doc_id", "item_id")).distinct()
     hits = near.join(d.select("doc_id", "text"), "doc_id").join(b.select("item_id", "q"), "item_id").where(F.col("text").contains(F.col("q")))
     ranked = hits.select("item_id", F.row_number().over(Window.partitionBy("item_id").orderBy("doc_id")).alias("r"), (F.col("doc_id") % 7 != 0).alias("relevant"))
@@ -211,7 +235,7 @@ def retrieval_eval(spark, sf_dir):
     return se.retrieval_measures(cases).select("n_cases", *[F.round(c, 9).alias(c) for c in ("hit_at_5", "hit_at_10", "mrr", "no_answer")])
 
 
-EVAL_SQL = """WITH b AS (SELECT item_id, substring(text, 1, 60) AS q FROM benchmark),
+EVAL_SQL = """WITH b AS (SELECT item_id, text AS q FROM benchmark),
 h AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS r FROM b JOIN documents ON contains(text, q)),
 f AS (SELECT item_id, min(CASE WHEN doc_id % 7 <> 0 THEN r END) AS first_rank, count(*) AS n_results FROM h GROUP BY item_id),
 c AS (SELECT item_id % 5 <> 0 AS answerable, first_rank, coalesce(n_results, 0) AS n_results FROM b LEFT JOIN f USING (item_id))
@@ -220,9 +244,9 @@ SELECT count(*) AS n_cases, round(avg(CASE WHEN answerable THEN CASE WHEN first_
  round(avg(CASE WHEN answerable THEN coalesce(1.0::DOUBLE / first_rank, 0) END), 9) AS mrr,
  round(avg(CASE WHEN NOT answerable THEN CAST(n_results = 0 AS DOUBLE) END), 9) AS no_answer FROM c"""
 
-QUERIES = {f.__name__: f for f in (lexical_search, phrase_search, cover_density_rank, websearch_filter, trigram_path_match, vector_topk, min_similarity_after_limit, hybrid_rrf, search_confidence, rag_context, deterministic_embedding, embedding_checks, retrieval_eval)}
+QUERIES = {f.__name__: f for f in (lexical_search, phrase_search, cover_density_rank, websearch_filter, trigram_path_match, vector_topk, min_similarity_after_limit, hybrid_rrf, search_results, search_filtered, search_log, search_confidence, rag_context, deterministic_embedding, embedding_checks, retrieval_eval)}
 ORACLE_SQL = {
     "lexical_search": LEXICAL_SQL, "phrase_search": PHRASE_SQL, "cover_density_rank": COVER_SQL, "websearch_filter": WEBSEARCH_SQL, "trigram_path_match": TRIGRAM_SQL,
-    "vector_topk": VECTOR_SQL, "min_similarity_after_limit": MIN_SIM_SQL, "hybrid_rrf": HYBRID_SQL, "search_confidence": CONFIDENCE_SQL, "rag_context": RAG_SQL,
+    "search_results": RESULTS_SQL, "search_filtered": FILTERED_SQL, "search_log": LOG_SQL, "vector_topk": VECTOR_SQL, "min_similarity_after_limit": MIN_SIM_SQL, "hybrid_rrf": HYBRID_SQL, "search_confidence": CONFIDENCE_SQL, "rag_context": RAG_SQL,
     "embedding_checks": EMBEDDING_SQL, "retrieval_eval": EVAL_SQL,
 }

@@ -6,22 +6,13 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import paths as px
-
-
-@dataclass
-class ScanStats:
-    visited: int = 0
-    queued: int = 0
-    ignored: int = 0
-    unsupported: int = 0
-    errors: int = 0
+from lodestone.operators import versions as vs
 
 
 def load_roots(path: str) -> list[dict]:
@@ -92,20 +83,38 @@ def scan_stats(found: DataFrame, known_keys: DataFrame | None = None) -> DataFra
     return found.agg(F.count_if(F.col("outcome") != "ignored_directory").alias("visited"), count("queued").alias("queued"), count("ignored", "ignored_directory").alias("ignored"), count("unsupported").alias("unsupported"), count("error").alias("errors"))
 
 
-def outcome_column(path, size):
-    """A file's outcome: ignored, then unsupported, then oversize (ignored), else queued."""
-    return F.when(px.ignored(path), "ignored").when(~px.suffix(path).isin(px.SUPPORTED), "unsupported").when(size > px.MAX_FILE_BYTES, "ignored").otherwise("queued")
+def outcome_column(path, size, extra: list[str] | None = None, include: list[str] | None = None, max_bytes: int = px.MAX_FILE_BYTES):
+    """A file's outcome: ignored (by a rule, or because no include pattern has it), unsupported, oversize (ignored), else queued."""
+    left_out = px.ignored(path, extra)
+    if include:
+        left_out = left_out | ~path.rlike("|".join(px.glob_regex(p) for p in include))
+    return F.when(left_out, "ignored").when(~px.suffix(path).isin(px.SUPPORTED), "unsupported").when(size > max_bytes, "ignored").otherwise("queued")
+
+
+def knowledge_ignores(spark: SparkSession, root: str) -> list[str]:
+    """The patterns of the root's `.knowledgeignore`, without blank lines and comments; none if there is no such file."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/.knowledgeignore")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return []
+    lines = [r["value"] for r in spark.read.text(path.toString()).collect()]  # one small file of patterns
+    return [x.rstrip() for x in lines if x.strip() and not x.lstrip().startswith("#")]
+
 
+def scan(spark: SparkSession, root: str, exclude: list[str] | None = None, include: list[str] | None = None, max_bytes: int = px.MAX_FILE_BYTES) -> DataFrame:
+    """(path, size, modified, content, outcome, problem) of a root on any file system Spark reads.
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
-    """(path, size, modified, content, outcome, problem) of a root on any file system Spark reads."""
+    Ignored are the defaults, the root's `.knowledgeignore` and `exclude`. content is null and isn't read into the
+    checks unless a file is queued: its length and suffix decide first. Object stores have no links; on a local file
+    system walk() leaves links out.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = re.sub(r"^[a-z0-9]+:(//[^/]*)?/+", "/", root).rstrip("/") + "/"  # neither side keeps scheme or host
     rel = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:(//[^/]*)?/+", "/"), f"^{re.escape(base)}", "")
-    rows = files.select(rel.alias("path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"), "content")
-    rows = rows.withColumn("outcome", outcome_column(F.col("path"), F.col("size_bytes")))
+    extra = [*knowledge_ignores(spark, root), *(exclude or [])]
+    rows = files.withColumn("outcome", outcome_column(rel, F.col("length"), extra, include, max_bytes))
+    rows = rows.select(rel.alias("path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"), F.when(F.col("outcome") == "queued", F.col("content")).alias("content"), "outcome")
     binary = F.contains(F.substring("content", 1, px.BINARY_PROBE), F.lit(b"\x00"))
-    problem = F.when(F.col("size_bytes") > px.MAX_FILE_BYTES, "too large").when(binary, "binary").when(~F.is_valid_utf8("content"), "not UTF-8")
+    problem = F.when(F.col("size_bytes") > max_bytes, "too large").when(binary, "binary").when(~F.is_valid_utf8("content"), "not UTF-8")
     return rows.withColumn("problem", problem)
 
 
@@ -115,17 +124,16 @@ def read_texts(scanned: DataFrame) -> DataFrame:
     return good.select("path", "size_bytes", "modified_at", F.decode("content", "UTF-8").alias("text"), F.sha2("content", 256).alias("content_hash"))
 
 
-def backup(tables: dict[str, DataFrame], folder: str) -> DataFrame:
-    """Parquet snapshots that refuse to overwrite, and a manifest of rows and an order-free content sum."""
-    spark, rows = next(iter(tables.values())).sparkSession, []
+def backup(tables: dict[str, DataFrame], folder: str, about: dict[str, str] | None = None) -> DataFrame:
+    """Parquet snapshots that refuse to overwrite, and a manifest of rows and an order-free content sum.
+
+    about: what the manifest says besides, such as a hash of the configuration; the time and Spark's version are added.
+    """
+    spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
         df.write.mode("errorifexists").parquet(f"{folder}/{name}")
-        got = spark.read.parquet(f"{folder}/{name}").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("h")).first()
-        rows.append((name, got["n"], got["h"]))
-    out = spark.createDataFrame(rows, "table string, rows long, content_sum string")
-    out.coalesce(1).write.mode("errorifexists").json(f"{folder}/_manifest")
-    return out
-
-
-def stats_dict(stats: ScanStats) -> dict:
-    return asdict(stats)
+    sums = vs.table_sums({n: spark.read.parquet(f"{folder}/{n}") for n in tables})
+    notes = {**(about or {}), "spark_version": spark.version}
+    out = sums.withColumn("made_at", F.current_timestamp()).withColumn("about", F.create_map(*[F.lit(x) for kv in notes.items() for x in kv]))
+    out.coalesce(1).write.mode("errorifexists").json(f"{folder}/_manifest")  # a row a table
+    return spark.read.schema(out.schema).json(f"{folder}/_manifest")
