@@ -236,37 +236,57 @@ def _next_level(whole: DataFrame) -> DataFrame:
     return placed.select("token", "cluster", "node", F.col("d").alias("lead"), "n", "d", "at", (F.col("at") < F.col("index")).alias("idx"))
 
 
-def _ordered_sets(n: int, shared):
-    """(node, token, rarity) of every shingle of the texts of nodes."""
+def _tokens(n: int):
+    """(node, token): every shingle of the texts of nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = shared.value
         for rows, data, offsets in pieces(batches, "text", PIECE):
-            row, hashes, rarity = shingle_hashes(lower_ascii(data), offsets, n, lambda w: cells[(w >> _U(64 - CELL_BITS)).astype(np.int64)])
-            yield pa.RecordBatch.from_arrays([rows.column("node").take(pa.array(row)), pa.array(hashes.view(np.int64)), pa.array(rarity.astype(np.int32))], names=["node", "token", "rarity"])
+            row, hashes = shingle_hashes(lower_ascii(data), offsets, n)
+            yield pa.RecordBatch.from_arrays([rows.column("node").take(pa.array(row)), pa.array(hashes.view(np.int64))], names=["node", "token"])
 
     return run
 
 
-def _prefix_length(percent: int):
-    return F.expr(f"n - (({percent} * n + 99) div 100) + 1")
+def _late(n: int, percent: int, shared):
+    """(node, at, token): the prefixes of texts of nodes if the shingles in `hot` (token, c) go last, by c."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = shared.value
+        for rows, data, offsets in pieces(batches, "text", PIECE):
+            row, hashes, rarity = shingle_hashes(lower_ascii(data), offsets, n, lambda w: cells[(w >> _U(64 - CELL_BITS)).astype(np.int64)])
+            size = np.bincount(row, minlength=rows.num_rows)
+            begin = np.concatenate(([0], np.cumsum(size)))
+            hot, ends = rows.column("hot").flatten(), np.asarray(rows.column("hot").offsets)
+            ends = ends - ends[0]
+            token, c = np.asarray(hot.field("token")).view(_U), np.asarray(hot.field("c"))
+            count = np.zeros(len(row), np.int64)
+            for i in range(rows.num_rows):
+                count[begin[i] + np.searchsorted(hashes[begin[i] : begin[i + 1]], token[ends[i] : ends[i + 1]])] = c[ends[i] : ends[i + 1]]
+            order = np.lexsort((hashes, rarity, count, row))
+            row, hashes = row[order], hashes[order]
+            at = np.arange(len(row)) - begin[row]
+            take = at < (size - needed(size, percent) + 1)[row]
+            yield pa.RecordBatch.from_arrays([rows.column("node").take(pa.array(row[take])), pa.array(at[take].astype(np.int32)), pa.array(hashes[take].view(np.int64))], names=["node", "at", "token"])
+
+    return run
 
 
 def _index_length(percent: int):
     return F.expr(f"n - (({2 * percent} * n + {99 + percent}) div {100 + percent}) + 1")
 
 
-def _demoted(tokens: DataFrame, nodes: DataFrame, texts_of, n: int, percent: int, shared) -> tuple[DataFrame, list[DataFrame]]:
+def _demoted(tokens: DataFrame, texts_of, n: int, percent: int, shared) -> tuple[DataFrame, list[DataFrame]]:
     """tokens (node, at, token) of prefixes in an order that puts shingles that more than HOT prefixes have last.
 
-    Only the sets with such a shingle in their prefix have another one then.
+    Only the sets with such a shingle in their prefix have another one then. Each gets the list of its own
+    hot shingles, wherever in the order they stood.
     """
     hot = materialize(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT), "hot")
     other = materialize(tokens.join(hot.select("token"), "token", "left_semi").select("node").distinct(), "other")
-    sets = texts_of(other).mapInArrow(_ordered_sets(n, shared), "node long, token long, rarity int").join(hot, "token", "left")
-    order = Window.partitionBy("node").orderBy(F.coalesce("c", F.lit(0)), "rarity", "token")
-    again = sets.withColumn("at", F.row_number().over(order) - 1).join(nodes.select(F.col("rid").alias("node"), "n"), "node").where(F.col("at") < _prefix_length(percent))
-    again = materialize(again.select("node", "at", "token"), "again")
+    some = materialize(texts_of(other), "other-texts")
+    own = some.mapInArrow(_tokens(n), "node long, token long").join(hot, "token").groupBy("node").agg(F.collect_list(F.struct("token", "c")).alias("hot"))
+    again = materialize(some.join(own, "node").mapInArrow(_late(n, percent, shared), "node long, at int, token long"), "again")
+    discard(some)
     return tokens.join(other, "node", "left_anti").unionByName(again), [hot, other, again]
 
 
@@ -296,7 +316,7 @@ def similar_components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame
         found = keyed.join(one, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d"))).select(F.col("rid").alias("node"), "text")
         return found.mapInArrow(_first_of_each, "node long, text string")
 
-    prefixes, used = _demoted(nodes.select(F.col("rid").alias("node"), F.posexplode("prefix").alias("at", "token")), nodes, texts_of, n, percent, shared)
+    prefixes, used = _demoted(nodes.select(F.col("rid").alias("node"), F.posexplode("prefix").alias("at", "token")), texts_of, n, percent, shared)
     tokens = _shared(prefixes, nodes, percent)
     discard(*used)
     found = _link(tokens, texts_of, nodes.select("rid", "n", "bits"), n, percent)
