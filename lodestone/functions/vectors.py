@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import random
-from collections.abc import Iterator
+import urllib.request
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column
@@ -53,3 +56,52 @@ def deterministic_embedder(dimension: int):
             yield texts.map(lambda t: seeded_vector(t or "", dimension))
 
     return embed
+
+
+class DimensionMismatch(ValueError):
+    """A provider's vectors have another size than configured."""
+
+
+@dataclass(frozen=True)
+class Embedder:
+    """What stands beside stored vectors, and the function that makes them."""
+
+    provider: str
+    model: str
+    digest: str
+    dimension: int
+    embed: Callable[[Column], Column]
+
+
+def http_embedder(base_url: str, model: str, digest: str, dimension: int, batch: int = 64, timeout: float = 120, provider: str = "http") -> Embedder:
+    """Vectors from a service: POST /api/embed with model and input, the answer's `embeddings` in the same order.
+
+    Each Arrow batch is sent in requests of `batch` texts from the executors. Another number of vectors, or another
+    size, stops the job.
+    """
+
+    def ask(texts: list[str]) -> list[list[float]]:
+        body = json.dumps({"model": model, "input": texts}).encode()
+        request = urllib.request.Request(f"{base_url.rstrip('/')}/api/embed", body, {"Content-Type": "application/json"})
+        with urllib.request.urlopen(request, timeout=timeout) as answer:
+            vectors = json.load(answer)["embeddings"]
+        if len(vectors) != len(texts):
+            raise ValueError(f"{len(texts)} texts gave {len(vectors)} vectors")
+        if sizes := {len(v) for v in vectors} - {dimension}:
+            raise DimensionMismatch(f"expected {dimension} numbers, got {sorted(sizes)}: index again")
+        return vectors
+
+    @F.pandas_udf("array<float>")
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            plain = [t or "" for t in texts]
+            yield pd.Series([v for at in range(0, len(plain), batch) for v in ask(plain[at : at + batch])], dtype=object)
+
+    return Embedder(provider, model, digest, dimension, embed)
+
+
+def choose_embedder(dimension: int, base_url: str | None = None, model: str = "", digest: str = "", deterministic: bool = False) -> Embedder:
+    """The service's vectors, or deterministic ones for tests."""
+    if deterministic or not base_url:
+        return Embedder("deterministic-test", "sha256-prng", "test-v1", dimension, deterministic_embedder(dimension))
+    return http_embedder(base_url, model, digest, dimension)

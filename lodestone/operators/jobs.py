@@ -6,7 +6,9 @@ from idempotency keys.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values.
@@ -82,5 +84,16 @@ def workers(beats: DataFrame, now: Column, stale_seconds: int = STALE_SECONDS) -
     return latest.withColumn("state", F.when(age > stale_seconds * 1_000_000, "stale").otherwise(F.col("state")))
 
 
-def latest_state_window(key: str, order: list[str]) -> Column:
-    return F.row_number().over(Window.partitionBy(key).orderBy(*[F.desc(c) for c in order]))
+def work(jobs: DataFrame, worker: str, now: Column, process: Callable[[DataFrame], DataFrame], seconds: int = 60, limit: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(all jobs, this turn's) after one turn of the work loop: the next `limit` jobs are leased and processed as a batch.
+
+    process gets the leased jobs and returns (job_id, error), error null where a job went well; a job that it doesn't return
+    has failed too. The caller writes the result as the queue's next snapshot.
+    """
+    leased = lease(jobs, worker, now, seconds, limit)
+    mine = lease_candidates(jobs, now, limit).select("job_id").join(leased, "job_id")
+    told = process(mine).select("job_id", "error", F.lit(True).alias("_told"))
+    rows = mine.join(told, "job_id", "left").withColumn("error", F.when(F.col("_told").isNull(), "not processed").otherwise(F.col("error")))
+    good, bad = rows.where("error IS NULL"), rows.where("error IS NOT NULL")
+    done = finished(good.drop("error", "_told"), now).unionByName(failed(bad, now, F.col("error")).drop("error", "_told"), allowMissingColumns=True)
+    return jobs.join(done.select("job_id"), "job_id", "left_anti").unionByName(done, allowMissingColumns=True), done

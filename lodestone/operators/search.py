@@ -142,6 +142,15 @@ def rag_context(chunks: DataFrame, embeddings: DataFrame | None, query: str, vec
     return pack_context(results.join(chunks.select("chunk_id", "content"), "chunk_id"), max_chars)
 
 
+def response(presented: DataFrame, query: str, mode: str) -> DataFrame:
+    """(json): one row with the whole answer, of at most 100 results, best first."""
+    items = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.struct(*[c for c in presented.columns if c != "rank"]).alias("r")))), lambda x: x["r"])
+    best = F.max("fused_rank")
+    sure = F.when(best.isNull(), "none").when(best >= 1.0 / (RRF + 1), "high").otherwise("low")
+    one = presented.agg(items.alias("results"), sure.alias("confidence"), F.count(F.lit(1)).alias("total"))
+    return one.select(F.to_json(F.struct(F.lit(query).alias("query"), F.lit(mode).alias("mode"), "confidence", "results", "total"), {"ignoreNullFields": "false"}).alias("json"))
+
+
 def query_log(results: DataFrame, query: str, mode: str, duration_ms: int) -> DataFrame:
     """One row for the search log: the query's hash, never its words."""
     counted = results.agg(F.count(F.lit(1)).cast("int").alias("result_count"))

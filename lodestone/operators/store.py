@@ -122,9 +122,52 @@ def backlinks_of(links: DataFrame, target: str) -> DataFrame:
     return links.where(F.col("target_document_id") == target).select("source_document_id", F.col("source_line").alias("line"), F.col("link_type").alias("type"))
 
 
+#: States shown as good (fixed values); pending ones wait, all others are dangers.
+GOOD = ["healthy", "succeeded", "active", "idle", "processing"]
+
+
 def status_class(status: Column) -> Column:
-    """How a job's or worker's state is shown."""
-    return F.when(status.isin("succeeded", "idle", "active"), "good").when(status.isin("failed", "dead_letter", "error", "stale", "deleted"), "bad").otherwise("pending")
+    return F.when(status.isin(GOOD), "good").when(status == "pending", "waiting").otherwise("danger")
+
+
+def shown(column: str) -> Column:
+    """What a listing shows of an id (8 characters) or a hash (12)."""
+    return F.substring(column, 1, 12 if column.endswith("hash") else 8)
+
+
+def iso(ts: Column) -> Column:
+    """A timestamp in ISO 8601, UTC."""
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+
+
+def from_epoch(seconds: Column) -> Column:
+    """A timestamp of seconds since 1970, with fractions."""
+    return F.timestamp_micros((seconds * 1_000_000).cast("long"))
+
+
+#: Fields of a listing's rows: name shown, column.
+DOCUMENT_ROW = [("id", "document_id"), ("source_root_id", "root_id"), ("canonical_path", "canonical_path"), ("relative_path", "path"), ("filename", "filename"), ("project", "project"), ("state", "state"), ("size_bytes", "size_bytes"), ("modified_at", "modified_at"), ("content_hash", "content_hash"), ("current_version_id", "version_id")]
+VERSION_ROW = [("id", "version_id"), ("content_hash", "content_hash"), ("change_type", "change_type"), ("detected_at", "detected_at"), ("line_count", "line_count"), ("parser_version", "parser_version"), ("chunker_version", "chunker_version"), ("metadata", "metadata"), ("diff_summary", "diff_summary")]
+JOB_ROW = [("id", "job_id"), ("status", "status"), ("job_type", "job_type"), ("path", "canonical_path"), ("attempt_count", "attempt_count"), ("max_attempts", "max_attempts"), ("leased_by", "leased_by"), ("error_type", "error_type"), ("error_message", "error_message"), ("created_at", "created_at"), ("finished_at", "finished_at")]
+CHUNK_ROW = [("id", "chunk_id"), ("index", "chunk_index"), ("type", "chunk_type"), ("heading", "heading_path"), ("symbol", "symbol_name"), ("start_line", "start_line"), ("end_line", "end_line"), ("content", "content"), ("metadata", "metadata")]
+EVENT_ROW = [("id", "event_id"), ("event", "event_type"), ("path", "path"), ("details", "details"), ("created_at", "created_at")]
+
+
+def projected(df: DataFrame, fields: list[tuple[str, str]]) -> DataFrame:
+    """A listing's fields in order, times in ISO 8601; a column that df lacks is null."""
+    kinds = dict(df.dtypes)
+
+    def one(name: str, column: str) -> Column:
+        if column not in kinds:
+            return F.lit(None).cast("string").alias(name)
+        return (iso(F.col(column)) if kinds[column] == "timestamp" else F.col(column)).alias(name)
+
+    return df.select(*[one(*f) for f in fields])
+
+
+def as_json(df: DataFrame) -> DataFrame:
+    """(json): each row as an object, nulls written out."""
+    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def readiness(probes: dict[str, DataFrame]) -> DataFrame:

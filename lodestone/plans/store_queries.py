@@ -139,14 +139,33 @@ BACKLINK_SQL = """WITH e AS (SELECT page_id, unnest(regexp_extract_all(html, 'hr
 SELECT page_id AS source_document_id, line, 'href' AS type FROM e WHERE t = (SELECT min(t) FROM e)"""
 
 
+def document_listing(spark, sf_dir):
+    """Documents as a listing shows them, with display prefixes."""
+    d = _merged(spark, sf_dir).withColumn("canonical_path", F.concat(F.lit("/root/"), "path"))
+    p = st.projected(d, st.DOCUMENT_ROW)
+    return p.select("id", "relative_path", "canonical_path", "filename", "project", "state", "size_bytes", "modified_at", st.status_class(F.col("state")).alias("status_class"), st.shown("current_version_id").alias("version_shown"), st.shown("content_hash").alias("hash_shown"))
+
+
+LISTING_SQL = f"""WITH {_MERGED} SELECT document_id AS id, path AS relative_path, '/root/' || path AS canonical_path, 'doc' || doc_id || '.txt' AS filename, source AS project, 'active' AS state, strlen(text)::BIGINT AS size_bytes,
+ '2024-02-01T00:00:00.000000+00:00' AS modified_at, 'good' AS status_class, substring(version_id, 1, 8) AS version_shown, substring(h, 1, 12) AS hash_shown FROM m"""
+
+
+def event_json(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("event_id", "event_type", F.col("user_id").cast("string").alias("path"), F.col("props").alias("details"), st.from_epoch(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("created_at"))
+    return st.as_json(st.projected(e, st.EVENT_ROW))
+
+
+EVENT_SQL = """SELECT '{"id":' || event_id || ',"event":"' || event_type || '","path":"' || user_id || '","details":"' || replace(props, '"', chr(92) || '"') || '","created_at":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00"}' AS json FROM events"""
+
+
 def readiness(spark, sf_dir):
     return st.readiness({n: read(spark, sf_dir, n) for n in ("documents", "embeddings", "events")})
 
 
 READY_SQL = " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) > 0 AS ready FROM {n}" for n in ("documents", "embeddings", "events"))
 
-QUERIES = {f.__name__: f for f in (document_upsert, version_append, chunk_append, ingest_events, document_deletions, document_detail, document_versions, backlink_lookup, readiness)}
+QUERIES = {f.__name__: f for f in (document_upsert, version_append, chunk_append, ingest_events, document_deletions, document_detail, document_versions, backlink_lookup, document_listing, event_json, readiness)}
 ORACLE_SQL = {
     "document_upsert": UPSERT_SQL, "version_append": VERSIONS_SQL, "chunk_append": CHUNKS_SQL, "ingest_events": EVENTS_SQL, "document_deletions": DELETIONS_SQL, "document_detail": DETAIL_SQL,
-    "document_versions": VERSIONS_OF_SQL, "backlink_lookup": BACKLINK_SQL, "readiness": READY_SQL,
+    "document_versions": VERSIONS_OF_SQL, "backlink_lookup": BACKLINK_SQL, "document_listing": LISTING_SQL, "event_json": EVENT_SQL, "readiness": READY_SQL,
 }

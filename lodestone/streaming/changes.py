@@ -10,6 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 #: Fixed value: how long changes are gathered.
 DEBOUNCE = "750 milliseconds"
+#: Partitions of the job table by key.
+BUCKETS = 64
 CHANGE_SCHEMA = "path string, change string, ts timestamp, size_bytes long, mtime_ns long, seen boolean"
 
 
@@ -35,16 +37,21 @@ def change_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def enqueue_stream(changes: DataFrame, jobs_path: str, checkpoint: str, available_now: bool = False, on_batch: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Appends new jobs batch by batch. Each batch writes to its own folder, so a repeated one changes nothing."""
+    """Appends new jobs batch by batch. Each batch writes to its own folder, so a repeated one changes nothing.
+
+    Below it jobs lie in BUCKETS by their key's hash: a batch reads known keys of its own buckets only.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         jobs = classify(merge_changes(batch, ["ts"])).dropDuplicates(["idempotency_key"])
+        jobs = jobs.withColumn("bucket", F.pmod(F.xxhash64("idempotency_key"), F.lit(BUCKETS)).cast("int"))
         path = spark._jvm.org.apache.hadoop.fs.Path(jobs_path)
         if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            known = spark.read.parquet(jobs_path).where(F.col("batch") != number)
+            touched = [r["bucket"] for r in jobs.select("bucket").distinct().collect()]  # at most BUCKETS numbers
+            known = spark.read.parquet(jobs_path).where((F.col("batch") != number) & F.col("bucket").isin(touched))
             jobs = jobs.join(known.select("idempotency_key"), "idempotency_key", "left_anti")
-        jobs.write.mode("overwrite").parquet(f"{jobs_path}/batch={number}")
+        jobs.write.mode("overwrite").partitionBy("bucket").parquet(f"{jobs_path}/batch={number}")
         if on_batch:
             on_batch(jobs, number)
 

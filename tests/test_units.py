@@ -186,6 +186,59 @@ def test_write_path_and_going_back(spark, tmp_path):
         bad.collect()
 
 
+def test_http_embedder(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Answer(BaseHTTPRequestHandler):
+        def do_POST(self):
+            texts = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["input"]
+            body = json.dumps({"embeddings": [[float(len(t)), 1.0] for t in texts]}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        url = f"http://127.0.0.1:{server.server_port}"
+        rows = spark.createDataFrame([("a",), ("bcd",), (None,)], "text string").repartition(2)
+        e = vx.choose_embedder(2, url, "m", "d")
+        got = sorted(r["v"] for r in rows.select(e.embed(F.col("text")).alias("v")).collect())
+        assert got == [[0.0, 1.0], [1.0, 1.0], [3.0, 1.0]] and (e.provider, e.model, e.digest) == ("http", "m", "d")
+        with pytest.raises(Exception, match="expected 3 numbers"):
+            rows.select(vx.http_embedder(url, "m", "d", 3).embed(F.col("text")).alias("v")).collect()
+    finally:
+        server.shutdown()
+    assert vx.choose_embedder(4, url, deterministic=True).provider == "deterministic-test"
+
+
+def test_work_loop(spark):
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    kinds = "job_id string, status string, priority int, attempt_count int, max_attempts int, available_at timestamp, created_at timestamp, lease_expires_at timestamp, leased_by string, started_at timestamp, finished_at timestamp, error_message string"
+    early = dt.datetime(2023, 1, 1)
+    jobs = spark.createDataFrame([(f"j{i}", "pending", i, 0, 1 + i % 2, early, early, None, None, None, None, None) for i in range(5)], kinds)
+    bad = F.when(F.col("job_id") == "j0", "boom")
+    after, done = jb.work(jobs, "w", now, lambda mine: mine.where("job_id <> 'j2'").select("job_id", bad.alias("error")), limit=3)
+    assert {r["job_id"]: r["status"] for r in after.collect()} == {"j0": "dead_letter", "j1": "succeeded", "j2": "dead_letter", "j3": "pending", "j4": "pending"}
+    assert {r["job_id"]: r["error_message"] for r in done.collect()} == {"j0": "boom", "j1": None, "j2": "not processed"}
+    none, turn = jb.work(jobs.limit(0), "w", now, lambda mine: mine.select("job_id", bad.alias("error")))
+    assert none.count() == turn.count() == 0
+
+
+def test_answer_as_json(spark):
+    parts = spark.createDataFrame([(1, "a/x.txt", "alpha beta", None, None, 1, 1), (2, "b.txt", "alpha", None, None, 3, 4)], "chunk_id long, path string, content string, symbol string, heading string, start_line int, end_line int")
+    found = se.present(se.search(parts, None, "alpha", None, "keyword"), parts)
+    answer = json.loads(se.response(found, "alpha", "keyword").first()["json"])
+    assert (answer["total"], answer["confidence"], answer["query"]) == (2, "high", "alpha")
+    assert [r["provenance"]["start_line"] for r in answer["results"]] == [1, 3] and answer["results"][0]["citation"] == "a/x.txt:L1-L1"
+    empty = json.loads(se.response(se.present(se.search(parts, None, "gamma", None, "keyword"), parts), "gamma", "keyword").first()["json"])
+    assert (empty["results"], empty["confidence"]) == ([], "none")
+
+
 def test_ignore_rules(spark):
     cases = {"node_modules/pkg/index.js": True, "docs/readme.md": False, "a\\.git\\x": True, "mybuild/x": False, "src/tmp/y": True}
     for path, want in cases.items():
@@ -272,4 +325,5 @@ def test_stream_enqueues_once(spark, tmp_path):
         cs.enqueue_stream(cs.change_stream(spark, str(src)), jobs, str(tmp_path / "ck"), available_now=True).awaitTermination()
         (src / "2.json").write_text(json.dumps({**change, "ts": "2024-01-01T00:00:09Z"}))
     got = sorted((r["path"], r["job_type"]) for r in spark.read.parquet(jobs).collect())
+    assert {r["bucket"] for r in spark.read.parquet(jobs).collect()} <= set(range(cs.BUCKETS))
     assert got == [("a", "watch_index"), ("b", "watch_delete")]
