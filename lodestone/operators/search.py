@@ -45,6 +45,11 @@ def current_only(chunks: DataFrame, versions: DataFrame, documents: DataFrame, r
     return chunks.join(pointed, "version_id")
 
 
+def searched_text(chunks: DataFrame) -> Column:
+    """Heading, symbol and content, where there is a heading column; else the content."""
+    return F.concat_ws(" ", F.coalesce("heading", F.lit("")), F.coalesce("symbol", F.lit("")), "content") if "heading" in chunks.columns else F.col("content")
+
+
 def lexical(chunks: DataFrame, query: str, limit: int) -> DataFrame:
     """(chunk_id, path_match, lexical_rank, similarity, lex_rank), best first. chunks: chunk_id, path, content, symbol.
 
@@ -54,7 +59,7 @@ def lexical(chunks: DataFrame, query: str, limit: int) -> DataFrame:
     branches = tx.parse_search(query)
     lowered = query.lower()
     like = tx.like_literal(lowered)
-    text = F.concat_ws(" ", F.coalesce("heading", F.lit("")), F.coalesce("symbol", F.lit("")), "content") if "heading" in chunks.columns else F.col("content")
+    text = searched_text(chunks)
     terms = list(dict.fromkeys(t for b in branches for t in b.terms))
     maybe = F.lit(False)  # a text without any term as a substring isn't cut into tokens
     for t in terms:
@@ -70,7 +75,7 @@ def lexical(chunks: DataFrame, query: str, limit: int) -> DataFrame:
     ).where(F.col("hit") | F.col("inside") | (F.col("similarity").cast("double") > tx.SIMILARITY_CUT) | F.col("named"))
     found = F.explode_outer(F.when(F.col("hit"), tx.places(F.col("toks"), terms)))
     rows = scored.select("chunk_id", "path_match", "similarity", found.alias("m")).select("chunk_id", "path_match", "similarity", "m.pos", "m.term")
-    hits = tx.cover_ranks(rows, "chunk_id", [b.terms for b in branches if b.terms], ["path_match", "similarity"]).withColumnRenamed("rank", "lexical_rank")
+    hits = tx.cover_ranks(rows, "chunk_id", [b.terms for b in branches if b.terms], ["path_match", "similarity"]).select("chunk_id", "path_match", F.col("rank").alias("lexical_rank"), "similarity")
     order = [F.desc("path_match"), F.round("lexical_rank", 9).desc(), F.desc("similarity"), F.asc("chunk_id")]
     return hits.orderBy(*order).limit(limit).withColumn("lex_rank", F.row_number().over(Window.orderBy(*order)))
 
@@ -94,9 +99,10 @@ def fuse(lex: DataFrame, vec: DataFrame, top_k: int) -> DataFrame:
     return fused.orderBy(*order).limit(top_k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def search(chunks: DataFrame, embeddings: DataFrame | None, query: str, vector: Column | None, mode: str = "hybrid", top_k: int = 10, minimum: float = MIN_SIMILARITY, revision: str | None = None, **filters) -> DataFrame:
+def search(chunks: DataFrame, embeddings: DataFrame | None, query: str, vector: Column | None, mode: str = "hybrid", top_k: int = 10, minimum: float = MIN_SIMILARITY, revision: str | None = None, lex: DataFrame | None = None, **filters) -> DataFrame:
     """One search. keyword, path and symbol run the lexical leg, semantic the vector leg, hybrid both;
-    without a query vector the vector leg is left out. filters: as filtered() takes them."""
+    without a query vector the vector leg is left out. filters: as filtered() takes them. lex: the lexical leg's
+    OVERFETCH * top_k hits where an index has them, of the same filtered chunks."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     if not -1 <= minimum <= 1:
@@ -104,7 +110,7 @@ def search(chunks: DataFrame, embeddings: DataFrame | None, query: str, vector:
     bounded("query length", len(query), 1, 500)
     bounded("top_k", top_k, 1, 100)
     chunks = filtered(chunks, **filters)
-    lex = lexical(chunks, query, OVERFETCH * top_k)
+    lex = lexical(chunks, query, OVERFETCH * top_k) if lex is None else lex
     if mode == "semantic":
         lex = lex.limit(0)
     if vector is None or embeddings is None or mode not in ("semantic", "hybrid"):
@@ -135,10 +141,10 @@ def present(results: DataFrame, chunks: DataFrame) -> DataFrame:
     return results.join(kept, "chunk_id").select("rank", "chunk_id", "title", "heading_or_symbol", "snippet", *scores, F.col("fused").alias("fused_rank"), "match_reason", "provenance", "citation")
 
 
-def rag_context(chunks: DataFrame, embeddings: DataFrame | None, query: str, vector: Column | None, top_k: int = 5, max_chars: int = 12_000, **filters) -> DataFrame:
+def rag_context(chunks: DataFrame, embeddings: DataFrame | None, query: str, vector: Column | None, top_k: int = 5, max_chars: int = 12_000, lex: DataFrame | None = None, **filters) -> DataFrame:
     """Snippets of a hybrid search, best first, for as long as they fit."""
     bounded("top_k", top_k, 1, 30)
-    results = search(chunks, embeddings, query, vector, "hybrid", top_k, **filters)
+    results = search(chunks, embeddings, query, vector, "hybrid", top_k, lex=lex, **filters)
     return pack_context(results.join(chunks.select("chunk_id", "content"), "chunk_id"), max_chars)
 
 

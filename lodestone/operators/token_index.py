@@ -1,0 +1,98 @@
+"""A written token table for lexical search: what an inverted index is to a database.
+
+One row for each token of a chunk, with its places, in folders by the token's hash and sorted by token within. A search
+reads the folders and row groups of its own terms only, and of the rest of the corpus just paths and symbols.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lodestone.functions import text as tx
+from lodestone.operators.search import searched_text
+
+BUCKETS = 64
+
+
+@dataclass(frozen=True)
+class TokenIndex:
+    """The two tables of an index: tokens (token, chunk_id, places, bucket) and names (chunk_id, path, symbol)."""
+
+    spark: SparkSession
+    folder: str
+
+    def tokens(self, terms: list[str]) -> DataFrame:
+        """(chunk_id, token, places) of these terms."""
+        buckets = [r[0] for r in self.spark.createDataFrame([(t,) for t in terms], "t string").select(bucket_of(F.col("t"))).distinct().collect()]
+        rows = self.spark.read.parquet(f"{self.folder}/tokens")
+        return rows.where(F.col("bucket").isin(buckets) & F.col("token").isin(terms)).select("chunk_id", "token", "places")
+
+    def names(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/names")
+
+
+def bucket_of(token: Column) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
+
+
+def build(chunks: DataFrame, folder: str) -> TokenIndex:
+    """Writes the index of chunks (chunk_id, path, content, symbol, perhaps heading). One shuffle, of tokens summed up by chunk."""
+    spark = chunks.sparkSession
+    placed = chunks.select("chunk_id", F.posexplode(tx.tokens(searched_text(chunks))).alias("pos", "token"))
+    rows = placed.groupBy("chunk_id", "token").agg(F.array_sort(F.collect_list("pos")).alias("places")).withColumn("bucket", bucket_of(F.col("token")))
+    # common tokens are spread by chunk, too: no task has all rows of one word
+    spread = rows.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(max(1, spark.sparkContext.defaultParallelism // 8))))
+    spread.sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{folder}/tokens")
+    chunks.select("chunk_id", "path", "symbol").write.parquet(f"{folder}/names")
+    return TokenIndex(spark, folder)
+
+
+def indexed_hits(index: TokenIndex, branches: list[tx.Branch]) -> DataFrame:
+    """(chunk_id, pos, term) of the query's terms in chunks that match. Every branch needs a word or phrase that must occur."""
+    asked = list(dict.fromkeys(t for b in branches for t in b.terms))
+    every = list(dict.fromkeys([*asked, *[w for b in branches for n in b.without for w in n]]))
+    found = index.tokens(every).groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "places"))).alias("m"))
+
+    def at(term: str) -> Column:
+        return F.try_element_at("m", F.lit(term))
+
+    def has(words: list[str]) -> Column:
+        ends = at(words[0])
+        for w in words[1:]:  # where the phrase may go on
+            ends = F.array_intersect(F.transform(ends, lambda p: p + 1), at(w))
+        return F.coalesce(F.size(ends) > 0, F.lit(False))
+
+    hit = F.lit(False)
+    for b in branches:
+        test = F.lit(True)
+        for words in [*[[w] for w in b.words], *b.phrases]:
+            test = test & has(words)
+        for words in b.without:
+            test = test & ~has(words)
+        hit = hit | test
+    rows = found.where(hit).select("chunk_id", F.explode("m").alias("term", "places")).where(F.col("term").isin(asked))
+    return rows.select("chunk_id", F.explode("places").alias("pos"), "term")
+
+
+def lexical(index: TokenIndex, query: str, limit: int) -> DataFrame:
+    """search.lexical() from the index: (chunk_id, path_match, lexical_rank, similarity, lex_rank), best first."""
+    branches = tx.parse_search(query)
+    if any(not b.terms for b in branches):
+        raise ValueError("a branch of negations only matches nearly every chunk: search without the index")
+    lowered, like = query.lower(), tx.like_literal(query.lower())
+    names = index.names().select(
+        "chunk_id", F.lower("path").like(f"{like}%").cast("int").alias("path_match"), tx.similarity(tx.trigrams(F.col("path")), tx.trigrams(F.lit(query))).alias("similarity"),
+        (F.lower("path").like(f"%{like}%") | (F.lower(F.coalesce("symbol", F.lit(""))) == lowered)).alias("named"),
+    )
+    named = F.col("named") | (F.col("similarity").cast("double") > tx.SIMILARITY_CUT)
+    if branches:
+        ranks = tx.cover_ranks(indexed_hits(index, branches), "chunk_id", [b.terms for b in branches]).withColumnRenamed("rank", "lexical_rank")
+        hits = names.join(ranks, "chunk_id", "left").where(named | F.col("lexical_rank").isNotNull())
+    else:
+        hits = names.where(named).withColumn("lexical_rank", F.lit(None).cast("double"))
+    hits = hits.select("chunk_id", "path_match", F.coalesce("lexical_rank", F.lit(0.0)).alias("lexical_rank"), "similarity")
+    order = [F.desc("path_match"), F.round("lexical_rank", 9).desc(), F.desc("similarity"), F.asc("chunk_id")]
+    return hits.orderBy(*order).limit(limit).withColumn("lex_rank", F.row_number().over(Window.orderBy(*order)))

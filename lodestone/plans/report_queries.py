@@ -10,6 +10,7 @@ from lodestone.functions import text as tx
 from lodestone.operators import chunking as ch
 from lodestone.operators import jobs as jb
 from lodestone.operators import reports as rp
+from lodestone.operators import search as se
 from lodestone.operators import versions as vs
 from lodestone.sources import files as fl
 from lodestone.streaming import changes as cs
@@ -158,10 +159,12 @@ def current_versions(spark, sf_dir):
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN (SELECT o_custkey AS ck, max(o_orderkey) AS cur FROM orders GROUP BY 1) ON cur = o_orderkey JOIN customer ON c_custkey = ck GROUP BY c_mktsegment""")
 def current_version_join(spark, sf_dir):
     """Orders are a customer's versions, the latest is current; line items are chunks, customers documents."""
-    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    pointer = o.groupBy("o_custkey").agg(F.max("o_orderkey").alias("o_orderkey"))
-    docs = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment").join(pointer, "o_custkey")
-    out = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_quantity").join(docs, "o_orderkey")
+    versions = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("version_id"), F.col("o_custkey").alias("document_id"))
+    pointer = versions.groupBy("document_id").agg(F.max("version_id").alias("current_version_id"))
+    customers = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("document_id"), F.col("c_mktsegment").alias("root_id"))
+    roots = customers.select("root_id", F.col("root_id").alias("name")).distinct()
+    chunks = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("version_id"), F.col("l_orderkey").alias("o_orderkey"), "l_quantity")
+    out = se.current_only(chunks, versions, customers.join(pointer, "document_id"), roots).withColumnRenamed("root_name", "c_mktsegment")
     return out.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n_chunks"), F.count_distinct("o_orderkey").alias("n_documents"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
 

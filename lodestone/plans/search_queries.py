@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
 from lodestone.functions import vectors as vx
 from lodestone.operators import search as se
-from lodestone.session import widen
+from lodestone.operators import token_index as ti
+from lodestone.session import shared_dir, widen
 
 WORDS = "that with"
 PHRASE = '"in the"'
@@ -37,8 +40,31 @@ def query_vector(spark: SparkSession, sf_dir: str):
     return F.array(*[F.lit(float(x)) for x in (row[0] if row else [])])
 
 
+_INDEXES: dict[tuple[str, str], ti.TokenIndex] = {}
+
+
+def token_index(spark: SparkSession, sf_dir: str) -> ti.TokenIndex:
+    """The token table of a folder's documents, written once in an application and used by every search."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = ti.build(chunks(spark, sf_dir), f"{shared_dir(spark)}/lodestone/{uuid.uuid4().hex}/index")
+    return _INDEXES[key]
+
+
+def leg(spark, sf_dir) -> DataFrame:
+    return ti.lexical(token_index(spark, sf_dir), WORDS, 3 * K)
+
+
+def lexical_scan(spark, sf_dir):
+    """The same search without the index: tokens of every text."""
+    return _lexical(se.lexical(chunks(spark, sf_dir), WORDS, 3 * K))
+
+
 def lexical_search(spark, sf_dir):
-    out = se.lexical(chunks(spark, sf_dir), WORDS, 3 * K)
+    return _lexical(leg(spark, sf_dir))
+
+
+def _lexical(out: DataFrame) -> DataFrame:
     return out.select(F.col("chunk_id").alias("doc_id"), F.col("path_match").cast("int"), F.round("lexical_rank", 6).alias("lexical_rank"), F.round(F.col("similarity").cast("double"), 5).alias("similarity"), F.col("lex_rank").cast("long").alias("lex_rank"))
 
 
@@ -139,7 +165,7 @@ MIN_SIM_SQL = f"SELECT vec_id, round(score, 6) AS score FROM (SELECT vec_id, {_C
 
 
 def _hybrid(spark, sf_dir, k=K):
-    return se.search(chunks(spark, sf_dir), embedded(spark, sf_dir), WORDS, query_vector(spark, sf_dir), "hybrid", k)
+    return se.search(chunks(spark, sf_dir), embedded(spark, sf_dir), WORDS, query_vector(spark, sf_dir), "hybrid", k, lex=leg(spark, sf_dir))
 
 
 def hybrid_rrf(spark, sf_dir):
@@ -188,7 +214,7 @@ CONFIDENCE_SQL = f"WITH {HYBRID_CTE} SELECT count(*) AS n_results, CASE WHEN max
 
 
 def rag_context(spark, sf_dir):
-    packed = se.rag_context(chunks(spark, sf_dir), embedded(spark, sf_dir), WORDS, query_vector(spark, sf_dir), K, 5_000)
+    packed = se.rag_context(chunks(spark, sf_dir), embedded(spark, sf_dir), WORDS, query_vector(spark, sf_dir), K, 5_000, lex=leg(spark, sf_dir))
     return packed.select(F.col("chunk_id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), "running_chars", F.substring("content", 1, se.SNIPPET).alias("snippet"))
 
 
@@ -244,9 +270,9 @@ SELECT count(*) AS n_cases, round(avg(CASE WHEN answerable THEN CASE WHEN first_
  round(avg(CASE WHEN answerable THEN coalesce(1.0::DOUBLE / first_rank, 0) END), 9) AS mrr,
  round(avg(CASE WHEN NOT answerable THEN CAST(n_results = 0 AS DOUBLE) END), 9) AS no_answer FROM c"""
 
-QUERIES = {f.__name__: f for f in (lexical_search, phrase_search, cover_density_rank, websearch_filter, trigram_path_match, vector_topk, min_similarity_after_limit, hybrid_rrf, search_results, search_filtered, search_log, search_confidence, rag_context, deterministic_embedding, embedding_checks, retrieval_eval)}
+QUERIES = {f.__name__: f for f in (lexical_search, lexical_scan, phrase_search, cover_density_rank, websearch_filter, trigram_path_match, vector_topk, min_similarity_after_limit, hybrid_rrf, search_results, search_filtered, search_log, search_confidence, rag_context, deterministic_embedding, embedding_checks, retrieval_eval)}
 ORACLE_SQL = {
-    "lexical_search": LEXICAL_SQL, "phrase_search": PHRASE_SQL, "cover_density_rank": COVER_SQL, "websearch_filter": WEBSEARCH_SQL, "trigram_path_match": TRIGRAM_SQL,
+    "lexical_search": LEXICAL_SQL, "lexical_scan": LEXICAL_SQL, "phrase_search": PHRASE_SQL, "cover_density_rank": COVER_SQL, "websearch_filter": WEBSEARCH_SQL, "trigram_path_match": TRIGRAM_SQL,
     "search_results": RESULTS_SQL, "search_filtered": FILTERED_SQL, "search_log": LOG_SQL, "vector_topk": VECTOR_SQL, "min_similarity_after_limit": MIN_SIM_SQL, "hybrid_rrf": HYBRID_SQL, "search_confidence": CONFIDENCE_SQL, "rag_context": RAG_SQL,
     "embedding_checks": EMBEDDING_SQL, "retrieval_eval": EVAL_SQL,
 }

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import os
-
+import re
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,10 +45,25 @@ def widen(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and every executor share.
+
+    It is the session's spark.checkpoint.dir. Only where that is unset and all runs on one machine
+    (a local master, in tests) a temporary folder is made and kept in the session.
+    """
+    place = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("lodestone.shared.dir", None)
+    if not place:
+        master = spark.conf.get("spark.master", "")
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines share; the master is {master}")
+        place = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("lodestone.shared.dir", place)
+    return place.rstrip("/")
+
+
 def ship(spark: SparkSession) -> None:
     """Sends the package to executors that can't import it, once for each application."""
     import io
-    import tempfile
     import zipfile
 
     sc = spark.sparkContext
