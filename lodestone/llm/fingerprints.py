@@ -12,7 +12,7 @@ across the edges afterwards.
 
 Rows: null text counts as empty. Empty and empty are alike (1), empty and anything else are not (0).
 Ties in doc_id are ordered by a hash of the text, null doc_ids come last; repeated rows are rows of
-their own. A table of one row pairs it with itself; an empty table gives an empty table.
+their own. Texts of any length are hashed whole, one at a time; extra columns are not carried. A table of one row pairs it with itself; an empty table gives an empty table.
 """
 
 from __future__ import annotations

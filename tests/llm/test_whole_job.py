@@ -240,3 +240,53 @@ def test_shards_do_not_depend_on_file_splits(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert found[0] == found[1] and len(found[0]) > 100
+
+
+def test_models_against_plain_kneser_ney():
+    """Every event's ratio against dictionaries of contexts."""
+    from collections import Counter, defaultdict
+    from math import log
+
+    from lodestone.llm import toxicity as tx
+
+    rng = random.Random(8)
+    words = [[bytes(rng.choice(letters) for _ in range(rng.randint(1, 9))) for _ in range(60)] for letters in (b"abc", b"abd")]
+    counts = [Counter(k for _, _, keys in tx.events(w) for k in keys.tolist()) for w in words]
+    plain = []
+    for group in words:
+        found = Counter()
+        for w in group:
+            marked = b"\2" + w + b"\3"
+            found.update((marked[max(0, i - tx.ORDER + 1) : i], marked[i]) for i in range(1, len(marked)))
+        plain.append(found)
+    events = sorted({*plain[0], *plain[1]})
+    pack = lambda e: int.from_bytes(e[0] + bytes([e[1]]), "big")
+    assert {pack(e): n for e, n in plain[0].items()} == counts[0] and {pack(e): n for e, n in plain[1].items()} == counts[1]
+
+    def shorter(e, j):
+        return (e[0][min(j, len(e[0])) :], e[1])
+
+    shared = dict.fromkeys(events, 1 / 256)
+    for j in range(tx.ORDER - 1, 0, -1):
+        pairs = {(shorter(e, j), shorter(e, j - 1)) for e in events}
+        kinds, per = defaultdict(set), Counter(a for a, _ in pairs)
+        total = Counter()
+        for a, n in per.items():
+            kinds[a[0]].add(a)
+            total[a[0]] += n
+        for e in events:
+            a = shorter(e, j)
+            shared[e] = max(per[a] - tx.DISCOUNT, 0) / total[a[0]] + tx.DISCOUNT * len(kinds[a[0]]) / total[a[0]] * shared[e]
+    keys = np.array([pack(e) for e in events], np.int64)
+    order = np.argsort(keys)
+    for discount in tx.CLASS_DISCOUNTS:
+        p = []
+        for found in plain:
+            total, freed = Counter(), Counter()
+            for e, n in found.items():
+                total[e[0]] += n
+                freed[e[0]] += min(n, discount)
+            p.append({e: max(found[e] - discount, 0) / total[e[0]] + freed[e[0]] / total[e[0]] * shared[e] if total[e[0]] else shared[e] for e in events})
+        want = {pack(e): log(p[0][e] / p[1][e]) for e in events}
+        model = tx.Model(keys[order], *[np.array([c[k] for k in keys[order].tolist()], float) for c in counts], discount)
+        assert np.allclose(model.seen, [want[k] for k in keys[order].tolist()])
