@@ -29,7 +29,7 @@ from .common import pieces, small_batches, texts
 LEAF_BITS = 8
 LEAF_MASK = (1 << LEAF_BITS) - 1
 #: Entries of one half of each of a worker's two caches of encoded strings.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 450_000
 #: Strings longer than this are not cached.
 CACHE_CHARS = 64
 
