@@ -11,6 +11,7 @@ from lodestone.functions import text as tx
 from lodestone.functions import vectors as vx
 from lodestone.operators import search as se
 from lodestone.operators import token_index as ti
+from lodestone.operators import vector_index as vi
 from lodestone.session import shared_dir, widen
 
 WORDS = "that with"
@@ -156,6 +157,24 @@ _COS = "round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOU
 VECTOR_SQL = f"SELECT vec_id, round(score, 6) AS score, vec_rank FROM (SELECT vec_id, score, row_number() OVER (ORDER BY score DESC, vec_id) AS vec_rank FROM (SELECT vec_id, {_COS} AS score FROM embeddings)) WHERE vec_rank <= {3 * K}"
 
 
+_CELLS: dict[tuple[str, str], vi.VectorIndex] = {}
+
+
+def vector_index(spark: SparkSession, sf_dir: str) -> vi.VectorIndex:
+    """The cells of a folder's embeddings, written once in an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _CELLS:
+        _CELLS[key] = vi.build(embedded(spark, sf_dir), f"{shared_dir(spark)}/lodestone/{uuid.uuid4().hex}/cells")
+    return _CELLS[key]
+
+
+def vector_index_topk(spark, sf_dir):
+    """The same from the index, all cells: exact."""
+    row = read(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").first()
+    near = vi.nearest(vector_index(spark, sf_dir), list(row[0]) if row else [], 3 * K)
+    return near.select(F.col("chunk_id").alias("vec_id"), F.round("score", 6).alias("score"), F.col("vec_rank").cast("long").alias("vec_rank"))
+
+
 def min_similarity_after_limit(spark, sf_dir):
     near = se.nearest(embedded(spark, sf_dir), query_vector(spark, sf_dir), 40, minimum=se.MIN_SIMILARITY)
     return near.select(F.col("chunk_id").alias("vec_id"), F.round("score", 6).alias("score"))
@@ -270,9 +289,9 @@ SELECT count(*) AS n_cases, round(avg(CASE WHEN answerable THEN CASE WHEN first_
  round(avg(CASE WHEN answerable THEN coalesce(1.0::DOUBLE / first_rank, 0) END), 9) AS mrr,
  round(avg(CASE WHEN NOT answerable THEN CAST(n_results = 0 AS DOUBLE) END), 9) AS no_answer FROM c"""
 
-QUERIES = {f.__name__: f for f in (lexical_search, lexical_scan, phrase_search, cover_density_rank, websearch_filter, trigram_path_match, vector_topk, min_similarity_after_limit, hybrid_rrf, search_results, search_filtered, search_log, search_confidence, rag_context, deterministic_embedding, embedding_checks, retrieval_eval)}
+QUERIES = {f.__name__: f for f in (lexical_search, lexical_scan, phrase_search, cover_density_rank, websearch_filter, trigram_path_match, vector_topk, vector_index_topk, min_similarity_after_limit, hybrid_rrf, search_results, search_filtered, search_log, search_confidence, rag_context, deterministic_embedding, embedding_checks, retrieval_eval)}
 ORACLE_SQL = {
     "lexical_search": LEXICAL_SQL, "lexical_scan": LEXICAL_SQL, "phrase_search": PHRASE_SQL, "cover_density_rank": COVER_SQL, "websearch_filter": WEBSEARCH_SQL, "trigram_path_match": TRIGRAM_SQL,
-    "search_results": RESULTS_SQL, "search_filtered": FILTERED_SQL, "search_log": LOG_SQL, "vector_topk": VECTOR_SQL, "min_similarity_after_limit": MIN_SIM_SQL, "hybrid_rrf": HYBRID_SQL, "search_confidence": CONFIDENCE_SQL, "rag_context": RAG_SQL,
+    "search_results": RESULTS_SQL, "search_filtered": FILTERED_SQL, "search_log": LOG_SQL, "vector_topk": VECTOR_SQL, "vector_index_topk": VECTOR_SQL, "min_similarity_after_limit": MIN_SIM_SQL, "hybrid_rrf": HYBRID_SQL, "search_confidence": CONFIDENCE_SQL, "rag_context": RAG_SQL,
     "embedding_checks": EMBEDDING_SQL, "retrieval_eval": EVAL_SQL,
 }

@@ -202,6 +202,23 @@ def test_index_finds_what_a_scan_finds(spark, tmp_path):
         ti.lexical(index, "-alpha", 5)
 
 
+def test_vector_index_recall(spark, tmp_path):
+    from lodestone.operators import vector_index as vi
+
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    more = spark.createDataFrame([(-1, None), (-2, [0.0] * 64)], "chunk_id long, embedding array<float>")
+    index = vi.build(e.unionByName(more), str(tmp_path / "v"), cells=16)
+    queries = {r["chunk_id"]: r["embedding"] for r in e.where("chunk_id % 50 = 0").collect()}
+    found = total = 0
+    for key, vector in queries.items():
+        exact = [r["chunk_id"] for r in se.nearest(e, F.array(*[F.lit(float(x)) for x in vector]), 10).collect()]
+        assert [r["chunk_id"] for r in vi.nearest(index, vector, 10).collect()] == exact and exact[0] == key
+        found += len({r["chunk_id"] for r in vi.nearest(index, vector, 10, probes=12).collect()} & set(exact))
+        total += len(exact)
+    assert found >= 0.9 * total
+    assert spark.read.parquet(str(tmp_path / "v" / "vectors")).count() == e.count()
+
+
 def test_http_embedder(spark):
     import threading
     from http.server import BaseHTTPRequestHandler, HTTPServer
