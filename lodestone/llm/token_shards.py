@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -136,6 +137,7 @@ def training_rows(tokens: DataFrame, key: int = KEY, length: int = SEQUENCE, sha
     placed = placed.select((F.col("base") + F.col("start")).alias("at"), "ids")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor().compress  # ids shrink more than the shuffle's own codec makes them
         for batch in batches:
             seq, place, part = [], [], []
             for at, ids in zip(batch.column("at").to_pylist(), batch.column("ids").to_pylist(), strict=True):
@@ -145,14 +147,14 @@ def training_rows(tokens: DataFrame, key: int = KEY, length: int = SEQUENCE, sha
                     take = min(length - inside, size - done)
                     seq.append(k)
                     place.append(inside)
-                    part.append(ids[2 * done : 2 * (done + take)])
+                    part.append(pack(ids[2 * done : 2 * (done + take)]))
                     done += take
             seq = np.array(seq, np.int64)
             slot = feistel(seq, n, key).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(slot // shard_rows), pa.array(slot), pa.array(seq), pa.array(place, pa.int32()), pa.array(part, pa.binary())], names=["shard", "slot", "sequence", "place", "piece"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, parts = None, []
+        held, parts, unpack = None, [], zstandard.ZstdDecompressor().decompress
 
         def row() -> tuple:
             ids = b"".join(parts)
@@ -167,7 +169,7 @@ def training_rows(tokens: DataFrame, key: int = KEY, length: int = SEQUENCE, sha
                     out.append(row())
                     parts = []
                 held = (slot, seq)
-                parts.append(piece)
+                parts.append(unpack(piece))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
         if held is not None:
