@@ -290,3 +290,26 @@ def test_models_against_plain_kneser_ney():
         want = {pack(e): log(p[0][e] / p[1][e]) for e in events}
         model = tx.Model(keys[order], *[np.array([c[k] for k in keys[order].tolist()], float) for c in counts], discount)
         assert np.allclose(model.seen, [want[k] for k in keys[order].tolist()])
+
+
+def test_components_against_union_find(spark):
+    from lodestone.llm.components import components
+
+    rng = random.Random(3)
+    chain = [(i, i + 1) for i in range(60)]
+    rng.shuffle(chain)
+    edges = chain + [(rng.randrange(100, 400), rng.randrange(100, 400)) for _ in range(180)] + [(500, 500 + i) for i in range(1, 30)] + [(900, 900), (7, 8), (8, 7)]
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    want = {x: find(x) for a, b in edges if a != b for x in (a, b)}
+    got = components(spark.createDataFrame([*edges, (None, 1)], "u long, v long")).collect()
+    assert {r["node"]: r["component"] for r in got} == want and len(got) == len(want)
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
