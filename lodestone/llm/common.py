@@ -28,11 +28,11 @@ def texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return widen(table(spark, sf_dir, "documents").select(*columns))
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage is cut, lost executors lose nothing."""
+def materialize(df: DataFrame, tag: str, level: int = 3) -> DataFrame:
+    """Writes df to the shared folder and reads it back: lineage is cut, lost executors lose nothing. level: of zstd."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestone/{uuid.uuid4().hex}/{tag}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestone_path = path
     return out

@@ -263,7 +263,7 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ranks = load_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
     docs = in_file_order(table(spark, sf_dir, "documents"))
-    tokens = materialize(tokenise(docs, ranks, P.PATTERN, end=50256), "tokens")
+    tokens = materialize(tokenise(docs, ranks, P.PATTERN, end=50256), "tokens", level=6)
     folder = f"{shared_dir(spark)}/lodestone/{uuid.uuid4().hex}/shards"
     written = materialize(write_shards(training_rows(tokens, pad=50256), folder), "manifest")
     discard(tokens)
