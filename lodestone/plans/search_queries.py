@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
 from lodestone.functions import vectors as vx
+from lodestone.operators import lexical_index as li
 from lodestone.operators import search as se
-from lodestone.operators import token_index as ti
 from lodestone.operators import vector_index as vi
 from lodestone.session import shared_dir, widen
 
@@ -41,19 +41,43 @@ def query_vector(spark: SparkSession, sf_dir: str):
     return F.array(*[F.lit(float(x)) for x in (row[0] if row else [])])
 
 
-_INDEXES: dict[tuple[str, str], ti.TokenIndex] = {}
+_INDEXES: dict[tuple, object] = {}
 
 
-def token_index(spark: SparkSession, sf_dir: str) -> ti.TokenIndex:
-    """The token table of a folder's documents, written once in an application and used by every search."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def _kept(spark: SparkSession, sf_dir: str, table: str, build):
+    """An index of a table, written once in an application for the files that the table has now."""
+    key = (spark.sparkContext.applicationId, build, li.fingerprint(spark, f"{sf_dir.rstrip('/')}/{table}.parquet"))
     if key not in _INDEXES:
-        _INDEXES[key] = ti.build(chunks(spark, sf_dir), f"{shared_dir(spark)}/lodestone/{uuid.uuid4().hex}/index")
+        _INDEXES[key] = build(spark, sf_dir)
     return _INDEXES[key]
 
 
+def _new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/lodestone/{uuid.uuid4().hex}/{name}"
+
+
+def _build_lexical(spark: SparkSession, sf_dir: str) -> li.LexicalIndex:
+    return li.append(li.LexicalIndex(spark, _new_folder(spark, "index")), chunks(spark, sf_dir))
+
+
 def leg(spark, sf_dir) -> DataFrame:
-    return ti.lexical(token_index(spark, sf_dir), WORDS, 3 * K)
+    return li.lexical(_kept(spark, sf_dir, "documents", _build_lexical), WORDS, 3 * K)
+
+
+def index_updates(spark, sf_dir):
+    """A search after a life of changes: two appends, a replacement that changes every third text, a removal, a merge.
+
+    Of five doc_ids the last two come with the second append; those that 3 divides are then replaced, those that 7 divides removed.
+    """
+    c, ids = chunks(spark, sf_dir), F.col("chunk_id")
+    index = li.append(li.LexicalIndex(spark, _new_folder(spark, "index")), c.where(ids % 5 < 3))
+    li.append(index, c.where(ids % 5 >= 3))
+    first = index.state().segments[0][0]
+    third = c.where(ids % 3 == 0)
+    li.append(index, third.withColumn("content", F.concat_ws(" ", F.lit("with that and that with"), "content")), third.select("chunk_id"))
+    li.merge(index, [first])
+    li.remove(index, c.where(ids % 7 == 0).select("chunk_id"))
+    return _lexical(li.lexical(index, WORDS, 3 * K))
 
 
 def lexical_scan(spark, sf_dir):
@@ -114,6 +138,9 @@ def phrase_search(spark, sf_dir):
     return hit.select("doc_id", F.size(places).cast("long").alias("n_phrases"))
 
 
+UPDATES_SQL = LEXICAL_SQL.replace("FROM documents)", "FROM (SELECT doc_id, source, CASE WHEN doc_id % 3 = 0 THEN concat_ws(' ', 'with that and that with', text) ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0))")
+
+
 PHRASE_SQL = f"""WITH toks AS ({_TOKS}), p AS (SELECT doc_id, unnest(toks) AS term, generate_subscripts(toks, 1) AS pos FROM toks)
 SELECT a.doc_id, count(*) AS n_phrases FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'in' AND b.term = 'the' GROUP BY a.doc_id"""
 
@@ -157,21 +184,14 @@ _COS = "round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOU
 VECTOR_SQL = f"SELECT vec_id, round(score, 6) AS score, vec_rank FROM (SELECT vec_id, score, row_number() OVER (ORDER BY score DESC, vec_id) AS vec_rank FROM (SELECT vec_id, {_COS} AS score FROM embeddings)) WHERE vec_rank <= {3 * K}"
 
 
-_CELLS: dict[tuple[str, str], vi.VectorIndex] = {}
-
-
-def vector_index(spark: SparkSession, sf_dir: str) -> vi.VectorIndex:
-    """The cells of a folder's embeddings, written once in an application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _CELLS:
-        _CELLS[key] = vi.build(embedded(spark, sf_dir), f"{shared_dir(spark)}/lodestone/{uuid.uuid4().hex}/cells")
-    return _CELLS[key]
+def _build_cells(spark: SparkSession, sf_dir: str) -> vi.VectorIndex:
+    return vi.build(embedded(spark, sf_dir), _new_folder(spark, "cells"))
 
 
 def vector_index_topk(spark, sf_dir):
     """The same from the index, all cells: exact."""
     row = read(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").first()
-    near = vi.nearest(vector_index(spark, sf_dir), list(row[0]) if row else [], 3 * K)
+    near = vi.nearest(_kept(spark, sf_dir, "embeddings", _build_cells), list(row[0]) if row else [], 3 * K)
     return near.select(F.col("chunk_id").alias("vec_id"), F.round("score", 6).alias("score"), F.col("vec_rank").cast("long").alias("vec_rank"))
 
 
@@ -289,9 +309,9 @@ SELECT count(*) AS n_cases, round(avg(CASE WHEN answerable THEN CASE WHEN first_
  round(avg(CASE WHEN answerable THEN coalesce(1.0::DOUBLE / first_rank, 0) END), 9) AS mrr,
  round(avg(CASE WHEN NOT answerable THEN CAST(n_results = 0 AS DOUBLE) END), 9) AS no_answer FROM c"""
 
-QUERIES = {f.__name__: f for f in (lexical_search, lexical_scan, phrase_search, cover_density_rank, websearch_filter, trigram_path_match, vector_topk, vector_index_topk, min_similarity_after_limit, hybrid_rrf, search_results, search_filtered, search_log, search_confidence, rag_context, deterministic_embedding, embedding_checks, retrieval_eval)}
+QUERIES = {f.__name__: f for f in (lexical_search, lexical_scan, index_updates, phrase_search, cover_density_rank, websearch_filter, trigram_path_match, vector_topk, vector_index_topk, min_similarity_after_limit, hybrid_rrf, search_results, search_filtered, search_log, search_confidence, rag_context, deterministic_embedding, embedding_checks, retrieval_eval)}
 ORACLE_SQL = {
-    "lexical_search": LEXICAL_SQL, "lexical_scan": LEXICAL_SQL, "phrase_search": PHRASE_SQL, "cover_density_rank": COVER_SQL, "websearch_filter": WEBSEARCH_SQL, "trigram_path_match": TRIGRAM_SQL,
+    "lexical_search": LEXICAL_SQL, "lexical_scan": LEXICAL_SQL, "index_updates": UPDATES_SQL, "phrase_search": PHRASE_SQL, "cover_density_rank": COVER_SQL, "websearch_filter": WEBSEARCH_SQL, "trigram_path_match": TRIGRAM_SQL,
     "search_results": RESULTS_SQL, "search_filtered": FILTERED_SQL, "search_log": LOG_SQL, "vector_topk": VECTOR_SQL, "vector_index_topk": VECTOR_SQL, "min_similarity_after_limit": MIN_SIM_SQL, "hybrid_rrf": HYBRID_SQL, "search_confidence": CONFIDENCE_SQL, "rag_context": RAG_SQL,
     "embedding_checks": EMBEDDING_SQL, "retrieval_eval": EVAL_SQL,
 }

@@ -186,22 +186,6 @@ def test_write_path_and_going_back(spark, tmp_path):
         bad.collect()
 
 
-def test_index_finds_what_a_scan_finds(spark, tmp_path):
-    import random
-
-    from lodestone.operators import token_index as ti
-
-    rng, words = random.Random(6), ["alpha", "beta", "gamma", "delta", "x1"]
-    rows = [(i, f"{rng.choice(words)}/f{i}.txt", " ".join(rng.choice(words) for _ in range(rng.randint(0, 9))), rng.choice([None, "beta", "other"]), rng.choice([None, "alpha head"])) for i in range(120)]
-    parts = spark.createDataFrame([*rows, (500, "none", None, None, None)], "chunk_id long, path string, content string, symbol string, heading string")
-    index = ti.build(parts, str(tmp_path / "i"))
-    for query in ("alpha beta", '"alpha beta" gamma', "alpha -gamma", '"beta gamma" or delta', "beta", "zeta", "", '"alpha head" -"beta beta"'):
-        want, got = (sorted(tuple(r) for r in found.collect()) for found in (se.lexical(parts, query, 500), ti.lexical(index, query, 500)))
-        assert [(w[0], w[1], round(w[2], 9), w[3], w[4]) for w in want] == [(g[0], g[1], round(g[2], 9), g[3], g[4]) for g in got], query
-    with pytest.raises(ValueError, match="without the index"):
-        ti.lexical(index, "-alpha", 5)
-
-
 def test_vector_index_recall(spark, tmp_path):
     from lodestone.operators import vector_index as vi
 
