@@ -12,7 +12,8 @@ for each of its UTF-8 bytes, each scored below every piece.
 
 Rows: null and empty texts have no words and no tokens. Rows are independent, so ties, repeated rows
 and nulls elsewhere make no difference; input columns with the added names are replaced. Tries are
-bounded by TRIE_NODES for each worker and start afresh when full; a word of any length is scored whole.
+bounded by TRIE_NODES for each worker and start afresh when full; a word of any length is scored whole, one of more than
+LONG characters by the same recurrence over the last scores only, as hardly any word shares its nodes.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from .common import pieces, small_batches, texts
 
 TRIE_NODES = 1_000_000
 CACHE_ENTRIES = 400_000
+LONG = 256
 MARK = "▁"
 
 
@@ -55,8 +57,31 @@ class TokenTrie:
         self.child: dict[tuple[int, str], int] = {}
         self.best, self.count = [0.0], [0]
 
+    def alone(self, word: str) -> int:
+        """insert()'s answer in constant memory: a piece reaches back at most `longest` scores."""
+        scores, longest = self.scores, self.longest
+        best, count = [0.0] * (longest + 1), [0] * (longest + 1)  # of the prefix of n letters at n mod (longest + 1)
+        size = longest + 1
+        for end, letter in enumerate(word, 1):
+            value, number = None, 0
+            for start in range(max(0, end - longest), end):
+                piece = scores.get(word[start:end])
+                if piece is None:
+                    if start < end - 1:
+                        continue
+                    letters = len(letter.encode())
+                    total, cuts = best[start % size] + letters * self.byte, count[start % size] + letters
+                else:
+                    total, cuts = best[start % size] + piece, count[start % size] + 1
+                if value is None or total > value + 1e-9 or (total > value - 1e-9 and cuts < number):
+                    value, number = total, cuts
+            best[end % size], count[end % size] = value, number
+        return count[len(word) % size]
+
     def insert(self, word: str) -> int:
         """Number of pieces of the best cut of a pre-token."""
+        if len(word) > LONG:
+            return self.alone(word)
         child, best, count, scores, longest = self.child, self.best, self.count, self.scores, self.longest
         path, node = [0], 0
         for end, letter in enumerate(word, 1):
