@@ -14,7 +14,8 @@ parts. The tokenised table is written first, so a retried task can't change the
 
 Rows: a null text is an empty text and still has its end mark. Null and repeated doc_ids don't
 matter; rows keep the order in which the input's partitions give them. An empty table has no
-sequence. Very long texts are cut like any other.
+sequence. Very long texts are cut like any other; one that the library's encoder gives up on (its pattern runs out of
+stack on about a million spaces) is encoded by operator 9's.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_bpe import ByteBPE, load_ranks
 from .common import discard, materialize, shared_dir, small_batches, table
 
 SEQUENCE = 1024
@@ -117,7 +119,17 @@ def _encoder(shared):
     if pattern not in _ENCODERS:
         import tiktoken
 
-        _ENCODERS[pattern] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+        def encode(text: str) -> list[int]:
+            try:
+                return fast(text)
+            except BaseException as e:
+                if type(e).__name__ != "PanicException":  # which is no Exception, and has no name to import
+                    raise
+                return ByteBPE(ranks, pattern).encode(text)
+
+        _ENCODERS[pattern] = encode
     return _ENCODERS[pattern]
 
 
@@ -259,8 +271,6 @@ def read_slots(folder: str, first: int, count: int, length: int = SEQUENCE, shar
 def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
-    from .byte_bpe import load_ranks
-
     ranks = load_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
     docs = in_file_order(table(spark, sf_dir, "documents"))
     tokens = materialize(tokenise(docs, ranks, P.PATTERN, end=50256), "tokens", level=6)
