@@ -1,6 +1,6 @@
 """Operator 4: chat formatting by schema fingerprints.
 
-A record's fingerprint is the SHA-256 of its sorted nested field paths with their kinds. It selects
+A record's fingerprint is the SHA-256 of its sorted nested field paths. It selects
 a declarative mapping from a registry - which field holds the turns, the role, the text, or which
 fixed role each plain field has - and the mapping turns the record into canonical (role, text)
 turns. New layouts are added by registering a sample and a mapping; no code.
@@ -12,8 +12,10 @@ back. The loss mask is a list of spans, in code points of the output: the escape
 assistant turn.
 
 Records: null text and role count as empty strings, a record without turns (none, an empty list or null)
-gives empty output. A record of an unknown layout, or one that isn't JSON, has null output and says so in
-`problem`; the others are formatted all the same. A conversation is one record and so one row: it must fit in
+gives empty output. A plain field is a turn also where it is empty, unless its mapping says that it is optional.
+A record of an unknown layout, one that isn't JSON and one that nests too deeply for the parser has null output and says
+so in `problem`; the others are formatted all the same. Half a surrogate pair, which JSON can name but no text can hold,
+becomes U+FFFD, and `problem` says so beside the output. A conversation is one record and so one row: it must fit in
 memory, like a text. Rows of a conversation are ordered by turn (nulls first), then role, then
 text; repeated rows are turns of their own; a null conv_id is a conversation of its own. An empty
 table gives only what the query adds.
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,18 +35,20 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, table
 
+HALF = re.compile("[\ud800-\udfff]")
 TURN, END = "<|turn|>", "<|end|>\n"
 
 
 @dataclass(frozen=True)
 class Mapping:
-    """Either `turns` with `role` and `text` inside each, or `fields`: (fixed role, path) in order; empty ones are left out."""
+    """Either `turns` with `role` and `text` inside each, or `fields`: (fixed role, path) in order; those in `optional` are left out where they are empty."""
 
     turns: str = ""
     role: str = ""
     text: str = ""
     fields: tuple[tuple[str, str], ...] = ()
     roles: tuple[tuple[str, str], ...] = ()
+    optional: tuple[str, ...] = ()
 
 
 def field_paths(value, path: str = "") -> set[str]:
@@ -79,8 +84,8 @@ class Registry:
         names = dict(mapping.roles)
         if mapping.turns:
             return [(names.get(_text(t.get(mapping.role)), _text(t.get(mapping.role))), _text(t.get(mapping.text))) for t in record[mapping.turns] or []]
-        found = [(role, _text(_at(record, path))) for role, path in mapping.fields]
-        return [(r, t) for r, t in found if t]
+        found = [(role, path, _text(_at(record, path))) for role, path in mapping.fields]
+        return [(role, text) for role, path, text in found if text or path not in mapping.optional]
 
 
 def _at(record, path: str):
@@ -104,13 +109,13 @@ def default_registry() -> Registry:
         .add({"conversations": [{"from": "", "value": ""}]}, Mapping("conversations", "from", "value", roles=said))
         .add({"id": "", "conversations": [{"from": "", "value": ""}]}, Mapping("conversations", "from", "value", roles=said))
         .add({"system": "", "conversations": [{"from": "", "value": ""}]}, Mapping("conversations", "from", "value", roles=said))
-        .add({"instruction": "", "input": "", "output": ""}, Mapping(fields=(("user", "instruction"), ("user", "input"), ("assistant", "output"))))
+        .add({"instruction": "", "input": "", "output": ""}, Mapping(fields=(("user", "instruction"), ("user", "input"), ("assistant", "output")), optional=("input",)))
         .add({"instruction": "", "output": ""}, Mapping(fields=(("user", "instruction"), ("assistant", "output"))))
-        .add({"instruction": "", "context": "", "response": "", "category": ""}, Mapping(fields=(("system", "context"), ("user", "instruction"), ("assistant", "response"))))
+        .add({"instruction": "", "context": "", "response": "", "category": ""}, Mapping(fields=(("system", "context"), ("user", "instruction"), ("assistant", "response")), optional=("context",)))
         .add({"prompt": "", "completion": ""}, Mapping(fields=(("user", "prompt"), ("assistant", "completion"))))
         .add({"prompt": "", "response": ""}, Mapping(fields=(("user", "prompt"), ("assistant", "response"))))
         .add({"question": "", "answer": ""}, Mapping(fields=(("user", "question"), ("assistant", "answer"))))
-        .add({"prompt": {"system": "", "user": ""}, "response": ""}, Mapping(fields=(("system", "prompt.system"), ("user", "prompt.user"), ("assistant", "response"))))
+        .add({"prompt": {"system": "", "user": ""}, "response": ""}, Mapping(fields=(("system", "prompt.system"), ("user", "prompt.user"), ("assistant", "response")), optional=("prompt.system",)))
     )
 
 
@@ -155,9 +160,11 @@ def format_records(df: DataFrame, registry: Registry, record: str = "record", ke
 
     def one(raw: str | None) -> tuple:
         try:
-            return *render(registry.turns(json.loads(raw)) if raw is not None else []), None
-        except ValueError as e:  # no mapping, or not JSON
-            return None, None, str(e)
+            turns = registry.turns(json.loads(raw)) if raw is not None else []
+        except (ValueError, RecursionError) as e:  # no mapping, not JSON, or too deep
+            return None, None, HALF.sub("\ufffd", str(e))
+        whole = [(HALF.sub("\ufffd", role), HALF.sub("\ufffd", text)) for role, text in turns]
+        return *render(whole), None if whole == turns else "half a surrogate pair was replaced"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -170,19 +177,23 @@ def format_records(df: DataFrame, registry: Registry, record: str = "record", ke
 
 
 def read_back(df: DataFrame) -> DataFrame:
-    """Digests of formatted conversations, taken from the output alone."""
+    """Digests of formatted conversations, taken from the output alone; nulls where there is none."""
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for formatted, spans in zip(batch.column("formatted").to_pylist(), batch.column("loss_spans").to_pylist(), strict=True):
+                if formatted is None:
+                    for column in out:
+                        column.append(None)
+                    continue
                 turns = parse(formatted)
                 loss = "".join(unescape(formatted[s["start"] : s["end"]]) for s in spans)
                 whole = "".join(f"{r}\n{t}\n" for r, t in turns)
                 for column, value in zip(out, (len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(formatted)), strict=True):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), *[pa.array(c) for c in out]], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), *[pa.array(c, pa.string() if k % 2 else pa.int64()) for k, c in enumerate(out)]], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
     return df.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
@@ -191,7 +202,7 @@ def as_records(conversations: DataFrame) -> DataFrame:
     """(conv_id, record): flat rows (conv_id, turn, role, text) as JSON records.
 
     Of four kinds, by a hash of conv_id, as data from several sources comes: messages with content, messages with text,
-    conversations of from and value, and prompts with a response where there are just these two, not empty.
+    conversations of from and value, and prompts with a response where there are just these two.
     """
     rows = conversations.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("m"))
     grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("m")).alias("m"))
@@ -204,7 +215,7 @@ def as_records(conversations: DataFrame) -> DataFrame:
 
     kind = F.pmod(F.xxhash64("conv_id"), F.lit(4))
     renamed = F.exists("m", lambda m: m["role"].isin("human", "gpt", "bot"))  # the layout of from and value has its own names for roles
-    asked = (F.size("m") == 2) & (F.get("m", F.lit(0))["role"] == "user") & (F.get("m", F.lit(1))["role"] == "assistant") & ~F.exists("m", lambda m: m["text"] == "")
+    asked = (F.size("m") == 2) & (F.get("m", F.lit(0))["role"] == "user") & (F.get("m", F.lit(1))["role"] == "assistant")
     plain = record(messages=turns("role", "content"))
     made = (
         F.when(kind == 1, record(messages=turns("role", "text"))).when((kind == 2) & ~renamed, record(conversations=turns("from", "value")))

@@ -313,3 +313,53 @@ def test_components_against_union_find(spark):
     got = components(spark.createDataFrame([*edges, (None, 1)], "u long, v long")).collect()
     assert {r["node"]: r["component"] for r in got} == want and len(got) == len(want)
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_chat_records_that_used_to_fail(spark):
+    from lodestone.llm import chat_format as c
+
+    deep = "[" * 100_000 + "]" * 100_000
+    records = ['{"question":"\\ud800 a","answer":"b"}', '{"prompt":"p","response":""}', '{"prompt":null,"response":"r"}', '{"instruction":"i","input":"","output":""}', deep, '{"a":' + deep + "}", '{"\\udfff":1}', "no", None]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(records)], "conv_id long, record string")
+    out = c.format_records(df, c.default_registry()).cache()
+    found = {r["conv_id"]: r for r in out.collect()}
+    assert c.parse(found[0]["formatted"]) == [("user", "\ufffd a"), ("assistant", "b")] and "surrogate" in found[0]["problem"]
+    assert c.parse(found[1]["formatted"]) == [("user", "p"), ("assistant", "")] and c.parse(found[2]["formatted"]) == [("user", ""), ("assistant", "r")]
+    assert c.parse(found[3]["formatted"]) == [("user", "i"), ("assistant", "")]
+    assert all(found[i]["formatted"] is None and found[i]["problem"] for i in (4, 5, 6, 7)) and found[8]["formatted"] == ""
+    back = {r["conv_id"]: r for r in c.read_back(out).collect()}
+    assert back[7]["n_turns"] is None and back[7]["turns_sha256"] is None and back[1]["n_turns"] == 2 and back[8]["n_turns"] == 0
+    flat = spark.createDataFrame([(i, t, r, "") for i in range(40) for t, r in enumerate(("user", "assistant"))], "conv_id long, turn int, role string, text string")
+    assert {r["n_turns"] for r in c.read_back(c.format_records(c.as_records(flat), c.default_registry())).collect()} == {2}
+
+
+def test_token_shards_of_a_million_spaces(spark):
+    import public_tokenizers as P
+
+    from lodestone.llm.byte_bpe import load_ranks
+    from lodestone.llm.token_shards import tokenise
+
+    ranks = load_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    text = "a" + " " * 1_000_000 + "b"
+    row = tokenise(spark.createDataFrame([(text,)], "text string"), ranks, P.PATTERN, 50256).first()
+    ids = np.frombuffer(bytes(row["ids"]), "<u2")
+    names = {v: k for k, v in ranks.items()}
+    assert row["n"] == len(ids) and ids[-1] == 50256 and b"".join(names[int(i)] for i in ids[:-1]) == text.encode()
+
+
+def test_token_counts_of_long_words():
+    import tracemalloc
+
+    import public_tokenizers as P
+
+    from lodestone.llm import token_counts as tc
+
+    trie = tc.TokenTrie(tc.load_pieces(P.path("piece_bpe_32k.model")))
+    rng = random.Random(8)
+    for n in (1, 5, 200, 255):
+        for letters in ("ab", "the and of", "é漢x😀"):
+            word = tc.MARK + "".join(rng.choice(letters) for _ in range(n))
+            assert trie.alone(word) == trie.insert(word)
+    tracemalloc.start()
+    assert trie.total([b"ab" * 50_000]) > 0 and tracemalloc.get_traced_memory()[1] < 10e6
+    tracemalloc.stop()
