@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
 from lodestone.functions import vectors as vx
+from lodestone.operators import graph_index as gi
 from lodestone.operators import lexical_index as li
 from lodestone.operators import search as se
 from lodestone.operators import vector_index as vi
@@ -195,6 +196,17 @@ def vector_index_topk(spark, sf_dir):
     return near.select(F.col("chunk_id").alias("vec_id"), F.round("score", 6).alias("score"), F.col("vec_rank").cast("long").alias("vec_rank"))
 
 
+def _build_graph(spark: SparkSession, sf_dir: str) -> gi.GraphIndex:
+    return gi.build(embedded(spark, sf_dir), _new_folder(spark, "graph"))
+
+
+def vector_graph_topk(spark, sf_dir):
+    """The ten nearest to every twentieth vector, from the graphs: approximate, so without SQL; a test has the recall."""
+    asked = read(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    near = gi.nearest_many(_kept(spark, sf_dir, "embeddings", _build_graph), asked, K)
+    return near.select("query_id", F.col("chunk_id").alias("vec_id"), F.round("score", 6).alias("score"), F.col("vec_rank").cast("long").alias("vec_rank"))
+
+
 def min_similarity_after_limit(spark, sf_dir):
     near = se.nearest(embedded(spark, sf_dir), query_vector(spark, sf_dir), 40, minimum=se.MIN_SIMILARITY)
     return near.select(F.col("chunk_id").alias("vec_id"), F.round("score", 6).alias("score"))
@@ -309,7 +321,7 @@ SELECT count(*) AS n_cases, round(avg(CASE WHEN answerable THEN CASE WHEN first_
  round(avg(CASE WHEN answerable THEN coalesce(1.0::DOUBLE / first_rank, 0) END), 9) AS mrr,
  round(avg(CASE WHEN NOT answerable THEN CAST(n_results = 0 AS DOUBLE) END), 9) AS no_answer FROM c"""
 
-QUERIES = {f.__name__: f for f in (lexical_search, lexical_scan, index_updates, phrase_search, cover_density_rank, websearch_filter, trigram_path_match, vector_topk, vector_index_topk, min_similarity_after_limit, hybrid_rrf, search_results, search_filtered, search_log, search_confidence, rag_context, deterministic_embedding, embedding_checks, retrieval_eval)}
+QUERIES = {f.__name__: f for f in (lexical_search, lexical_scan, index_updates, phrase_search, cover_density_rank, websearch_filter, trigram_path_match, vector_topk, vector_index_topk, vector_graph_topk, min_similarity_after_limit, hybrid_rrf, search_results, search_filtered, search_log, search_confidence, rag_context, deterministic_embedding, embedding_checks, retrieval_eval)}
 ORACLE_SQL = {
     "lexical_search": LEXICAL_SQL, "lexical_scan": LEXICAL_SQL, "index_updates": UPDATES_SQL, "phrase_search": PHRASE_SQL, "cover_density_rank": COVER_SQL, "websearch_filter": WEBSEARCH_SQL, "trigram_path_match": TRIGRAM_SQL,
     "search_results": RESULTS_SQL, "search_filtered": FILTERED_SQL, "search_log": LOG_SQL, "vector_topk": VECTOR_SQL, "vector_index_topk": VECTOR_SQL, "min_similarity_after_limit": MIN_SIM_SQL, "hybrid_rrf": HYBRID_SQL, "search_confidence": CONFIDENCE_SQL, "rag_context": RAG_SQL,
