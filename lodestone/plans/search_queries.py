@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
 from lodestone.functions import vectors as vx
+from lodestone.operators import batch_search as bs
 from lodestone.operators import graph_index as gi
 from lodestone.operators import lexical_index as li
 from lodestone.operators import search as se
@@ -288,42 +289,75 @@ def embedding_checks(spark, sf_dir):
 EMBEDDING_SQL = "SELECT label, count(*) AS n, min(len(embedding)) AS least, max(len(embedding)) AS most, round(avg(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 5) AS mean_norm FROM embeddings GROUP BY label"
 
 
-def retrieval_eval(spark, sf_dir):
-    """Each benchmark item as a query, whole; hits are documents that contain them, by doc_id.
+def _eval_queries(spark, sf_dir) -> DataFrame:
+    """Each benchmark item's words as a search (`or` would be an operator), and the vector with the item's number as its vector."""
+    b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
+    words = F.array_remove(F.array_distinct(tx.tokens(F.coalesce("item", F.lit("")))), "or")
+    v = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return b.select("query_id", "item", F.array_join(words, " ").alias("query")).join(v, "query_id", "left")
 
-    Candidates come from an equi-join on three of the query's inner tokens with each document's token
-    triples, or on one with its tokens where fewer are inner; the first and the last token may be parts
-    of longer ones. Only queries without an inner token meet every document.
-    """
-    b = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("q"))
-    b = b.withColumn("t", tx.tokens(F.col("q"))).withColumn("inner", F.size("t") - 2)
-    key = F.when(F.col("inner") >= 3, F.concat_ws(" ", F.get("t", F.lit(1)), F.get("t", F.lit(2)), F.get("t", F.lit(3)))).when(F.col("inner") >= 1, F.get("t", F.lit(1)))
-    b = b.select("item_id", "q", "inner", key.alias("key"))
-    d = widen(read(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("t", tx.tokens(F.col("text")))
-    threes = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("t") - 3), lambda i: F.concat_ws(" ", F.get("t", i), F.get("t", i + 1), F.get("t", i + 2))))
-    near = d.where(F.size("t") >= 3).select("doc_id", F.explode(threes).alias("key")).join(b.where("inner >= 3").select("item_id", "key"), "key")
-    few = d.select("doc_id", F.explode(F.array_distinct("t")).alias("key")).join(b.where("inner IN (1, 2)").select("item_id", "key"), "key")
-    none = d.select("doc_id", "text").join(b.where("inner < 1").select("item_id", "q"), F.col("text").contains(F.col("q")))
-    near = near.select("doc_id", "item_id").unionByName(few.select("doc_id", "item_id")).unionByName(none.select("doc_id", "item_id")).distinct()
-    hits = near.join(d.select("doc_id", "text"), "doc_id").join(b.select("item_id", "q"), "item_id").where(F.col("text").contains(F.col("q")))
-    ranked = hits.select("item_id", F.row_number().over(Window.partitionBy("item_id").orderBy("doc_id")).alias("r"), (F.col("doc_id") % 7 != 0).alias("relevant"))
-    first = ranked.groupBy("item_id").agg(F.min(F.when(F.col("relevant"), F.col("r"))).alias("first_rank"), F.count(F.lit(1)).alias("n_results"))
-    cases = b.join(first, "item_id", "left").select((F.col("item_id") % 5 != 0).alias("answerable"), "first_rank", F.coalesce("n_results", F.lit(0)).alias("n_results"))
-    return se.retrieval_measures(cases).select("n_cases", *[F.round(c, 9).alias(c) for c in ("hit_at_5", "hit_at_10", "mrr", "no_answer")])
-
-
-EVAL_SQL = """WITH b AS (SELECT item_id, text AS q FROM benchmark),
-h AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS r FROM b JOIN documents ON contains(text, q)),
-f AS (SELECT item_id, min(CASE WHEN doc_id % 7 <> 0 THEN r END) AS first_rank, count(*) AS n_results FROM h GROUP BY item_id),
-c AS (SELECT item_id % 5 <> 0 AS answerable, first_rank, coalesce(n_results, 0) AS n_results FROM b LEFT JOIN f USING (item_id))
-SELECT count(*) AS n_cases, round(avg(CASE WHEN answerable THEN CASE WHEN first_rank <= 5 THEN 1.0 ELSE 0.0 END END), 9) AS hit_at_5,
+
+def _eval_cases(spark, sf_dir, *modes: str) -> dict[str, DataFrame]:
+    """The engine's ten best for every item, by mode; a document that holds the item whole is what it asks for."""
+    asked = _eval_queries(spark, sf_dir)
+    index = _kept(spark, sf_dir, "documents", _build_lexical)
+    ranks = bs.text_ranks(index, asked, index.state()).persist()
+    # what holds an item has its words, so all that match its search are the candidates
+    holds = ranks.select("query_id", F.col("chunk_id").alias("doc_id")).join(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").join(asked.select("query_id", "item"), "query_id")
+    relevant = holds.where(F.col("text").contains(F.col("item"))).select("query_id", F.col("doc_id").alias("chunk_id"))
+    return {m: bs.cases(asked, bs.search(index, asked, embedded(spark, sf_dir) if m == "hybrid" else None, K, ranks=ranks), relevant) for m in modes}
+
+
+def retrieval_cases(spark, sf_dir):
+    """The keyword evaluation, case by case."""
+    return _eval_cases(spark, sf_dir, "keyword")["keyword"].select(F.col("query_id").alias("item_id"), "answerable", F.col("first_rank").cast("long").alias("first_rank"), "n_results")
+
+
+def retrieval_eval(spark, sf_dir):
+    """Measures of the engine's own searches, all items at once: a row for keyword search and one for hybrid."""
+    out = None
+    for mode, found in _eval_cases(spark, sf_dir, "keyword", "hybrid").items():
+        m = se.retrieval_measures(found)
+        m = m.select(F.lit(mode).alias("mode"), "n_cases", *[F.round(c, 9).alias(c) for c in ("hit_at_5", "hit_at_10", "mrr", "no_answer")])
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+_EVAL_CTE = rf"""b AS (SELECT item_id, text AS item, list_filter(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+')), lambda w: w <> 'or') AS words FROM benchmark),
+asked AS MATERIALIZED (SELECT item_id, item, words, array_to_string(list_filter(list_transform(range(1, length(all_words) + 1), lambda i: CASE WHEN list_position(all_words, all_words[i]) = i AND all_words[i] <> 'or' THEN all_words[i] END), lambda w: w IS NOT NULL), ' ') AS q
+  FROM (SELECT *, regexp_extract_all(lower(coalesce(item, '')), '[\p{{L}}\p{{N}}]+') AS all_words FROM b)),
+d AS MATERIALIZED (SELECT doc_id, source || '/doc' || doc_id || '.txt' AS path, text, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS toks FROM documents),
+pairs AS MATERIALIZED (SELECT item_id, doc_id, words, toks FROM asked JOIN d ON len(words) > 0 AND list_has_all(toks, words)),
+hits AS MATERIALIZED (SELECT item_id, doc_id, pos, term, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY pos) AS nth FROM
+  (SELECT item_id, doc_id, words, unnest(toks) AS term, generate_subscripts(toks, 1) AS pos FROM pairs) WHERE list_contains(words, term)),
+ends AS (SELECT h.item_id, h.doc_id, h.pos, h.nth, unnest(p.words) AS term FROM hits h JOIN pairs p USING (item_id, doc_id)),
+last AS (SELECT e.item_id, e.doc_id, e.pos AS e, e.nth, h.pos AS b, h.nth AS bn FROM ends e ASOF LEFT JOIN hits h ON e.item_id = h.item_id AND e.doc_id = h.doc_id AND e.term = h.term AND e.pos >= h.pos),
+begun AS (SELECT item_id, doc_id, e, nth, min(b) AS b, min(bn) AS bn FROM last GROUP BY ALL HAVING count(*) = count(b)),
+covers AS (SELECT item_id, doc_id, b, bn, min(e) AS e, min(nth) AS nth FROM begun GROUP BY item_id, doc_id, b, bn),
+ranks AS (SELECT item_id, doc_id, sum(0.1::DOUBLE / (1 + (e - b) - (nth - bn))) AS rank FROM covers GROUP BY item_id, doc_id),
+paths AS (SELECT item_id, doc_id, CAST(lower(path) LIKE q || '%' AS INTEGER) AS path_match, lower(path) LIKE '%' || q || '%' AS inside, {_sim("pg", "qg")} AS similarity
+  FROM (SELECT item_id, q, {_grams("q")} AS qg FROM asked) CROSS JOIN (SELECT doc_id, path, {_grams("path")} AS pg FROM d)),
+lex AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY path_match DESC, round(coalesce(rank, 0), 9) DESC, similarity DESC, doc_id) AS lex_rank
+  FROM paths LEFT JOIN ranks USING (item_id, doc_id) WHERE rank IS NOT NULL OR inside OR similarity::DOUBLE > 0.15 QUALIFY lex_rank <= {3 * K}),
+vec AS (SELECT item_id, doc_id, score, vec_rank FROM (SELECT item_id, v.vec_id AS doc_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS score,
+    row_number() OVER (PARTITION BY item_id ORDER BY round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) DESC, v.vec_id) AS vec_rank
+  FROM benchmark JOIN embeddings q ON q.vec_id = item_id CROSS JOIN embeddings v) WHERE vec_rank <= {3 * K} AND score >= 0.2),
+fused AS (SELECT 'keyword' AS mode, item_id, doc_id, lex_rank AS rank FROM lex WHERE lex_rank <= {K} UNION ALL
+  SELECT 'hybrid', item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY coalesce(1.0::DOUBLE / (60 + lex_rank), 0) + coalesce(1.0::DOUBLE / (60 + vec_rank), 0) DESC, lex_rank NULLS LAST, vec_rank NULLS LAST, doc_id) AS r
+  FROM lex FULL JOIN vec USING (item_id, doc_id) QUALIFY r <= {K}),
+relevant AS MATERIALIZED (SELECT item_id, doc_id FROM pairs JOIN d USING (doc_id) JOIN asked USING (item_id) WHERE contains(text, item)),
+cases AS (SELECT mode, item_id, item_id IN (SELECT item_id FROM relevant) AS answerable, first_rank, coalesce(n_results, 0) AS n_results
+  FROM (SELECT mode, item_id FROM benchmark CROSS JOIN (VALUES ('keyword'), ('hybrid')) m(mode)) LEFT JOIN
+  (SELECT mode, f.item_id, min(CASE WHEN r.doc_id IS NOT NULL THEN rank END) AS first_rank, count(*) AS n_results FROM fused f LEFT JOIN relevant r ON r.item_id = f.item_id AND r.doc_id = f.doc_id GROUP BY ALL) USING (mode, item_id))"""
+CASES_SQL = f"WITH {_EVAL_CTE} SELECT item_id, answerable, first_rank, n_results FROM cases WHERE mode = 'keyword'"
+EVAL_SQL = f"""WITH {_EVAL_CTE} SELECT mode, count(*) AS n_cases, round(avg(CASE WHEN answerable THEN CASE WHEN first_rank <= 5 THEN 1.0 ELSE 0.0 END END), 9) AS hit_at_5,
  round(avg(CASE WHEN answerable THEN CASE WHEN first_rank <= 10 THEN 1.0 ELSE 0.0 END END), 9) AS hit_at_10,
  round(avg(CASE WHEN answerable THEN coalesce(1.0::DOUBLE / first_rank, 0) END), 9) AS mrr,
- round(avg(CASE WHEN NOT answerable THEN CAST(n_results = 0 AS DOUBLE) END), 9) AS no_answer FROM c"""
+ round(avg(CASE WHEN NOT answerable THEN CAST(n_results = 0 AS DOUBLE) END), 9) AS no_answer FROM cases GROUP BY mode"""
 
-QUERIES = {f.__name__: f for f in (lexical_search, lexical_scan, index_updates, phrase_search, cover_density_rank, websearch_filter, trigram_path_match, vector_topk, vector_index_topk, vector_graph_topk, min_similarity_after_limit, hybrid_rrf, search_results, search_filtered, search_log, search_confidence, rag_context, deterministic_embedding, embedding_checks, retrieval_eval)}
+QUERIES = {f.__name__: f for f in (lexical_search, lexical_scan, index_updates, phrase_search, cover_density_rank, websearch_filter, trigram_path_match, vector_topk, vector_index_topk, vector_graph_topk, min_similarity_after_limit, hybrid_rrf, search_results, search_filtered, search_log, search_confidence, rag_context, deterministic_embedding, embedding_checks, retrieval_cases, retrieval_eval)}
 ORACLE_SQL = {
     "lexical_search": LEXICAL_SQL, "lexical_scan": LEXICAL_SQL, "index_updates": UPDATES_SQL, "phrase_search": PHRASE_SQL, "cover_density_rank": COVER_SQL, "websearch_filter": WEBSEARCH_SQL, "trigram_path_match": TRIGRAM_SQL,
     "search_results": RESULTS_SQL, "search_filtered": FILTERED_SQL, "search_log": LOG_SQL, "vector_topk": VECTOR_SQL, "vector_index_topk": VECTOR_SQL, "min_similarity_after_limit": MIN_SIM_SQL, "hybrid_rrf": HYBRID_SQL, "search_confidence": CONFIDENCE_SQL, "rag_context": RAG_SQL,
-    "embedding_checks": EMBEDDING_SQL, "retrieval_eval": EVAL_SQL,
+    "embedding_checks": EMBEDDING_SQL, "retrieval_cases": CASES_SQL, "retrieval_eval": EVAL_SQL,
 }
