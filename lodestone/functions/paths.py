@@ -57,12 +57,21 @@ def ignore_regex(extra: list[str] | None = None) -> str:
 
 
 def ignored(path: Column, extra: list[str] | None = None) -> Column:
-    """Whether a file path is ignored; backslashes count as slashes. Later `!` patterns re-include."""
+    """Whether a file path is ignored; backslashes count as slashes. The last rule that matches decides, and `!` re-includes,
+    but not below a folder that is itself ignored."""
     path = F.translate(path, "\\", "/")
-    out = path.rlike(ignore_regex())
-    for pattern in extra or []:
-        out = (out & ~path.rlike(glob_regex(pattern[1:]))) if pattern.startswith("!") else (out | path.rlike(glob_regex(pattern)))
-    return out
+
+    def one(p: Column) -> Column:
+        out = p.rlike(ignore_regex())
+        for pattern in extra or []:
+            out = (out & ~p.rlike(glob_regex(pattern[1:]))) if pattern.startswith("!") else (out | p.rlike(glob_regex(pattern)))
+        return out
+
+    if not any(p.startswith("!") for p in extra or []):
+        return one(path)  # what matches a folder matches all below
+    parts = F.split(path, "/")
+    above = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.concat(F.array_join(F.slice(parts, 1, n), "/"), F.lit("/"))))
+    return one(path) | F.coalesce(F.exists(above, one), F.lit(False))
 
 
 def suffix(path: Column) -> Column:

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import json
-import os
 import re
-from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,49 +29,6 @@ def register_roots(known: DataFrame, new: DataFrame) -> DataFrame:
     return known.unionByName(fresh, allowMissingColumns=True)
 
 
-def walk(root: str, extra: list[str] | None = None, max_bytes: int = px.MAX_FILE_BYTES) -> Iterator[tuple[str, int, int, str]]:
-    """(relative path, size, mtime in ns, outcome) of a root's files; ignored and linked directories are pruned and count once.
-
-    A driver-side manifest for file systems on one machine; scan() is the distributed form.
-    """
-    def is_ignored(path: str) -> bool:
-        out = bool(re.search(px.ignore_regex(), path))
-        for p in extra or []:
-            if p.startswith("!"):
-                out = out and not re.search(px.glob_regex(p[1:]), path)
-            else:
-                out = out or bool(re.search(px.glob_regex(p), path))
-        return out
-
-    top = os.path.realpath(root)
-    for folder, names, files in os.walk(top):
-        rel = os.path.relpath(folder, top)
-        rel = "" if rel == "." else rel + "/"
-        kept = []
-        for name in sorted(names):
-            if os.path.islink(os.path.join(folder, name)) or is_ignored(f"{rel}{name}/"):
-                yield f"{rel}{name}/", 0, 0, "ignored_directory"
-            else:
-                kept.append(name)
-        names[:] = kept
-        for name in sorted(files):
-            place, path = os.path.join(folder, name), rel + name
-            try:
-                if os.path.islink(place) or is_ignored(path):
-                    yield path, 0, 0, "ignored"
-                    continue
-                stat = os.stat(place)
-                kind = "unsupported" if os.path.splitext(name)[1].lower() not in px.SUPPORTED else "ignored" if stat.st_size > max_bytes else "queued"
-                yield path, stat.st_size, stat.st_mtime_ns, kind
-            except OSError:
-                yield path, 0, 0, "error"
-
-
-def manifest(spark: SparkSession, root_id: str, root: str, extra: list[str] | None = None, max_bytes: int = px.MAX_FILE_BYTES) -> DataFrame:
-    rows = [(root_id, *r, px.key_of(root_id, r[0], r[1], r[2]) if r[3] == "queued" else None) for r in walk(root, extra, max_bytes)]
-    return spark.createDataFrame(rows, "root_id string, path string, size_bytes long, mtime_ns long, outcome string, idempotency_key string")
-
-
 def scan_stats(found: DataFrame, known_keys: DataFrame | None = None) -> DataFrame:
     """ScanStats as one row; a file whose key is known is visited and nothing else."""
     if known_keys is not None:
@@ -105,7 +60,7 @@ def scan(spark: SparkSession, root: str, exclude: list[str] | None = None, inclu
 
     Ignored are the defaults, the root's `.knowledgeignore` and `exclude`. content is null and isn't read into the
     checks unless a file is queued: its length and suffix decide first. Object stores have no links; on a local file
-    system walk() leaves links out.
+    system sources.tree leaves links out, and doesn't read what isn't queued.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = re.sub(r"^[a-z0-9]+:(//[^/]*)?/+", "/", root).rstrip("/") + "/"  # neither side keeps scheme or host

@@ -18,6 +18,7 @@ from lodestone.operators import reports as rp
 from lodestone.operators import search as se
 from lodestone.operators import versions as vs
 from lodestone.sources import files as fl
+from lodestone.sources import tree as tr
 from lodestone.streaming import changes as cs
 
 
@@ -261,6 +262,8 @@ def test_ignore_rules(spark):
     for path, want in cases.items():
         assert one(spark, px.ignored(F.lit(path))) is want
     assert one(spark, px.ignored(F.lit("keep/a.log"), ["*.log", "!keep/*.log"])) is False
+    assert one(spark, px.ignored(F.lit("build/keep.md"), ["!build/keep.md"])) is True  # its folder isn't entered
+    assert one(spark, px.ignored(F.lit("build/keep.md"), ["!build/"])) is False
     for path, pattern, want in (("v1/a", "v[0-9]/", True), ("vx/a", "v[0-9]/", False), ("ax", "a[!b]", True), ("ab", "a[!b]", False), ("a[b", "a\\[b", True)):
         assert one(spark, px.ignored(F.lit(path), [pattern])) is want
     for path in ("Straße/ΣΑΣς", "ﬁX", "ĀB"):
@@ -287,7 +290,7 @@ def test_scan_and_rescan(spark, tmp_path):
         (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / name).write_bytes(body)
     os.symlink(root / "a.md", root / "link.md")
-    found = fl.manifest(spark, "r", str(root))
+    found = tr.manifest(spark, "r", str(root)).cache()
     assert fl.scan_stats(found).first().asDict() == {"visited": 6, "queued": 4, "ignored": 2, "unsupported": 1, "errors": 0}
     assert fl.scan_stats(found, found).first()["queued"] == 0
     jobs = found.where("idempotency_key IS NOT NULL")
