@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lodestone.streaming import stateful as st
+
 #: Fixed value: how long changes are gathered.
 DEBOUNCE = "750 milliseconds"
-#: Partitions of the job table by key.
-BUCKETS = 64
 CHANGE_SCHEMA = "path string, change string, ts timestamp, size_bytes long, mtime_ns long, seen boolean"
 
 
@@ -36,25 +34,10 @@ def change_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(CHANGE_SCHEMA).json(folder)
 
 
-def enqueue_stream(changes: DataFrame, jobs_path: str, checkpoint: str, available_now: bool = False, on_batch: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Appends new jobs batch by batch. Each batch writes to its own folder, so a repeated one changes nothing.
-
-    Below it jobs lie in BUCKETS by their key's hash: a batch reads known keys of its own buckets only.
-    """
-
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        jobs = classify(merge_changes(batch, ["ts"])).dropDuplicates(["idempotency_key"])
-        jobs = jobs.withColumn("bucket", F.pmod(F.xxhash64("idempotency_key"), F.lit(BUCKETS)).cast("int"))
-        path = spark._jvm.org.apache.hadoop.fs.Path(jobs_path)
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            touched = [r["bucket"] for r in jobs.select("bucket").distinct().collect()]  # at most BUCKETS numbers
-            known = spark.read.parquet(jobs_path).where((F.col("batch") != number) & F.col("bucket").isin(touched))
-            jobs = jobs.join(known.select("idempotency_key"), "idempotency_key", "left_anti")
-        jobs.write.mode("overwrite").partitionBy("bucket").parquet(f"{jobs_path}/batch={number}")
-        if on_batch:
-            on_batch(jobs, number)
-
-    writer = changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=DEBOUNCE)
-    return writer.start()
+def enqueue_stream(changes: DataFrame, jobs_path: str, checkpoint: str, available_now: bool = False, ttl_ms: int = st.REMEMBERED_MS) -> StreamingQuery:
+    """Appends new jobs to a table of files, each key once; what was seen is the stream's state, not a read of the table."""
+    jobs = st.once(classify(changes), ttl_ms)
+    writer = jobs.writeStream.format("parquet").option("path", jobs_path).option("checkpointLocation", checkpoint).outputMode("append")
+    if not available_now:
+        return writer.trigger(processingTime=DEBOUNCE).start()
+    return st.start_once(writer)
