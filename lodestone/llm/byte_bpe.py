@@ -62,12 +62,12 @@ class Generations:
 class ByteBPE:
     """Encodes with given ranks and pre-token pattern; special tokens are ordinary text."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, entries: int = CACHE_ENTRIES) -> None:
         self.ranks, self.find = ranks, regex.compile(pattern).findall
         self.pattern = pattern
         self.tokens = {v: k for k, v in ranks.items()}
         self.n_leaves = (max(ranks.values(), default=0) >> LEAF_BITS) + 1
-        self.words, self.pre = Generations(CACHE_ENTRIES), Generations(CACHE_ENTRIES)
+        self.words, self.pre = Generations(entries), Generations(entries)
 
     def merge(self, tokens: list[bytes]) -> list[list[int]]:
         """Ids of each of some pre-tokens, merged in one queue.
@@ -246,11 +246,12 @@ _CROWDED = re.compile(f" [{_WHITE}]|[{_WHITE}] |^[{_WHITE}]|[{_WHITE}]$")
 _CUT = re.compile(f"(?<=[^{_WHITE}]) (?=[^{_WHITE}])")
 
 
-def encode_decode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep_ids: bool = True) -> DataFrame:
+def encode_decode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep_ids: bool = True, entries: int = CACHE_ENTRIES) -> DataFrame:
     """Adds n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (array of int) to each row.
 
     The vocabulary (bounded by the rank file) travels with the function; one pass, no shuffle.
-    An input column with one of these names is replaced.
+    An input column with one of these names is replaced. entries: of one half of each of a worker's caches, which stay
+    with the worker when the job is done; fewer cost time where other jobs want its memory.
     """
     small_batches(df.sparkSession)
     added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
@@ -260,7 +261,7 @@ def encode_decode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: st
     kept = [f for f in df.schema.fields if f.name not in names]
     drop_text = not keep_ids  # the digest form has no use for the text any more
     kept = [f for f in kept if not (drop_text and f.name == text)]
-    shared = df.sparkSession.sparkContext.broadcast((ranks, pattern))
+    shared = df.sparkSession.sparkContext.broadcast((ranks, pattern, entries))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _worker(shared)
@@ -280,15 +281,16 @@ def encode_decode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: st
     return df.mapInArrow(run, T.StructType(kept + added))
 
 
-_WORKER: dict[int, ByteBPE] = {}
+_WORKER: dict[tuple, ByteBPE] = {}
 
 
 def _worker(shared) -> ByteBPE:
     """One encoder for each Python worker and vocabulary; its caches outlive a task."""
-    if shared.value[1] not in _WORKER:
+    if shared.value[1:] not in _WORKER:
         gc.set_threshold(200_000, 50, 1000)  # a million cached tuples would otherwise be walked again and again
-        _WORKER[shared.value[1]] = ByteBPE(*shared.value)
-    return _WORKER[shared.value[1]]
+        _WORKER.clear()  # one vocabulary's caches at a time
+        _WORKER[shared.value[1:]] = ByteBPE(*shared.value)
+    return _WORKER[shared.value[1:]]
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,8 @@ from . import byte_bpe, jaccard_join, mixing, quality_rules, suffix_dedup
 from .common import materialize, small_batches, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Entries of the encoder's caches here: its workers go on to hold the other stages' data, and caches outlive a stage.
+CACHED = 100_000
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,4 +64,4 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     small_batches(spark)
     ranks = byte_bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
-    return byte_bpe.encode_decode(docs.select("doc_id", "source", "text"), ranks, P.PATTERN).drop("text")
+    return byte_bpe.encode_decode(docs.select("doc_id", "source", "text"), ranks, P.PATTERN, entries=CACHED).drop("text")
