@@ -72,7 +72,7 @@ FROM m WHERE old IS NULL OR old <> h"""
 
 
 def chunk_append(spark, sf_dir):
-    c = st.new_chunks(_versions(spark, sf_dir))
+    c = st.new_chunks(_versions(spark, sf_dir).persist())  # the kinds of chunks each read it
     return c.select("chunk_id", "version_id", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk_type", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), "content_hash", F.col("token_estimate").cast("long").alias("token_estimate"))
 
 
@@ -83,7 +83,7 @@ CHUNKS_SQL = f"""WITH {_MERGED}, {_CHUNKS} SELECT sha256(version_id || chr(0) ||
 
 
 def ingest_events(spark, sf_dir):
-    v = _versions(spark, sf_dir)
+    v = _versions(spark, sf_dir).persist()
     e = st.ingest_events(v, st.new_chunks(v), _now())
     return e.select("document_id", "event_type", "path", F.col("details")["version_id"].alias("version_id"), F.col("details")["chunks"].alias("chunks"))
 
@@ -108,9 +108,11 @@ def _one(spark, sf_dir) -> str:
 
 
 def document_detail(spark, sf_dir):
-    whole = st.upsert_documents(catalog(spark, sf_dir).limit(0), scanned(spark, sf_dir).drop("doc_id"), F.lit(ROOT), _now())
-    chunks = st.new_chunks(whole.join(scanned(spark, sf_dir).select("path", "text"), "path"))
-    found = st.document_detail(whole.select("document_id", "version_id", "filename", "state"), chunks, _one(spark, sf_dir))
+    one = _one(spark, sf_dir)
+    asked = scanned(spark, sf_dir).where(st.id_of(F.lit(ROOT), F.col("path")) == one)  # only this document is cut into chunks
+    whole = st.upsert_documents(catalog(spark, sf_dir).limit(0), asked.drop("doc_id"), F.lit(ROOT), _now())
+    chunks = st.new_chunks(whole.join(asked.select("path", "text"), "path").persist())
+    found = st.document_detail(whole.select("document_id", "version_id", "filename", "state"), chunks, one)
     return found.select("document_id", "filename", "state", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk_type", F.col("start_line").cast("long").alias("start_line"), F.sha2("content", 256).alias("content_hash"))
 
 
