@@ -95,6 +95,20 @@ def ingest_events(versions: DataFrame, chunks: DataFrame, now: Column) -> DataFr
     return versions.join(counts, "version_id", "left").select("document_id", F.lit("indexed").alias("event_type"), "path", details.alias("details"), now.alias("created_at"))
 
 
+def deletion_events(before: DataFrame, gone: DataFrame, now: Column) -> DataFrame:
+    """An event for each document of the catalog that `gone` (root_id, path) takes out and that was there."""
+    lost = gone.select("root_id", "path").distinct()
+    return before.where("state <> 'deleted'").join(lost, ["root_id", "path"], "left_semi").select("document_id", F.lit("deleted").alias("event_type"), "path", F.lit(None).cast("map<string,string>").alias("details"), now.alias("created_at"))
+
+
+def retry_events(jobs: DataFrame, retried: DataFrame, now: Column) -> DataFrame:
+    """An event for each job of jobs.retry_as_new(), naming both. retried: its result."""
+    told = F.create_map(F.lit("original_job_id"), F.get_json_object("error_details", "$.retry_of"), F.lit("new_job_id"), F.col("job_id").cast("string"))
+    known = jobs.select(F.col("job_id").cast("string").alias("of"))
+    rows = retried.join(known, F.get_json_object("error_details", "$.retry_of") == F.col("of"), "left_semi")
+    return rows.select(F.lit(None).cast("string").alias("document_id"), F.lit("job_retry").alias("event_type"), F.lit(None).cast("string").alias("path"), told.alias("details"), now.alias("created_at"))
+
+
 def append(df: DataFrame, folder: str, batch: int) -> None:
     """Writes a batch to a folder of its own, so that a repeated one changes nothing."""
     df.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
