@@ -54,9 +54,18 @@ def table_sums(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def restore_check(manifest: DataFrame, restored: dict[str, DataFrame], links: list[tuple[str, str, str, str]]) -> DataFrame:
-    """A row for each table's rows and content against a manifest as table_sums() or a backup gives it, and for each
-    link (child rows without a parent)."""
+def probe_counts(tables: dict[str, DataFrame], probes: list[tuple[str, str, str]]) -> DataFrame:
+    """(check, n): of each (table, column, text) how many rows hold the text, in any case of letters; kept beside a manifest."""
+    out = None
+    for name, column, held in probes:
+        row = tables[name].agg(F.count_if(F.lower(column).contains(held.lower())).alias("n")).select(F.lit(f"holds:{name}.{column}:{held}").alias("check"), "n")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def restore_check(manifest: DataFrame, restored: dict[str, DataFrame], links: list[tuple[str, str, str, str]], probes: list[tuple[str, str, str]] = (), probed: DataFrame | None = None) -> DataFrame:
+    """A row for each table's rows and content against a manifest as table_sums() or a backup gives it, for each link (child
+    rows without a parent), and for each of probe_counts() against what it was (`probed`)."""
     named = manifest.select("table", "rows", "content_sum")
     names = [r["table"] for r in manifest.select("table").collect()]  # one row a table
     sums = table_sums({n: restored[n] for n in names}).select("table", F.col("rows").alias("found"), F.col("content_sum").alias("sum"))
@@ -66,4 +75,6 @@ def restore_check(manifest: DataFrame, restored: dict[str, DataFrame], links: li
     for child, ckey, parent, pkey in links:
         lost = restored[child].select(ckey).join(restored[parent].select(F.col(pkey).alias(ckey)), ckey, "left_anti").agg(F.count(F.lit(1)).alias("found"))
         out = out.unionByName(lost.select(F.lit(f"link:{child}.{ckey}").alias("check"), F.lit(0).cast("long").alias("expected"), "found"))
+    if probes:
+        out = out.unionByName(probed.withColumnRenamed("n", "expected").join(probe_counts(restored, list(probes)).withColumnRenamed("n", "found"), "check"))
     return out.withColumn("ok", F.col("expected") == F.col("found"))

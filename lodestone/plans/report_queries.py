@@ -337,11 +337,13 @@ r AS (SELECT 'rows:orders' AS "check", (SELECT count(*) FROM orders) AS expected
 UNION ALL SELECT 'rows:lineitem', (SELECT count(*) FROM lineitem), (SELECT count(*) FROM lineitem)
 UNION ALL SELECT 'content:orders', 1, 0 UNION ALL SELECT 'content:lineitem', 1, 1
 UNION ALL SELECT 'link:lineitem.l_orderkey', 0, (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM damaged))
-UNION ALL SELECT 'link:orders.o_custkey', 0, (SELECT count(*) FROM damaged WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)))
+UNION ALL SELECT 'link:orders.o_custkey', 0, (SELECT count(*) FROM damaged WHERE o_custkey NOT IN (SELECT c_custkey FROM customer))
+UNION ALL SELECT 'holds:orders.o_orderpriority:urgent', (SELECT count(*) FROM orders WHERE o_orderpriority ILIKE '%urgent%'), (SELECT count(*) FROM damaged WHERE o_orderpriority ILIKE '%urgent%'))
 SELECT "check", expected, found, expected = found AS ok FROM r""")
 def restore_check(spark, sf_dir):
     """A backup's manifest against a restored copy that has lost the pending orders and the links to them."""
     t = {n: read(spark, sf_dir, n) for n in ("orders", "lineitem")}
     restored = {**t, "orders": t["orders"].where("o_orderstatus <> 'P'"), "customer": read(spark, sf_dir, "customer")}
     links = [("lineitem", "l_orderkey", "orders", "o_orderkey"), ("orders", "o_custkey", "customer", "c_custkey")]
-    return vs.restore_check(vs.table_sums(t), restored, links)
+    probes = [("orders", "o_orderpriority", "urgent")]
+    return vs.restore_check(vs.table_sums(t), restored, links, probes, vs.probe_counts(t, probes))
