@@ -229,6 +229,27 @@ def test_archives_of_others(spark, tmp_path):
     assert told.where(hex_digest(F.col("told")) != F.col("hex")).count() == 0
 
 
+def test_whitening_query_against_eigenvectors(spark):
+    from lodestone.llm.whitening import op11_whitening
+
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()
+    x = np.floor(1024 * np.array([r["embedding"] for r in rows], float)).astype(np.int64) + 100000
+    n = len(x)
+    d = x * n - x.sum(0)
+    c = d / n
+    e, v = np.linalg.eigh(c.T @ c / n)
+    e, v = e[::-1], v[:, ::-1]
+    want = np.abs(c @ v[:, :8] / np.sqrt(e[:8]))
+    found = op11_whitening(spark, sf).collect()
+    assert len(found) == 8 * n
+    place = {r["vec_id"]: i for i, r in enumerate(rows)}
+    for r in found:
+        i, k = place[r["vec_id"]], r["component"] - 1
+        assert abs(abs(r["whitened"]) - want[i, k]) < 1e-8 and r["n"] == n and r["deviation"] == int((d[i] ** 2).sum())
+        assert abs(r["explained"] * e.sum() / e[k] - 1) < 1e-9 and r["identity_error"] < 1e-9
+
+
 @pytest.mark.parametrize("name", ["op12_warc", "op13_vector_codes"])
 def test_queries_against_sql(spark, name):
     import duckdb
