@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions import metadata as md
 from lodestone.functions import paths as px
 from lodestone.functions import text as tx
 from lodestone.operators import chunking as ch
@@ -55,15 +56,19 @@ def mark_deleted(catalog: DataFrame, gone: DataFrame, now: Column) -> DataFrame:
     return out.withColumn("state", F.when(hit, "deleted").otherwise(F.col("state"))).withColumn("last_seen_at", F.when(hit, now).otherwise(F.col("last_seen_at"))).drop("_gone")
 
 
-def new_versions(merged: DataFrame, texts: DataFrame, versions: DataFrame, now: Column, own: dict[str, Column] | None = None) -> DataFrame:
+def new_versions(merged: DataFrame, texts: DataFrame, versions: DataFrame, now: Column, own: dict[str, Column] | None = None, nested: bool = False) -> DataFrame:
     """Versions to append, with their text: contents that a document has not had before.
 
-    merged: upsert_documents(). own: the pipeline's metadata keys, which win over the text's front matter.
+    merged: upsert_documents(). own: the pipeline's metadata keys, which win over the text's front matter. nested: metadata
+    is a VARIANT with all that the front matter nests, and own keys are paths (`a.b`); else a map of strings.
     """
     due = merged.where(F.col("change_type").isin("created", "modified", "restored")).where(~F.col("content_hash").eqNullSafe(F.col("previous_hash")))
     due = due.join(versions.select("version_id"), "version_id", "left_anti").join(texts.select("root_id", "path", "text"), ["root_id", "path"])
-    known = F.when(F.col("suffix").isin(px.MARKDOWN), ch.frontmatter(F.col("text"))).otherwise(F.create_map().cast("map<string,string>"))
-    if own:
+    is_md = F.col("suffix").isin(px.MARKDOWN)
+    known = F.when(is_md, (md if nested else ch).frontmatter(F.col("text"))).otherwise(F.parse_json(F.lit("{}")) if nested else F.create_map().cast("map<string,string>"))
+    if own and nested:
+        known = md.overlay(known, own)
+    elif own:
         keys = F.create_map(*[x for k, v in own.items() for x in (F.lit(k), v)])
         known = F.map_concat(F.map_filter(known, lambda k, _: ~k.isin(list(own))), keys)
     return due.select(

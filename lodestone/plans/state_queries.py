@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestone.functions import metadata as md
 from lodestone.functions import vectors as vx
+from lodestone.operators import catalog as ct
 from lodestone.operators import jobs as jb
 from lodestone.operators import reports as rp
 from lodestone.operators import search as se
@@ -124,3 +126,27 @@ def job_rows(spark, sf_dir):
     j = jb.failed(rq.jobs(spark, sf_dir).where("status = 'failed'"), rq.now(), F.concat(F.lit("late "), "priority"))
     j = j.withColumns({"job_type": F.lit("scan"), "canonical_path": F.concat(F.lit("/orders/"), F.col("job_id").cast("string")), "error_type": F.lit("Timeout")})
     return st.projected(j, st.JOB_ROW)
+
+
+@query(f"WITH {wq._MERGED} SELECT path, document_id, version_id, CASE WHEN state = 'deleted' THEN 'deleted' ELSE 'active' END AS state, CASE WHEN old IS NULL THEN '2024' ELSE '2023' END AS first_seen, size_bytes FROM (SELECT *, strlen(text)::BIGINT AS size_bytes FROM m)")
+def catalog_upkeep(spark, sf_dir):
+    """A written catalog of what was known, after a scan of all documents and the deletion of those of toxic label."""
+    kept = ct.Catalog(spark, sq._new_folder(spark, "catalog"))
+    ct.create(kept, wq.catalog(spark, sf_dir))
+    scan = wq.scanned(spark, sf_dir)
+    ct.upsert(kept, scan.drop("doc_id", "text"), F.lit(wq.ROOT), wq._now())
+    toxic = read(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
+    ct.delete(kept, scan.join(toxic, "doc_id", "left_semi").select("root_id", "path"), wq._now())
+    return kept.documents().select("path", "document_id", "version_id", "state", F.date_format("first_seen_at", "yyyy").alias("first_seen"), "size_bytes")
+
+
+@query("""SELECT doc_id, lang AS language, source AS origin, n_chars AS chars, lang || ' ' || source AS second_tag, 'p1' AS pipeline_version, source AS kept, strlen(text)::BIGINT AS body_bytes FROM documents""")
+def nested_metadata(spark, sf_dir):
+    """Nested headers of all documents as VARIANT values, under keys of the pipeline that are laid over by path."""
+    d = sq.widen(read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", "text"))
+    head = F.concat(F.lit("---\norigin:\n  name: "), "source", F.lit("\n  size: {chars: "), F.col("n_chars").cast("string"), F.lit("}\ntags:\n- "), "lang", F.lit("\n- '"), "lang", F.lit(" "), "source", F.lit("'\npipeline: {version: from the text}\n---\n"))
+    text = F.concat(head, "text")
+    v = d.select("doc_id", "source", F.octet_length("text").cast("long").alias("body_bytes"), md.frontmatter(text).alias("v"))
+    v = v.select("doc_id", "body_bytes", md.overlay(F.col("v"), {"pipeline.version": F.lit("p1"), "origin.seen.kept": F.col("source")}).alias("v"))
+    got = {"language": ("$.tags[0]", "string"), "origin": ("$.origin.name", "string"), "chars": ("$.origin.size.chars", "bigint"), "second_tag": ("$.tags[1]", "string"), "pipeline_version": ("$.pipeline.version", "string"), "kept": ("$.origin.seen.kept", "string")}
+    return v.select("doc_id", "body_bytes", *[F.variant_get("v", at, kind).alias(name) for name, (at, kind) in got.items()])
