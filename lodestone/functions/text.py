@@ -22,6 +22,40 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), NOT_TOKEN, -1), "")
 
 
+#: Runs of letters and digits that a single one of these joins: hosts, files, paths, addresses, hyphenated words, numbers.
+JOINT = "[-./@]"
+COMPOUND = rf"[\p{{L}}\p{{N}}]+(?:{JOINT}[\p{{L}}\p{{N}}]+)*+"  # possessive: no stack for each part
+
+
+def compound_tokens(text: Column) -> Column:
+    """Tokens, each compound whole and then by its parts, all at places of their own: `foo-bar` is foo-bar, foo, bar.
+
+    The scheme of an address is a word before it: `http://a.b/c` is http, a.b/c, a, b, c.
+    """
+    runs = F.regexp_extract_all(F.lower(text), F.lit(COMPOUND), F.lit(0))
+
+    def both(run: Column) -> Column:
+        parts = F.split(run, JOINT, -1)
+        return F.when(F.size(parts) > 1, F.concat(F.array(run), parts)).otherwise(F.array(run))
+
+    return F.flatten(F.transform(runs, both))
+
+
+def compounds_of(text: str) -> list[str]:
+    """compound_tokens() of a search's words."""
+    letters = r"[^\W_]+"
+    out = []
+    for run in re.findall(rf"{letters}(?:{JOINT}{letters})*", text.lower()):
+        parts = re.split(JOINT, run)
+        out += [run, *parts] if len(parts) > 1 else parts
+    return out
+
+
+def tokens_for(compounds: bool):
+    """The tokenizer of texts, with compounds or without."""
+    return compound_tokens if compounds else tokens
+
+
 def lines(text: Column) -> Column:
     """Lines without their ends; a break at the end opens no line, and empty text has none."""
     parts = F.split(text, LINE_BREAK, -1)
@@ -50,15 +84,18 @@ class Branch:
         return list(dict.fromkeys([*self.words, *[w for p in self.phrases for w in p]]))
 
 
-def parse_search(query: str) -> list[Branch]:
-    """Web-style search: words are ANDed, "..." is a phrase, `or` separates branches, - negates. Never raises."""
+def parse_search(query: str, compounds: bool = False) -> list[Branch]:
+    """Web-style search: words are ANDed, "..." is a phrase, `or` separates branches, - negates. Never raises.
+
+    compounds: a compound is the phrase of itself and its parts, as compound_tokens() places them.
+    """
     branches, now = [], Branch()
     for sign, quoted, bare in re.findall(r'(-?)(?:"([^"]*)"|([^\s"]+))', query):
         if not quoted and bare.lower() == "or" and not sign:
             branches.append(now)
             now = Branch()
             continue
-        words = re.findall(r"[^\W_]+", (quoted or bare).lower())
+        words = compounds_of(quoted or bare) if compounds else re.findall(r"[^\W_]+", (quoted or bare).lower())
         if not words:
             continue
         if sign:

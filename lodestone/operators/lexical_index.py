@@ -49,28 +49,33 @@ SCHEMAS = {
 
 @dataclass(frozen=True)
 class State:
-    """What is live: segments (name, seq, chunks) in order, tables of removed ids (name, seq), and the type of an id."""
+    """What is live: segments (name, seq, chunks) in order, tables of removed ids (name, seq), the type of an id, and whether
+    compounds are indexed whole beside their parts."""
 
     number: int
     kind: str = "bigint"
     segments: tuple[tuple[str, int, int], ...] = ()
     removed: tuple[tuple[str, int], ...] = ()
+    compounds: bool = False
 
 
 @dataclass(frozen=True)
 class LexicalIndex:
+    """compounds: the tokenizer of an index that has no state yet; afterwards its state has it."""
+
     spark: SparkSession
     folder: str
+    compounds: bool = False
 
     def state(self) -> State:
         fs, folder = _files(self.spark, f"{self.folder}/log")
         names = sorted(f.getPath().getName() for f in fs.listStatus(folder)) if fs.exists(folder) else []
         if not names:
-            return State(0)
+            return State(0, compounds=self.compounds)
         stream = fs.open(_files(self.spark, f"{self.folder}/log/{names[-1]}")[1])
         held = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         stream.close()
-        return State(held["number"], held["kind"], tuple(map(tuple, held["segments"])), tuple(map(tuple, held["removed"])))
+        return State(held["number"], held["kind"], tuple(map(tuple, held["segments"])), tuple(map(tuple, held["removed"])), held.get("compounds", False))
 
     def commit(self, state: State) -> None:
         """Makes a state the live one; fails where another writer was first."""
@@ -156,17 +161,17 @@ def append(index: LexicalIndex, chunks: DataFrame, replaces: DataFrame | None =
     classes = {r["class"]: r["count"] for r in kept.groupBy("class").count().collect()}  # at most 64
     kept = kept.withColumn("group", _grouped(kept, classes))
     own = kept.select("chunk_id", "group", "t").repartition("chunk_id")
-    places = own.select("chunk_id", "group", F.posexplode(tx.tokens(F.col("t"))).alias("pos", "token")).groupBy("chunk_id", "group", "token").agg(F.array_sort(F.collect_list("pos")).alias("places"))
+    places = own.select("chunk_id", "group", F.posexplode(tx.tokens_for(state.compounds)(F.col("t"))).alias("pos", "token")).groupBy("chunk_id", "group", "token").agg(F.array_sort(F.collect_list("pos")).alias("places"))
     _write_segment(index, segment, kept.select("chunk_id", "path", "symbol", "group"), places)
     removed = state.removed if replaces is None else (*state.removed, _ids(index, replaces, seq))
-    index.commit(State(seq, kind, (*state.segments, (segment, seq, sum(classes.values()))), removed))
+    index.commit(State(seq, kind, (*state.segments, (segment, seq, sum(classes.values()))), removed, state.compounds))
     return index
 
 
 def remove(index: LexicalIndex, ids: DataFrame) -> LexicalIndex:
     """Takes chunks out; their rows stay in their segments, hidden, until these are merged."""
     state = index.state()
-    index.commit(State(state.number + 1, state.kind, state.segments, (*state.removed, _ids(index, ids, state.number + 1))))
+    index.commit(State(state.number + 1, state.kind, state.segments, (*state.removed, _ids(index, ids, state.number + 1)), state.compounds))
     return index
 
 
@@ -187,7 +192,7 @@ def merge(index: LexicalIndex, segments: list[str] | None = None) -> LexicalInde
     seq = max(s[1] for s in taken)
     least = min((s[1] for s in rest), default=None)  # what every segment has seen is done with
     removed = tuple(r for r in state.removed if least is not None and r[1] > least)
-    index.commit(State(state.number + 1, state.kind, tuple(sorted((*rest, (segment, seq, sum(classes.values()))), key=lambda s: s[1])), removed))
+    index.commit(State(state.number + 1, state.kind, tuple(sorted((*rest, (segment, seq, sum(classes.values()))), key=lambda s: s[1])), removed, state.compounds))
     return index
 
 
@@ -337,7 +342,8 @@ def lexical(index: LexicalIndex, query: str, limit: int, allowed: DataFrame | No
 
     allowed: one column chunk_id, the only chunks to search (see search.filtered()).
     """
-    branches, state = tx.parse_search(query), index.state()
+    state = index.state()
+    branches = tx.parse_search(query, state.compounds)
     if any(not b.terms for b in branches):
         raise ValueError("a branch of negations only matches nearly every chunk: search without the index")
     order = [F.desc("path_match"), F.round("lexical_rank", 9).desc(), F.desc("similarity"), F.asc("chunk_id")]

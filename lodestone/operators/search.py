@@ -50,13 +50,14 @@ def searched_text(chunks: DataFrame) -> Column:
     return F.concat_ws(" ", F.coalesce("heading", F.lit("")), F.coalesce("symbol", F.lit("")), "content") if "heading" in chunks.columns else F.col("content")
 
 
-def lexical(chunks: DataFrame, query: str, limit: int) -> DataFrame:
+def lexical(chunks: DataFrame, query: str, limit: int, compounds: bool = False) -> DataFrame:
     """(chunk_id, path_match, lexical_rank, similarity, lex_rank), best first. chunks: chunk_id, path, content, symbol.
+    compounds: tokens and the search are those of text.compound_tokens().
 
     A chunk is a hit if its text matches the parsed search, its path contains the query or is like
     it, or its symbol is the query. Top-k comes before the rank window, so no task sorts all hits.
     """
-    branches = tx.parse_search(query)
+    branches = tx.parse_search(query, compounds)
     lowered = query.lower()
     like = tx.like_literal(lowered)
     text = searched_text(chunks)
@@ -66,7 +67,7 @@ def lexical(chunks: DataFrame, query: str, limit: int) -> DataFrame:
         maybe = maybe | F.lower(text).contains(t)
     if any(not b.terms for b in branches):
         maybe = F.lit(True)
-    base = chunks.select("chunk_id", "path", "symbol", F.when(maybe, tx.tokens(text)).alias("toks"))
+    base = chunks.select("chunk_id", "path", "symbol", F.when(maybe, tx.tokens_for(compounds)(text)).alias("toks"))
     wanted = tx.trigrams(F.lit(query))
     scored = base.select(
         "chunk_id", "toks", F.coalesce(tx.matches(F.col("toks"), branches), F.lit(False)).alias("hit"),

@@ -121,18 +121,51 @@ def _sim(a: str, b: str) -> str:
     return f"(len(list_intersect({a}, {b}))::DOUBLE / len(list_distinct(list_concat({a}, {b}))))::FLOAT"
 
 
-LEXICAL_CTE = f"""toks AS ({_TOKS}),
-scored AS (SELECT *, (list_contains(toks, 'that') AND list_contains(toks, 'with')) AS hit, lower(path) LIKE '%{WORDS}%' AS inside,
-  CAST(lower(path) LIKE '{WORDS}%' AS INTEGER) AS path_match, {_sim(_grams("path"), _grams(f"'{WORDS}'"))} AS similarity FROM toks),
+def _lexical_cte(words: str, terms: list[str], hit: str, toks: str) -> str:
+    """CTEs ending in `lex`, the best of a keyword search: `hit` says in SQL whether the tokens match."""
+    return f"""toks AS ({toks}),
+scored AS (SELECT *, ({hit}) AS hit, lower(path) LIKE '%{words}%' AS inside,
+  CAST(lower(path) LIKE '{words}%' AS INTEGER) AS path_match, {_sim(_grams("path"), _grams(f"'{words}'"))} AS similarity FROM toks),
 cand AS (SELECT * FROM scored WHERE hit OR inside OR similarity::DOUBLE > 0.15),
 matched AS (SELECT * FROM cand WHERE hit),
-{_cover_sql(WORDS.split(), "matched")},
+{_cover_sql(terms, "matched")},
 lex AS (SELECT doc_id, path_match, coalesce(lexical_rank, 0) AS lexical_rank, similarity,
   row_number() OVER (ORDER BY path_match DESC, round(coalesce(lexical_rank, 0), 9) DESC, similarity DESC, doc_id) AS lex_rank FROM cand LEFT JOIN ranks USING (doc_id)
   QUALIFY lex_rank <= {3 * K})"""
+
+
+LEXICAL_CTE = _lexical_cte(WORDS, WORDS.split(), "list_contains(toks, 'that') AND list_contains(toks, 'with')", _TOKS)
 LEXICAL_SQL = f"WITH {LEXICAL_CTE} SELECT doc_id, path_match, round(lexical_rank, 6) AS lexical_rank, round(similarity::DOUBLE, 5) AS similarity, lex_rank FROM lex"
 
 
+COMPOUND = "2.0"
+_RUNS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:[-./@][\p{L}\p{N}]+)*')"
+_PARTS = r"string_split_regex(r, '[-./@]')"
+_COMPOUND_TOKS = rf"SELECT doc_id, source || '/doc' || doc_id || '.txt' AS path, text, flatten(list_transform({_RUNS}, lambda r: CASE WHEN len({_PARTS}) > 1 THEN list_concat([r], {_PARTS}) ELSE [r] END)) AS toks FROM documents"
+
+
+def compound_tokens(spark, sf_dir):
+    """Tokens of all documents with hosts, addresses and hyphenated words whole and by part."""
+    d = widen(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", tx.compound_tokens(F.col("text")).alias("toks"))
+    return d.select("doc_id", F.size("toks").cast("long").alias("n_tokens"), F.size(F.filter("toks", lambda t: t.rlike("[-./@]"))).cast("long").alias("n_compounds"), F.sha2(F.array_join("toks", " "), 256).alias("tokens_sha256"))
+
+
+COMPOUND_TOKENS_SQL = f"SELECT doc_id, len(toks) AS n_tokens, len(list_filter(toks, lambda t: regexp_matches(t, '[-./@]'))) AS n_compounds, sha256(array_to_string(toks, ' ')) AS tokens_sha256 FROM ({_COMPOUND_TOKS})"
+
+
+def _build_compounds(spark: SparkSession, sf_dir: str) -> li.LexicalIndex:
+    return li.append(li.LexicalIndex(spark, _new_folder(spark, "index"), compounds=True), chunks(spark, sf_dir))
+
+
+def compound_search(spark, sf_dir):
+    """A keyword search for a compound, from an index that has compounds."""
+    return _lexical(li.lexical(_kept(spark, sf_dir, "documents", _build_compounds), COMPOUND, 3 * K))
+
+
+_COMPOUND_CTE = _lexical_cte(COMPOUND, [COMPOUND, *COMPOUND.split(".")], f"contains(' ' || array_to_string(toks, ' ') || ' ', ' {COMPOUND} {COMPOUND.replace('.', ' ')} ')", _COMPOUND_TOKS)
+COMPOUND_SEARCH_SQL = LEXICAL_SQL.replace(LEXICAL_CTE, _COMPOUND_CTE)
+
+
 def phrase_search(spark, sf_dir):
     d = widen(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", tx.tokens(F.col("text")).alias("toks"))
     hit = d.where(tx.matches(F.col("toks"), tx.parse_search(PHRASE)))
@@ -355,9 +388,9 @@ EVAL_SQL = f"""WITH {_EVAL_CTE} SELECT mode, count(*) AS n_cases, round(avg(CASE
  round(avg(CASE WHEN answerable THEN coalesce(1.0::DOUBLE / first_rank, 0) END), 9) AS mrr,
  round(avg(CASE WHEN NOT answerable THEN CAST(n_results = 0 AS DOUBLE) END), 9) AS no_answer FROM cases GROUP BY mode"""
 
-QUERIES = {f.__name__: f for f in (lexical_search, lexical_scan, index_updates, phrase_search, cover_density_rank, websearch_filter, trigram_path_match, vector_topk, vector_index_topk, vector_graph_topk, min_similarity_after_limit, hybrid_rrf, search_results, search_filtered, search_log, search_confidence, rag_context, deterministic_embedding, embedding_checks, retrieval_cases, retrieval_eval)}
+QUERIES = {f.__name__: f for f in (lexical_search, lexical_scan, index_updates, compound_tokens, compound_search, phrase_search, cover_density_rank, websearch_filter, trigram_path_match, vector_topk, vector_index_topk, vector_graph_topk, min_similarity_after_limit, hybrid_rrf, search_results, search_filtered, search_log, search_confidence, rag_context, deterministic_embedding, embedding_checks, retrieval_cases, retrieval_eval)}
 ORACLE_SQL = {
-    "lexical_search": LEXICAL_SQL, "lexical_scan": LEXICAL_SQL, "index_updates": UPDATES_SQL, "phrase_search": PHRASE_SQL, "cover_density_rank": COVER_SQL, "websearch_filter": WEBSEARCH_SQL, "trigram_path_match": TRIGRAM_SQL,
+    "lexical_search": LEXICAL_SQL, "lexical_scan": LEXICAL_SQL, "index_updates": UPDATES_SQL, "compound_tokens": COMPOUND_TOKENS_SQL, "compound_search": COMPOUND_SEARCH_SQL, "phrase_search": PHRASE_SQL, "cover_density_rank": COVER_SQL, "websearch_filter": WEBSEARCH_SQL, "trigram_path_match": TRIGRAM_SQL,
     "search_results": RESULTS_SQL, "search_filtered": FILTERED_SQL, "search_log": LOG_SQL, "vector_topk": VECTOR_SQL, "vector_index_topk": VECTOR_SQL, "min_similarity_after_limit": MIN_SIM_SQL, "hybrid_rrf": HYBRID_SQL, "search_confidence": CONFIDENCE_SQL, "rag_context": RAG_SQL,
     "embedding_checks": EMBEDDING_SQL, "retrieval_cases": CASES_SQL, "retrieval_eval": EVAL_SQL,
 }

@@ -122,3 +122,27 @@ def test_fingerprint_follows_the_files(spark, tmp_path):
     assert before == li.fingerprint(spark, place) and len(before) > 1
     spark.range(4).write.mode("overwrite").parquet(place)
     assert before != li.fingerprint(spark, place)
+
+
+def test_compounds_whole_and_by_part(spark, tmp_path):
+    texts = ["see README.md, or foo-bar.", "foo bar readme md", "http://Host.example.org/a/b?q=1 -x- a--b", "mail a.b@c.org 3.14", "", None, "foo-bar baz foo-bar", "é-É"]
+    frame = spark.createDataFrame([(i, f"d/{i}", t, None, None) for i, t in enumerate(texts)], SCHEMA)
+    got = {r[0]: r[1] for r in frame.select("chunk_id", tx.compound_tokens(F.col("content"))).collect()}
+    assert got[0] == ["see", "readme.md", "readme", "md", "or", "foo-bar", "foo", "bar"] and got[4] == [] and got[5] is None
+    assert got[2] == ["http", "host.example.org/a/b", "host", "example", "org", "a", "b", "q", "1", "x", "a", "b"]
+    assert got[3] == ["mail", "a.b@c.org", "a", "b", "c", "org", "3.14", "3", "14"] and got[7] == ["é-é", "é", "é"]
+    assert all(tx.compounds_of(t) == got[i] for i, t in enumerate(texts) if t is not None)
+
+    assert spark.range(1).select(F.size(tx.compound_tokens(F.repeat(F.lit("ab-"), 300_000)))).first()[0] == 300_001  # one long run
+
+    index = li.append(li.LexicalIndex(spark, f"file://{tmp_path}/i", compounds=True), frame)
+    li.append(index, spark.createDataFrame([(9, "d/9", "foo-bar", None, None)], SCHEMA))
+    again = li.LexicalIndex(spark, index.folder)  # its state says how it was cut
+    more = frame.unionByName(spark.createDataFrame([(9, "d/9", "foo-bar", None, None)], SCHEMA)).cache()
+    found = {"foo-bar": [0, 6, 9], "README.md": [0], "foo": [0, 1, 6, 9], '"bar baz"': [6], "foo -foo-bar": [1], "host.example.org/a/b": [2], "http://host.example.org/a/b": [2], "example": [2]}
+    for query, ids in found.items():
+        rows = li.lexical(again, query, 20).collect()
+        assert sorted(r["chunk_id"] for r in rows if r["lexical_rank"] > 0) == ids, query
+        assert plain(rows) == plain(se.lexical(more, query, 20, compounds=True).collect()), query
+    li.merge(again)
+    assert index.state().compounds and [r["chunk_id"] for r in li.lexical(index, "readme.md", 5).where("lexical_rank > 0").collect()] == [0]
