@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,8 +18,16 @@ def test_toxicity_reads_words_whole(spark):
     for block in (1, 2, 7, 500):
         assert all((a == np.concatenate(b)).all() for a, b in zip(whole, zip(*tx.events(words, block))))
     model = tx.Model(*np.unique(whole[2], return_counts=True), np.ones(len(np.unique(whole[2]))))
-    sums = [model.ratios([w]).sum() for w in words]
-    assert np.allclose(np.add.reduceat(model.ratios(words), np.cumsum(tx.units(words)) - tx.units(words)), sums) and tx.units(words).max() == 25
+    model.seen = np.random.default_rng(4).normal(size=len(model.seen))
+    together, keys = model.ratios(words), dict(zip(model.keys.tolist(), model.seen.tolist(), strict=True))
+    for i, w in enumerate(words):
+        own = [keys[k] for _, _, found in tx.events([w]) for k in found.tolist()]
+        spans = [sum(own[a : a + tx.SPAN]) for a in range(max(1, len(own) - tx.SPAN + 1))]
+        assert np.allclose(together[i], [sum(own), len(w) + 1, max(spans)]) and (together[i] == model.ratios([w])[0]).all()
+    for block in (1, 7, 20):  # words that go on in other blocks
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(tx, "events", lambda words, e=tx.events, b=block: e(words, b))
+            assert np.allclose(model.ratios(words), together)
     assert len(whole[0]) == sum(map(len, words)) + len(words) and list(tx.events([])) == []
     plain = ["river", "stone", "garden", "window", "paper", "summer", "bridge", "letter", "north", "quiet"]
     data = []
