@@ -47,6 +47,11 @@ def parsed(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", "query").mapInArrow(run, f"query_id {kind}, branch int, words array<string>, phrases array<array<string>>, without array<array<string>>")
 
 
+def few(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """rows, some for each query: sent to all tasks where the queries are few, so that the index isn't shuffled to meet them."""
+    return F.broadcast(rows) if queries.limit(BLOCK + 1).count() <= BLOCK else rows
+
+
 def cover_rank(places: Column, terms: Column, asked: Column) -> Column:
     """text.cover_ranks() of one chunk and one branch in its row; 0.0 unless all its terms are there.
 
@@ -79,15 +84,16 @@ def text_ranks(index: li.LexicalIndex, queries: DataFrame, state: li.State) -> D
     whole = branches.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("branch", "terms", "phrases", "without"))).alias("b"))
     whole = whole.withColumn("asked", F.array_distinct(F.flatten(F.transform("b", lambda b: b["terms"]))))
     every = whole.select("query_id", F.explode(F.array_union("asked", F.flatten(F.flatten(F.transform("b", lambda b: b["without"]))))).alias("token"))
-    blocks = index.rows("blocks", state).join(every.select("token").distinct(), "token", "left_semi")
+    blocks = index.rows("blocks", state).join(few(every.select("token").distinct(), queries), "token", "left_semi")
     terms = branches.select("query_id", "branch", F.explode("terms").alias("token"))
     heads = blocks.groupBy("token").agg(F.sum("n").alias("n"))
     rarest = terms.join(heads, "token", "left").groupBy("query_id", "branch").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("token")).select("query_id", "token").distinct()
-    postings = blocks.select("token", "segment", "seq", F.explode("entries").alias("e")).select("token", "segment", "seq", "e.chunk_id", "e.places")
-    candidates = index.alive(postings.join(rarest, "token").select("query_id", "segment", "seq", "chunk_id"), state).select("query_id", "segment", "chunk_id").distinct()
+    candidates = index.alive(li.postings(blocks.join(few(rarest, queries), "token"), "query_id", "segment", "seq", "group"), state).select("query_id", "segment", "group", "chunk_id").distinct()
     keys = ["query_id", "segment", "chunk_id"]
-    wanted = candidates.join(every, "query_id")
-    found = postings.select("token", "segment", "chunk_id", "places").join(wanted, ["token", "segment", "chunk_id"]).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("token", "places"))).alias("m"))
+    wanted = candidates.join(few(every, queries), "query_id")
+    held = wanted.groupBy("token", "segment", "group").agg(F.collect_set("chunk_id").alias("want"))  # of a group at most
+    postings = li.postings(blocks.join(held, ["token", "segment", "group"]), "token", "segment", among="want")
+    found = postings.join(wanted, ["token", "segment", "chunk_id"]).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("token", "places"))).alias("m"))
     m = F.col("m")
 
     def matches(b: Column) -> Column:
@@ -107,10 +113,17 @@ def named_chunks(index: li.LexicalIndex, queries: DataFrame, state: li.State) ->
     asked = asked.withColumn("m", F.size("grams"))
     names = index.rows("names", state)
     each = asked.where(F.size("inner") > 0).select("query_id", "m", F.size("inner").alias("asked"), "inner", F.explode(F.array_union("grams", "inner")).alias("gram"))
-    each = each.select("query_id", "m", "asked", "gram", F.array_contains("inner", F.col("gram")).alias("within"))
+    each = each.select("query_id", "m", "gram", F.array_contains("inner", F.col("gram")).alias("within"))
+    # a path like the query shares at least `least` of its m trigrams, so one of them even without the least - 1 commonest
+    table = index.rows("grams", state)
+    common = few(table.join(few(each.select("gram").distinct(), queries), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("paths")), queries)
+    place, rare = Window.partitionBy("query_id").orderBy(F.desc("paths"), "gram"), Window.partitionBy("query_id").orderBy(F.desc("within"), "paths", "gram")
+    left = F.expr("(3 * (m + (3 * m + 19) div 20) + 22) div 23 - 1")
+    each = each.join(common, "gram", "left").withColumn("paths", F.coalesce("paths", F.lit(0))).select("*", left.alias("left"), (F.row_number().over(place) > left).alias("kept"), (F.row_number().over(rare) == 1).alias("rarest"))
+    each = each.select("query_id", "m", "left", "gram", "kept", (F.col("rarest") & F.col("within")).alias("sure")).where("kept OR sure")
     like = (F.col("n") * 20 >= F.col("m") * 3) & (F.col("n") * 3 <= F.col("m") * 20)
-    counted = index.rows("grams", state).join(each, "gram").where(like | F.col("within")).groupBy("query_id", "segment", "chunk_id", "n", "m", "asked").agg(F.count(F.lit(1)).alias("s"), F.count(F.when(F.col("within"), 1)).alias("found"))
-    near = counted.where((F.col("s") * 23 >= (F.col("n") + F.col("m")) * 3) | (F.col("found") == F.col("asked"))).select("query_id", "segment", "chunk_id")
+    counted = table.join(few(each, queries), "gram").where((like & F.col("kept")) | F.col("sure")).groupBy("query_id", "segment", "chunk_id", "n", "m", "left").agg(F.count(F.when(F.col("kept"), 1)).alias("s"), F.max("sure").alias("sure"))
+    near = counted.where((like & ((F.col("s") + F.col("left")) * 23 >= (F.col("n") + F.col("m")) * 3)) | F.col("sure")).select("query_id", "segment", "chunk_id")
     symbols = names.join(asked.select("query_id", "lowered"), F.col("symbol") == F.col("lowered")).select("query_id", "segment", "chunk_id")
     rows = near.unionByName(symbols).distinct().join(names, ["segment", "chunk_id"]).join(asked, "query_id")
     short = asked.where(F.size("inner") == 0)  # no three letters in a row: nothing to look up, so all paths

@@ -4,8 +4,10 @@ An append writes one segment; what it replaces or removes is listed in a table o
 rows; merging rewrites segments without their hidden rows, from their postings and not from text. A log of small files
 names what is live: a change is one new file, so readers see all of it or nothing, and of two writers at once one fails.
 
-A segment deals its chunks to groups of like length. A block is a token's places in one group, with the greatest count
-that a chunk there has. Counts bound cover-density ranks, so a search reads the heads of its terms' blocks (three
+A segment deals its chunks to groups of like length. The text is shuffled once, by group; a task sorts the tokens of some
+megabytes of a group at a time (numpy) and writes them as blocks: a token's places in (a piece of) one group, as flat arrays,
+with the greatest count that a chunk there has. Each task sorts its blocks by token and writes them to folders of tokens by
+hash: places are never shuffled. Counts bound cover-density ranks, so a search reads the heads of its terms' blocks (three
 numbers each), evaluates the groups with the greatest bounds, and then only those whose bound reaches the worst of the
 ranks found so far. Nothing that could be among the best is left out: results equal search.lexical()'s.
 
@@ -23,16 +25,22 @@ import json
 import math
 import re
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
 from lodestone.operators.search import searched_text
+from lodestone.session import small_batches
 
-BUCKETS = 64
-#: Chunks of a group, about; groups of the first look; so few that all are read at once; groups listed in a filter, at most
+BUCKETS = 16
+#: Characters of a group, at most (but one chunk at least), and of the text whose blocks a task sorts, about.
+GROUP_CHARS, TASK_CHARS = 16 << 20, 64 << 20
+#: Chunks of a group, at most about; groups of the first look; so few that all are read at once; groups listed in a filter, at most
 #: (more are joined).
 GROUP, FIRST, FEW, LISTED = 256, 8, 64, 10_000
 #: Bits of a group's number within its length class.
@@ -43,8 +51,10 @@ SUB = 32
 SCHEMAS = {
     "names": "chunk_id {id}, path string, symbol string, group bigint, segment string",
     "grams": "chunk_id {id}, n int, gram string, bucket int, segment string",
-    "blocks": "token string, group bigint, n bigint, most int, entries array<struct<chunk_id: {id}, places: array<int>>>, bucket int, segment string",
+    "blocks": "token string, group bigint, n bigint, most int, ids array<{id}>, ends array<int>, places array<int>, bucket int, segment string",
 }
+#: What the tasks hand over: of each id the places end before `ends`.
+PIECES = "token string, group bigint, n bigint, most int, ids array<{id}>, ends array<int>, places array<int>"
 
 
 @dataclass(frozen=True)
@@ -121,23 +131,108 @@ def bucket_of(token: Column) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
 
 
-def _grouped(chunks: DataFrame, classes: dict[int, int]) -> Column:
+def _parts(classes: dict[int, int]) -> dict[int, int]:
+    """The number of groups of each length class: a power of two, so that groups of fewer parts are whole ones of more."""
+    held = {c: max(1, min(GROUP, GROUP_CHARS >> (c + 1) // 2)) for c in classes}
+    return {c: 1 << max(0, math.ceil(math.log2(max(n, 1) / held[c]))) for c, n in classes.items()}
+
+
+def _grouped(classes: dict[int, int]) -> Column:
     """The group of a chunk (chunk_id, class): its length class, and a part of that by hash."""
-    parts = F.array(*[F.lit(max(1, -(-classes.get(c, 0) // GROUP))) for c in range(max(classes, default=0) + 1)])
+    of = _parts(classes)
+    parts = F.array(*[F.lit(of.get(c, 1)) for c in range(max(classes, default=0) + 1)])
     return F.col("class") * F.lit(1 << SUB) + F.pmod(F.xxhash64("chunk_id"), F.get(parts, F.col("class").cast("int")))
 
 
-def _write_segment(index: LexicalIndex, segment: str, names: DataFrame, places: DataFrame) -> None:
-    """names: chunk_id, path, symbol, group. places: chunk_id, group, token, places; both whole."""
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys begins."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def _lists(starts: np.ndarray, total: int, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, total).astype(np.int32)), values)
+
+
+def _pieces(group: np.ndarray, tokens: pa.Array, code: np.ndarray, chunk: np.ndarray, ids: pa.Array, pos: np.ndarray) -> pa.RecordBatch:
+    """Blocks of places (group, code of a token, number of a chunk's id, pos), which are in the order of group, chunk and pos."""
+    key = group * max(1, len(tokens)) + code  # by number, both are dense
+    order = np.argsort(key, kind="stable")
+    key, chunk, pos = key[order], chunk[order], pos[order]
+    entry, block = _runs(key, chunk), _runs(key)
+    inside = np.searchsorted(entry, block)  # the first entry of each block
+    ends = np.append(entry[1:], len(key))
+    counts, n = ends - entry, np.diff(np.append(inside, len(entry)))
+    most = np.maximum.reduceat(counts, inside) if len(inside) else counts
+    columns = [
+        tokens.take(pa.array(code[order][block])), pa.array(group[order][block]), pa.array(n.astype(np.int64)), pa.array(most.astype(np.int32)),
+        _lists(inside, len(entry), ids.take(pa.array(chunk[entry]))), _lists(inside, len(entry), pa.array((ends - np.repeat(block, n)).astype(np.int32))), _lists(block, len(key), pa.array(pos.astype(np.int32))),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["token", "group", "n", "most", "ids", "ends", "places"])
+
+
+def _named(batch: pa.RecordBatch, groups: np.ndarray) -> pa.RecordBatch:
+    """Pieces with their groups' numbers in place of the numbers' places."""
+    at = batch.schema.get_field_index("group")
+    return batch.set_column(at, "group", pa.array(groups[batch.column("group").to_numpy()]))
+
+
+def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of rows (chunk_id, group, toks) in the order of group and chunk_id; what repeats an id is one chunk."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        ids = rows.column("chunk_id").combine_chunks().dictionary_encode(null_encoding="encode")
+        new = _runs(rows.column("group").to_numpy(), ids.indices.to_numpy())
+        if len(new):  # the last id may go on in the next batch
+            held = rows.slice(new[-1])
+            yield from _cut(rows.slice(0, new[-1]))
+    if held is not None:
+        yield from _cut(held)
+
+
+def _cut(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    if not len(rows):
+        return
+    groups, group = np.unique(rows.column("group").to_numpy(), return_inverse=True)
+    names = rows.column("chunk_id").combine_chunks()
+    code = names.dictionary_encode(null_encoding="encode").indices.to_numpy()
+    first = _runs(group, code)
+    chunk = np.repeat(first, np.diff(np.append(first, len(rows))))
+    toks = rows.column("toks").combine_chunks()
+    size = toks.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    words = toks.flatten().dictionary_encode()
+    row = np.repeat(np.arange(len(rows)), size)
+    pos = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    places = [group[row], words.indices.to_numpy(zero_copy_only=False), chunk[row], pos]
+    if len(first) < len(rows):  # repeated ids: their places in order
+        order = np.lexsort((pos, places[2], places[0]))
+        places = [p[order] for p in places]
+    if len(row):
+        yield _named(_pieces(places[0].astype(np.int64), words.dictionary, places[1].astype(np.int64), places[2], names, places[3]), groups)
+
+
+def _write_segment(index: LexicalIndex, segment: str, names: DataFrame, blocks: DataFrame) -> None:
+    """names: chunk_id, path, symbol, group. blocks: PIECES; both whole."""
     names.sortWithinPartitions("group").write.parquet(f"{index.folder}/names/segment={segment}")
     written = index.spark.read.parquet(f"{index.folder}/names/segment={segment}").select("chunk_id", tx.trigrams(F.col("path")).alias("g"))
     grams = written.select("chunk_id", F.size("g").alias("n"), F.explode("g").alias("gram")).withColumn("bucket", bucket_of(F.col("gram")))
-    spread = max(1, index.spark.sparkContext.defaultParallelism // 8)  # common tokens and trigrams go to several tasks
+    spread = max(1, index.spark.sparkContext.defaultParallelism // 2 // BUCKETS)  # common trigrams go to several tasks
     grams = grams.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(spread)))
     grams.sortWithinPartitions("bucket", "gram", "n").write.partitionBy("bucket").parquet(f"{index.folder}/grams/segment={segment}")
-    rows = places.withColumn("bucket", bucket_of(F.col("token"))).withColumn("s", F.pmod(F.xxhash64("group"), F.lit(spread))).repartition("bucket", "s")
-    blocks = rows.groupBy("bucket", "s", "token", "group").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("places")).alias("most"), F.collect_list(F.struct("chunk_id", "places")).alias("entries"))
-    blocks.drop("s").sortWithinPartitions("bucket", "token", "group").write.partitionBy("bucket").parquet(f"{index.folder}/blocks/segment={segment}")
+    rows = blocks.withColumn("bucket", bucket_of(F.col("token")))
+    rows.sortWithinPartitions("bucket", "token", "group").write.partitionBy("bucket").parquet(f"{index.folder}/blocks/segment={segment}")
+
+
+def postings(blocks: DataFrame, *keep: str, among: str | None = None) -> DataFrame:
+    """(keep, chunk_id, places) of each chunk in blocks, or of those in the array `among` of their row."""
+    before = lambda i: F.coalesce(F.get("ends", i - 1), F.lit(0))
+    entry = lambda c, i: F.struct(c.alias("chunk_id"), F.slice("places", before(i) + 1, F.get("ends", i) - before(i)).alias("places"))
+    entries = F.transform("ids", entry if among is None else lambda c, i: F.when(F.array_contains(among, c), entry(c, i)))
+    return blocks.select(*keep, F.explode(entries if among is None else F.array_compact(entries)).alias("e")).select(*keep, "e.chunk_id", "e.places")
 
 
 def _ids(index: LexicalIndex, ids: DataFrame, seq: int) -> tuple[str, int]:
@@ -149,8 +244,8 @@ def _ids(index: LexicalIndex, ids: DataFrame, seq: int) -> tuple[str, int]:
 def append(index: LexicalIndex, chunks: DataFrame, replaces: DataFrame | None = None) -> LexicalIndex:
     """Adds chunks (chunk_id, path, content, symbol, perhaps heading) as a segment, and takes out what they replace.
 
-    replaces: one column of chunk ids of earlier segments. The text is shuffled once, by chunk, so that a chunk's tokens
-    are counted where they are.
+    replaces: one column of chunk ids of earlier segments. The text is shuffled once, by group, so that a group's tokens
+    are sorted where they are.
     """
     state, segment, kind = index.state(), uuid.uuid4().hex, chunks.schema["chunk_id"].dataType.simpleString()
     if state.segments and kind != state.kind:
@@ -159,10 +254,12 @@ def append(index: LexicalIndex, chunks: DataFrame, replaces: DataFrame | None =
     text = searched_text(chunks)
     kept = chunks.select("chunk_id", "path", F.lower("symbol").alias("symbol"), text.alias("t"), F.floor(2 * F.log2(1 + F.coalesce(F.char_length(text), F.lit(0)))).alias("class"))
     classes = {r["class"]: r["count"] for r in kept.groupBy("class").count().collect()}  # at most 64
-    kept = kept.withColumn("group", _grouped(kept, classes))
-    own = kept.select("chunk_id", "group", "t").repartition("chunk_id")
-    places = own.select("chunk_id", "group", F.posexplode(tx.tokens_for(state.compounds)(F.col("t"))).alias("pos", "token")).groupBy("chunk_id", "group", "token").agg(F.array_sort(F.collect_list("pos")).alias("places"))
-    _write_segment(index, segment, kept.select("chunk_id", "path", "symbol", "group"), places)
+    kept = kept.withColumn("group", _grouped(classes))
+    tasks = max(index.spark.sparkContext.defaultParallelism, -(-sum(n << (c + 1) // 2 for c, n in classes.items()) // TASK_CHARS))
+    own = kept.where("t IS NOT NULL").select("chunk_id", "group", "t").repartition(tasks, "group").sortWithinPartitions("group", "chunk_id")
+    small_batches(index.spark)
+    blocks = own.select("chunk_id", "group", tx.tokens_for(state.compounds)(F.col("t")).alias("toks")).mapInArrow(_blocks_of, PIECES.format(id=kind))
+    _write_segment(index, segment, kept.select("chunk_id", "path", "symbol", "group"), blocks)
     removed = state.removed if replaces is None else (*state.removed, _ids(index, replaces, seq))
     index.commit(State(seq, kind, (*state.segments, (segment, seq, sum(classes.values()))), removed, state.compounds))
     return index
@@ -185,10 +282,14 @@ def merge(index: LexicalIndex, segments: list[str] | None = None) -> LexicalInde
     part = State(state.number, state.kind, taken, state.removed)
     names = index.alive(index.rows("names", part), part).withColumn("class", F.shiftright("group", SUB))
     classes = {r["class"]: r["count"] for r in names.groupBy("class").count().collect()}
-    places = index.rows("blocks", part).select("token", "group", "seq", F.explode("entries").alias("e")).select("token", "group", "seq", "e.chunk_id", "e.places")
-    places = index.alive(places, part).withColumn("class", F.shiftright("group", SUB))
+    names = names.withColumn("new", _grouped(classes))
+    kind = PIECES.format(id=state.kind)
+    moved = index.rows("blocks", part).select("segment", "group", "token", "ids", "ends", "places").groupBy("segment", "group")
+    blocks = moved.cogroup(names.select("segment", "group", "chunk_id", "new").groupBy("segment", "group")).applyInArrow(_regrouped, kind)
+    if len(taken) > 1:  # pieces of several segments: one block a token again
+        blocks = blocks.groupBy("group").applyInArrow(_joined, kind)
     segment = uuid.uuid4().hex
-    _write_segment(index, segment, names.select("chunk_id", "path", "symbol", _grouped(names, classes).alias("group")), places.select("chunk_id", _grouped(places, classes).alias("group"), "token", "places"))
+    _write_segment(index, segment, names.select("chunk_id", "path", "symbol", F.col("new").alias("group")), blocks)
     seq = max(s[1] for s in taken)
     least = min((s[1] for s in rest), default=None)  # what every segment has seen is done with
     removed = tuple(r for r in state.removed if least is not None and r[1] > least)
@@ -196,6 +297,40 @@ def merge(index: LexicalIndex, segments: list[str] | None = None) -> LexicalInde
     return index
 
 
+def _flat(blocks: pa.Table) -> tuple[pa.Array, np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """(distinct tokens, code, ids, entry, pos) of blocks: code and entry for each place, ids for each entry."""
+    ids, ends, places = (blocks.column(c).combine_chunks() for c in ("ids", "ends", "places"))
+    n = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    last = ends.flatten().to_numpy().astype(np.int64)
+    before = np.concatenate(([0], last[:-1])) if len(last) else last
+    before[np.cumsum(n) - n] = 0
+    count = last - before
+    words = blocks.column("token").combine_chunks().dictionary_encode()
+    code = np.repeat(np.repeat(words.indices.to_numpy().astype(np.int64), n), count)
+    return words.dictionary, code, ids.flatten(), np.repeat(np.arange(len(last)), count), places.flatten().to_numpy().astype(np.int64)
+
+
+def _regrouped(blocks: pa.Table, names: pa.Table) -> pa.Table:
+    """One group's blocks with the chunks that are in names only, dealt to their new groups."""
+    if not len(blocks) or not len(names):
+        return pa.Table.from_batches([_pieces(*[np.zeros(0, np.int64), blocks.column("token").combine_chunks(), np.zeros(0, np.int64), np.zeros(0, np.int64), names.column("chunk_id").combine_chunks(), np.zeros(0, np.int64)])])
+    tokens, code, ids, entry, pos = _flat(blocks)
+    alive = names.column("chunk_id").combine_chunks()
+    both = pa.concat_arrays([alive, ids]).dictionary_encode(null_encoding="encode").indices.to_numpy()
+    new = np.full(both.max() + 1, -1, np.int64)
+    groups, number = np.unique(names.column("new").to_numpy(), return_inverse=True)
+    new[both[: len(alive)]] = number.ravel()
+    to = new[both[len(alive) :]][entry]
+    kept = np.flatnonzero(to >= 0)
+    return pa.Table.from_batches([_named(_pieces(to[kept], tokens, code[kept], entry[kept], ids, pos[kept]), groups)])
+
+
+def _joined(blocks: pa.Table) -> pa.Table:
+    """One group's pieces as one block a token."""
+    tokens, code, ids, entry, pos = _flat(blocks)
+    return pa.Table.from_batches([_named(_pieces(np.zeros(len(code), np.int64), tokens, code, entry, ids, pos), blocks.column("group").to_numpy()[:1])])
+
+
 def tidy(index: LexicalIndex, fan: int = 8) -> LexicalIndex:
     """Merges segments of like size wherever there are `fan` of them, so that a search meets few segments."""
     while True:
@@ -260,11 +395,11 @@ def bounds(index: LexicalIndex, branches: list[tx.Branch], state: State) -> Data
     are at most k covers (each begins there or at the last place before it of another term).
     """
     asked = list(dict.fromkeys(t for b in branches for t in b.terms))
-    m = F.map_from_entries(F.collect_list(F.struct("token", "most")))
-    heads = _blocks(index, asked, state).select("segment", "group", "token", "most").groupBy("segment", "group").agg(m.alias("m"))
+    most = [F.max(F.when(F.col("token") == t, F.col("most"))).alias(f"_m{i}") for i, t in enumerate(asked)]
+    heads = _blocks(index, asked, state).groupBy("segment", "group").agg(*most)  # a block may be in pieces
     bound = F.lit(0.0)
     for b in branches:
-        counts = [F.try_element_at("m", F.lit(t)) for t in b.terms]
+        counts = [F.col(f"_m{asked.index(t)}") for t in b.terms]
         k, total, all_in = len(counts), sum(counts[1:], counts[0]), F.lit(True)
         for c in counts:
             all_in = all_in & c.isNotNull()
@@ -295,7 +430,7 @@ def text_ranks(index: LexicalIndex, branches: list[tx.Branch], state: State, gro
     """(segment, seq, group, chunk_id, lexical_rank) of the live chunks of these groups that match."""
     asked = list(dict.fromkeys(t for b in branches for t in b.terms))
     every = list(dict.fromkeys([*asked, *[w for b in branches for n in b.without for w in n]]))
-    rows = _within(_blocks(index, every, state), groups).select("segment", "seq", "group", "token", F.explode("entries").alias("e")).select("segment", "seq", "group", "token", "e.chunk_id", "e.places")
+    rows = postings(_within(_blocks(index, every, state), groups), "segment", "seq", "group", "token")
     rows = index.alive(rows, state)
     if allowed is not None:
         rows = rows.join(allowed, "chunk_id", "left_semi")

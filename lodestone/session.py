@@ -45,6 +45,11 @@ def widen(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most some megabytes, whatever the rows' size, so that a Python worker's memory is bounded."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and every executor share.
 
