@@ -336,7 +336,9 @@ def _eval_cases(spark, sf_dir, *modes: str) -> dict[str, DataFrame]:
     index = _kept(spark, sf_dir, "documents", _build_lexical)
     ranks = bs.text_ranks(index, asked, index.state()).persist()
     # what holds an item has its words, so all that match its search are the candidates
-    holds = ranks.select("query_id", F.col("chunk_id").alias("doc_id")).join(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").join(asked.select("query_id", "item"), "query_id")
+    pairs = ranks.select("query_id", F.col("chunk_id").alias("doc_id"))
+    pairs = F.broadcast(pairs) if pairs.count() <= li.LISTED else pairs  # texts aren't shuffled to meet a few
+    holds = pairs.join(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").join(asked.select("query_id", "item"), "query_id")
     relevant = holds.where(F.col("text").contains(F.col("item"))).select("query_id", F.col("doc_id").alias("chunk_id"))
     return {m: bs.cases(asked, bs.search(index, asked, embedded(spark, sf_dir) if m == "hybrid" else None, K, ranks=ranks), relevant) for m in modes}
 
