@@ -81,10 +81,14 @@ def lexical(chunks: DataFrame, query: str, limit: int, compounds: bool = False)
     return hits.orderBy(*order).limit(limit).withColumn("lex_rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def nearest(embeddings: DataFrame, query: Column, limit: int, revision: str | None = None, minimum: float | None = None) -> DataFrame:
-    """(chunk_id, score, vec_rank) by cosine; `minimum` applies after the limit, as a cut on its result."""
+def nearest(embeddings: DataFrame, query: Column, limit: int, revision: str | None = None, minimum: float | None = None, among: DataFrame | None = None) -> DataFrame:
+    """(chunk_id, score, vec_rank) by cosine; `minimum` applies after the limit, as a cut on its result.
+
+    among: one column chunk_id, the only ones that count; scores are shuffled to meet it, not vectors.
+    """
     rows = embeddings if revision is None else embeddings.where(F.col("embedding_revision") == revision)
     scored = rows.select("chunk_id", F.round(vx.cosine(F.col("embedding"), query), 9).alias("score"))
+    scored = scored if among is None else scored.join(among, "chunk_id", "left_semi")
     order = [F.desc("score"), F.asc("chunk_id")]
     top = scored.orderBy(*order).limit(limit).withColumn("vec_rank", F.row_number().over(Window.orderBy(*order)))
     return top if minimum is None else top.where(F.col("score") >= minimum)
@@ -117,12 +121,12 @@ def search(chunks: DataFrame, embeddings: DataFrame | None, query: str, vector:
     if vector is None or embeddings is None or mode not in ("semantic", "hybrid"):
         vec = lex.select("chunk_id", F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("vec_rank")).limit(0)
     else:
-        vec = nearest(embeddings.join(chunks.select("chunk_id"), "chunk_id", "left_semi"), vector, OVERFETCH * top_k, revision, minimum)
+        vec = nearest(embeddings, vector, OVERFETCH * top_k, revision, minimum, chunks.select("chunk_id"))
     return fuse(lex, vec, top_k)
 
 
 def present(results: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Results with the file's name as title, heading or symbol, snippet and provenance.
+    """Results (of one search, so at most 100) with the file's name as title, heading or symbol, snippet and provenance.
 
     chunks: chunk_id, path, content, heading, symbol, start_line, end_line, and what there is of document_id,
     version_id, source_root, canonical_path, content_hash and detected_at; the rest is null.
@@ -139,14 +143,14 @@ def present(results: DataFrame, chunks: DataFrame) -> DataFrame:
         F.format_string("%s:L%d-L%d", "path", "start_line", "end_line").alias("citation"),
     )
     scores = [c for c in ("lexical_rank", "score") if c in results.columns]
-    return results.join(kept, "chunk_id").select("rank", "chunk_id", "title", "heading_or_symbol", "snippet", *scores, F.col("fused").alias("fused_rank"), "match_reason", "provenance", "citation")
+    return F.broadcast(results).join(kept, "chunk_id").select("rank", "chunk_id", "title", "heading_or_symbol", "snippet", *scores, F.col("fused").alias("fused_rank"), "match_reason", "provenance", "citation")
 
 
 def rag_context(chunks: DataFrame, embeddings: DataFrame | None, query: str, vector: Column | None, top_k: int = 5, max_chars: int = 12_000, lex: DataFrame | None = None, **filters) -> DataFrame:
     """Snippets of a hybrid search, best first, for as long as they fit."""
     bounded("top_k", top_k, 1, 30)
     results = search(chunks, embeddings, query, vector, "hybrid", top_k, lex=lex, **filters)
-    return pack_context(results.join(chunks.select("chunk_id", "content"), "chunk_id"), max_chars)
+    return pack_context(F.broadcast(results).join(chunks.select("chunk_id", "content"), "chunk_id"), max_chars)
 
 
 def response(presented: DataFrame, query: str, mode: str) -> DataFrame:
