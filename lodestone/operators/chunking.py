@@ -5,18 +5,21 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import paths as px
 from lodestone.functions import text as tx
+from lodestone.session import small_batches
 
 # Sizes and patterns.
 KINDS = ("markdown_section", "code_symbol", "line_window")
 WINDOW_LINES = 100
 MAX_CHARS = 6000
 OVERLAP_LINES = 8
+#: Characters that a task holds before it hands its pieces over, about.
+HELD = 1 << 22
 BLANKS = " \t\n\r\x0b\x0c"
 HEADING = r"^(#{1,6})\s+(.+?)\s*$"
 SYMBOL_1 = r"^\s*(?:export\s+)?(?:async\s+)?(?:def|function|class|interface|type|fn)\s+([A-Za-z_]\w*)"
@@ -109,17 +112,29 @@ def split_long(chunks: DataFrame, keys: list[str], max_chars: int = MAX_CHARS, c
     short = short.select(*keys, F.lit(0).alias("piece"), "start_line", (F.col("start_line") + F.greatest(F.size(tx.lines(F.col("content"))), F.lit(1)) - 1).alias("end_line"), "content")
     schema = ", ".join(f"{k} {dict(chunks.dtypes)[k]}" for k in keys) + ", piece int, start_line int, end_line int, content string"
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def handed(batch: pa.RecordBatch, rows: list[int], pieces: list[tuple]) -> pa.RecordBatch:
+        own = [batch.column(k).take(pa.array(rows, pa.int64())) for k in keys]
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.string())
+        return pa.RecordBatch.from_arrays([*own, *[pa.array(c, k) for c, k in zip(zip(*pieces), kinds, strict=True)]], names=[*keys, "piece", "start_line", "end_line", "content"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                lines = row.content.splitlines()
+            rows, pieces, held = [], [], 0
+            for r in range(len(batch)):
+                start, lines = batch.column("start_line")[r].as_py(), batch.column("content")[r].as_py().splitlines()
                 for i, (a, b) in enumerate(windows_of([len(x) for x in lines], max_chars, OVERLAP_LINES, cascade)):
-                    out.append((*[getattr(row, k) for k in keys], i, row.start_line + a, row.start_line + b - 1, "\n".join(lines[a:b])))
-            yield pd.DataFrame(out, columns=[*keys, "piece", "start_line", "end_line", "content"])
-
+                    rows.append(r)
+                    pieces.append((i, start + a, start + b - 1, "\n".join(lines[a:b])))
+                    held += len(pieces[-1][3])
+                    if held >= HELD:
+                        yield handed(batch, rows, pieces)
+                        rows, pieces, held = [], [], 0
+            if rows:
+                yield handed(batch, rows, pieces)
+
+    small_batches(chunks.sparkSession)
     long_ = chunks.where(F.char_length("content") > max_chars).select(*keys, F.col("start_line").cast("int").alias("start_line"), "content")
-    return short.unionByName(long_.mapInPandas(cut, schema))
+    return short.unionByName(long_.mapInArrow(cut, schema))
 
 
 def chunk_documents(docs: DataFrame, key: str, path: str = "path", text: str = "text") -> DataFrame:
