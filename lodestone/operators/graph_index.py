@@ -37,15 +37,15 @@ class GraphIndex:
     folder: str
 
 
-def _nearest(x: np.ndarray, count: int, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+def _nearest(x: np.ndarray, count: int, block: int = 128) -> tuple[np.ndarray, np.ndarray]:
     """(places, similarities) of each row's `count` most similar others, best first."""
     count = min(count, len(x) - 1)
     at, sim = np.empty((len(x), count), np.int64), np.empty((len(x), count))
     for a in range(0, len(x), block):
         s = x[a : a + block] @ x.T
         s[np.arange(len(s)), np.arange(a, a + len(s))] = -np.inf
-        best = np.argpartition(-s, count - 1, axis=1)[:, :count]
-        held = np.take_along_axis(s, best, 1)
+        best = np.argpartition(np.negative(s, out=s), count - 1, axis=1)[:, :count]
+        held = -np.take_along_axis(s, best, 1)
         order = np.lexsort((best, -held), axis=1)
         at[a : a + block], sim[a : a + block] = np.take_along_axis(best, order, 1), np.take_along_axis(held, order, 1)
     return at, sim
@@ -60,7 +60,7 @@ def link(x: np.ndarray) -> list[np.ndarray]:
     own, taken = np.zeros((n, LINKS), np.int64), np.zeros(n, np.int64)
     for j in range(near.shape[1]):
         open_ = np.flatnonzero(taken < LINKS)
-        for part in np.array_split(open_, max(1, len(open_) // 4096)):
+        for part in np.array_split(open_, max(1, len(open_) // 1024)):
             between = np.einsum("nd,nmd->nm", x[near[part, j]], x[own[part]])
             between[np.arange(LINKS) >= taken[part, None]] = -np.inf
             part = part[between.max(1) < sim[part, j]]
