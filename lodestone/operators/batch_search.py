@@ -91,7 +91,8 @@ def text_ranks(index: li.LexicalIndex, queries: DataFrame, state: li.State) -> D
     candidates = index.alive(li.postings(blocks.join(few(rarest, queries), "token"), "query_id", "segment", "seq", "group"), state).select("query_id", "segment", "group", "chunk_id").distinct()
     keys = ["query_id", "segment", "chunk_id"]
     wanted = candidates.join(few(every, queries), "query_id")
-    held = wanted.groupBy("token", "segment", "group").agg(F.collect_set("chunk_id").alias("want"))  # of a group at most
+    both = wanted.withColumn("group", F.explode(F.array("group", li._part(F.col("group")))))  # a block has one or the other
+    held = both.groupBy("token", "segment", "group").agg(F.collect_set("chunk_id").alias("want"))  # of a part at most
     postings = li.postings(blocks.join(held, ["token", "segment", "group"]), "token", "segment", among="want")
     found = postings.join(wanted, ["token", "segment", "chunk_id"]).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("token", "places"))).alias("m"))
     m = F.col("m")

@@ -4,12 +4,14 @@ An append writes one segment; what it replaces or removes is listed in a table o
 rows; merging rewrites segments without their hidden rows, from their postings and not from text. A log of small files
 names what is live: a change is one new file, so readers see all of it or nothing, and of two writers at once one fails.
 
-A segment deals its chunks to groups of like length. The text is shuffled once, by group; a task sorts the tokens of some
-megabytes of a group at a time (numpy) and writes them as blocks: a token's places in (a piece of) one group, as flat arrays,
-with the greatest count that a chunk there has. Each task sorts its blocks by token and writes them to folders of tokens by
-hash: places are never shuffled. Counts bound cover-density ranks, so a search reads the heads of its terms' blocks (three
-numbers each), evaluates the groups with the greatest bounds, and then only those whose bound reaches the worst of the
-ranks found so far. Nothing that could be among the best is left out: results equal search.lexical()'s.
+A segment deals its chunks to groups of like length, and up to 16 of these to a part. The text is shuffled once, by part; a
+task sorts its tokens (numpy) and writes them as blocks to folders of tokens by hash: places are never shuffled. A block is a
+token's places in (a piece of) one group, as flat arrays, with the greatest count that a chunk there has; where a token is
+in few chunks of a group, it has one block for several groups of a part, as most tokens are rare and a row costs more than its
+places. Such a block has its part in place of the group, and the group of each entry. Counts bound cover-density ranks, so a search
+reads the heads of its terms' blocks (three numbers each), evaluates the groups with the greatest bounds, and then only those
+whose bound reaches the worst of the ranks found so far. Nothing that could be among the best is left out: results equal
+search.lexical()'s.
 
 Paths: a table of trigrams with the number of trigrams of their path. Similarity above the cut needs a number of shared
 trigrams (T-occurrence) and a length within bounds; containment needs all inner trigrams of the query. Both give few
@@ -30,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,16 +48,20 @@ GROUP_CHARS, TASK_CHARS = 16 << 20, 64 << 20
 GROUP, FIRST, FEW, LISTED = 256, 8, 64, 10_000
 #: Bits of a group's number within its length class.
 SUB = 32
+#: Bits of a group's number within its part, at most; class from whose half on they fall, so that a part has about 32 MB at most.
+PART, LONG = 4, 17
+#: Tokens that a task sorts at a time, about.
+HELD = 8 << 20
 
 
 #: Read by these, as a segment without tokens has no files to infer them from.
 SCHEMAS = {
     "names": "chunk_id {id}, path string, symbol string, group bigint, segment string",
     "grams": "chunk_id {id}, n int, gram string, bucket int, segment string",
-    "blocks": "token string, group bigint, n bigint, most int, ids array<{id}>, ends array<int>, places array<int>, bucket int, segment string",
+    "blocks": "token string, group bigint, n bigint, most int, ids array<{id}>, ends array<int>, places array<int>, groups array<bigint>, bucket int, segment string",
 }
-#: What the tasks hand over: of each id the places end before `ends`.
-PIECES = "token string, group bigint, n bigint, most int, ids array<{id}>, ends array<int>, places array<int>"
+#: What the tasks hand over: of each id the places end before `ends`; `groups` of each id where `group` is a part, else empty.
+PIECES = "token string, group bigint, n bigint, most int, ids array<{id}>, ends array<int>, places array<int>, groups array<bigint>"
 
 
 @dataclass(frozen=True)
@@ -144,6 +151,17 @@ def _grouped(classes: dict[int, int]) -> Column:
     return F.col("class") * F.lit(1 << SUB) + F.pmod(F.xxhash64("chunk_id"), F.get(parts, F.col("class").cast("int")))
 
 
+def _part(group: Column) -> Column:
+    """The part of a group, a negative number; a part is its own. Groups of a part follow one another."""
+    bits = F.greatest(F.lit(0), F.least(F.lit(PART), F.lit(LONG) - F.shiftright(F.shiftright(group, SUB) + 1, 1))).cast("int")
+    return F.when(group < 0, group).otherwise(-1 - F.call_function("shiftright", group, bits))
+
+
+def _few() -> int:
+    """A token in fewer chunks of a group than this shares its block with other groups."""
+    return GROUP // 8
+
+
 def _runs(*keys: np.ndarray) -> np.ndarray:
     """Where a run of equal keys begins."""
     new = np.zeros(len(keys[0]), bool)
@@ -157,66 +175,119 @@ def _lists(starts: np.ndarray, total: int, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(starts, total).astype(np.int32)), values)
 
 
-def _pieces(group: np.ndarray, tokens: pa.Array, code: np.ndarray, chunk: np.ndarray, ids: pa.Array, pos: np.ndarray) -> pa.RecordBatch:
-    """Blocks of places (group, code of a token, number of a chunk's id, pos), which are in the order of group, chunk and pos."""
-    key = group * max(1, len(tokens)) + code  # by number, both are dense
-    order = np.argsort(key, kind="stable")
-    key, chunk, pos = key[order], chunk[order], pos[order]
-    entry, block = _runs(key, chunk), _runs(key)
-    inside = np.searchsorted(entry, block)  # the first entry of each block
-    ends = np.append(entry[1:], len(key))
-    counts, n = ends - entry, np.diff(np.append(inside, len(entry)))
-    most = np.maximum.reduceat(counts, inside) if len(inside) else counts
+def _order(key: np.ndarray) -> np.ndarray:
+    """A stable order of numbers; small ones are sorted with their places as one number, which is faster."""
+    if len(key) < 1 << 31 and key.max(initial=0) < 1 << 31:
+        both = key.astype(np.int64) << 32 | np.arange(len(key))
+        both.sort()
+        return both & 0xFFFFFFFF
+    return np.argsort(key, kind="stable")
+
+
+def _pieces(part: np.ndarray, group: np.ndarray, tokens: pa.Array, code: np.ndarray, chunk: np.ndarray, ids: pa.Array, pos: np.ndarray, few: int) -> pa.RecordBatch:
+    """Blocks in the order of tokens, of places (code of a token, chunk: its place in part, group and ids; pos).
+
+    The places of a token are in the order of part, group, chunk and pos.
+    """
+    rank = np.empty(len(tokens), np.int64)
+    by = pc.sort_indices(tokens)
+    rank[by.to_numpy()] = np.arange(len(tokens))
+    code = rank[code]
+    order = _order(code)
+    code, chunk, pos = code[order], chunk[order], pos[order].astype(np.int32)
+    entry = _runs(code, chunk)
+    counts = np.diff(np.append(entry, len(code)))
+    code, chunk = code[entry], chunk[entry]
+    part, group = part[chunk], group[chunk]
+    one = _runs(code, group)  # a token in a group
+    own = np.diff(np.append(one, len(entry))) >= few
+    new = np.zeros(len(one), bool)  # begins a block
+    new[:1] = True
+    new[1:] = own[1:] | own[:-1] | (code[one][1:] != code[one][:-1]) | (part[one][1:] != part[one][:-1])
+    block = one[new]
+    single = np.diff(np.append(np.flatnonzero(new), len(one))) == 1
+    n = np.diff(np.append(block, len(entry)))
+    most = np.maximum.reduceat(counts, block) if len(block) else counts
+    start = entry[block]
+    shared = np.repeat(~single, n)
+    cuts = np.cumsum(np.where(single, 0, n))
     columns = [
-        tokens.take(pa.array(code[order][block])), pa.array(group[order][block]), pa.array(n.astype(np.int64)), pa.array(most.astype(np.int32)),
-        _lists(inside, len(entry), ids.take(pa.array(chunk[entry]))), _lists(inside, len(entry), pa.array((ends - np.repeat(block, n)).astype(np.int32))), _lists(block, len(key), pa.array(pos.astype(np.int32))),
+        tokens.take(pa.array(by.to_numpy()[code[block]])), pa.array(np.where(single, group[block], part[block])), pa.array(n.astype(np.int64)), pa.array(most.astype(np.int32)),
+        _lists(block, len(entry), ids.take(pa.array(chunk))), _lists(block, len(entry), pa.array((entry + counts - np.repeat(start, n)).astype(np.int32))), _lists(start, len(pos), pa.array(pos)),
+        pa.ListArray.from_arrays(pa.array(np.append(0, cuts).astype(np.int32)), pa.array(group[shared])),
     ]
-    return pa.RecordBatch.from_arrays(columns, names=["token", "group", "n", "most", "ids", "ends", "places"])
+    return pa.RecordBatch.from_arrays(columns, names=["token", "group", "n", "most", "ids", "ends", "places", "groups"])
 
 
-def _named(batch: pa.RecordBatch, groups: np.ndarray) -> pa.RecordBatch:
-    """Pieces with their groups' numbers in place of the numbers' places."""
-    at = batch.schema.get_field_index("group")
-    return batch.set_column(at, "group", pa.array(groups[batch.column("group").to_numpy()]))
+def _slices(blocks: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Blocks some thousands at a time, as the other side takes them."""
+    for at in range(0, len(blocks), 10_000):
+        yield blocks.slice(at, 10_000)
 
 
-def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of rows (chunk_id, group, toks) in the order of group and chunk_id; what repeats an id is one chunk."""
-    held = None
+def _blocks_of(batches: Iterator[pa.RecordBatch], few: int = GROUP // 8) -> Iterator[pa.RecordBatch]:
+    """Blocks of rows (chunk_id, group, toks, perhaps part) in the order of group and chunk_id; what repeats an id is one chunk."""
+    held, size = [], 0
     for batch in batches:
-        rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        held.append(_coded(batch))
+        size += len(held[-1][2])
+        if size < HELD:
+            continue
+        rows = pa.Table.from_batches([h[0] for h in held])
         ids = rows.column("chunk_id").combine_chunks().dictionary_encode(null_encoding="encode")
-        new = _runs(rows.column("group").to_numpy(), ids.indices.to_numpy())
-        if len(new):  # the last id may go on in the next batch
-            held = rows.slice(new[-1])
-            yield from _cut(rows.slice(0, new[-1]))
-    if held is not None:
-        yield from _cut(held)
+        last = _runs(rows.column("group").to_numpy(), ids.indices.to_numpy())[-1]  # the last id may go on in the next batch
+        yield from _cut(held, last, few)
+        held = _rest(held, last)
+        size = sum(len(h[2]) for h in held)
+    if held:
+        yield from _cut(held, sum(len(h[0]) for h in held), few)
 
 
-def _cut(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-    if not len(rows):
-        return
-    groups, group = np.unique(rows.column("group").to_numpy(), return_inverse=True)
-    names = rows.column("chunk_id").combine_chunks()
-    code = names.dictionary_encode(null_encoding="encode").indices.to_numpy()
-    first = _runs(group, code)
-    chunk = np.repeat(first, np.diff(np.append(first, len(rows))))
-    toks = rows.column("toks").combine_chunks()
+def _coded(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray, pa.Array]:
+    """(rows without tokens, tokens a row, codes of the tokens, distinct tokens): smaller than the tokens."""
+    toks = batch.column("toks")
     size = toks.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     words = toks.flatten().dictionary_encode()
-    row = np.repeat(np.arange(len(rows)), size)
-    pos = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-    places = [group[row], words.indices.to_numpy(zero_copy_only=False), chunk[row], pos]
+    return batch.drop_columns(["toks"]), size, words.indices.to_numpy(zero_copy_only=False).astype(np.int32), words.dictionary
+
+
+def _rest(held: list, last: int) -> list:
+    """What is held, from a row on."""
+    out = []
+    for rows, size, code, words in held:
+        if last < len(rows):
+            out.append((rows.slice(last), size[last:], code[size[:last].sum() :], words))
+        last = max(0, last - len(rows))
+    return out
+
+
+def _cut(held: list, last: int, few: int) -> Iterator[pa.RecordBatch]:
+    rows = pa.Table.from_batches([h[0] for h in held]).slice(0, last)
+    size = np.concatenate([h[1] for h in held])[:last]
+    if not size.sum():
+        return
+    words = pa.chunked_array([h[3] for h in held], pa.string()).dictionary_encode().combine_chunks()
+    number, at, code = words.indices.to_numpy(zero_copy_only=False).astype(np.int32), 0, []
+    for h in held:
+        code.append(number[at : at + len(h[3])][h[2]])
+        at += len(h[3])
+    code = np.concatenate(code)[: size.sum()]
+    group = rows.column("group").to_numpy()
+    part = rows.column("part").to_numpy() if "part" in rows.column_names else group
+    names = rows.column("chunk_id").combine_chunks()
+    first = _runs(group, names.dictionary_encode(null_encoding="encode").indices.to_numpy())
+    chunk = np.repeat(first, np.diff(np.append(first, len(rows)))).astype(np.int32)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), size)
+    pos = (np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
+    chunk = chunk[row]
     if len(first) < len(rows):  # repeated ids: their places in order
-        order = np.lexsort((pos, places[2], places[0]))
-        places = [p[order] for p in places]
-    if len(row):
-        yield _named(_pieces(places[0].astype(np.int64), words.dictionary, places[1].astype(np.int64), places[2], names, places[3]), groups)
+        order = np.lexsort((pos, chunk))
+        code, chunk, pos = code[order], chunk[order], pos[order]
+    yield from _slices(_pieces(part, group, words.dictionary, code, chunk, names, pos, few))
 
 
-def _write_segment(index: LexicalIndex, segment: str, names: DataFrame, blocks: DataFrame) -> None:
-    """names: chunk_id, path, symbol, group. blocks: PIECES; both whole."""
+def _write_segment(index: LexicalIndex, segment: str, names: DataFrame, blocks: DataFrame, *order: str) -> None:
+    """names: chunk_id, path, symbol, group. blocks: PIECES; both whole. order: in which a task has its blocks not yet."""
     names.sortWithinPartitions("group").write.parquet(f"{index.folder}/names/segment={segment}")
     written = index.spark.read.parquet(f"{index.folder}/names/segment={segment}").select("chunk_id", tx.trigrams(F.col("path")).alias("g"))
     grams = written.select("chunk_id", F.size("g").alias("n"), F.explode("g").alias("gram")).withColumn("bucket", bucket_of(F.col("gram")))
@@ -224,15 +295,17 @@ def _write_segment(index: LexicalIndex, segment: str, names: DataFrame, blocks:
     grams = grams.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(spread)))
     grams.sortWithinPartitions("bucket", "gram", "n").write.partitionBy("bucket").parquet(f"{index.folder}/grams/segment={segment}")
     rows = blocks.withColumn("bucket", bucket_of(F.col("token")))
-    rows.sortWithinPartitions("bucket", "token", "group").write.partitionBy("bucket").parquet(f"{index.folder}/blocks/segment={segment}")
+    rows.sortWithinPartitions("bucket", *order).write.partitionBy("bucket").parquet(f"{index.folder}/blocks/segment={segment}")
 
 
 def postings(blocks: DataFrame, *keep: str, among: str | None = None) -> DataFrame:
     """(keep, chunk_id, places) of each chunk in blocks, or of those in the array `among` of their row."""
     before = lambda i: F.coalesce(F.get("ends", i - 1), F.lit(0))
-    entry = lambda c, i: F.struct(c.alias("chunk_id"), F.slice("places", before(i) + 1, F.get("ends", i) - before(i)).alias("places"))
+    group = lambda i: [F.coalesce(F.get("groups", i), F.col("group")).alias("group")] if "group" in keep else []
+    entry = lambda c, i: F.struct(c.alias("chunk_id"), F.slice("places", before(i) + 1, F.get("ends", i) - before(i)).alias("places"), *group(i))
     entries = F.transform("ids", entry if among is None else lambda c, i: F.when(F.array_contains(among, c), entry(c, i)))
-    return blocks.select(*keep, F.explode(entries if among is None else F.array_compact(entries)).alias("e")).select(*keep, "e.chunk_id", "e.places")
+    out = blocks.select(*keep, F.explode(entries if among is None else F.array_compact(entries)).alias("e"))
+    return out.select(*["e.group" if k == "group" else k for k in keep], "e.chunk_id", "e.places")
 
 
 def _ids(index: LexicalIndex, ids: DataFrame, seq: int) -> tuple[str, int]:
@@ -244,7 +317,7 @@ def _ids(index: LexicalIndex, ids: DataFrame, seq: int) -> tuple[str, int]:
 def append(index: LexicalIndex, chunks: DataFrame, replaces: DataFrame | None = None) -> LexicalIndex:
     """Adds chunks (chunk_id, path, content, symbol, perhaps heading) as a segment, and takes out what they replace.
 
-    replaces: one column of chunk ids of earlier segments. The text is shuffled once, by group, so that a group's tokens
+    replaces: one column of chunk ids of earlier segments. The text is shuffled once, by part, so that a part's tokens
     are sorted where they are.
     """
     state, segment, kind = index.state(), uuid.uuid4().hex, chunks.schema["chunk_id"].dataType.simpleString()
@@ -256,9 +329,10 @@ def append(index: LexicalIndex, chunks: DataFrame, replaces: DataFrame | None =
     classes = {r["class"]: r["count"] for r in kept.groupBy("class").count().collect()}  # at most 64
     kept = kept.withColumn("group", _grouped(classes))
     tasks = max(index.spark.sparkContext.defaultParallelism, -(-sum(n << (c + 1) // 2 for c, n in classes.items()) // TASK_CHARS))
-    own = kept.where("t IS NOT NULL").select("chunk_id", "group", "t").repartition(tasks, "group").sortWithinPartitions("group", "chunk_id")
+    own = kept.where("t IS NOT NULL").select("chunk_id", _part(F.col("group")).alias("part"), "group", "t").repartition(tasks, "part").sortWithinPartitions("group", "chunk_id")
     small_batches(index.spark)
-    blocks = own.select("chunk_id", "group", tx.tokens_for(state.compounds)(F.col("t")).alias("toks")).mapInArrow(_blocks_of, PIECES.format(id=kind))
+    few = _few()
+    blocks = own.select("chunk_id", "part", "group", tx.tokens_for(state.compounds)(F.col("t")).alias("toks")).mapInArrow(lambda batches: _blocks_of(batches, few), PIECES.format(id=kind))
     _write_segment(index, segment, kept.select("chunk_id", "path", "symbol", "group"), blocks)
     removed = state.removed if replaces is None else (*state.removed, _ids(index, replaces, seq))
     index.commit(State(seq, kind, (*state.segments, (segment, seq, sum(classes.values()))), removed, state.compounds))
@@ -283,13 +357,14 @@ def merge(index: LexicalIndex, segments: list[str] | None = None) -> LexicalInde
     names = index.alive(index.rows("names", part), part).withColumn("class", F.shiftright("group", SUB))
     classes = {r["class"]: r["count"] for r in names.groupBy("class").count().collect()}
     names = names.withColumn("new", _grouped(classes))
-    kind = PIECES.format(id=state.kind)
-    moved = index.rows("blocks", part).select("segment", "group", "token", "ids", "ends", "places").groupBy("segment", "group")
-    blocks = moved.cogroup(names.select("segment", "group", "chunk_id", "new").groupBy("segment", "group")).applyInArrow(_regrouped, kind)
+    kind, columns, few = PIECES.format(id=state.kind), ["token", "ids", "ends", "places"], _few()
+    moved = index.rows("blocks", part).select("segment", _part(F.col("group")).alias("part"), *columns).groupBy("segment", "part")
+    named = names.select("segment", _part(F.col("group")).alias("part"), "chunk_id", "new", _part(F.col("new")).alias("to"))
+    blocks = moved.cogroup(named.groupBy("segment", "part")).applyInArrow(lambda own, alive: _regrouped(own, alive, few), kind)
     if len(taken) > 1:  # pieces of several segments: one block a token again
-        blocks = blocks.groupBy("group").applyInArrow(_joined, kind)
+        blocks = blocks.withColumn("part", _part(F.col("group"))).groupBy("part").applyInArrow(lambda own: _joined(own, few), kind)
     segment = uuid.uuid4().hex
-    _write_segment(index, segment, names.select("chunk_id", "path", "symbol", F.col("new").alias("group")), blocks)
+    _write_segment(index, segment, names.select("chunk_id", "path", "symbol", F.col("new").alias("group")), blocks, "token", "group")
     seq = max(s[1] for s in taken)
     least = min((s[1] for s in rest), default=None)  # what every segment has seen is done with
     removed = tuple(r for r in state.removed if least is not None and r[1] > least)
@@ -310,25 +385,32 @@ def _flat(blocks: pa.Table) -> tuple[pa.Array, np.ndarray, pa.Array, np.ndarray,
     return words.dictionary, code, ids.flatten(), np.repeat(np.arange(len(last)), count), places.flatten().to_numpy().astype(np.int64)
 
 
-def _regrouped(blocks: pa.Table, names: pa.Table) -> pa.Table:
-    """One group's blocks with the chunks that are in names only, dealt to their new groups."""
-    if not len(blocks) or not len(names):
-        return pa.Table.from_batches([_pieces(*[np.zeros(0, np.int64), blocks.column("token").combine_chunks(), np.zeros(0, np.int64), np.zeros(0, np.int64), names.column("chunk_id").combine_chunks(), np.zeros(0, np.int64)])])
+def _regrouped(blocks: pa.Table, names: pa.Table, few: int) -> pa.Table:
+    """One part's blocks with the chunks that are in names only, dealt to their new groups."""
     tokens, code, ids, entry, pos = _flat(blocks)
     alive = names.column("chunk_id").combine_chunks()
     both = pa.concat_arrays([alive, ids]).dictionary_encode(null_encoding="encode").indices.to_numpy()
-    new = np.full(both.max() + 1, -1, np.int64)
-    groups, number = np.unique(names.column("new").to_numpy(), return_inverse=True)
-    new[both[: len(alive)]] = number.ravel()
-    to = new[both[len(alive) :]][entry]
-    kept = np.flatnonzero(to >= 0)
-    return pa.Table.from_batches([_named(_pieces(to[kept], tokens, code[kept], entry[kept], ids, pos[kept]), groups)])
+    at = np.full(both.max(initial=-1) + 1, -1, np.int64)
+    at[both[: len(alive)]] = np.arange(len(alive))
+    at = at[both[len(alive) :]]  # where an entry's chunk is named
+    kept = np.flatnonzero(at[entry] >= 0)
+    part, group = (names.column(c).to_numpy()[at] if len(alive) else at for c in ("to", "new"))
+    return pa.Table.from_batches([_ordered(part, group, tokens, code[kept], entry[kept], ids, pos[kept], few)])
 
 
-def _joined(blocks: pa.Table) -> pa.Table:
-    """One group's pieces as one block a token."""
+def _ordered(part: np.ndarray, group: np.ndarray, tokens: pa.Array, code: np.ndarray, entry: np.ndarray, ids: pa.Array, pos: np.ndarray, few: int) -> pa.RecordBatch:
+    """_pieces() of places whose entries are in no order of groups."""
+    order = _order(np.unique(group, return_inverse=True)[1].ravel()[entry])
+    return _pieces(part, group, tokens, code[order], entry[order], ids, pos[order], few)
+
+
+def _joined(blocks: pa.Table, few: int) -> pa.Table:
+    """One part's pieces as one block a token, or a token and group."""
     tokens, code, ids, entry, pos = _flat(blocks)
-    return pa.Table.from_batches([_named(_pieces(np.zeros(len(code), np.int64), tokens, code, entry, ids, pos), blocks.column("group").to_numpy()[:1])])
+    n = blocks.column("n").to_numpy()
+    part, group = np.repeat(blocks.column("part").to_numpy(), n), np.repeat(blocks.column("group").to_numpy(), n)
+    group[group < 0] = blocks.column("groups").combine_chunks().flatten().to_numpy()
+    return pa.Table.from_batches([_ordered(part, group, tokens, code, entry, ids, pos, few)])
 
 
 def tidy(index: LexicalIndex, fan: int = 8) -> LexicalIndex:
@@ -396,7 +478,10 @@ def bounds(index: LexicalIndex, branches: list[tx.Branch], state: State) -> Data
     """
     asked = list(dict.fromkeys(t for b in branches for t in b.terms))
     most = [F.max(F.when(F.col("token") == t, F.col("most"))).alias(f"_m{i}") for i, t in enumerate(asked)]
-    heads = _blocks(index, asked, state).groupBy("segment", "group").agg(*most)  # a block may be in pieces
+    blocks, count = _blocks(index, asked, state), lambda e, i: e - F.coalesce(F.get("ends", i - 1), F.lit(0))
+    shared = blocks.where("group < 0").select("segment", "token", F.explode(F.arrays_zip(F.col("groups").alias("group"), F.transform("ends", count).alias("most"))).alias("e"))
+    heads = blocks.where("group >= 0").select("segment", "token", "group", "most").unionByName(shared.select("segment", "token", "e.group", "e.most"))
+    heads = heads.groupBy("segment", "group").agg(*most)  # a block may be in pieces
     bound = F.lit(0.0)
     for b in branches:
         counts = [F.col(f"_m{asked.index(t)}") for t in b.terms]
@@ -426,11 +511,22 @@ def _within(rows: DataFrame, groups: list[tuple[str, int]] | DataFrame) -> DataF
     return rows.where(test)
 
 
+def _with_parts(index: LexicalIndex, groups: list[tuple[str, int]] | DataFrame) -> list[tuple[str, int]] | DataFrame:
+    """Groups and their parts: what blocks of these groups can have as their group."""
+    if isinstance(groups, DataFrame):
+        return groups.unionByName(groups.select("segment", _part(F.col("group")).alias("group")))
+    if not groups:
+        return groups
+    parts = _known(index.spark, F.transform(F.array(*[F.lit(g).cast("bigint") for _, g in groups]), _part))[0]
+    return sorted({*groups, *[(segment, p) for (segment, _), p in zip(groups, parts)]})
+
+
 def text_ranks(index: LexicalIndex, branches: list[tx.Branch], state: State, groups: list[tuple[str, int]] | DataFrame, allowed: DataFrame | None = None) -> DataFrame:
     """(segment, seq, group, chunk_id, lexical_rank) of the live chunks of these groups that match."""
     asked = list(dict.fromkeys(t for b in branches for t in b.terms))
     every = list(dict.fromkeys([*asked, *[w for b in branches for n in b.without for w in n]]))
-    rows = postings(_within(_blocks(index, every, state), groups), "segment", "seq", "group", "token")
+    blocks = _within(_blocks(index, every, state), _with_parts(index, groups))
+    rows = _within(postings(blocks, "segment", "seq", "group", "token"), groups)  # not what shares their blocks
     rows = index.alive(rows, state)
     if allowed is not None:
         rows = rows.join(allowed, "chunk_id", "left_semi")

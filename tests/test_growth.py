@@ -63,6 +63,63 @@ def test_places_are_not_shuffled(spark, tmp_path, shuffled):
     assert held == want
 
 
+def test_rare_tokens_of_many_groups_share_blocks(spark, tmp_path, shuffled, monkeypatch):
+    monkeypatch.setattr(li, "GROUP", 32)
+    rng = random.Random(9)
+    texts = {i: " ".join(["often", *(f"w{1000 + rng.randrange(2000)}" for _ in range(40)), "x.y"]) for i in range(512)}
+    index = li.append(li.LexicalIndex(spark, f"file://{tmp_path}/i", compounds=True), spark.createDataFrame([(i, f"p/{i}", t, None) for i, t in texts.items()], SCHEMA))
+
+    def rows(ids):
+        group = {r["chunk_id"]: r["group"] for r in index.rows("names", index.state()).collect()}
+        blocks = index.rows("blocks", index.state())
+        held = {(r["token"], r["chunk_id"]): (r["group"], r["places"]) for r in li.postings(blocks, "group", "token").collect()}
+        want = {}
+        for i in ids:
+            for at, word in enumerate([*texts[i].split()[:-1], "x.y", "x", "y"]):
+                want.setdefault((word, i), (group[i], []))[1].append(at)
+        assert held == want and len(set(group.values())) > 4
+        heads = {tuple(r) for r in li.bounds(index, [tx.Branch(words=["w1000"])], index.state()).select("group", "bound").collect()}
+        most = {}
+        for (word, _), (g, places) in held.items():
+            if word == "w1000":
+                most[g] = max(most.get(g, 0), len(places))
+        assert heads == {(g, n * tx.WEIGHT) for g, n in most.items()}
+        return blocks.count()
+
+    assert rows(texts) < 4000  # not one for each of 15,000 pairs of token and group
+    li.remove(index, spark.createDataFrame([(i,) for i in range(0, 512, 3)], "id long"))
+    shuffled()
+    li.merge(index)
+    assert shuffled()[0] < 10_000
+    left = [i for i in texts if i % 3]
+    assert rows(left) < 4000
+    li.append(index, spark.createDataFrame([(1000 + i, f"q/{i}", texts[i], None) for i in range(64)], SCHEMA))
+    texts |= {1000 + i: texts[i] for i in range(64)}
+    li.merge(index)
+    assert rows([*left, *range(1000, 1064)]) < 4000
+
+
+def test_a_task_sorts_its_tokens_in_runs(monkeypatch):
+    rng = random.Random(10)
+    docs = [(g, 10 * g + i // 2, [f"t{rng.randrange(30)}" for _ in range(rng.randrange(9))]) for g in range(6) for i in range(12)]  # ids come twice
+    table = pa.table({"chunk_id": [d[1] for d in docs], "part": pa.array([-1 - (d[0] > 3) for d in docs], pa.int64()), "group": pa.array([d[0] for d in docs], pa.int64()), "toks": pa.array([d[2] for d in docs], pa.list_(pa.string()))})
+    want = {}
+    for g, i, toks in docs:
+        for at, t in enumerate(toks):
+            want.setdefault((g, t, i), []).append(at)
+    for size, held in ((5, 1), (7, 60), (100, 1000)):
+        monkeypatch.setattr(li, "HELD", held)
+        found = {}
+        for b in li._blocks_of(iter(table.to_batches(size)), 3):
+            tokens = b.column("token").to_pylist()
+            assert tokens == sorted(tokens)
+            for r in b.to_pylist():
+                cuts = zip([0, *r["ends"]], r["ends"])
+                for k, (i, (a, z)) in enumerate(zip(r["ids"], cuts, strict=True)):
+                    found[(r["groups"][k] if r["group"] < 0 else r["group"], r["token"], i)] = r["places"][a:z]
+        assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in want.items()}, size
+
+
 def test_blocks_of_repeated_and_null_ids_over_batches():
     ids = [None, None, 1, 2, 2, 2, 3]
     group, toks = [7, 7, 7, 9, 9, 9, 9], [["a"], ["b", "a"], ["a", "a"], ["c"], None, ["d", "c"], []]
