@@ -36,7 +36,7 @@ def compound_tokens(text: Column) -> Column:
 
     def both(run: Column) -> Column:
         parts = F.split(run, JOINT, -1)
-        return F.when(F.size(parts) > 1, F.concat(F.array(run), parts)).otherwise(F.array(run))
+        return F.when(run.rlike(JOINT), F.concat(F.array(run), parts)).otherwise(F.array(run))  # few are split
 
     return F.flatten(F.transform(runs, both))
 

@@ -51,7 +51,7 @@ SUB = 32
 #: Bits of a group's number within its part, at most; class from whose half on they fall, so that a part has about 32 MB at most.
 PART, LONG = 4, 17
 #: Tokens that a task sorts at a time, about.
-HELD = 8 << 20
+HELD = 3 << 20
 
 
 #: Read by these, as a segment without tokens has no files to infer them from.
@@ -180,7 +180,8 @@ def _order(key: np.ndarray) -> np.ndarray:
     if len(key) < 1 << 31 and key.max(initial=0) < 1 << 31:
         both = key.astype(np.int64) << 32 | np.arange(len(key))
         both.sort()
-        return both & 0xFFFFFFFF
+        both &= 0xFFFFFFFF
+        return both
     return np.argsort(key, kind="stable")
 
 
@@ -189,7 +190,7 @@ def _pieces(part: np.ndarray, group: np.ndarray, tokens: pa.Array, code: np.ndar
 
     The places of a token are in the order of part, group, chunk and pos.
     """
-    rank = np.empty(len(tokens), np.int64)
+    rank = np.empty(len(tokens), np.int32)
     by = pc.sort_indices(tokens)
     rank[by.to_numpy()] = np.arange(len(tokens))
     code = rank[code]
